@@ -93,12 +93,13 @@ def cascade(children: dict[str, Child], registries: dict[str, Registry], most_ro
         reached = []
         for name, child in children.items():
             for parent, (own, theirs) in child.parents.items():
-                # Keys of the parent's rows in the frontier: the frontier is the small side of this semi-join.
+                # Keys of the parent's rows in the frontier. No hints: the frontier grows with the data, so Spark
+                # chooses by its measured size.
                 up = children[parent]
                 ids = frontier.where(F.col("tab") == parent).select(F.col("row_id").alias(up.row_id))
-                keys = up.rows.join(bounded(ids), up.row_id, "left_semi").select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(theirs)]).distinct()
+                keys = up.rows.join(ids, up.row_id, "left_semi").select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(theirs)]).distinct()
                 mine = child.rows.select(F.col(child.row_id).alias("row_id"), micros(F.col(child.time)).alias("t_us"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(own)])
-                hit = mine.join(bounded(keys), [f"k{i}" for i in range(len(own))], "left_semi")
+                hit = mine.join(keys, [f"k{i}" for i in range(len(own))], "left_semi")
                 reached.append(hit.select(F.lit(name).alias("tab"), "row_id", "t_us"))
         if not reached:
             return everything

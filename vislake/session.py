@@ -8,8 +8,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if the optimizer's size estimate for it is below this many bytes.
-BROADCAST_LIMIT = 32 << 20
+#: A side is broadcast by hint only if a count proves it to have no more rows than this (dimension rows are short).
+BROADCAST_ROWS = 500_000
+#: Sides whose size estimate is above this are not even counted.
+BROADCAST_ESTIMATE = 64 << 20
 
 
 def ensure_utc(spark: SparkSession) -> SparkSession:
@@ -30,9 +32,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast when the side's estimated size is under the limit; else leave the join to Spark."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+def bounded(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast if a count proves the side to be small; else leave the join to Spark (shuffled, split if skewed).
+
+    Meant for dimension tables: the count runs over the side, and stops one row past the bound.
+    """
+    if estimated_bytes(df) > BROADCAST_ESTIMATE or df.limit(most_rows + 1).count() > most_rows:
+        return df
+    return F.broadcast(df)
 
 
 def shared_dir(spark: SparkSession) -> str:
