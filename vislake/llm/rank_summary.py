@@ -92,7 +92,12 @@ class Summary:
         """Value for the quantile, the bounds of its rank, and how many ranks it may be off at most."""
         want = 1 + q * (self.n - 1)
         i = int(self._nearest(np.array([want]))[0])
-        return float(self.v[i]), int(self.lo[i]), int(self.hi[i]), float(max(want - self.lo[i], self.hi[i] - want))
+        off = float(max(want - self.lo[i], self.hi[i] - want))
+        # Between two tuples of one value (a run of ties) every rank has that value.
+        below, above = self.v[self.hi <= want], self.v[self.lo >= want]
+        if len(below) and len(above) and below[-1] == self.v[i] == above[0]:
+            off = 0.0
+        return float(self.v[i]), int(self.lo[i]), int(self.hi[i]), off
 
     def row(self) -> tuple:
         return self.v, self.lo, self.hi, self.n, self.err

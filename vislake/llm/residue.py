@@ -3,7 +3,7 @@
 A record is scanned once for evidence. Unfilled placeholders decide by themselves, wherever they stand. The other kinds
 decide by share: the record's lines are normalised and counted by host over all different texts, lines that recur on a
 host and carry no evidence (page furniture, fixed headings) are subtracted, and the record is a case if evidence makes
-up at least half of what is left. Only hashes of lines are shuffled for the counts.
+up at least LEAST_SHARE of what is left. Only hashes of lines are shuffled for the counts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from vislake.session import cut
 #: A line without evidence is boilerplate of its host if at least this many different texts of the host have it.
 RECURRENT_TEXTS = 3
 #: Share of evidence in the residual from which a record is a case.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 #: Remaining lines of fewer words than this are labels, not content.
 CONTENT_WORDS = 5
 
