@@ -20,6 +20,8 @@ from vislake.session import cut
 MAS = math.radians(1e-3 / 3600)
 #: Largest number of parameters a fit may have (a dense normal matrix of this size is 128 MB).
 MOST_PARAMETERS = 4000
+#: Rows whose dense design is held at once (32 MB at the most parameters).
+ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -217,13 +219,13 @@ class Fit:
 _COLUMNS = ["obs_id", "source", "a1", "a2", "slot", "t", "tau_residual", "sigma_tau", "sigma_iono", "dtau_dra", "dtau_ddec", "wet1", "wet2", "grad1", "grad2", "az1", "az2"]
 
 
-def _normal(obs: DataFrame, layout: Layout, spec: DelayFit, floors: dict, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
+def _normal(obs: DataFrame, layout: Layout, spec: DelayFit, floors: dict) -> tuple[np.ndarray, np.ndarray, int, float]:
     """Summed normal matrix, right side, number of rows and total weight of the rows with keep."""
     n = layout.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         big, rhs, count, weight = np.zeros((n, n)), np.zeros(n), 0, 0.0
-        for pdf in batches:
+        for pdf in (b.iloc[k : k + ROWS] for b in batches for k in range(0, len(b), ROWS)):
             pdf = pdf[pdf["keep"]]
             if len(pdf):
                 a = design(pdf, layout, spec.reference_slot)
@@ -257,7 +259,7 @@ def _residuals(obs: DataFrame, layout: Layout, spec: DelayFit, floors: dict, x:
     """obs with residual and var (measured variance without the floor) and floor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b.iloc[k : k + ROWS] for b in batches for k in range(0, len(b), ROWS)):
             r = pdf["tau_residual"].to_numpy() - design(pdf, layout, spec.reference_slot) @ x if len(pdf) else np.array([])
             yield pdf.assign(residual=r, var=pdf["sigma_tau"] ** 2 + pdf["sigma_iono"] ** 2, floor=_floor(pdf, floors, spec))
 
@@ -273,7 +275,7 @@ def _fit_once(spec: DelayFit, obs: DataFrame, layout: Layout) -> Fit:
     passes = spec.robust_iterations if spec.reweight or spec.reject else 0
     log = []
     for it in range(passes + 1):
-        big, rhs, kept, total = _normal(rows, layout, spec, floors, np.zeros(0))
+        big, rhs, kept, total = _normal(rows, layout, spec, floors)
         x, cov, how = solve_normal(big + (extra * cw[:, None]).T @ extra, rhs)
         res = cut(_residuals(rows, layout, spec, floors, x))
         w = F.when(F.col("keep"), 1 / (F.col("var") + F.col("floor"))).otherwise(0.0)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import TWO_PI, present
-from vislake.functions.fringemath import Search, assert_uniform, frequency_lattice, measure, plane, uniform_lattice
+from vislake.functions.fringemath import Lattice, Search, assert_uniform, frequency_lattice, measure, plane, uniform_lattice
 from vislake.functions.graphmath import stationize
 from vislake.operators.gains import Solution
 
@@ -47,10 +47,11 @@ def statistics(sums: DataFrame) -> DataFrame:
     return d.groupBy(*TILE, "i", "j").agg(F.first("weight").alias("weight"), F.sqrt(F.sum(F.col("sw") * (F.col("nu") - F.col("nu_bar")) ** 2) / F.first("weight")).alias("bandwidth"))
 
 
-def _planes(pdf: pd.DataFrame, width: float):
+def _planes(pdf: pd.DataFrame, width: float, cadence: float | None):
     """Lattices of a tile and, per slot pair, its plane, weight and bandwidth."""
-    tl = uniform_lattice(pdf["t"].to_numpy())
-    assert_uniform(tl, pdf["t"].unique())
+    t = np.unique(pdf["t"].to_numpy())
+    tl = uniform_lattice(t) if cadence is None else Lattice(float(t[0]), cadence, int(np.rint((t[-1] - t[0]) / cadence)) + 1)
+    assert_uniform(tl, t)
     fl = frequency_lattice(pdf["nu"].to_numpy(), width)
     for (i, j), g in pdf.groupby(["i", "j"], sort=True):
         s = np.zeros((tl.n, fl.n), complex)
@@ -60,10 +61,11 @@ def _planes(pdf: pd.DataFrame, width: float):
         yield tl, fl, int(i), int(j), s, float(w.sum()), float(np.sqrt((w * (nu - mean) ** 2).sum() / w.sum()))
 
 
-def fringe_fit(vis: DataFrame, width: float, search: Search, strict: bool = True) -> DataFrame:
+def fringe_fit(vis: DataFrame, width: float, search: Search, strict: bool = True, cadence: float | None = None) -> DataFrame:
     """Peaks of every occupied (tcell, fcell, baseline, slots): FRINGES (C9). Nothing is gated.
 
-    vis: tcell, fcell, source, p, q, i, j, t, nu, re, im, w; width: channel width in Hz. A tile needs two times and two
+    vis: tcell, fcell, source, p, q, i, j, t, nu, re, im, w; width: channel width in Hz; cadence: time step in s
+    where it is known (else it is inferred from each tile's times, which must be uniform). A tile needs two times and two
     channels; one with fewer comes out with NULL peaks and its weight. Products without weight do not come out. Peak phases
     refer to the middle of the tile's times and frequencies. No rows: no rows.
     """
@@ -76,18 +78,18 @@ def fringe_fit(vis: DataFrame, width: float, search: Search, strict: bool = True
             sums = pdf.groupby(["i", "j"], as_index=False)["sw"].sum()
             rows = [head | {"i": int(r.i), "j": int(r.j), "t": t0, "nu": nu0, "weight": r.sw, "bandwidth": 0.0} | nan for r in sums.itertuples()]
         else:
-            rows = [head | {"i": i, "j": j, "t": t0, "nu": nu0, "weight": w, "bandwidth": b} | measure(s, tl, fl, t0, nu0, w, b, search) for tl, fl, i, j, s, w, b in _planes(pdf, width)]
+            rows = [head | {"i": i, "j": j, "t": t0, "nu": nu0, "weight": w, "bandwidth": b} | measure(s, tl, fl, t0, nu0, w, b, search) for tl, fl, i, j, s, w, b in _planes(pdf, width, cadence)]
         return pd.DataFrame(rows)
 
     return grid_sums(vis, strict).groupBy(*TILE).applyInPandas(run, FRINGES)
 
 
-def fringe_planes(vis: DataFrame, width: float, search: Search, strict: bool = True) -> DataFrame:
+def fringe_planes(vis: DataFrame, width: float, search: Search, strict: bool = True, cadence: float | None = None) -> DataFrame:
     """(TILE, i, j, rate, delay, magnitude): the whole search plane of every slot pair."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        for tl, fl, i, j, s, w, _ in _planes(pdf, width):
+        for tl, fl, i, j, s, w, _ in _planes(pdf, width, cadence):
             g, rate, delay = plane(s, tl, fl, w, search)
             r, d = np.meshgrid(rate, delay, indexing="ij")
             parts.append(pd.DataFrame({**{k: int(pdf[k].iloc[0]) for k in TILE}, "i": i, "j": j, "rate": r.ravel(), "delay": d.ravel(), "magnitude": g.ravel()}))
