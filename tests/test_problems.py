@@ -249,3 +249,27 @@ def test_flags_asof_and_bracketing(spark):
     assert {r["row_key"]: r["x"] for r in bracketing(q, series, ["k"]).collect()} == {1: 18.0, 2: 10.0, 3: 26.0, 4: None}
     cells = spark.createDataFrame([("k", 2, 0.0, 6.0), ("k", 1, 4.0, 9.0)], "k string, cell int, r_lo double, r_hi double")
     assert {r["row_key"]: r["cell"] for r in first_cell(q, cells, ["k"], 3.0).collect()} == {1: 1, 2: 2}
+
+
+def test_scans_and_asof_do_not_depend_on_shards(spark):
+    from vislake.operators.partition import scans_by_gap
+
+    rng = random.Random(6)
+    rows = sorted({(float(rng.randrange(400)), rng.choice(["a", "a", None])) for _ in range(90)}, key=lambda x: (x[0], x[1] or ""))
+    df = spark.createDataFrame(rows + [(None, "a")], "t double, source string")
+    for keys in ([], ["source"]):
+        got = [{(r["t"], r["source"]): r["scan"] for r in scans_by_gap(df, 7.0, keys, shard).collect()} for shard in (1.0, 50.0, 1e6)]
+        assert got[0] == got[1] == got[2] and set(got[0]) == set(rows) and min(got[0].values()) == 1
+    times = sorted({t for t, _ in rows})
+    one = {r["t"]: r["scan"] for r in scans_by_gap(spark.createDataFrame([(t,) for t in times], "t double"), 7.0, shard=13.0).collect()}
+    n, want = 0, {}
+    for k, t in enumerate(times):
+        n += k == 0 or t - times[k - 1] > 7.0
+        want[t] = n
+    assert one == want
+    q = spark.createDataFrame([(rng.choice("ab"), rng.uniform(-50, 500), k) for k in range(80)], "k string, t double, row_key int")
+    s = spark.createDataFrame([(rng.choice("ab"), float(rng.randrange(0, 400, 5)), float(k)) for k in range(20)], "k string, s double, x double").groupBy("k", "s").agg(F.max("x").alias("x"))
+    rec = s.select("k", F.col("s").alias("start"), F.lit(60.0).alias("duration"), "x")
+    for f in (lambda w: bracketing(q, s, ["k"], w), lambda w: last_valid(q, rec, ["k"], ["x"], w)):
+        got = [sorted((r["row_key"], r["x"]) for r in f(w).select("row_key", F.coalesce("x", F.lit(-1.0)).alias("x")).collect()) for w in (3.0, 70.0, 1e9)]
+        assert got[0] == got[1] == got[2] and len(got[0]) == 80

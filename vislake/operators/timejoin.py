@@ -74,29 +74,49 @@ def first_cell(points: DataFrame, cells: DataFrame, keys: list[str], width: floa
     return overlapping(p, cells, keys, width).groupBy("row_key").agg(F.min("cell").alias("cell"))
 
 
-def last_valid(queries: DataFrame, records: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+#: Length of a time shard of one key in the as-of joins, in the unit of t.
+ASOF_SHARD = 86_400.0
+
+
+def _sharded(queries: DataFrame, records: DataFrame, keys: list[str], at: str, record: Column, shard: float) -> DataFrame:
+    """Queries and records (as m) in one table with a shard of their key's time axis, so that no task sorts a whole key.
+
+    Every shard also gets the newest record of the shards before it (pos 0) and the oldest of those after it (pos 2): one
+    small row per shard finds both.
+    """
+    kind = records.select(record.alias("m")).schema["m"].dataType
+    none = F.lit(None).cast(kind)
+    a = queries.select(*keys, F.col("t").alias("t"), "row_key", F.lit(1).alias("is_query"), none.alias("m"))
+    b = records.select(*keys, F.col(at).alias("t"), F.lit(None).cast(queries.schema["row_key"].dataType).alias("row_key"), F.lit(0).alias("is_query"), record.alias("m"))
+    events = a.unionByName(b).withColumn("shard", F.floor(F.col("t") / shard).cast("bigint")).withColumn("pos", F.lit(1))
+    known = F.struct("t", "m")
+    has = F.col("m").isNotNull()
+    shards = events.groupBy(*keys, "shard").agg(F.min(F.when(has, known)).alias("head"), F.max(F.when(has, known)).alias("tail"))
+    order = Window.partitionBy(*keys).orderBy("shard")
+    shards = shards.select(*keys, "shard", F.last("tail", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("head", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    border = lambda c, pos: shards.where(F.col(c).isNotNull()).select(*keys, F.col(f"{c}.t").alias("t"), F.lit(None).cast(queries.schema["row_key"].dataType).alias("row_key"), F.lit(0).alias("is_query"), F.col(f"{c}.m").alias("m"), "shard", F.lit(pos).alias("pos"))
+    return events.unionByName(border("before", 0)).unionByName(border("after", 2))
+
+
+def last_valid(queries: DataFrame, records: DataFrame, keys: list[str], payload: list[str], shard: float = ASOF_SHARD) -> DataFrame:
     """For each query (keys, t, row_key) the last record (keys, start, duration, payload) with start <= t, if
     t - start < duration (J5). Others come out with NULL payload. Of records with equal start the last by payload counts.
 
-    One union sorted by (keys, time): both sides are shuffled once, nothing is multiplied.
+    One union sorted by (keys, shard, time): both sides are shuffled once, nothing is multiplied. NULL keys match each
+    other; a NULL t matches nothing.
     """
     mark = F.struct(F.col("start"), F.col("duration"), *[F.col(c) for c in payload])
-    a = queries.select(*keys, "t", "row_key", F.lit(1).alias("is_query"), F.lit(None).cast(records.select(mark.alias("m")).schema["m"].dataType).alias("m"))
-    b = records.select(*keys, F.col("start").alias("t"), F.lit(None).cast(queries.schema["row_key"].dataType).alias("row_key"), F.lit(0).alias("is_query"), mark.alias("m"))
-    order = Window.partitionBy(*keys).orderBy("t", "is_query", "m").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("last", F.last("m", ignorenulls=True).over(order)).where("is_query = 1")
+    both = _sharded(queries, records.where(F.col("start").isNotNull()), keys, "start", mark, shard)
+    order = Window.partitionBy(*keys, "shard").orderBy("pos", "t", "is_query", "m").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("last", F.last("m", ignorenulls=True).over(order)).where("is_query = 1")
     valid = F.col("t") - F.col("last.start") < F.col("last.duration")
     return seen.select(*keys, "t", "row_key", *[F.when(valid, F.col(f"last.{c}")).alias(c) for c in ["start", *payload]])
 
 
-def bracketing(queries: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
+def bracketing(queries: DataFrame, series: DataFrame, keys: list[str], shard: float = ASOF_SHARD) -> DataFrame:
     """Linear interpolation of a series (keys, s, x) at each query (keys, t, row_key), held constant outside it."""
-    point = F.struct(F.col("s").alias("s"), F.col("x").alias("x"))
-    kind = series.select(point.alias("m")).schema["m"].dataType
-    a = queries.select(*keys, "t", "row_key", F.lit(1).alias("is_query"), F.lit(None).cast(kind).alias("m"))
-    b = series.select(*keys, F.col("s").alias("t"), F.lit(None).cast(queries.schema["row_key"].dataType).alias("row_key"), F.lit(0).alias("is_query"), point.alias("m"))
-    both = a.unionByName(b)
-    order = Window.partitionBy(*keys).orderBy("t", "is_query")
+    both = _sharded(queries, series.where(F.col("s").isNotNull()), keys, "s", F.struct(F.col("s").alias("s"), F.col("x").alias("x")), shard)
+    order = Window.partitionBy(*keys, "shard").orderBy("pos", "t", "is_query")
     both = both.withColumn("a", F.last("m", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("m", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     w = F.try_divide(F.col("t") - F.col("a.s"), F.col("b.s") - F.col("a.s"))
     x = F.when(F.col("a").isNull(), F.col("b.x")).when(F.col("b").isNull() | (F.col("a.s") == F.col("t")), F.col("a.x")).otherwise(F.col("a.x") + (F.col("b.x") - F.col("a.x")) * w)

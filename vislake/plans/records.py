@@ -70,14 +70,14 @@ def join_g10_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_j5_last_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     curves = table(spark, sf_dir, "gain_curve").where(has_antenna(F.col("antenna_no")) & (F.col("band") == 1)).select("session", "antenna_no", micros(F.col("time")).alias("start"), F.lit(3_000_000_000).alias("duration"), F.coalesce("dpfu_1", F.lit(-1.0)).alias("dpfu"))
     q = table(spark, sf_dir, "observables").join(bounded(_names(spark, sf_dir)), F.col("a1") == F.col("antenna")).select("session", "antenna_no", micros(F.col("datetime")).alias("t"), F.col("obs_id").alias("row_key"))
-    return last_valid(q, curves, ["session", "antenna_no"], ["dpfu"]).select(F.col("row_key").alias("obs_id"), "antenna_no", "start", "dpfu")
+    return last_valid(q, curves, ["session", "antenna_no"], ["dpfu"], shard=86_400e6).select(F.col("row_key").alias("obs_id"), "antenna_no", "start", "dpfu")
 
 
 def join_j6_bracketing(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = has_antenna(F.col("antenna_no")) & finite(F.col("cable_cal"))
     series = table(spark, sf_dir, "tones").where(good).groupBy("session", "antenna_no", micros(F.col("time")).alias("s")).agg(F.avg("cable_cal").alias("x"))
     q = table(spark, sf_dir, "dataset").join(bounded(_names(spark, sf_dir)), F.col("a1") == F.col("antenna")).select("session", "antenna_no", micros(F.col("datetime")).alias("t"), F.col("vis_id").alias("row_key"))
-    return bracketing(q, series, ["session", "antenna_no"]).select(F.col("row_key").alias("vis_id"), r(F.col("x") * 1e12, 6).alias("cable_ps"))
+    return bracketing(q, series, ["session", "antenna_no"], shard=86_400e6).select(F.col("row_key").alias("vis_id"), r(F.col("x") * 1e12, 6).alias("cable_ps"))
 
 
 def join_j7_names(spark: SparkSession, sf_dir: str) -> DataFrame:
