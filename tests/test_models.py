@@ -203,6 +203,27 @@ def test_fits_tables_images_and_copies(spark, tmp_path):
     assert fits.value_text(-0.1 / 3.6e6).strip().startswith("-2.777777777") and len(fits.value_text(-0.1 / 3.6e6)) == 20
 
 
+def test_random_groups(spark, tmp_path):
+    names = ["UU---SIN", "VV---SIN", "WW---SIN", "BASELINE", "DATE", "DATE", "INTTIM"]
+    axes = [("COMPLEX", 3), ("STOKES", 2), ("FREQ", 2), ("IF", 2)]
+    n = 5
+    rec = np.zeros(n, np.dtype([("p", ">f4", (7,)), ("d", ">f4", (24,))]))
+    rec["p"][:, 0], rec["p"][:, 3], rec["p"][:, 5], rec["p"][:, 6] = 2e-3, [258, 258, 259, 515, 257], np.arange(n) / 8, 2.0
+    rec["d"] = np.arange(n * 24).reshape(n, 24)
+    cards = [fits.card("SIMPLE", True), fits.card("BITPIX", -32), fits.card("NAXIS", 5), fits.card("NAXIS1", 0), *[fits.card(f"NAXIS{k}", m) for k, (_, m) in enumerate(axes, 2)], *[fits.card(f"CTYPE{k}", c) for k, (c, _) in enumerate(axes, 2)], fits.card("GROUPS", True), fits.card("PCOUNT", 7), fits.card("GCOUNT", n)]
+    for k, name in enumerate(names, 1):
+        cards += [fits.card(f"PTYPE{k}", name), fits.card(f"PSCAL{k}", 1.0), fits.card(f"PZERO{k}", 2460000.5 if k == 5 else 0.0)]
+    path = tmp_path / "g.uvfits"
+    path.write_bytes(fits.header(cards) + fits.padded(rec.tobytes()) + fits.table_bytes("OTHER", {"A": np.arange(2, dtype="i4")}))
+    assert fits.read_table(spark, str(path), "OTHER").count() == 2
+    vis = fits.load(spark, [str(path)])[str(path)]
+    assert vis.count() == 4 * 8 and {(r["p"], r["q"]) for r in vis.select("p", "q").distinct().collect()} == {(1, 2), (1, 3), (2, 3)}
+    first = vis.where("t < 1").orderBy("chan", "prod").collect()
+    assert [r["re"] for r in first] == [3.0 * k for k in range(8)] and [r["w"] for r in first] == [3.0 * k + 2 for k in range(8)] and [r["if_id"] for r in first] == [1] * 4 + [2] * 4
+    assert first[0]["u_m"] == pytest.approx(2e-3 * 299792458.0, rel=1e-6) and first[0]["int_time"] == 2.0
+    assert sorted({round(r["t"]) for r in vis.select("t").collect()}) == [0, 10800, 21600, 32400]
+
+
 def _tec(day, hours, value):
     rows = ["     1.0            IONOSPHERE MAPS     GPS                 IONEX VERSION / TYPE", "  6371.0".ljust(60) + "BASE RADIUS", "   450.0 450.0   0.0".ljust(60) + "HGT1 / HGT2 / DHGT", "    -1".ljust(60) + "EXPONENT", "".ljust(60) + "END OF HEADER"]
     for kind in ("TEC", "RMS"):

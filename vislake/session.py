@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,20 @@ BROADCAST_ROWS = 500_000
 BROADCAST_ESTIMATE = 64 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it anyway (PYTHONPATH, or the driver's folder)."""
+    root = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root or getattr(sc, "_vislake_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "vislake"), "zip", root, "vislake")
+    sc.addPyFile(archive)
+    sc._vislake_shipped = True
+
+
 def ensure_utc(spark: SparkSession) -> SparkSession:
-    """Timestamps without a time zone are taken as UTC everywhere."""
+    """Timestamps without a time zone are taken as UTC everywhere; workers can import this package."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark

@@ -130,6 +130,10 @@ def registered_copy(raw: bytes, ra_deg: float, dec_deg: float, lines: list[str])
 _TYPES = {"L": ("i1", BooleanType()), "B": ("u1", ShortType()), "I": (">i2", ShortType()), "J": (">i4", IntegerType()), "K": (">i8", LongType()), "E": (">f4", FloatType()), "D": (">f8", DoubleType()), "A": ("S", StringType()), "C": (">c8", FloatType()), "M": (">c16", DoubleType())}
 
 
+#: Name under which the random groups of a UVFITS file are read as a table of params and data.
+GROUPS = "GROUPS"
+
+
 @dataclass(frozen=True)
 class Table:
     """Place and layout of a table extension."""
@@ -145,15 +149,22 @@ class Table:
         out = []
         for name, code, repeat in self.fields:
             t = _TYPES[code][1]
-            out.append(StructField(name, t if code == "A" or (repeat == 1 and code not in "CM") else ArrayType(t)))
+            single = code == "A" or (repeat == 1 and code not in "CM" and self.dtype[name].shape == ())
+            out.append(StructField(name, t if single else ArrayType(t)))
         return StructType(out)
 
 
 def find_table(path: str, extension: str) -> Table:
-    """The first table extension of a name (EXTNAME); a missing one is an error."""
+    """The first table extension of a name (EXTNAME), or the random groups of the primary part (GROUPS); a missing one is
+    an error."""
     with open(path, "rb") as f:
         while (h := read_header(f)) is not None:
             at = f.tell()
+            if extension.upper() == GROUPS and h.get("GROUPS") is True and h.get("NAXIS1") == 0:
+                n = int(np.prod([int(h[f"NAXIS{k}"]) for k in range(2, int(h["NAXIS"]) + 1)]))
+                code = {-32: "E", -64: "D", 16: "I", 32: "J"}[int(h["BITPIX"])]
+                fields = [("params", code, int(h["PCOUNT"])), ("data", code, n)]
+                return Table(at, int(h["GCOUNT"]), np.dtype([(name, _TYPES[code][0], (r,)) for name, _, r in fields]), fields, h)
             if str(h.get("EXTNAME", "")).strip().upper() == extension.upper() and str(h.get("XTENSION", "")).strip() in ("BINTABLE", "A3DTABLE"):
                 fields = []
                 for k in range(1, int(h["TFIELDS"]) + 1):
@@ -225,6 +236,55 @@ def read_table(spark: SparkSession, path: str, extension: str, rows_per_partitio
     return spark.read.format("fits_table").option("extension", extension).option("rowsPerPartition", rows_per_partition).load(path)
 
 
+def _axes(cards: dict, prefix: str) -> dict[str, int]:
+    """Axis name -> length, in file order."""
+    return {str(cards[f"CTYPE{k}"]).strip().upper(): int(cards[f"{prefix}{k}"]) for k in range(1, 20) if f"CTYPE{k}" in cards and f"{prefix}{k}" in cards}
+
+
+def load_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Long visibilities of a UVFITS file's random groups, with the columns of load_visibilities.
+
+    Parameters of one name add up (two dates); u, v, w are in seconds in the file. Without INTTIM it is an error.
+    """
+    cards = find_table(path, GROUPS).cards
+    axes = _axes(cards, "NAXIS")
+    nc, ns, nf, nb = axes.get("COMPLEX", 3), axes.get("STOKES", 1), axes.get("FREQ", 1), axes.get("IF", axes.get("BAND", 1))
+    names = [str(cards[f"PTYPE{k}"]).strip().upper() for k in range(1, int(cards["PCOUNT"]) + 1)]
+
+    def param(*wanted: str):
+        at = [k for k, n in enumerate(names) if n in wanted or n.split("-")[0] in wanted]
+        if not at:
+            return None
+        scaled = [F.element_at("params", k + 1).cast("double") * float(cards.get(f"PSCAL{k + 1}", 1.0)) + float(cards.get(f"PZERO{k + 1}", 0.0)) for k in at]
+        return sum(scaled[1:], scaled[0])
+
+    if param("INTTIM") is None:
+        raise ValueError("the groups have no INTTIM parameter")
+    raw = read_table(spark, path, GROUPS)
+    source = param("SOURCE")
+    base = raw.select(F.monotonically_increasing_id().alias("row_id"), F.floor(param("BASELINE") + 1e-3).cast("int").alias("bl"), (F.lit(1) if source is None else F.rint(source).cast("int")).alias("source"), param("DATE", "_DATE").alias("jd"), param("INTTIM").alias("int_time"), *[(param(c) * 299_792_458.0).alias(f"{k}_m") for c, k in (("UU", "u"), ("VV", "v"), ("WW", "w"))], "data")
+    day = base.agg(F.min(F.floor(F.col("jd") - 0.5) + 0.5)).first()[0]
+    e = base.withColumn("t", (F.col("jd") - day) * 86400.0).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(ns * nf * nb - 1))))
+    at = lambda j: F.element_at("data", F.col("k") * nc + j + 1).cast("double")
+    band = F.floor(F.col("k") / (ns * nf)).cast("int")
+    p, q = F.floor(F.col("bl") / 256).cast("int"), F.col("bl") % 256
+    w = F.greatest(at(2), F.lit(0.0)) if nc == 3 else F.lit(1.0)
+    out = e.select("row_id", p.alias("p"), q.alias("q"), "source", "t", "int_time", "u_m", "v_m", "w_m", (F.floor(F.col("k") / ns) + 1).cast("int").alias("chan"), (band + 1).alias("if_id"), (F.col("k") % ns + 1).alias("prod"), at(0).alias("re"), at(1).alias("im"), w.alias("w"))
+    return out.where("p <> q")
+
+
+def load(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
+    """Path -> long visibilities; whether a file is FITS-IDI or UVFITS is seen from its first header (S1, S2). Files are put
+    together by combine."""
+    out = {}
+    for path in paths:
+        with open(path, "rb") as f:
+            first = read_header(f) or {}
+        groups = first.get("GROUPS") is True and first.get("NAXIS1") == 0
+        out[path] = load_groups(spark, path) if groups else load_visibilities(spark, path)
+    return out
+
+
 def load_visibilities(spark: SparkSession, path: str) -> DataFrame:
     """Long visibilities of a FITS-IDI file (S1): row_id, p, q, source, t, int_time, u_m, v_m, w_m, chan, if_id, prod, re, im, w.
 
@@ -233,7 +293,7 @@ def load_visibilities(spark: SparkSession, path: str) -> DataFrame:
     (INTTIM) is required. t is seconds after the first day's midnight.
     """
     t = find_table(path, "UV_DATA")
-    axes = {str(t.cards.get(f"CTYPE{k}", "")).strip().upper(): int(t.cards[f"MAXIS{k}"]) for k in range(1, int(t.cards.get("MAXIS", 0)) + 1) if f"MAXIS{k}" in t.cards}
+    axes = _axes(t.cards, "MAXIS")
     nc, ns, nf, nb = axes.get("COMPLEX", 2), axes.get("STOKES", 1), axes.get("FREQ", 1), axes.get("BAND", 1)
     raw = read_table(spark, path, "UV_DATA")
     if "inttim" not in raw.columns:
