@@ -137,17 +137,28 @@ _ERROR = (
 )
 
 
-def _needed(form: str) -> str:
-    """A literal that every match of the pattern holds (outside of groups and optional parts); "" if there is none."""
+def _literals(form: str) -> list[str]:
+    """Runs of letters that every match of the pattern holds (those outside of groups and optional parts)."""
     flat, depth = "", 0
     for piece in re.findall(r"\\.|\[(?:\\.|[^\]])*\]|\((?:\?[:!=]|\?<[!=])?|\)(?:[?*]|\{\d*,?\d*\})?|.(?:[?*]|\{\d*,?\d*\})?", form):
         depth += piece.startswith("(") - piece.startswith(")")
         flat += piece if not depth and len(piece) == 1 and (piece.isalpha() or piece == "|") else "\n"
-    return "" if "|" in flat else max(flat.split("\n"), key=len)
+    return [] if "|" in flat else flat.split("\n")
 
 
-#: (kind, needed literal, pattern); a blank in a pattern stands for any white space.
-_KINDS = [(kind, _needed(x).casefold(), re.compile(x.replace(" ", r"\s"), re.I | re.M)) for kind, forms in ((FILLER, _FILLER), (SCRIPT, _NOTICE), (ERROR, _ERROR)) for x in forms]
+def _needed(form: str) -> tuple[str, ...]:
+    """Literals of which every match of the pattern holds at least one: its longest own run of letters, else one for each
+    branch of its first plain group. An empty string means that nothing is known."""
+    own = max(_literals(form), key=len, default="")
+    if len(own) >= 3:
+        return (own.casefold(),)
+    group = re.search(r"\(\?:((?:[^()\\]|\\.)*)\)(?![?*])", form)
+    branches = [max(_literals(x), key=len, default="") for x in group[1].split("|")] if group else [""]
+    return tuple(sorted({x.casefold() for x in branches})) if all(len(x) >= 2 for x in branches) else ("",)
+
+
+#: (kind, needed literals, pattern); a blank in a pattern stands for any white space.
+_KINDS = [(kind, _needed(x), re.compile(x.replace(" ", r"\s"), re.I | re.M)) for kind, forms in ((FILLER, _FILLER), (SCRIPT, _NOTICE), (ERROR, _ERROR)) for x in forms]
 _STRUCTURE = re.compile(rf"<{_TAGS}>|<!doctype[^<>]*>", re.I)
 #: What makes a sentence a report of its own: session codes, sources, clock times, scans ...
 _ENTITY = re.compile(r"\bvx\d{3,}\b|\b[bj]?\d{4}[+-]\d{3,4}\b|\b\d{1,2}:\d{2}\b|\bscans?\b", re.I)
@@ -168,6 +179,10 @@ def _spaced(text: str) -> str:
     return _SPACE.sub(lambda m: "\n" if _LINE_END.search(m.group()) else " ", text).strip()
 
 
+_SENTENCE = re.compile(r"[^.!?\n]+")
+_DUMMY = LATIN_SURE | MASH
+
+
 def flattened(text: str) -> str:
     """NFKC form without invisible characters and markup; every white space run is one blank or one line end."""
     text = html.unescape(unicodedata.normalize("NFKC", text))
@@ -189,7 +204,7 @@ def evidence(flat: str, names: frozenset[str] = frozenset()) -> list[tuple[int,
     spans = []
     low = flat.casefold()
     for kind, needed, form in _KINDS:
-        if needed not in low:
+        if not any(x in low for x in needed):
             continue
         for m in form.finditer(flat):
             a, b = _sentence(flat, *m.span())
@@ -198,7 +213,8 @@ def evidence(flat: str, names: frozenset[str] = frozenset()) -> list[tuple[int,
             if _TELLING.search(piece) or (kind != FILLER and (_ENTITY.search(piece) or any(w.casefold() in names for w in _WORD.findall(piece)))):
                 continue
             spans.append((a, b, kind))
-    for m in re.finditer(r"[^.!?\n]+", flat):
+    dummy = not _DUMMY.isdisjoint(_WORD.findall(low))
+    for m in _SENTENCE.finditer(flat) if dummy else ():
         words = [w.casefold() for w in _WORD.findall(m.group())]
         if len(words) >= 2:
             latin, mash = sum(w in LATIN for w in words), sum(w in MASH for w in words)
