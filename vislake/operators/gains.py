@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import TWO_PI, Complex, present
+from vislake.session import bounded
 
 #: Kind -> (is a phase, unit, response as a Column of value, t, nu, t_ref, nu_ref). Others may be registered.
 KINDS: dict[str, tuple[bool, str, Callable[..., Column]]] = {
@@ -87,7 +88,7 @@ def calibrate(vis: DataFrame, solution: Solution, kinds: list[str]) -> DataFrame
     refs_t = solution.tcells.select(F.col("cell").alias("tcell"), F.col("ref").alias("__t_ref"))
     refs_f = solution.fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("__nu_ref"))
     names = ["phi0", "dphi_dnu", "dphi_dt", "a"]
-    side = lambda end, slot: terms.select(F.col("p").alias(end), F.col("i").alias(slot), "tcell", "fcell", *[F.col(n).alias(f"__{end}_{n}") for n in names])
+    side = lambda end, slot: bounded(terms.select(F.col("p").alias(end), F.col("i").alias(slot), "tcell", "fcell", *[F.col(n).alias(f"__{end}_{n}") for n in names]))
     full = vis.join(refs_t, "tcell", "left").join(refs_f, "fcell", "left").join(side("p", "i"), ["p", "i", "tcell", "fcell"], "left").join(side("q", "j"), ["q", "j", "tcell", "fcell"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
 
@@ -111,6 +112,6 @@ def corrupt(vis: DataFrame, solution: Solution, kinds: list[str]) -> DataFrame:
 def install_static(solution: Solution, alignment: DataFrame) -> Solution:
     """Static values (kind, p, i, fcell, value) added in every time cell (C14)."""
     cells = solution.tcells.select(F.col("cell").alias("tcell"))
-    numbers = F.broadcast(cells.agg(F.array_sort(F.collect_list("tcell")).alias("tcells")))  # one row
-    spread = alignment.join(numbers).select("kind", "p", "i", F.explode("tcells").alias("tcell"), "fcell", "value")
+    numbers = cells.agg(F.array_sort(F.collect_list("tcell")).alias("tcells"), F.lit(1).alias("__one"))  # one row
+    spread = alignment.withColumn("__one", F.lit(1)).join(F.broadcast(numbers), "__one").select("kind", "p", "i", F.explode("tcells").alias("tcell"), "fcell", "value")
     return solution.plus(spread)

@@ -20,12 +20,11 @@ def _ds(spark: SparkSession, sf_dir: str) -> Dataset:
 
 def solution(spark: SparkSession) -> Solution:
     """A fixed solution on 8 antennas, 2 slots, 7 year cells and 2 frequency windows."""
-    node = spark.sql("SELECT CAST(p AS INT) p, CAST(i AS INT) i, CAST(tc AS INT) tcell, CAST(fc AS INT) fcell FROM (SELECT explode(sequence(1, 8)) p), (SELECT explode(sequence(1, 2)) i), (SELECT explode(sequence(1, 7)) tc), (SELECT explode(sequence(1, 2)) fc)")
+    seq = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
+    node = spark.range(1, 9).select(F.col("id").cast("int").alias("p")).select("p", seq(2).alias("i")).select("p", "i", seq(7).alias("tcell")).select("p", "i", "tcell", seq(2).alias("fcell"))
     value = {"PhaseOffset": F.col("p") * 0.1 + F.col("i") * 0.05 + F.col("tcell") * 0.01, "Delay": (F.col("p") - 4) * 1e-9, "Rate": (F.col("p") - 4) * 1e-10, "LogAmplitudeBandpass": (F.col("p") - 4) * 0.02 + F.col("fcell") * 0.01}
-    kinds = None
-    for k, v in value.items():
-        part = node.select(F.lit(k).alias("kind"), "p", "i", "tcell", "fcell", v.alias("value"))
-        kinds = part if kinds is None else kinds.unionByName(part)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in value.items()])).alias("c")
+    kinds = node.select("p", "i", "tcell", "fcell", each).select("c.kind", "p", "i", "tcell", "fcell", "c.value")
     t = spark.createDataFrame([(c, (c - 0.5) * 365.25 * 86400) for c in range(1, 8)], "cell int, ref double")
     f = spark.createDataFrame([(1, NU0 + 1.5 * DNU), (2, NU0 + 5 * DNU + IF_STEP)], "cell int, ref double")
     return Solution(kinds, t, f)
@@ -165,7 +164,7 @@ def part_g13_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cal_c14_install(spark: SparkSession, sf_dir: str) -> DataFrame:
-    align = spark.sql("SELECT 'Delay' kind, CAST(p AS INT) p, 1 i, 2 fcell, p * 1e-11 value FROM (SELECT explode(sequence(1, 8)) p)")
+    align = spark.range(1, 9).selectExpr("'Delay' kind", "CAST(id AS INT) p", "1 i", "2 fcell", "id * 1e-11D value")
     return install_static(solution(spark), align).components.groupBy("kind", "p", "i").agg(r(F.sum("value") * 1e9, 6).alias("total_e9"), F.count("*").alias("n"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Sides whose size estimate is above this are not even counted.
 BROADCAST_ESTIMATE = 64 << 20
+#: Estimates from here on mean that the optimizer knows nothing.
+UNKNOWN_BYTES = 1 << 60
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,7 +53,9 @@ def bounded(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Meant for dimension tables: the count runs over the side, and stops one row past the bound.
     """
-    if estimated_bytes(df) > BROADCAST_ESTIMATE or df.limit(most_rows + 1).count() > most_rows:
+    estimate = estimated_bytes(df)
+    known = estimate < UNKNOWN_BYTES  # local rows have no estimate; their count is cheap
+    if (known and estimate > BROADCAST_ESTIMATE) or df.limit(most_rows + 1).count() > most_rows:
         return df
     return F.broadcast(df)
 
