@@ -85,8 +85,9 @@ def calibrate(vis: DataFrame, solution: Solution, kinds: list[str]) -> DataFrame
     if not kinds:
         return vis
     terms = terms_of(solution, kinds)
-    refs_t = solution.tcells.select(F.col("cell").alias("tcell"), F.col("ref").alias("__t_ref"))
-    refs_f = solution.fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("__nu_ref"))
+    # Broadcast where a count proves the look-ups small: the visibilities are not shuffled for them then.
+    refs_t = bounded(solution.tcells.select(F.col("cell").alias("tcell"), F.col("ref").alias("__t_ref")))
+    refs_f = bounded(solution.fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("__nu_ref")))
     names = ["phi0", "dphi_dnu", "dphi_dt", "a"]
     side = lambda end, slot: bounded(terms.select(F.col("p").alias(end), F.col("i").alias(slot), "tcell", "fcell", *[F.col(n).alias(f"__{end}_{n}") for n in names]))
     full = vis.join(refs_t, "tcell", "left").join(refs_f, "fcell", "left").join(side("p", "i"), ["p", "i", "tcell", "fcell"], "left").join(side("q", "j"), ["q", "j", "tcell", "fcell"], "left")
