@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vislake.session import cut
+from vislake.session import cut, spread
 
 #: A line without evidence is boilerplate of its host if at least this many different texts of the host have it.
 RECURRENT_TEXTS = 3
@@ -185,10 +185,7 @@ _DUMMY = LATIN_SURE | MASH
 
 def flattened(text: str) -> str:
     """NFKC form without invisible characters and markup; every white space run is one blank or one line end."""
-    text = html.unescape(unicodedata.normalize("NFKC", text))
-    text = re.sub("[­​‌‍⁠﻿]", "", text)
-    text = _STRUCTURE.sub("\n", text)
-    return re.sub(r"\s+", lambda m: "\n" if re.search(r"[\n\r  \x0b\x0c\x85]", m.group()) else " ", text).strip()
+    return _spaced(_STRUCTURE.sub("\n", html.unescape(unicodedata.normalize("NFKC", text))))
 
 
 def _sentence(flat: str, a: int, b: int) -> tuple[int, int]:
@@ -270,7 +267,7 @@ def scan(documents: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(hashes, pa.int64()), pa.array(found, pa.bool_()), pa.array(kinds, pa.string()), pa.array(amounts, pa.int64()), pa.array(lines, line_type)], names=["doc_id", "host", "text_hash", "placeholder", "kind", "evidence", "lines"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, host string, text_hash bigint, placeholder boolean, kind string, evidence bigint, lines array<struct<h: bigint, n: int>>")
+    return spread(rows).mapInArrow(run, "doc_id bigint, host string, text_hash bigint, placeholder boolean, kind string, evidence bigint, lines array<struct<h: bigint, n: int>>")
 
 
 def find_residue(documents: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vislake.session import spread
+
 #: Vocabulary file (ranks); a parameter of every operator that measures texts.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -51,4 +53,5 @@ def measured(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 w.append(weight(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "source", "n_tokens", "weight"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, weight double")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, weight double")
