@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from vislake.session import cut, spread
 
-#: A line without evidence is boilerplate of its host if at least this many different texts of the host have it.
+#: A line without evidence is boilerplate of its host if at least this many different texts of the host have it ...
 RECURRENT_TEXTS = 3
+#: ... and at least this share of them, so that a line that recurs by chance in a large corpus stays content.
+RECURRENT_SHARE = 0.001
 #: Share of evidence in the residual from which a record is a case.
 LEAST_SHARE = 0.4
 #: Remaining lines of fewer words than this are labels, not content.
-CONTENT_WORDS = 5
+CONTENT_WORDS = 6
 
 PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error", "script"
 
@@ -279,9 +281,11 @@ def find_residue(documents: DataFrame, names: frozenset[str] = frozenset()) -> D
     """
     seen = cut(scan(documents, names))
     each = seen.select("doc_id", "host", "text_hash", "placeholder", "kind", "evidence", F.explode("lines").alias("line")).select("*", "line.h", "line.n")
-    # Different texts per host and line; at most RECURRENT_TEXTS of them matter, so a hot line needs no more.
+    # Different texts per host and line.
     counted = each.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("texts"))
-    recurrent = counted.where(F.col("texts") >= RECURRENT_TEXTS).select(F.col("host").alias("r_host"), F.col("h").alias("r_h"))
+    totals = seen.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("t_host")).agg(F.count("*").alias("all_texts"))
+    often = (F.col("texts") >= RECURRENT_TEXTS) & (F.col("texts") >= RECURRENT_SHARE * F.col("all_texts"))
+    recurrent = counted.where(F.col("texts") >= RECURRENT_TEXTS).join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where(often).select(F.col("host").alias("r_host"), F.col("h").alias("r_h"))
     judged = each.where(~F.col("placeholder") & (F.col("evidence") > 0))
     left_over = judged.join(recurrent, judged["host"].eqNullSafe(F.col("r_host")) & (judged["h"] == F.col("r_h")), "left_anti")
     content = left_over.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("content"))
