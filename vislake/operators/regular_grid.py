@@ -39,38 +39,37 @@ def to_grid(rows: DataFrame, keys: list[str], t_us: str, value: str, t0_us: str,
     periods = (
         rows.where(inside)
         .select(*named, k.alias("k"), F.col(value).cast("double").alias("v"), F.col(t0_us).alias("t0"), F.col(grid_us).alias("grid"), F.ceil((F.col(stop_us) - F.col(t0_us)) / F.col(grid_us)).cast("bigint").alias("n"))
-        .groupBy(*held, "k")
-        .agg(F.avg("v").alias("v"), F.count("*").alias("cnt"), F.min("t0").alias("t0"), F.min("grid").alias("grid"), F.min("n").alias("n"))
+        .groupBy(*held, "k", "t0", "grid", "n")
+        .agg(F.avg("v").alias("v"), F.count("*").alias("cnt"))
         .withColumn("block", F.floor(F.col("k") / block).cast("bigint"))
     )
-    # What a block must know of its neighbours: one small row per occupied block.
+    # What a block must know of its neighbours: one small row per occupied block. It takes the same columns of `periods` as
+    # the rows themselves do, so that both share one exchange and the readings are scanned once.
     across = Window.partitionBy(*held).orderBy("block")
-    heads = (
-        periods.groupBy(*held, "block")
-        .agg(F.min(F.struct("k", "v")).alias("head"), F.min("t0").alias("t0"), F.min("grid").alias("grid"), F.min("n").alias("n"))
-        .select(*held, "block", "t0", "grid", "n", F.lead("head").over(across).alias("next"), F.lag("block").over(across).isNull().alias("first"))
-    )
-    typed = [*held, "block", "t0", "grid", "n", "k", "v", "cnt"]
-    no_value = F.lit(None).cast("double")
-    start = heads.where("first").select(*held, "block", "t0", "grid", "n", F.lit(-1).cast("bigint").alias("k"), no_value.alias("v"), F.lit(0).cast("bigint").alias("cnt"))
-    # cnt 0: a border row (grid end); cnt -1: the next block's head, which only closes the last gap.
-    ends = heads.select(*held, "block", "t0", "grid", "n", F.coalesce(F.col("next.k"), F.col("n")).alias("k"), F.col("next.v").alias("v"), F.when(F.col("next").isNull(), 0).otherwise(-1).cast("bigint").alias("cnt"))
-    marked = periods.select(*typed).unionByName(start.select(*typed)).unionByName(ends.select(*typed))
+    heads = periods.groupBy(*held, "block", "t0", "grid", "n").agg(F.min("k").alias("head_k"), F.min_by(F.struct("v", "cnt"), "k").alias("head"))
+    heads = heads.select(*held, "block", "t0", "grid", "n", F.lead("head_k").over(across).alias("next_k"), F.lead("head").over(across).alias("next"), F.lag("block").over(across).isNull().alias("first"))
+    # what: 1 a period with readings, 0 an end of the grid, -1 the next block's head, which only closes the last gap.
+    row = lambda k, v, what: F.struct(k.alias("k"), v.cast("double").alias("v"), what.alias("what"))
+    begin = row(F.lit(-1).cast("bigint"), F.lit(None), F.lit(0))
+    close = row(F.coalesce("next_k", "n"), F.col("next.v"), F.when(F.col("next_k").isNull(), 0).otherwise(-1))
+    borders = heads.select(*held, "block", "t0", "grid", F.explode(F.when(F.col("first"), F.array(begin, close)).otherwise(F.array(close))).alias("b"))
+    typed = [*held, "block", "t0", "grid", "k", "v", "cnt", "what"]
+    marked = periods.withColumn("what", F.lit(1)).select(*typed).unionByName(borders.select(*held, "block", "t0", "grid", "b.k", "b.v", F.lit(0).cast("bigint").alias("cnt"), "b.what"))
     within = Window.partitionBy(*held, "block").orderBy("k")
-    paired = marked.select(*held, "t0", "grid", "n", "k", "v", "cnt", F.lead("k").over(within).alias("k2"), F.lead("v").over(within).alias("v2"), F.lead("cnt").over(within).alias("cnt2")).where(F.col("k2").isNotNull())
-    real = F.when(F.col("cnt") > 0, F.array(F.struct(F.col("k").alias("k"), F.col("v").alias("v"), F.col("cnt").alias("c"), F.lit(0).cast("bigint").alias("g"), F.lit(MEASURED).alias("m")))).otherwise(F.array())
+    paired = marked.select(*held, "t0", "grid", "k", "v", "cnt", "what", F.lead("k").over(within).alias("k2"), F.lead("v").over(within).alias("v2"), F.lead("what").over(within).alias("what2")).where(F.col("k2").isNotNull())
+    real = F.when(F.col("what") > 0, F.array(F.struct(F.col("k").alias("k"), F.col("v").alias("v"), F.col("cnt").alias("c"), F.lit(0).cast("bigint").alias("g"), F.lit(MEASURED).alias("m")))).otherwise(F.array())
     gap = F.col("k2") - F.col("k") - 1
 
     def filled(j: Column) -> Column:
         """The struct of empty period j between k and k2."""
         value_at = (
-            F.when((F.col("cnt") == 0), F.when((F.col("k2") - j) <= max_gap, F.col("v2")))
-            .when(F.col("cnt2") == 0, F.when((j - F.col("k")) <= max_gap, F.col("v")))
+            F.when(F.col("what") == 0, F.when((F.col("k2") - j) <= max_gap, F.col("v2")))
+            .when(F.col("what2") == 0, F.when((j - F.col("k")) <= max_gap, F.col("v")))
             .when(gap <= max_gap, F.col("v") + (F.col("v2") - F.col("v")) * (j - F.col("k")) / (F.col("k2") - F.col("k")))
         )
         mark = (
-            F.when(F.col("cnt") == 0, F.when((F.col("k2") - j) <= max_gap, F.lit(HELD)).otherwise(F.lit(BEFORE)))
-            .when(F.col("cnt2") == 0, F.when((j - F.col("k")) <= max_gap, F.lit(HELD)).otherwise(F.lit(AFTER)))
+            F.when(F.col("what") == 0, F.when((F.col("k2") - j) <= max_gap, F.lit(HELD)).otherwise(F.lit(BEFORE)))
+            .when(F.col("what2") == 0, F.when((j - F.col("k")) <= max_gap, F.lit(HELD)).otherwise(F.lit(AFTER)))
             .when(gap <= max_gap, F.lit(INTERPOLATED))
             .otherwise(F.lit(GAP))
         )
