@@ -37,7 +37,8 @@ WITH c AS (
   UNION ALL
   SELECT 'system_temperature', session, antenna_no, epoch_us(time) - CAST(round_even(interval * 5e5, 0) AS BIGINT), epoch_us(time) + CAST(round_even(interval * 5e5, 0) AS BIGINT)
   FROM system_temperature WHERE antenna_no >= 1 AND interval IS NOT NULL AND NOT isnan(interval) AND interval >= 0),
-m AS (SELECT *, max(e) OVER (PARTITION BY tab, session, antenna_no ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe FROM c),
+u AS (SELECT DISTINCT * FROM c),
+m AS (SELECT *, max(e) OVER (PARTITION BY tab, session, antenna_no ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe FROM u),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY tab, session, antenna_no ORDER BY s, e ROWS UNBOUNDED PRECEDING) isl FROM m),
 p AS (SELECT tab, session, antenna_no, isl, min(s) s, max(e) e FROM i GROUP BY ALL),
 g AS (SELECT *, lead(s) OVER (PARTITION BY tab, session, antenna_no ORDER BY s) nx FROM p)
