@@ -49,7 +49,7 @@ def cal_c11_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cal_c17_condense(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = condense(_bandpass_cells(spark, sf_dir))
-    return c.select("source", "p", "q", "i", "j", "hcell", "acell", "tcell", "k", r("sre", 3).alias("sre"), r("sim", 3).alias("sim"), r("sw", 2).alias("sw"))
+    return c.select("source", "p", "q", "i", "j", "hcell", "acell", "tcell", "k", r("sre", 7).alias("sre"), r("sim", 7).alias("sim"), r("sw", 2).alias("sw"))
 
 
 def _bandpass_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ ORACLE = {
     "cal_c2_statistics": with_vis(
         "SELECT tcell, fcell, source, p, q, i, j, round(sum(w), 4) + 0 AS weight, round(sqrt(sum(w * (nu - nb) ** 2) / sum(w)), 2) + 0 AS bandwidth FROM b GROUP BY ALL",
         CELLS_CTE, "b AS (SELECT *, sum(w * nu) OVER k / sum(w) OVER k nb FROM cells WHERE w > 0 WINDOW k AS (PARTITION BY tcell, fcell, source, p, q, i, j))"),
-    "cal_c17_condense": with_vis("SELECT source, p, q, i, j, scan AS hcell, fcell AS acell, tcell, chan AS k, round(sum(w * re), 3) + 0 AS sre, round(sum(w * im), 3) + 0 AS sim, round(sum(w), 2) + 0 AS sw FROM cells WHERE w > 0 GROUP BY ALL", CELLS_CTE),
+    "cal_c17_condense": with_vis("SELECT source, p, q, i, j, scan AS hcell, fcell AS acell, tcell, chan AS k, round(sum(w * re), 7) + 0 AS sre, round(sum(w * im), 7) + 0 AS sim, round(sum(w), 2) + 0 AS sw FROM cells WHERE w > 0 GROUP BY ALL", CELLS_CTE),
     "cal_c18_condense": with_vis(
         "SELECT 1 AS i, CAST(t AS INT) AS tcell, chan AS fcell, least(p, q) AS p, greatest(p, q) AS q, round(sum(w * m * m), 3) + 0 AS sw, round(sum(w * m * m * (ln(a) - ln(m))), 3) + 0 AS sr, round(sum(w * m * m * (ln(a) - ln(m)) ** 2), 3) + 0 AS sq, count(*) AS n FROM (SELECT *, sqrt(mr * mr + mi * mi) m, sqrt(re * re + im * im) a FROM sm) WHERE m >= 0.13e0 AND m * sqrt(w) >= 3 AND a > 0 GROUP BY ALL",
         *_ST, _MODEL),

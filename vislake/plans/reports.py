@@ -38,7 +38,7 @@ def agg_a19_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_a20_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return res.baseline_stats(_obs(spark, sf_dir)).select("a1", "a2", "n", r("wrms", 4).alias("wrms"), r("mean", 4).alias("mean"), r("snr_median", 4).alias("snr_median"))
+    return res.baseline_stats(_obs(spark, sf_dir)).select("a1", "a2", "n", r("wrms", 4).alias("wrms"), r("mean", 9).alias("mean"), r("snr_median", 4).alias("snr_median"))
 
 
 def agg_a20_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +92,11 @@ def join_j12_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_w10_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return res.splits(_obs(spark, sf_dir), ["session"]).groupBy("session", "early", "odd").agg(F.count("*").alias("n"), r(F.avg("r"), 7).alias("mean"))
+    return res.splits(_obs(spark, sf_dir), ["session"]).groupBy("session", "early", "odd").agg(F.count("*").alias("n"), r(F.avg("r"), 10).alias("mean"))
 
 
 def win_w4_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "dataset").where(finite(F.col("vis_re")) & finite(F.col("vis_im"))).select("vis_id", F.concat_ws("|", "session", "a1", "a2").alias("b"), F.struct("datetime", "vis_id").alias("o"), F.atan2("vis_im", "vis_re").alias("phase"))
+    d = table(spark, sf_dir, "dataset").where(finite(F.col("vis_re")) & finite(F.col("vis_im"))).select("vis_id", F.concat_ws("|", "session", "a1", "a2").alias("b"), F.struct("datetime", "vis_id").alias("o"), F.atan2(F.col("vis_im") + 0.0, "vis_re").alias("phase"))
     return res.unwrapped(d, ["b"], "o", "phase").select("vis_id", r("unwrapped", 5).alias("unwrapped"))
 
 
@@ -248,7 +248,7 @@ ORACLE = {
     "agg_a19_breakdown": f"""WITH {_O}, k AS (SELECT 'antenna' kind, a1 key, r, w FROM o UNION ALL SELECT 'antenna', a2, r, w FROM o UNION ALL SELECT 'slot', CAST(slot AS VARCHAR), r, w FROM o
   UNION ALL SELECT 'elevation', CAST({_band('degrees(least(el1, el2))', res.ELEVATION_BANDS)} AS VARCHAR), r, w FROM o UNION ALL SELECT 'hour', CAST({_band('(t / 3600) % 24', res.HOUR_BANDS)} AS VARCHAR), r, w FROM o)
 SELECT kind, key, count(*) AS n, round({_W}, 4) + 0 AS wrms FROM k WHERE key IS NOT NULL GROUP BY ALL""",
-    "agg_a20_baselines": f"WITH {_O} SELECT a1, a2, count(*) AS n, round({_W}, 4) + 0 AS wrms, round(avg(r), 4) + 0 AS mean, round(median(snr), 4) + 0 AS snr_median FROM o GROUP BY ALL",
+    "agg_a20_baselines": f"WITH {_O} SELECT a1, a2, count(*) AS n, round({_W}, 4) + 0 AS wrms, round(avg(r), 9) + 0 AS mean, round(median(snr), 4) + 0 AS snr_median FROM o GROUP BY ALL",
     "agg_a20_bins": f"""WITH {_O}, k AS (SELECT 'elevation' kind, {_band('degrees(least(el1, el2))', res.BINS['elevation'])} bin, r, w FROM o UNION ALL SELECT 'iono_abs', {_band('abs(iono)', res.BINS['iono_abs'])}, r, w FROM o
   UNION ALL SELECT 'sigma_iono', {_band('siono', res.BINS['sigma_iono'])}, r, w FROM o UNION ALL SELECT 'snr', {_band('snr', res.BINS['snr'])}, r, w FROM o)
 SELECT kind, CAST(bin AS INT) AS bin, count(*) AS n, round({_W}, 4) + 0 AS wrms, round(avg(r), 4) + 0 AS mean, round(median(abs(r)), 4) + 0 AS median_abs FROM k WHERE bin IS NOT NULL GROUP BY ALL""",
@@ -269,8 +269,8 @@ v AS (SELECT *, avg(d) OVER (PARTITION BY grp, slot) m, count(*) OVER (PARTITION
 SELECT (SELECT count(*) FROM (SELECT DISTINCT grp, slot FROM u)) AS n_groups, round((SELECT sqrt(avg(m * m)) FROM (SELECT DISTINCT grp, slot, m FROM u)), 3) + 0 AS static_rms, round(sqrt(avg((d - m) ** 2)), 3) + 0 AS var_rms, round(1.4826 * median(abs(d - m)), 3) + 0 AS var_mad FROM u""",
     "join_j11_match": f"WITH {_O} SELECT a.session, a.slot, count(*) AS n, round(sum(a.r - b.r), 2) + 0 AS d FROM o a JOIN o b USING (session, scan, a1, a2, slot) WHERE a.snr < 60 AND b.snr > 30 GROUP BY ALL",
     "join_j12_positions": f"WITH {_O}, s AS (SELECT source, slot, avg(r) ra, avg(iono) de FROM o GROUP BY ALL), j AS (SELECT a.ra - b.ra x, a.de - b.de y FROM s a JOIN s b ON a.source = b.source AND a.slot = 1 AND b.slot = 2) SELECT count(*) AS n, round(avg(x), 3) + 0 AS mean_ra, round(avg(y), 3) + 0 AS mean_dec, round(sqrt(avg(x * x)), 3) + 0 AS rms_ra, round(sqrt(avg(y * y)), 3) + 0 AS rms_dec, round(max(sqrt(x * x + y * y)), 3) + 0 AS worst FROM j",
-    "win_w10_splits": f"WITH {_O}, s AS (SELECT *, t < median(t) OVER (PARTITION BY session) early, dense_rank() OVER (PARTITION BY session ORDER BY scan) % 2 = 1 odd FROM o) SELECT session, early, odd, count(*) AS n, round(avg(r), 7) + 0 AS mean FROM s GROUP BY ALL",
-    "win_w4_unwrap": f"""WITH d AS (SELECT vis_id, session || '|' || a1 || '|' || a2 b, datetime, atan2(vis_im, vis_re) ph FROM dataset WHERE isfinite(vis_re) AND isfinite(vis_im)),
+    "win_w10_splits": f"WITH {_O}, s AS (SELECT *, t < median(t) OVER (PARTITION BY session) early, dense_rank() OVER (PARTITION BY session ORDER BY scan) % 2 = 1 odd FROM o) SELECT session, early, odd, count(*) AS n, round(avg(r), 10) + 0 AS mean FROM s GROUP BY ALL",
+    "win_w4_unwrap": f"""WITH d AS (SELECT vis_id, session || '|' || a1 || '|' || a2 b, datetime, atan2(vis_im + 0e0, vis_re) ph FROM dataset WHERE isfinite(vis_re) AND isfinite(vis_im)),
 s AS (SELECT *, ph - lag(ph) OVER o st, first_value(ph) OVER o f FROM d WINDOW o AS (PARTITION BY b ORDER BY datetime, vis_id)),
 w AS (SELECT *, coalesce(st - {_PI2} * round_even(st / {_PI2}, 0), 0) q FROM s)
 SELECT vis_id, round(f + sum(q) OVER (PARTITION BY b ORDER BY datetime, vis_id ROWS UNBOUNDED PRECEDING), 5) + 0 AS unwrapped FROM w""",
