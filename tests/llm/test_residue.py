@@ -56,5 +56,13 @@ def test_records(spark):
     assert find_residue(alone).count() == 0
 
 
+def test_short_lines_are_content(spark):
+    log = "\n".join(f"Recorder module {x} changed" for x in ("alpha", "beta", "gamma", "delta", "kappa"))
+    table = " | ".join(f"Tsys{x} 5{k}.0 K" for k, x in enumerate("abcdefgh"))
+    rows = [(1, "a", f"{log}\nconnection refused"), (2, "b", f"{table}\nserver busy"), (3, "c", "\n".join(["54.0", "hot", "wet", "dry", "cold"] * 9) + "\nserver busy"), (4, "d", "Portal\nserver busy")]
+    got = find_residue(spark.createDataFrame(rows, "doc_id bigint, host string, text string"))
+    assert [(r["doc_id"], r["kind"]) for r in got.collect()] == [(4, "error")]
+
+
 def test_lines_are_normalised():
     assert line_key("  - Page generated 2023-08 in 0.71 s ") == line_key("PAGE  generated 2024-11 in 10.5 s")

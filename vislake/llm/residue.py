@@ -26,8 +26,6 @@ RECURRENT_TEXTS = 3
 RECURRENT_SHARE = 0.001
 #: Share of evidence in the residual from which a record is a case.
 LEAST_SHARE = 0.4
-#: Remaining lines of fewer words than this are labels, not content.
-CONTENT_WORDS = 6
 
 PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error", "script"
 
@@ -133,9 +131,9 @@ _ERROR = (
     r"\btraceback \(most recent call last\)(?:[^.!?]|\.(?=\w)){0,200}", r"\bcannot connect to\b", r"\bconnection (?:reset|refused|timed out|failed)\b", r"\bdatabase connection failed\b", r"\b(?:gateway|server|host) (?:unreachable|busy)\b", r"\bserver busy\b",
     r"\bunable to (?:load|open|display|connect)\b", r"\b(?:request|connection) timed out\b", r"\binvalid (?:token|request)\b", r"\b(?:your )?session (?:has )?(?:expired|timed out)\b", r"\bplease log ?in again\b", r"\bincident (?:number|id)\b",
     r"\b(?:access|permission) denied\b", r"\bthere is no (?:document|page|file)\b", r"\bdo not have permission\b", r"\breference id\b", r"\bnot exist on this server\b", r"\b(?:link you followed|may have been moved|address for typing errors)\b", r"\b(?:upstream server|server side)\b", r"\bplease (?:try again|retry)\b", r"\btry again later\b", r"\bcontact the administrator\b", r"\bscheduled maintenance\b", r"\bwill be back shortly\b", r"\b(?:go )?back to the (?:start|home) ?page\b", r"\btemporarily unavailable\b",
-    r"\b(?:es ist ein|ein) (?:interner |unerwarteter )?fehler (?:ist )?aufgetreten\b", r"\bzugriff verweigert\b", r"\bseite (?:wurde )?nicht gefunden\b", r"\bserver konnte die anfrage\b", r"\bbitte versuchen sie es\b", r"\bmelden sie sich erneut an\b", r"\bsitzung ist abgelaufen\b", r"\bzur startseite\b", r"\b(?:dienst|server) (?:ist )?(?:derzeit |momentan )?nicht (?:verfügbar|erreichbar)\b", r"\binterner serverfehler\b", r"\bwartungsarbeiten\b", r"\bzeitüberschreitung\b", r"\b(?:datei|seite) /?\S* ?existiert nicht\b", r"\bfehlernummer\b", r"\bkeine berechtigung\b",
+    r"\b(?:es ist ein|ein) (?:interner |unerwarteter )?fehler (?:ist )?aufgetreten\b", r"\bzugriff verweigert\b", r"\bseite (?:wurde )?nicht gefunden\b", r"\bserver konnte die anfrage\b", r"\bbitte versuchen sie es\b", r"\bmelden sie sich erneut an\b", r"\bsitzung ist abgelaufen\b", r"\bzur startseite\b", r"\b(?:dienst|server) (?:ist )?(?:derzeit |momentan |vorübergehend )?nicht (?:verfügbar|erreichbar)\b", r"\binterner serverfehler\b", r"\bwartungsarbeiten\b", r"\bzeitüberschreitung\b", r"\b(?:datei|seite) /?\S* ?existiert nicht\b", r"\bfehlernummer\b", r"\bkeine berechtigung\b",
     r"\berreur (?:interne|est survenue|inattendue)\b", r"\berreur \d+\b", r"\bune erreur (?:est survenue|s.est produite)\b", r"\baccès (?:refusé|interdit)\b", r"\bpage (?:introuvable|non trouvée)\b", r"\bserveur n.a pas pu\b", r"\bveuillez (?:réessayer|vous reconnecter)\b", r"\bsession a expiré\b", r"\bretour à l.accueil\b", r"\bservice (?:momentanément |temporairement )?indisponible\b", r"\ben maintenance\b", r"\bdélai d.attente\b", r"\bn.existe pas sur ce serveur\b", r"\bnuméro d.incident\b", r"\bn.avez pas (?:le droit|l.autorisation)\b",
-    r"\bse ha producido un error\b", r"\bacceso denegado\b", r"\bpágina no encontrada\b", r"\bservidor no pudo\b", r"\binténtelo de nuevo\b", r"\bsesión ha caducado\b", r"\bvuelva a iniciar sesión\b", r"\bvolver al inicio\b", r"\bservicio no disponible\b", r"\berror (?:interno )?del servidor\b", r"\ben mantenimiento\b", r"\btiempo de espera\b", r"\bno existe en este servidor\b", r"\bnúmero de (?:incidente|incidencia)\b", r"\bno tiene permiso\b",
+    r"\bse ha producido un error\b", r"\bacceso denegado\b", r"\bpágina no encontrada\b", r"\bservidor no pudo\b", r"\binténtelo de nuevo\b", r"\bsesión ha caducado\b", r"\bvuelva a iniciar sesión\b", r"\bvolver al inicio\b", r"\bservicio no disponible\b", r"\berror (?:interno )?del servidor\b", r"\ben mantenimiento\b", r"\btiempo de espera\b", r"\bno existe en este servidor\b", r"\b(?:número|código) de (?:incidente|incidencia)\b", r"\bno tiene permiso\b",
 )
 
 
@@ -235,13 +233,13 @@ def line_key(piece: str) -> str:
 
 
 def pieces(flat: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int]]:
-    """Normalised lines of what is not evidence, with their length if they count as content (0 for labels)."""
+    """Normalised lines of what is not evidence, with their length: every one counts, short ones too."""
     out, at = [], 0
     for a, b in [*[(a, b) for a, b, _ in spans], (len(flat), len(flat))]:
         for line in re.split(r"\n|\s[-–|]\s", flat[at:a]):
             key = line_key(line)
             if key:
-                out.append((key, len(key) if len(key.split()) >= CONTENT_WORDS else 0))
+                out.append((key, len(key)))
         at = b
     return out
 
