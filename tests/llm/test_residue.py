@@ -40,6 +40,21 @@ def test_reports_are_no_evidence(text):
     assert _kinds(text) == set()
 
 
+@pytest.mark.parametrize("text", ["Curabitur pretium tincidunt lacus nulla gravida", "Sed ut perspiciatis unde omnis iste natus", "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas", "Vivamus sagittis lacus vel augue laoreet rutrum faucibus"])
+def test_other_dummy_latin(text):
+    assert _kinds(text) == {"filler"}
+
+
+@pytest.mark.parametrize("text", ["Receiver current offset limit status monitor", "Antena parada viento fuerte lluvia intensa", "Mesures normales, horloge stable, récepteur froid, météo claire", "Empfänger kalt, Maser stabil, Wetter klar, Kabel ruhig", "El dolor en la mano fue culpa del viento"])
+def test_terse_lines_are_no_latin(text):
+    assert _kinds(text) == set()
+
+
+@pytest.mark.parametrize("kind,phrase,text", [("error", "503 Service Unavailable", "503 Service Unavailable at 12:45 UTC"), ("script", "JavaScript is disabled", "You see this because JavaScript is disabled.")])
+def test_entities_lower_evidence(kind, phrase, text):
+    assert [(text[a:b], k) for a, b, k in evidence(text)] == [(phrase, kind)]
+
+
 def test_records(spark):
     menu = "Menu Search Login and many more entries of this portal"
     rows = [(k, "site", f"{menu} {0}\n{REPORT} Number {'abcdefgh'[k]} of the list here.") for k in range(4)]

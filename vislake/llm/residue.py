@@ -97,9 +97,18 @@ def placeholders(text: str) -> list[str]:
 
 # --- filler, error pages, notices -----------------------------------------------------------------------------------
 
-# Words of dummy Latin and of keyboard filler.
-LATIN = frozenset("lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum donec vestibulum integer tempus porta supra viram colum palor irune mintas ultren elitas magnor velira nostem rhoncar fasim feril pulsor adipor labrun nomera egestum fugim vestra integ prodent contum orcet sedique".split())
-LATIN_SURE = LATIN - frozenset("sit sed et ut ex ea eu non qui id est tempus porta supra esse nulla sint anim magna".split())
+# Words of the usual dummy Latin (other words go by their form) and of keyboard filler.
+LATIN = frozenset("lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum donec vestibulum integer tempus porta".split())
+LATIN_SURE = LATIN - frozenset("sit sed et ut ex ea eu non qui id est tempus porta esse nulla sint anim magna".split())
+#: Endings of Latin words; those of the second kind are as common in living languages and count half.
+_LATIN_END = re.compile(r"(?:[ui]s|[aeiu]m|[aei]t|nt|[aou]r|ae|que)$")
+_WEAK_END = re.compile(r"(?:[aeiou]|[aeo]s|[aeiou][nl])$")
+#: Endings that words of living languages seldom have.
+_LATIN_SURE_END = re.compile(r"(?:um|am|ae|que|ibus|tur|amus|unt|tis)$")
+#: A sentence without a known word is dummy Latin by its form if it has this many words, two of them of the usual list or with sure endings.
+LATIN_WORDS = 6
+#: Function words of the four languages that are no Latin: hardly a sentence does without, and dummy Latin has none.
+LIVING = frozenset("the of and to is was were are be been has have had this that these those with for from by on at as or not no but if it its we you your our they their he she which when after before while until than then so also only all both each more most der die das den dem des ein eine einer eines einem einen und oder nicht ist sind war waren wird werden wurde wurden mit von vom zu zum zur auf für bei nach im am als auch aus dass sie er es wir ich kein keine le la les un une du des au aux ce cette ces et il elle nous vous ils pour par sur dans avec sans est sont était pas plus que qui el los las unos unas del al y o en con por para su sus lo como es son fue fueron más".split()) - LATIN
 MASH = frozenset("foo bar baz qux abc abcd xyz asdf asd sdf qwerty qwertz qwe jkl jklö lkjh hjkl dfgh fghj zzz zzzz xxx xxxx aaa aaaa blah bla test testing dummy".split())
 
 _FILLER = (
@@ -163,7 +172,7 @@ _STRUCTURE = re.compile(rf"<{_TAGS}>|<!doctype[^<>]*>", re.I)
 #: What makes a sentence a report of its own: session codes, sources, clock times, scans ...
 _ENTITY = re.compile(r"\bvx\d{3,}\b|\b[bj]?\d{4}[+-]\d{3,4}\b|\b\d{1,2}:\d{2}\b|\bscans?\b", re.I)
 #: ... and words that tell what happened.
-_TELLING = re.compile(r"\bso we\b|\bwe (?:read|saw|found|had|were)\b|\bwhich\b|\b(?:was|were) (?:logged|removed|restarted|filled|replaced|read|compared|answered)\b|\banswered\b|\bstopped with\b|\bdeshalb\b|\bdaher\b|\bdonc\b|\bpor eso\b|\by por\b|\bso that\b|\bbecause\b|\bto warm up\b|\bstatus page of\b|\bstatusseite von\b|\bpage d.état de\b|\bpágina de estado de\b|\bweather file\b", re.I)
+_TELLING = re.compile(r"\bso we\b|\bwe (?:read|saw|found|had|were)\b|\bwhich\b|\b(?:was|were) (?:logged|removed|restarted|filled|replaced|read|compared|answered)\b|\banswered\b|\bdeshalb\b|\bdaher\b|\bdonc\b|\bpor eso\b|\by por\b|\bso that\b|\bbecause\b", re.I)
 #: Paths name what a page could not show; session codes in them are no report.
 _PATH = re.compile(r"(?<!\w)/(?:[\w.-]+/)*[\w.-]+")
 _END = re.compile(r"[.!?…](?=\s|$)|\n(?=[^\s\W\d_]?[A-ZÀ-Þ\d\W])|\s[-–|]\s|$")
@@ -180,7 +189,29 @@ def _spaced(text: str) -> str:
 
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_DUMMY = LATIN_SURE | MASH
+_DIGIT = re.compile(r"\d")
+
+
+def dummy(sentence: str, near: bool = False) -> bool:
+    """Dummy Latin or keyboard filler: nearly all words are known ones or, with hardly a function word of a living
+    language, have the form of Latin words. near: other sentences of the text are dummy text, so length does not matter."""
+    words = _WORD.findall(sentence.casefold())
+    if len(words) < 2:
+        return False
+    if not MASH.isdisjoint(words) and sum(w in MASH for w in words) >= 0.7 * len(words):
+        return True
+    sure = not LATIN_SURE.isdisjoint(words)
+    if sure and sum(w in LATIN for w in words) >= 0.7 * len(words):
+        return True
+    living = 0 if LIVING.isdisjoint(words) else sum(w in LIVING for w in words)
+    if sure and living > 0.1 * len(words):
+        return False
+    if near and not living:
+        sure = True
+    if not sure and (living or len(words) < LATIN_WORDS or _DIGIT.search(sentence) or sum(1 for w in words if w in LATIN or _LATIN_SURE_END.search(w)) < 2):
+        return False
+    latin = sum(1.0 if w in LATIN or _LATIN_END.search(w) else 0.5 if _WEAK_END.search(w) else 0.0 for w in words)
+    return latin >= 0.6 * len(words)
 
 
 def flattened(text: str) -> str:
@@ -197,8 +228,13 @@ def _sentence(flat: str, a: int, b: int) -> tuple[int, int]:
 
 
 def evidence(flat: str, names: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """Stretches of flattened text that are filler, an error or a notice; names: words that only reports have."""
+    """Stretches of flattened text that are filler, an error or a notice; names: words that only reports have.
+
+    A phrase counts with its whole sentence. In a sentence that also tells something (entities, connectives), the phrases
+    alone count, and only if they make up at least LEAST_SHARE of it.
+    """
     spans = []
+    told: dict[int, tuple[int, list[tuple[int, int, str]]]] = {}
     low = flat.casefold()
     for kind, needed, form in _KINDS:
         if not any(x in low for x in needed):
@@ -208,16 +244,23 @@ def evidence(flat: str, names: frozenset[str] = frozenset()) -> list[tuple[int,
             piece = _PATH.sub(" ", flat[a:b])
             # Dummy text may run on from a heading with such a name; the other kinds may not.
             if _TELLING.search(piece) or (kind != FILLER and (_ENTITY.search(piece) or any(w.casefold() in names for w in _WORD.findall(piece)))):
+                end, phrases = told.get(a, (b, []))
+                told[a] = max(end, b), [*phrases, (*m.span(), kind)]
                 continue
             spans.append((a, b, kind))
-    dummy = not _DUMMY.isdisjoint(_WORD.findall(low))
-    for m in _SENTENCE.finditer(flat) if dummy else ():
-        words = [w.casefold() for w in _WORD.findall(m.group())]
-        if len(words) >= 2:
-            latin, mash = sum(w in LATIN for w in words), sum(w in MASH for w in words)
-            if (latin >= 0.7 * len(words) and any(w in LATIN_SURE for w in words)) or (mash >= 0.7 * len(words)):
-                spans.append((*m.span(), FILLER))
-    spans.sort()
+    for a, (b, phrases) in told.items():
+        own = _merged(sorted(phrases))
+        if sum(y - x for x, y, _ in own) >= LEAST_SHARE * (b - a):
+            spans += own
+    filler = [m.span() for m in _SENTENCE.finditer(flat) if dummy(m.group())]
+    if filler:
+        filler = [m.span() for m in _SENTENCE.finditer(flat) if m.span() in filler or dummy(m.group(), near=True)]
+    spans += [(a, b, FILLER) for a, b in filler]
+    return _merged(sorted(spans))
+
+
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Sorted stretches, overlapping ones as one of the first's kind."""
     merged: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
         if merged and a < merged[-1][1]:
