@@ -26,6 +26,17 @@ def test_query_without_sql_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def test_images_are_whole_and_stop_on_noise(spark):
+    rows = CORE["img_i5_images"](spark, FOLDER).where("peak IS NOT NULL").collect()
+    assert rows and {r["npix"] for r in rows} == {256} and max(r["niter"] for r in rows) < 100_000
+    # An image that the cap of 200 steps would have cut.
+    assert max(r["niter"] for r in rows) > 200
+    whole = CORE["img_i1_map"](spark, FOLDER)
+    assert whole.groupBy("source").count().where("count <> 65536").count() == 0
+    few = CORE["img_i1_dirty"](spark, FOLDER)
+    assert few.join(whole.withColumnRenamed("value", "v"), ["source", "x", "y"]).where("abs(value - v) < 2e-6").count() == few.count() > 0
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(CORE) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

@@ -72,6 +72,19 @@ def dirty_pixels(stokes: DataFrame, npix: int, pixel: float) -> DataFrame:
     return s.groupBy("source", "g.x", "g.y").agg((F.sum(add) / F.sum("w")).alias("value"))
 
 
+def dirty_maps(stokes: DataFrame, grid: Grid) -> DataFrame:
+    """The same on grids of any size, one source's map per task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "v", "re", "im"], ignore_index=True)
+        u, v, w = (pdf[c].to_numpy() for c in ("u", "v", "w"))
+        value = dirty_map(u, v, pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), w, grid)
+        x, y = np.meshgrid(grid.axis(), grid.axis(), indexing="ij")
+        return pd.DataFrame({"source": int(pdf["source"].iloc[0]), "x": x.ravel(), "y": y.ravel(), "value": value.ravel()})
+
+    return stokes.where(present(F.col("w"))).select("source", "u", "v", "re", "im", "w").groupBy("source").applyInPandas(run, "source int, x double, y double, value double")
+
+
 def components_of(images: DataFrame) -> DataFrame:
     """(source, components array<struct<flux, x, y>>) for divide_model and closures; empty models are left out."""
     z = F.transform(F.arrays_zip("flux", "comp_x", "comp_y"), lambda c: F.struct(c["flux"].alias("flux"), c["comp_x"].alias("x"), c["comp_y"].alias("y")))

@@ -15,7 +15,7 @@ from vislake.operators.closure import model_visibility
 from vislake.operators.combine import combine
 from vislake.operators.estimate import DelayFit, fit
 from vislake.operators.fringe import edges, fringe_fit, grid_sums, peak_observables, solve_nodes, statistics
-from vislake.operators.imaging import dirty_pixels, gridded, image_sources
+from vislake.operators.imaging import dirty_maps, dirty_pixels, gridded, image_sources
 from vislake.plans.closures import _MODEL, _ST, _models, _stokes
 from vislake.plans.common import CELLS_CTE, cells, r, vis, with_vis
 from vislake.session import finite, table
@@ -23,6 +23,10 @@ from vislake.sources.adapters import DNU
 
 #: Search windows for a cadence of a day and channels of DNU.
 SEARCH = Search((-5e-6, 5e-6), (-1.2e-7, 1.2e-7), (2.0, 4.0), 2)
+#: Map of the reference's size.
+MAP = Grid(256, 0.5)
+#: Guard against a CLEAN that runs away; it stops on the noise threshold.
+CLEAN_GUARD = 100_000
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +83,13 @@ def img_i1_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_pixels(_stokes(spark, sf_dir), 6, 2.0).select("source", "x", "y", r("value").alias("value"))
 
 
+def img_i1_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of the whole map."""
+    return dirty_maps(_stokes(spark, sf_dir), MAP).select("source", "x", "y", r("value").alias("value"))
+
+
 def img_i5_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = image_sources(gridded(_stokes(spark, sf_dir), 1e-4), Grid(32, 0.5), 0.1, 200, 3.0, 1.0)
+    images = image_sources(gridded(_stokes(spark, sf_dir), 1e-4), MAP, 0.1, CLEAN_GUARD, 3.0, 1.0)
     return images.select("source", "npix", "pixel", "peak", "peak_x", "peak_y", "rms", "sigma", "niter", "nvis", F.size("flux").alias("n_components"))
 
 
@@ -114,7 +123,7 @@ def est_n14_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("s", "f", r("nll", 3).alias("nll"), r("chi2", 6).alias("chi2"))
 
 
-QUERIES = {f.__name__: f for f in (cal_c2_statistics, cal_c9_fringes, sel_p13_peaks, cal_c11_nodes, cal_c17_condense, cal_c17_bandpass, cal_c18_condense, cal_c18_amplitudes, img_i1_dirty, img_i5_images, join_j1_combine, est_n7_positions, est_n13_rotation, est_n14_errors)}
+QUERIES = {f.__name__: f for f in (cal_c2_statistics, cal_c9_fringes, sel_p13_peaks, cal_c11_nodes, cal_c17_condense, cal_c17_bandpass, cal_c18_condense, cal_c18_amplitudes, img_i1_dirty, img_i1_map, img_i5_images, join_j1_combine, est_n7_positions, est_n13_rotation, est_n14_errors)}
 
 _PI2 = repr(2 * math.pi) + "::DOUBLE"
 _A = ["-sin(d) * cos(a)", "-sin(d) * sin(a)", "cos(d)"]
