@@ -37,6 +37,16 @@ def test_images_are_whole_and_stop_on_noise(spark):
     assert few.join(whole.withColumnRenamed("value", "v"), ["source", "x", "y"]).where("abs(value - v) < 2e-6").count() == few.count() > 0
 
 
+def test_gap_scans_cover_the_table(spark):
+    from vislake.plans.common import vis
+
+    whole = CORE["part_g1_gaps_whole"](spark, FOLDER)
+    assert whole.count() == vis(spark, FOLDER).select("t", "source", "p", "q").distinct().count()
+    one = lambda df: sorted(tuple(x) for x in df.select("t", "scan").collect())
+    assert one(whole.where("source = 1 AND p = 1 AND q = 2")) == one(CORE["part_g1_gaps"](spark, FOLDER))
+    assert one(CORE["part_g1_gaps_by_source_whole"](spark, FOLDER).where("p = 1 AND q = 2")) == one(CORE["part_g1_gaps_by_source"](spark, FOLDER))
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(CORE) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

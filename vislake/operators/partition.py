@@ -26,19 +26,20 @@ class Partition:
 SCAN_SHARD = 86_400.0
 
 
-def scans_by_gap(times: DataFrame, min_gap: float, keys: list[str] | None = None, shard: float = SCAN_SHARD) -> DataFrame:
+def scans_by_gap(times: DataFrame, min_gap: float, keys: list[str] | None = None, shard: float = SCAN_SHARD, series: list[str] | None = None) -> DataFrame:
     """Adds scan (from 1): a new one starts where the time since the previous row is above min_gap.
 
     With keys (for instance source), scans never span two of their values in time order. times is one row per distinct
-    time; ties in t share a scan unless a key changes. NULL times are left out. Empty in, empty out.
+    time; ties in t share a scan unless a key changes. NULL times are left out. Empty in, empty out. With series (for instance
+    the baseline), each of their values has its own times and its own numbers from 1.
 
     Borders are found inside time shards; one row per shard carries the last row and the number of scans across shards, so
     no task sorts all times.
     """
-    keys = keys or []
+    keys, series = keys or [], series or []
     row = F.struct("t", *keys)
     s = times.where(F.col("t").isNotNull()).withColumn("__shard", F.floor(F.col("t") / shard).cast("bigint")).withColumn("__row", row)
-    inside = Window.partitionBy("__shard").orderBy("t", *keys)
+    inside = Window.partitionBy(*series, "__shard").orderBy("t", *keys)
 
     def breaks(now: str, before: str) -> Column:
         new = F.col(f"{now}.t") - F.col(f"{before}.t") > min_gap
@@ -48,14 +49,17 @@ def scans_by_gap(times: DataFrame, min_gap: float, keys: list[str] | None = None
 
     s = s.withColumn("__before", F.lag("__row").over(inside))
     s = s.withColumn("__new", F.when(F.col("__before").isNotNull() & breaks("__row", "__before"), 1).otherwise(0))
-    ends = s.groupBy("__shard").agg(F.min("__row").alias("head"), F.max("__row").alias("tail"), F.sum("__new").alias("n"))
-    across = Window.orderBy("__shard")
+    ends = s.groupBy(*series, "__shard").agg(F.min("__row").alias("head"), F.max("__row").alias("tail"), F.sum("__new").alias("n"))
+    across = Window.partitionBy(*series).orderBy("__shard") if series else Window.orderBy("__shard")
     ends = ends.withColumn("prev", F.lag("tail").over(across)).withColumn("opens", F.when(F.col("prev").isNull() | breaks("head", "prev"), 1).otherwise(0))
     total = F.sum(F.col("n") + F.col("opens")).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    base = ends.select("__shard", (F.coalesce(total, F.lit(0)) + F.col("opens")).alias("__base"))
+    base = ends.select(*[F.col(c).alias(f"__{c}") for c in series], F.col("__shard").alias("__at"), (F.coalesce(total, F.lit(0)) + F.col("opens")).alias("__base"))
     # A range frame: ties share the sum, in whatever order they come.
     s = s.withColumn("__own", F.sum("__new").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return s.join(base, "__shard").withColumn("scan", (F.col("__base") + F.col("__own")).cast("int")).select(*times.columns, "scan")
+    same = F.col("__shard") == F.col("__at")
+    for c in series:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return s.join(base, same).withColumn("scan", (F.col("__base") + F.col("__own")).cast("int")).select(*times.columns, "scan")
 
 
 def whole(times: DataFrame) -> Partition:

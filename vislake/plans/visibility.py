@@ -112,6 +112,16 @@ def part_g1_gaps_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans_by_gap(vis(spark, sf_dir).where("p = 1 AND q = 2").select("t", "source").distinct(), 6 * 86400.0, ["source"])
 
 
+def part_g1_gaps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans of every baseline and source; over all of them at once the day's cadence has no gaps."""
+    return scans_by_gap(vis(spark, sf_dir).select("t", "source", "p", "q").distinct(), 6 * 86400.0, series=["source", "p", "q"])
+
+
+def part_g1_gaps_by_source_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans of every baseline that never span two sources."""
+    return scans_by_gap(vis(spark, sf_dir).select("t", "source", "p", "q").distinct(), 6 * 86400.0, ["source"], series=["p", "q"])
+
+
 def part_g2_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole(_times(spark, sf_dir)).cells
 
@@ -172,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agg_a1_average, flagship, sel_p8_calibrated, src_s15_corrupt, agg_a1_rows, agg_a2_phase, agg_a4_uv_amplitude, agg_a5_occupancy, join_j16_presence, sel_p2_select, sel_p4_present, sel_p5_window, sel_p12_slot, src_counts,
-        part_g1_gaps, part_g1_gaps_by_source, part_g2_whole, part_g3_scans, part_g4_duration, part_g4_cells, part_g5_edges, part_g6_windows, part_g6_channels, part_g7_coarsen, part_g8_group, part_g9_refines, part_g13_fixed, cal_c14_install,
+        part_g1_gaps, part_g1_gaps_by_source, part_g1_gaps_whole, part_g1_gaps_by_source_whole, part_g2_whole, part_g3_scans, part_g4_duration, part_g4_cells, part_g5_edges, part_g6_windows, part_g6_channels, part_g7_coarsen, part_g8_group, part_g9_refines, part_g13_fixed, cal_c14_install,
     )
 }
 
@@ -214,6 +224,8 @@ ORACLE = {
     "src_counts": with_vis("SELECT count(*) AS n_products, count(DISTINCT row_id) AS n_rows, count(DISTINCT chan) AS n_channels, count(DISTINCT source) AS n_sources, count(*) FILTER (w > 0) AS n_present, (SELECT CAST(count(*) AS INT) FROM (SELECT p FROM vis UNION SELECT q FROM vis)) AS n_antennas FROM vis"),
     "part_g1_gaps": with_vis("SELECT t, CAST(sum(n) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS INT) AS scan FROM (SELECT t, CASE WHEN lag(t) OVER (ORDER BY t) IS NULL OR t - lag(t) OVER (ORDER BY t) > 518400 THEN 1 ELSE 0 END n FROM (SELECT DISTINCT t FROM vis WHERE source = 1 AND p = 1 AND q = 2))"),
     "part_g1_gaps_by_source": with_vis("SELECT t, source, CAST(sum(n) OVER (ORDER BY t, source ROWS UNBOUNDED PRECEDING) AS INT) AS scan FROM (SELECT t, source, CASE WHEN lag(t) OVER o IS NULL OR t - lag(t) OVER o > 518400 OR source <> lag(source) OVER o THEN 1 ELSE 0 END n FROM (SELECT DISTINCT t, source FROM vis WHERE p = 1 AND q = 2) WINDOW o AS (ORDER BY t, source))"),
+    "part_g1_gaps_whole": with_vis("SELECT t, source, p, q, CAST(sum(n) OVER (PARTITION BY source, p, q ORDER BY t ROWS UNBOUNDED PRECEDING) AS INT) AS scan FROM (SELECT t, source, p, q, CASE WHEN lag(t) OVER o IS NULL OR t - lag(t) OVER o > 518400 THEN 1 ELSE 0 END n FROM (SELECT DISTINCT t, source, p, q FROM vis) WINDOW o AS (PARTITION BY source, p, q ORDER BY t))"),
+    "part_g1_gaps_by_source_whole": with_vis("SELECT t, source, p, q, CAST(sum(n) OVER (PARTITION BY p, q ORDER BY t, source ROWS UNBOUNDED PRECEDING) AS INT) AS scan FROM (SELECT t, source, p, q, CASE WHEN lag(t) OVER o IS NULL OR t - lag(t) OVER o > 518400 OR source <> lag(source) OVER o THEN 1 ELSE 0 END n FROM (SELECT DISTINCT t, source, p, q FROM vis) WINDOW o AS (PARTITION BY p, q ORDER BY t, source))"),
     "part_g2_whole": with_vis("SELECT 1 AS cell, min(t) AS lo, max(t) AS hi, (min(t) + max(t)) / 2 AS ref FROM vis"),
     "part_g3_scans": with_vis("SELECT CAST(row_number() OVER (ORDER BY scan) AS INT) AS cell, min(t) AS lo, max(t) AS hi, (min(t) + max(t)) / 2 AS ref FROM vis GROUP BY scan"),
     "part_g4_duration": with_vis("SELECT scan, t, cell FROM fine", _DUR),
