@@ -47,6 +47,18 @@ def test_gap_scans_cover_the_table(spark):
     assert one(CORE["part_g1_gaps_by_source_whole"](spark, FOLDER).where("p = 1 AND q = 2")) == one(CORE["part_g1_gaps_by_source"](spark, FOLDER))
 
 
+def test_alignment_and_last_valid_take_every_band(spark):
+    from vislake.plans.records import _windows
+    from pyspark.sql import functions as F
+
+    every = _windows(spark, FOLDER, F.col("band").isNotNull())
+    a = CORE["cal_c13_setups"](spark, FOLDER)
+    assert a.agg({"nruns": "sum"}).first()[0] == every.count()
+    assert a.where("fcell > 2").count() > 0
+    ends = CORE["join_j5_last_valid_ends"](spark, FOLDER)
+    assert ends.where("band > 1").count() > 0 and ends.where("side = 2").count() > 0
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(CORE) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

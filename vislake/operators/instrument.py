@@ -116,16 +116,32 @@ def derive_alignment(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("p", "i", "tcell")
     # One row.
     n = nodes.join(F.broadcast(centre)).withColumn("n_here", F.count("*").over(w)).where(F.col("n_here") == F.col("n_all"))
+    return _deviations(n, ["p", "i"])
+
+
+def derive_alignment_by_setup(nodes: DataFrame) -> DataFrame:
+    """The same for each set of windows that an antenna was observed with (setup, their numbers), so every cell counts.
+
+    Deviations from the mean of different sets are not comparable, so they are averaged apart. The only window of a set of
+    one is its own mean: zero.
+    """
+    w = Window.partitionBy("p", "i", "tcell")
+    n = nodes.withColumn("setup", F.array_join(F.sort_array(F.collect_set("fcell").over(w)), ",")).withColumn("nu_bar", F.avg("nu").over(w))
+    return _deviations(n, ["p", "i", "setup"])
+
+
+def _deviations(n: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy("p", "i", "tcell")
     n = n.withColumn("tau_bar", F.avg("delay").over(w))
     n = n.withColumn("chi", F.col("phase") - TWO_PI * (F.col("nu") - F.col("nu_bar")) * F.col("tau_bar"))
     n = n.withColumn("chi", F.col("chi") - F.atan2(F.sum(F.sin("chi")).over(w), F.sum(F.cos("chi")).over(w)))
-    g = n.groupBy("p", "i", "fcell").agg(F.median(F.col("delay") - F.col("tau_bar")).alias("delay"), circular_mean(F.col("chi")).alias("phase"), F.count("*").alias("nruns"))
-    v = Window.partitionBy("p", "i")
-    return g.select("p", "i", "fcell", (F.col("delay") - F.avg("delay").over(v)).alias("delay"), wrap(F.col("phase") - F.atan2(F.sum(F.sin("phase")).over(v), F.sum(F.cos("phase")).over(v))).alias("phase"), "nruns")
+    g = n.groupBy(*keys, "fcell").agg(F.median(F.col("delay") - F.col("tau_bar")).alias("delay"), circular_mean(F.col("chi")).alias("phase"), F.count("*").alias("nruns"))
+    v = Window.partitionBy(*keys)
+    return g.select(*keys, "fcell", (F.col("delay") - F.avg("delay").over(v)).alias("delay"), wrap(F.col("phase") - F.atan2(F.sum(F.sin("phase")).over(v), F.sum(F.cos("phase")).over(v))).alias("phase"), "nruns")
 
 
-def alignment_summary(alignment: DataFrame) -> DataFrame:
-    """(p, i, rms, peak_to_peak, d2_rms) of the wrapped phase over windows."""
-    w = Window.partitionBy("p", "i").orderBy("fcell")
+def alignment_summary(alignment: DataFrame, keys: tuple[str, ...] = ("p", "i")) -> DataFrame:
+    """(keys, rms, peak_to_peak, d2_rms) of the wrapped phase over windows."""
+    w = Window.partitionBy(*keys).orderBy("fcell")
     d2 = wrap(F.lag("phase", 1).over(w) - 2 * F.col("phase") + F.lead("phase", 1).over(w))
-    return alignment.withColumn("d2", d2).groupBy("p", "i").agg(F.sqrt(F.avg(F.col("phase") ** 2)).alias("rms"), (F.max("phase") - F.min("phase")).alias("peak_to_peak"), F.sqrt(F.avg(F.col("d2") * F.col("d2"))).alias("d2_rms"))
+    return alignment.withColumn("d2", d2).groupBy(*keys).agg(F.sqrt(F.avg(F.col("phase") ** 2)).alias("rms"), (F.max("phase") - F.min("phase")).alias("peak_to_peak"), F.sqrt(F.avg(F.col("d2") * F.col("d2"))).alias("d2_rms"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import present
-from vislake.operators.instrument import alignment_summary, derive_alignment, fallback_share, pcal_init, pick_tones, tone_health, tsys_init
+from vislake.operators.instrument import alignment_summary, derive_alignment, derive_alignment_by_setup, fallback_share, pcal_init, pick_tones, tone_health, tsys_init
 from vislake.operators.timejoin import bracketing, first_cell, largest_overlap, last_valid, unflagged
 from vislake.operators.tsys import has_antenna, usable
 from vislake.plans.common import r
@@ -73,6 +73,15 @@ def join_j5_last_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_valid(q, curves, ["session", "antenna_no"], ["dpfu"], shard=86_400e6).select(F.col("row_key").alias("obs_id"), "antenna_no", "start", "dpfu")
 
 
+def join_j5_last_valid_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for both ends and every band of the end's antenna; an end without curves comes out with a NULL band."""
+    curves = table(spark, sf_dir, "gain_curve").where(has_antenna(F.col("antenna_no"))).select("session", "antenna_no", "band", micros(F.col("time")).alias("start"), F.lit(3_000_000_000).alias("duration"), F.coalesce("dpfu_1", F.lit(-1.0)).alias("dpfu"))
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"a{k}").alias("a")) for k in (1, 2)])).alias("x")
+    q = table(spark, sf_dir, "observables").select("session", "obs_id", micros(F.col("datetime")).alias("t"), ends).join(bounded(_names(spark, sf_dir)), F.col("x.a") == F.col("antenna"))
+    q = q.join(curves.select("session", "antenna_no", "band").distinct(), ["session", "antenna_no"], "left").select("session", "antenna_no", "band", "t", F.struct("obs_id", "x.side").alias("row_key"))
+    return last_valid(q, curves, ["session", "antenna_no", "band"], ["dpfu"], shard=86_400e6).select("row_key.obs_id", "row_key.side", "antenna_no", "band", "start", "dpfu")
+
+
 def join_j6_bracketing(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = has_antenna(F.col("antenna_no")) & finite(F.col("cable_cal"))
     series = table(spark, sf_dir, "tones").where(good).groupBy("session", "antenna_no", micros(F.col("time")).alias("s")).agg(F.avg("cable_cal").alias("x"))
@@ -150,9 +159,9 @@ def agg_a24_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("antenna_no").agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"), F.count("*").alias("n"))
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Solved values per (p, i, tcell, fcell), from the readings of three bands."""
-    st = table(spark, sf_dir, "system_temperature").where(has_antenna(F.col("antenna_no")) & finite(F.col("tsys_1")) & F.col("band").between(1, 2))
+def _windows(spark: SparkSession, sf_dir: str, band: Column | None = None) -> DataFrame:
+    """Solved values per (p, i, tcell, fcell), from the readings of the first two bands or those of the condition."""
+    st = table(spark, sf_dir, "system_temperature").where(has_antenna(F.col("antenna_no")) & finite(F.col("tsys_1")) & (F.col("band").between(1, 2) if band is None else band))
     g = st.groupBy(F.col("antenna_no").alias("p"), F.col("session").alias("tcell"), F.col("band").alias("fcell")).agg(F.median("tsys_1").alias("x"))
     return g.select("p", F.lit(1).alias("i"), "tcell", "fcell", (F.col("fcell") * 3.2e7 + 8.4e9).alias("nu"), (F.col("x") * 1e-12).alias("delay"), (F.col("x") / 100).alias("phase"))
 
@@ -166,6 +175,17 @@ def agg_a25_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_summary(derive_alignment(_windows(spark, sf_dir))).select("p", "i", r("rms", 5).alias("rms"), r("peak_to_peak", 5).alias("peak_to_peak"), r("d2_rms", 5).alias("d2_rms"))
 
 
+def cal_c13_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment over all bands; antennas with fewer bands have their own sets of windows."""
+    a = derive_alignment_by_setup(_windows(spark, sf_dir, F.col("band").isNotNull()))
+    return a.select("p", "i", "setup", "fcell", r(F.col("delay") * 1e12, 5).alias("delay_ps"), r("phase", 5).alias("phase"), "nruns")
+
+
+def agg_a25_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = alignment_summary(derive_alignment_by_setup(_windows(spark, sf_dir, F.col("band").isNotNull())), ("p", "i", "setup"))
+    return a.select("p", "i", "setup", r("rms", 5).alias("rms"), r("peak_to_peak", 5).alias("peak_to_peak"), r("d2_rms", 5).alias("d2_rms"))
+
+
 def join_j2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one (session, baseline, source) closer than half an integration to the one before."""
     d = table(spark, sf_dir, "dataset").select("vis_id", "session", "a1", "a2", "source", micros(F.col("datetime")).alias("t"), "int_time")
@@ -178,7 +198,7 @@ def agg_a27_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("session", "scan").agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("a1", "a2").alias("n_baselines"), F.count_if(present(F.col("weight"))).alias("n_present"), F.count("*").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (src_s4_facts, join_j3_unflagged, join_j4_cells, join_g10_first, join_j5_last_valid, join_j6_bracketing, join_j7_names, join_j8_endpoints, cal_c15_pcal, sel_p15_health, sel_p15_pick, cal_c16_tsys, cal_c16_fallback, agg_a24_quantiles, cal_c13_alignment, agg_a25_alignment, join_j2_near_duplicates, agg_a27_census)}
+QUERIES = {f.__name__: f for f in (src_s4_facts, join_j3_unflagged, join_j4_cells, join_g10_first, join_j5_last_valid, join_j5_last_valid_ends, join_j6_bracketing, join_j7_names, join_j8_endpoints, cal_c15_pcal, sel_p15_health, sel_p15_pick, cal_c16_tsys, cal_c16_fallback, agg_a24_quantiles, cal_c13_alignment, agg_a25_alignment, cal_c13_setups, agg_a25_setups, join_j2_near_duplicates, agg_a27_census)}
 
 _PI2 = repr(2 * math.pi) + "::DOUBLE"
 
@@ -219,6 +239,12 @@ f3 AS (SELECT *, chi - atan2(sum(sin(chi)) OVER w, sum(cos(chi)) OVER w) chi2 FR
 f4 AS (SELECT p, i, fcell, median(delay - tb) delay, atan2(sum(sin(chi2)), sum(cos(chi2))) phase, count(*) nruns FROM f3 GROUP BY ALL),
 al AS (SELECT p, i, fcell, delay - avg(delay) OVER w delay, {_wrap('phase - atan2(sum(sin(phase)) OVER w, sum(cos(phase)) OVER w)')} phase, nruns FROM f4 WINDOW w AS (PARTITION BY p, i))"""
 
+_SETUPS = f"""wn AS (SELECT antenna_no p, 1 i, session tcell, band fcell, band * 3.2e7 + 8.4e9 nu, median(tsys_1) * 1e-12 delay, median(tsys_1) / 100 phase FROM system_temperature WHERE antenna_no >= 1 AND isfinite(tsys_1) AND band IS NOT NULL GROUP BY antenna_no, session, band),
+f2 AS (SELECT *, avg(delay) OVER w tb, array_to_string(list_sort(list(fcell) OVER w), ',') setup, phase - {_PI2} * (nu - avg(nu) OVER w) * avg(delay) OVER w chi FROM wn WINDOW w AS (PARTITION BY p, i, tcell)),
+f3 AS (SELECT *, chi - atan2(sum(sin(chi)) OVER w, sum(cos(chi)) OVER w) chi2 FROM f2 WINDOW w AS (PARTITION BY p, i, tcell)),
+f4 AS (SELECT p, i, setup, fcell, median(delay - tb) delay, atan2(sum(sin(chi2)), sum(cos(chi2))) phase, count(*) nruns FROM f3 GROUP BY ALL),
+al AS (SELECT p, i, setup, fcell, delay - avg(delay) OVER w delay, {_wrap('phase - atan2(sum(sin(phase)) OVER w, sum(cos(phase)) OVER w)')} phase, nruns FROM f4 WINDOW w AS (PARTITION BY p, i, setup))"""
+
 ORACLE = {
     "src_s4_facts": """
 WITH d AS (SELECT session, min(epoch_us(datetime)) start_us, max(epoch_us(datetime)) stop_us, count(*) n_rows FROM dataset GROUP BY ALL),
@@ -258,6 +284,14 @@ SELECT session, antenna_no, tcell, band, round(delay * 1e12, 3) + 0 AS delay_ps,
     "agg_a24_quantiles": f"WITH {_TSYS} SELECT antenna_no, round(quantile_cont(sefd, 0.1), 4) + 0 AS q10, round(quantile_cont(sefd, 0.5), 4) + 0 AS q50, round(quantile_cont(sefd, 0.9), 4) + 0 AS q90, count(*) AS n FROM ts WHERE sefd IS NOT NULL GROUP BY ALL",
     "cal_c13_alignment": f"WITH {_ALIGN} SELECT p, i, fcell, round(delay * 1e12, 5) + 0 AS delay_ps, round(phase, 5) + 0 AS phase, nruns FROM al",
     "agg_a25_alignment": f"WITH {_ALIGN}, x AS (SELECT *, {_wrap('lag(phase) OVER w - 2 * phase + lead(phase) OVER w')} d2 FROM al WINDOW w AS (PARTITION BY p, i ORDER BY fcell)) SELECT p, i, round(sqrt(avg(phase * phase)), 5) + 0 AS rms, round(max(phase) - min(phase), 5) + 0 AS peak_to_peak, round(sqrt(avg(d2 * d2)), 5) + 0 AS d2_rms FROM x GROUP BY ALL",
+    "cal_c13_setups": f"WITH {_SETUPS} SELECT p, i, setup, fcell, round(delay * 1e12, 5) + 0 AS delay_ps, round(phase, 5) + 0 AS phase, nruns FROM al",
+    "agg_a25_setups": f"WITH {_SETUPS}, x AS (SELECT *, {_wrap('lag(phase) OVER w - 2 * phase + lead(phase) OVER w')} d2 FROM al WINDOW w AS (PARTITION BY p, i, setup ORDER BY fcell)) SELECT p, i, setup, round(sqrt(avg(phase * phase)), 5) + 0 AS rms, round(max(phase) - min(phase), 5) + 0 AS peak_to_peak, round(sqrt(avg(d2 * d2)), 5) + 0 AS d2_rms FROM x GROUP BY ALL",
+    "join_j5_last_valid_ends": """
+WITH c AS (SELECT session, antenna_no, band, epoch_us(time) start, coalesce(dpfu_1, -1) dpfu FROM gain_curve WHERE antenna_no >= 1),
+q AS (SELECT obs_id, side, e.session, n.antenna_no, band, t FROM (SELECT obs_id, 1 side, session, a1 a, epoch_us(datetime) t FROM observables UNION ALL SELECT obs_id, 2, session, a2, epoch_us(datetime) FROM observables) e
+  JOIN (SELECT DISTINCT antenna_no, name FROM antennas) n ON a = name LEFT JOIN (SELECT DISTINCT session, antenna_no, band FROM c) b ON b.session = e.session AND b.antenna_no = n.antenna_no),
+l AS (SELECT q.obs_id, q.side, q.antenna_no, q.band, t, start, dpfu, row_number() OVER (PARTITION BY q.obs_id, q.side, q.antenna_no, q.band ORDER BY start DESC NULLS LAST, dpfu DESC) n FROM q LEFT JOIN c ON q.session = c.session AND q.antenna_no = c.antenna_no AND q.band IS NOT DISTINCT FROM c.band AND c.start <= q.t)
+SELECT obs_id, side, antenna_no, band, CASE WHEN t - start < 3000000000 THEN start END AS start, CASE WHEN t - start < 3000000000 THEN dpfu END AS dpfu FROM l WHERE n = 1""",
     "join_j2_near_duplicates": "SELECT vis_id, g AS gap_us FROM (SELECT vis_id, int_time, epoch_us(datetime) - lag(epoch_us(datetime)) OVER (PARTITION BY session, a1, a2, source ORDER BY datetime, vis_id) g FROM dataset) WHERE g < int_time * 5e5",
     "agg_a27_census": "SELECT session, scan, count(DISTINCT source) AS n_sources, count(DISTINCT (a1, a2)) AS n_baselines, count(*) FILTER (weight > 0 AND NOT isnan(weight)) AS n_present, count(*) AS n_rows FROM dataset GROUP BY ALL",
 }
