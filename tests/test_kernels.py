@@ -10,7 +10,7 @@ from vislake.functions import graphmath as gm
 from vislake.functions import imagemath as im
 from vislake.operators.bandpass import condense, condense_amplitudes, normalized, solve_amplitudes, solve_bandpass, weighted_quantile, weighted_quantile_column
 from vislake.operators.closure import closure_chi2, edges, stokes_i
-from vislake.operators.estimate import MAS, DelayFit, fit, floor_variance, solve_normal
+from vislake.operators.estimate import MAS, DelayFit, combine_positions, fit, fit_sessions, floor_variance, solve_normal
 from vislake.operators.fringe import fringe_fit, fringe_planes, fringe_self, solve_nodes
 from vislake.operators.gains import Solution, calibrate
 from vislake.operators.imaging import cleaned_flux, components_of, dirty_pixels, gridded, hybrid, image_sources
@@ -257,3 +257,27 @@ def test_estimator_recovers_positions_and_rejects_outliers(spark):
     out = {r["obs_id"] for r in f.rows.where("not accepted").collect()}
     assert bad <= out and len(out) < 30 and f.rows.count() == 699
     assert np.allclose(f.by_antenna("clock")["BB"], 3e-9, atol=1e-10) and f.layout.names()[0] == "ra[s1]"
+
+
+def test_sessions_have_their_own_clocks(spark):
+    rng = np.random.default_rng(11)
+    ants, srcs = ["AA", "BB", "CC", "DD"], ["s1", "s2", "s3"]
+    off = {s: rng.normal(size=2) * 0.5 * MAS for s in srcs}
+    rows = []
+    for session, clock in (("x", {"AA": 0.0, "BB": 3e-9, "CC": -2e-9, "DD": 1e-9}), ("y", {"BB": 0.0, "CC": 8e-9, "DD": -6e-9})):
+        for n in range(500):
+            a1, a2 = rng.choice(sorted(clock), 2, replace=False)
+            s, el, part = rng.choice(srcs), rng.uniform(0.3, 1.4, 2), rng.normal(size=2) * 0.02
+            tau = part @ off[s] + clock[a2] - clock[a1] + rng.normal() * 5e-12
+            rows.append((session, n, str(s), str(a1), str(a2), 1, *map(float, (rng.uniform(0, 7000), tau, 5e-12, 1e-12, *part, *(1 / np.sin(el)), 0, 0, 0.1, 0.2, 50, *el))))
+    cols = "session string, obs_id bigint, source string, a1 string, a2 string, slot int, t double, tau_residual double, sigma_tau double, sigma_iono double, dtau_dra double, dtau_ddec double, wet1 double, wet2 double, grad1 double, grad2 double, az1 double, az2 double, snr double, el1 double, el2 double"
+    spec = DelayFit("AA", sigma_floor_init=1e-12)
+    obs = spark.createDataFrame(rows, cols).cache()
+    each = fit_sessions(spec, obs).cache()
+    got = combine_positions(each).toPandas().set_index("source")
+    for s in srcs:
+        assert abs(got.loc[s, "dra_mas"] - off[s][0] / MAS) < 5 * got.loc[s, "sigma_ra_mas"] < 0.05 and got.loc[s, "n_sessions"] == 2
+        assert abs(got.loc[s, "ddec_mas"] - off[s][1] / MAS) < 5 * got.loc[s, "sigma_dec_mas"]
+    # One session alone is what the distributed fit gives.
+    one, plain = combine_positions(each.where("session = 'x'")).toPandas().set_index("source"), fit(spec, obs.where("session = 'x'")).positions().set_index("source")
+    assert np.allclose(one.loc[srcs, "dra_mas"], plain.loc[srcs, "dra_mas"], atol=1e-6) and np.allclose(one.loc[srcs, "sigma_ra_mas"], plain.loc[srcs, "sigma_ra_mas"], rtol=1e-4)

@@ -59,6 +59,11 @@ def test_alignment_and_last_valid_take_every_band(spark):
     assert ends.where("band > 1").count() > 0 and ends.where("side = 2").count() > 0
 
 
+def test_positions_have_one_row_a_source(spark):
+    names = [r["source"] for r in CORE["est_n7_positions"](spark, FOLDER).collect()]
+    assert names and len({n.strip().upper() for n in names}) == len(names)
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(CORE) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

@@ -331,6 +331,67 @@ def fit(spec: DelayFit, observables: DataFrame, relinearize: Callable[[dict], Da
     return replace(result, x=x)
 
 
+def fit_session(spec: DelayFit, pdf: pd.DataFrame) -> tuple[Layout, np.ndarray, np.ndarray, str]:
+    """(layout, x, covariance, how) of one session's accepted rows, in memory; the steps of _fit_once. A session without the
+    reference antenna gets its most observed one."""
+    ends = pd.concat([pdf["a1"], pdf["a2"]])
+    if spec.reference_antenna not in set(ends):
+        spec = replace(spec, reference_antenna=min(ends.unique(), key=lambda a: (-(ends == a).sum(), a)))
+    layout = Layout.of(spec, sorted(set(pdf["source"])), sorted(set(ends)), pdf["t"].min(), pdf["t"].max())
+    extra, cw = constraints(spec, layout)
+    prior = (extra * cw[:, None]).T @ extra
+    a, tau, var = design(pdf, layout, spec.reference_slot), pdf["tau_residual"].to_numpy(), (pdf["sigma_tau"] ** 2 + pdf["sigma_iono"] ** 2).to_numpy()
+    baseline = [(min(p), max(p)) for p in zip(pdf["a1"], pdf["a2"])]
+    members: dict[tuple[str, str], list[int]] = {}
+    for k, b in enumerate(baseline):
+        members.setdefault(b, []).append(k)
+    floor, keep = np.full(len(pdf), spec.sigma_floor_init**2), np.ones(len(pdf), bool)
+    passes = spec.robust_iterations if spec.reweight or spec.reject else 0
+    for it in range(passes + 1):
+        w = np.where(keep, 1 / (var + floor), 0.0)
+        x, cov, how = solve_normal((a * w[:, None]).T @ a + prior, a.T @ (w * tau))
+        residual, kept = tau - a @ x, int(keep.sum())
+        if it == passes or not kept:
+            break
+        if spec.reweight:
+            scale = max(kept - layout.n + len(extra), 1) / kept
+            for rows in members.values():
+                good = [k for k in rows if keep[k]]
+                if len(good) >= spec.min_baseline_obs:
+                    floor[rows] = floor_variance(residual[good], var[good], scale)
+        if spec.reject:
+            keep = np.abs(residual) / np.sqrt(var + floor) < spec.outlier_nsigma
+    return layout, x, cov, how
+
+
+def fit_sessions(spec: DelayFit, observables: DataFrame) -> DataFrame:
+    """Positions of every session by a fit of its own (N7): session, source, ra, dec (radians), c_rr, c_dd, c_rd, n, how.
+
+    observables: those of fit with session. Sources without weight in a session are left out.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "obs_id"], ignore_index=True)
+        layout, x, cov, how = fit_session(spec, pdf)
+        k = 2 * np.arange(len(layout.sources))
+        n = pdf.groupby("source").size().reindex(layout.sources).to_numpy()
+        out = pd.DataFrame({"session": pdf["session"].iloc[0], "source": layout.sources, "ra": x[k], "dec": x[k + 1], "c_rr": cov[k, k], "c_dd": cov[k + 1, k + 1], "c_rd": cov[k, k + 1], "n": n, "how": how})
+        return out[(out["c_rr"] > 0) & (out["c_dd"] > 0)]
+
+    return accepted(observables, spec).select("session", *_COLUMNS).groupBy("session").applyInPandas(run, "session string, source string, ra double, dec double, c_rr double, c_dd double, c_rd double, n bigint, how string")
+
+
+def combine_positions(sessions: DataFrame) -> DataFrame:
+    """The sessions' positions of a source, weighted by the inverse of their 2 x 2 covariances (those between sources are left
+    out), in mas as in Fit.positions, with the number of sessions."""
+    det = F.col("c_rr") * F.col("c_dd") - F.col("c_rd") ** 2
+    good = det > 1e-12 * F.col("c_rr") * F.col("c_dd")
+    s = sessions.where(good).select("source", "ra", "dec", (F.col("c_dd") / det).alias("a"), (-F.col("c_rd") / det).alias("b"), (F.col("c_rr") / det).alias("d"))
+    g = s.groupBy("source").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("d").alias("d"), F.sum(F.col("a") * F.col("ra") + F.col("b") * F.col("dec")).alias("y"), F.sum(F.col("b") * F.col("ra") + F.col("d") * F.col("dec")).alias("z"), F.count("*").alias("n_sessions"))
+    all_ = F.col("a") * F.col("d") - F.col("b") ** 2
+    return g.select("source", ((F.col("d") * F.col("y") - F.col("b") * F.col("z")) / all_ / MAS).alias("dra_mas"), ((F.col("a") * F.col("z") - F.col("b") * F.col("y")) / all_ / MAS).alias("ddec_mas"), (F.sqrt(F.col("d") / all_) / MAS).alias("sigma_ra_mas"), (F.sqrt(F.col("a") / all_) / MAS).alias("sigma_dec_mas"), (-F.col("b") / F.sqrt(F.col("a") * F.col("d"))).alias("correlation"), "n_sessions")
+
+
 def fit_metrics(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts, wrms, robust sigma and share accepted over the fit's rows."""
     ok = F.col("accepted")

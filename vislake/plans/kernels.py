@@ -13,9 +13,10 @@ from vislake.operators.astrometry import error_model, rotation_sums
 from vislake.operators.bandpass import condense, condense_amplitudes, normalized, solve_amplitudes, solve_bandpass
 from vislake.operators.closure import model_visibility
 from vislake.operators.combine import combine
-from vislake.operators.estimate import DelayFit, fit
+from vislake.operators.estimate import DelayFit, combine_positions, fit_sessions
 from vislake.operators.fringe import edges, fringe_fit, grid_sums, peak_observables, solve_nodes, statistics
 from vislake.operators.imaging import dirty_maps, dirty_pixels, gridded, image_sources
+from vislake.operators.references import text_key
 from vislake.plans.closures import _MODEL, _ST, _models, _stokes
 from vislake.plans.common import CELLS_CTE, cells, r, vis, with_vis
 from vislake.session import finite, table
@@ -103,12 +104,13 @@ def _observables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observables with partials and mappings made up from their own numbers: positions, elevations, scans."""
     o = table(spark, sf_dir, "observables").where(finite(F.col("tau_residual")) & (F.abs("tau_residual") < 1e-8) & F.col("source").isNotNull())
     side = lambda k: [(1 / F.sin(f"el{k}")).alias(f"wet{k}"), (1 / (F.sin(f"el{k}") * F.tan(f"el{k}") + 0.0032)).alias(f"grad{k}"), (F.col("scan") * 0.1 + k).alias(f"az{k}")]
-    return o.select("obs_id", "source", "a1", "a2", F.col("receptor_slot").alias("slot"), "t", "tau_residual", "sigma_tau", F.col("sigma_tau_ionosphere").alias("sigma_iono"), (F.cos("t") * 0.02).alias("dtau_dra"), (F.sin(F.col("t") + F.col("source_ix")) * 0.02).alias("dtau_ddec"), *side(1), *side(2), "snr", "el1", "el2")
+    return o.select("obs_id", "session", "source", "a1", "a2", F.col("receptor_slot").alias("slot"), "t", "tau_residual", "sigma_tau", F.col("sigma_tau_ionosphere").alias("sigma_iono"), (F.cos("t") * 0.02).alias("dtau_dra"), (F.sin(F.col("t") + F.col("source_ix")) * 0.02).alias("dtau_ddec"), *side(1), *side(2), "snr", "el1", "el2")
 
 
 def est_n7_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fit(DelayFit("FUMUMIS", robust_iterations=2, clock_node=7200.0, zwd_node=7200.0), _observables(spark, sf_dir))
-    return spark.createDataFrame(f.positions())
+    """One fit a session, with its own clocks and wet delays; spellings of a source are one source."""
+    o = _observables(spark, sf_dir).withColumn("source", text_key(F.col("source"))).where("source IS NOT NULL")
+    return combine_positions(fit_sessions(DelayFit("FUMUMIS"), o))
 
 
 def est_n13_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
