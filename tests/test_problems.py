@@ -127,6 +127,19 @@ def test_filled_readings_are_closer_than_the_global_median(spark):
     assert error < 0.06 < 0.3 < np.mean([abs(np.log(median / v)) for v in hidden.values()])
 
 
+def test_filling_is_the_same_model_at_any_number_of_antennas(spark):
+    rng = np.random.default_rng(5)
+    # One group's readings are of two kinds that only the antenna tells apart from the time and the second reading.
+    rows = [(k, f"s{k % 2 + 1}", k, _t(k / 20), k % 3 + 1, 1, None if k % 10 == 0 else float({0: 30, 1: 90, 2: 200}[k % 3] * np.exp(rng.normal() * 0.3)), None) for k in range(300)]
+    st, sessions, antennas = _tables(spark, rows)
+
+    def filled(n: int) -> list:
+        more = antennas.unionByName(spark.range(1001, 1001 + n - antennas.count()).select(F.col("id").cast("int").alias("antenna_no")), allowMissingColumns=True)
+        return sorted(tuple(x) for x in fill_readings(st, sessions, more).select("st_id", "antenna_no", "tsys_1", "tsys_mark", "tsys_probability").where("tsys_mark = 'filled'").collect())
+
+    assert filled(500) == filled(501) != []
+
+
 def test_tree_posterior_equals_enumeration(spark):
     rng = np.random.default_rng(4)
     a = rng.integers(0, 3, 4000)

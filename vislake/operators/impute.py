@@ -23,8 +23,8 @@ from vislake.session import bounded, cut
 BINS = 63
 #: Stretches of a session for the time field.
 SLOTS = 8
-#: Antennas with a category of their own; all others share one.
-MOST_ANTENNAS = 500
+#: Categories of registered antenna numbers, by remainder, whatever their count; unregistered numbers share one more.
+ANTENNA_GROUPS = 500
 
 RECORDED, FILLED, ABSENT = "recorded", "filled", "absent"
 
@@ -55,7 +55,6 @@ def fill_readings(system_temperature: DataFrame, sessions: DataFrame, antennas:
     probable bin (bins of equal width in the logarithm). Rows of sessions without a row in sessions are left out. NULL bands form a group of their own.
     Repeated rows are filled alike; an empty table gives an empty result; extra columns are ignored.
     """
-    spark = system_temperature.sparkSession
     known = antennas.where(F.col("antenna_no").isNotNull()).select("antenna_no").distinct()
     rows = readings(system_temperature, sessions, "t0_us", "stop_us")
     rows = rows.withColumn("tsys_1", F.when(usable(F.col("tsys_1"), F.col("ceiling")), F.col("tsys_1")))
@@ -78,11 +77,8 @@ def fill_readings(system_temperature: DataFrame, sessions: DataFrame, antennas:
     # Fields of the tree.
     low, high = _range(rows.select(F.ln("tsys_1").alias("x")).where("x is not null"), "x")
     group = ["session", "band", "ant"]
-    numbers = [r[0] for r in known.orderBy("antenna_no").limit(MOST_ANTENNAS + 1).collect()]
-    if len(numbers) > MOST_ANTENNAS:
-        numbers = []  # a registry this large is no field of the tree any more; the group's level carries its part
-    codes = spark.createDataFrame([(n, i + 1) for i, n in enumerate(numbers)], "ant int, ant_code int")
-    coded = whole.select("*", _binned(F.ln("tsys_1"), low, high, bins).alias("b1"), _binned(F.ln("tsys_2"), low, high, bins).alias("b2")).join(F.broadcast(codes), "ant", "left")
+    codes = bounded(known.select(F.col("antenna_no").cast("int").alias("ant"), (F.pmod("antenna_no", F.lit(ANTENNA_GROUPS)) + 1).cast("int").alias("ant_code")))
+    coded = whole.select("*", _binned(F.ln("tsys_1"), low, high, bins).alias("b1"), _binned(F.ln("tsys_2"), low, high, bins).alias("b2")).join(codes, "ant", "left")
     coded = coded.withColumn("ant_code", F.coalesce("ant_code", F.when(F.col("ant").isNotNull(), F.lit(0)))).withColumn("band_code", F.when(F.col("band").isNotNull(), F.pmod(F.col("band"), F.lit(64))))
     support = coded.where(F.col("b1").isNotNull() & F.col("ant").isNotNull()).groupBy(*group).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b1"))).alias("bins"), F.avg(F.ln("tsys_1")).alias("level"))
     support = cut(support.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], "bins", _binned(F.col("level"), low, high, bins).alias("level")))
@@ -90,7 +86,7 @@ def fill_readings(system_temperature: DataFrame, sessions: DataFrame, antennas:
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"g{i}"))
     with_level = coded.join(support, same, "left").drop("g0", "g1", "g2")
-    fields = {"b1": bins, "b2": bins, "level": bins, "ant_code": len(numbers) + 1, "band_code": 64, "slot": SLOTS}
+    fields = {"b1": bins, "b2": bins, "level": bins, "ant_code": ANTENNA_GROUPS + 1, "band_code": 64, "slot": SLOTS}
     tree = Tree.learn(with_level.where("b1 is not null"), fields)
     medians = {r["b1"]: r["m"] for r in coded.where("b1 is not null").groupBy("b1").agg(F.percentile_approx("tsys_1", 0.5, 2000).alias("m")).collect()}  # one row per bin
     middle = np.array([medians.get(i, np.nan) for i in range(bins)])
