@@ -2,7 +2,8 @@
 
 import pytest
 
-from vislake.llm.residue import evidence, find_residue, flattened, line_key, placeholders
+from other_pages import NEGATIVE, POSITIVE
+from vislake.llm.residue import find_residue, flattened, line_key, lines, placeholders, segments
 
 REPORT = "Receiver two at ALPHA is warm; expect 54.0 K instead of the usual value until the pump is replaced."
 
@@ -23,7 +24,7 @@ def test_forms_that_are_the_subject_are_none(text):
 
 
 def _kinds(text):
-    return {k for _, _, k in evidence(flattened(text))}
+    return {k for _, _, k in segments(flattened(text)) if k}
 
 
 @pytest.mark.parametrize("kind,text", [
@@ -50,9 +51,35 @@ def test_terse_lines_are_no_latin(text):
     assert _kinds(text) == set()
 
 
-@pytest.mark.parametrize("kind,phrase,text", [("error", "503 Service Unavailable", "503 Service Unavailable at 12:45 UTC"), ("script", "JavaScript is disabled", "You see this because JavaScript is disabled.")])
-def test_entities_lower_evidence(kind, phrase, text):
-    assert [(text[a:b], k) for a, b, k in evidence(text)] == [(phrase, kind)]
+@pytest.mark.parametrize("kind,text", [("error", "503 Service Unavailable at 12:45 UTC"), ("script", "You see this because JavaScript is disabled.")])
+def test_small_additions_do_not_void_evidence(kind, text):
+    assert _kinds(text) == {kind}
+
+
+def test_phrases_across_line_ends_and_quotations():
+    assert [k for _, _, k in segments(flattened("All is well here today.\nPlease enable\nJavaScript now. The pump runs."))] == [None, "script", None]
+    assert _kinds('"404 Not Found" again') == set() and _kinds('"404 Not Found"') == {"error"}
+    assert lines("One line. " * 2000) == [("one line. " * 1999 + "one line", 19_998, 0)] and lines("") == []
+    assert [(k, c) for k, _, c in lines("A b. C d. 404 Not Found. E {{f}} g. H i. J k.\nL m.")] == [("a b. c d", 0), ("0 not found", 3), ("e {{f}} g", 1), ("h i. j k", 0), ("l m", 0)]
+
+
+def test_recurrent_lines_are_subtracted_whatever_they_say(spark):
+    """A footer beside content is boilerplate though it has an error phrase; the message of a host's error pages is not."""
+    footer, words = "If this page does not load, please try again later.", "alpha beta gamma delta kappa omega sigma theta".split()
+    story = "The {} crew measured the drift by hand and wrote {} pages of notes about what they saw that night."
+    rows = [(k, "site", f"Menu Search Login\n{story.format(a, a)}\n{footer}") for k, a in enumerate(words)]
+    rows += [(20 + k, "site", f"Menu Search Login\nSorry, something went wrong\n{a}") for k, a in enumerate(words)]
+    rows += [(40, "site", f"short\n{footer}"), (41, "elsewhere", f"short\n{footer}")]
+    got = find_residue(spark.createDataFrame(rows, "doc_id bigint, host string, text string")).collect()
+    assert sorted((r["doc_id"], r["kind"]) for r in got) == [*[(20 + k, "error") for k in range(8)], (41, "error")]
+
+
+def test_on_pages_written_apart(spark):
+    """Held out: nothing was fitted to these texts (see other_pages.py)."""
+    every = [(k, text) for k, (_, text) in enumerate(POSITIVE)] + [(1000 + k, text) for k, text in enumerate(NEGATIVE)]
+    found = {r["doc_id"] for r in find_residue(spark.createDataFrame(every, "doc_id bigint, text string").selectExpr("*", "cast(doc_id as string) host")).collect()}
+    hits = sum(k < 1000 for k in found)
+    assert hits / len(POSITIVE) >= 0.85 and len(found) == hits
 
 
 def test_records(spark):
