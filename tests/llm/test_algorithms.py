@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vislake.llm.mixing import mix, quotas, shares
-from vislake.llm.nearest_time import LEFT, RIGHT, events, nearest_time_join, replay
+from vislake.llm.nearest_time import LEFT, RIGHT, SLICE_US, events, nearest_time_join, replay
 from vislake.llm.packing import Capacities, best_fit_decreasing, pack
 from vislake.llm.rank_summary import BUDGET, EPSILON, Summary, combine, combined, merge_all, percentiles, summarise
 from vislake.llm.tokens import TOKENIZER, measured, weight
@@ -78,11 +78,7 @@ def _nearest(left, right):
     return out
 
 
-def _files(df, folder, parts):
-    df.repartition(parts).write.mode("append").parquet(folder)
-
-
-def test_nearest_time_replay_matches_brute_force(spark, tmp_path):
+def test_nearest_time_replay_matches_brute_force(spark):
     rng = random.Random(3)
     hour = 3_600_000_000
     right = [(rng.choice(["a", "b"]), rng.randrange(0, 30 * hour), k, 5e9) for k in range(400)]
@@ -92,21 +88,28 @@ def test_nearest_time_replay_matches_brute_force(spark, tmp_path):
     # exactly between two: the earlier wins
     right += [("d", 100, 5, 5e9), ("d", 300, 4, 5e9), ("d", 300, 3, 5e9)]
     left += [("d", 200, 904, 0, 5e9, 0, "x"), ("d", 301, 905, 0, 5e9, 0, "x")]
-    _files(spark.createDataFrame(left, _LEFT), f"{tmp_path}/l", 3)
-    _files(spark.createDataFrame(right, _RIGHT), f"{tmp_path}/r", 4)
-    ls, rs = spark.readStream.schema(_LEFT).parquet(f"{tmp_path}/l"), spark.readStream.schema(_RIGHT).parquet(f"{tmp_path}/r")
+    ls, rs = spark.createDataFrame(left, _LEFT), spark.createDataFrame(right, _RIGHT)
     both = events(ls, LEFT, ["e"], "t", "id", "p", "tol", 8).unionByName(events(rs, RIGHT, ["e"], "t", "id", None, "tol", 8))
-    got = {(r["left_id"], r["payload"], r["right_id"]) for r in replay(both, "1 day", 5e9).collect()}
+    got = {(r["left_id"], r["payload"], r["right_id"]) for r in replay(both, 5e9).collect()}
     assert got == _nearest(left, right)
     assert (904, 0, 5) in got and (905, 0, 3) in got
 
 
-def test_nearest_time_of_nothing(spark, tmp_path):
-    _files(spark.createDataFrame([], _LEFT), f"{tmp_path}/l", 1)
-    _files(spark.createDataFrame([("a", 5, 1, 5e9)], _RIGHT), f"{tmp_path}/r", 1)
-    ls, rs = spark.readStream.schema(_LEFT).parquet(f"{tmp_path}/l"), spark.readStream.schema(_RIGHT).parquet(f"{tmp_path}/r")
+def test_nearest_time_over_many_slices(spark):
+    """Two years of events in disorder: the watermark moves from group to group, and pairs across slices are kept."""
+    rng = random.Random(5)
+    day = 86_400_000_000
+    right = [(rng.choice("ab"), rng.randrange(0, 730 * day), k, 2.0 * day) for k in range(800)]
+    left = [(rng.choice("abc"), rng.randrange(0, 730 * day), k, 0, rng.choice([0.1, 2.0]) * day, 0, "x") for k in range(600)]
+    left += [(rng.choice("ab"), SLICE_US * k + d, 1000 + 10 * k + d, 0, 2.0 * day, 0, "x") for k in range(1, 20) for d in (-1, 0, 1)]
+    both = events(spark.createDataFrame(left, _LEFT), LEFT, ["e"], "t", "id", "p", "tol", 8).unionByName(events(spark.createDataFrame(right, _RIGHT), RIGHT, ["e"], "t", "id", None, "tol", 8))
+    assert {(r["left_id"], r["payload"], r["right_id"]) for r in replay(both, 2.0 * day).collect()} == _nearest(left, right)
+
+
+def test_nearest_time_of_nothing(spark):
+    ls, rs = spark.createDataFrame([], _LEFT), spark.createDataFrame([("a", 5, 1, 5e9)], _RIGHT)
     both = events(ls, LEFT, ["e"], "t", "id", "p", "tol", 4).unionByName(events(rs, RIGHT, ["e"], "t", "id", None, "tol", 4))
-    assert replay(both, "1 day", 5e9).count() == 0
+    assert replay(both, 5e9).count() == 0 and replay(both.where("false"), 5e9).count() == 0
 
 
 def test_live_stream_answers_once_the_watermark_passes_and_evicts(spark, tmp_path):

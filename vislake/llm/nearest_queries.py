@@ -9,14 +9,6 @@ from vislake.llm.nearest_time import LEFT, RIGHT, default_buckets, events, repla
 from vislake.operators.tsys import has_antenna, session_terms, usable
 from vislake.session import bounded, ensure_utc, micros, table
 
-#: Lateness of a live stream of these tables; rows arrive up to some weeks late.
-LATENESS = "90 days"
-
-
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # A pattern, because the table may be one file or a folder of part files.
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
-
 
 def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vis_id, antenna_no, rec_id, distance_us): the nearest usable reading for both ends of every dataset row."""
@@ -24,14 +16,14 @@ def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = session_terms(table(spark, sf_dir, "sessions")).select("session", "tol_us", "ceiling")
     reach = terms.agg(F.max("tol_us")).first()[0] or 0.0
     numbers = table(spark, sf_dir, "antennas").where(F.col("name").isNotNull() & F.col("antenna_no").isNotNull()).select("name", "antenna_no").distinct()
-    vis = _stream(spark, sf_dir, "dataset").select("vis_id", "session", micros(F.col("datetime")).alias("t_us"), F.explode(F.array_distinct(F.array("a1", "a2"))).alias("name"))
+    vis = table(spark, sf_dir, "dataset").select("vis_id", "session", micros(F.col("datetime")).alias("t_us"), F.explode(F.array_distinct(F.array("a1", "a2"))).alias("name"))
     left = vis.join(bounded(numbers), "name").join(bounded(terms), "session")
-    rows = _stream(spark, sf_dir, "system_temperature").select("session", "rec_id", micros(F.col("time")).alias("t_us"), "antenna_no", "tsys_1")
+    rows = table(spark, sf_dir, "system_temperature").select("session", "rec_id", micros(F.col("time")).alias("t_us"), "antenna_no", "tsys_1")
     right = rows.join(bounded(terms), "session").where(has_antenna(F.col("antenna_no")) & usable(F.col("tsys_1"), F.col("ceiling")))
     buckets = default_buckets(vis)
     entity = ["session", "antenna_no"]
     both = events(left, LEFT, entity, "t_us", "vis_id", "antenna_no", "tol_us", buckets).unionByName(events(right, RIGHT, entity, "t_us", "rec_id", None, "tol_us", buckets))
-    pairs = replay(both, LATENESS, float(reach))
+    pairs = replay(both, float(reach))
     return pairs.select(F.col("left_id").alias("vis_id"), F.col("payload").cast("int").alias("antenna_no"), F.col("right_id").alias("rec_id"), F.abs(F.col("right_us") - F.col("left_us")).alias("distance_us"))
 
 

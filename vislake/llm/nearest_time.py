@@ -27,7 +27,12 @@ from vislake.session import shared_dir
 #: Length of a time shard of an entity in microseconds (four hours); tolerances should be well below it.
 SHARD_US = 4 * 3600 * 1_000_000
 #: State entries per shuffle partition.
-BUCKETS_PER_PARTITION = 16
+BUCKETS_PER_PARTITION = 8
+#: A replay is fed by slices of time of this length (30 days), in groups of neighbouring ones ...
+SLICE_US = 30 * 24 * 3600 * 1_000_000
+#: ... at least so many groups, if there are slices enough, and more if entries would hold more than so many events.
+LEAST_GROUPS = 6
+ENTRY_EVENTS = 50_000
 
 LEFT, RIGHT, FLUSH = 0, 1, 2
 #: Event time that lets the watermark pass everything (end of a bounded replay); in 2261, the last year pandas can hold.
@@ -148,30 +153,72 @@ def default_buckets(df: DataFrame) -> int:
     return BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def replay(stream: DataFrame, lateness: str, reach_us: float) -> DataFrame:
-    """Run the join over bounded tables read as streams, to their end, and return the pairs.
+def _slices(rows: DataFrame, folder: str) -> list[tuple[int, int]]:
+    """Write events by slices of time; (slice, number of events) in order of time. Files are about one a partition."""
+    spark = rows.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_time = rows.withColumn("slice", F.floor(F.col("t_us") / SLICE_US).cast("bigint"))
+    by_time.repartition("slice", F.pmod("bucket", F.lit(max(1, wide // 16)))).write.partitionBy("slice").parquet(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not any(x.isDirectory() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)):
+        return []
+    # One row per 30 days that have events.
+    return sorted((r["slice"], r["count"]) for r in spark.read.parquet(folder).groupBy("slice").count().collect())
 
-    The stream is drained (all rows are available at the start: one micro-batch, in which nothing is late whatever the
-    order of the rows), then one flush event lets the watermark pass every horizon. State, offsets and pairs are in the
-    shared folder, so a lost executor costs a retry only.
+
+def replay(rows: DataFrame, reach_us: float) -> DataFrame:
+    """Run the join over bounded tables (a union of events() of both sides) and return the pairs.
+
+    The events are written once by slices of SLICE_US and then fed to the stream in the order of time, a group of slices a
+    micro-batch: the watermark follows, rows are answered and evicted on the way, and state is what one group and the
+    tolerance span. Groups are of equal size, at least LEAST_GROUPS of them and so many that a state entry holds about
+    ENTRY_EVENTS. A last flush event lets the watermark pass every horizon. State, offsets and pairs are in the shared
+    folder, so a lost executor costs a retry only; the pairs are deleted when the driver ends, all else before returning.
     """
-    spark = stream.sparkSession
+    spark = rows.sparkSession
     home = f"{shared_dir(spark).rstrip('/')}/nearest-time-{uuid.uuid4().hex}"
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{x}")
+    files = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path("pairs"))
+    buckets = default_buckets(rows)
+    held = _slices(rows.where(F.col("side") != FLUSH), f"{home}/events")
+    if not held:
+        files.delete(path("events"), True)
+        return spark.createDataFrame([], _OUT)
+    total = sum(n for _, n in held)
+    size = total / max(LEAST_GROUPS, -(-total // (buckets * ENTRY_EVENTS)))
+    groups: list[list[int]] = [[]]
+    filled = 0
+    for number, n in held:
+        if filled >= size:
+            groups.append([])
+            filled = 0
+        groups[-1].append(number)
+        filled += n
     flush = spark.range(1).select(F.lit(-1).alias("bucket"), F.lit("").alias("entity"), F.lit(FLUSH).alias("side"), F.lit(END_US).cast("bigint").alias("t_us"), F.lit(0).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("payload"), F.lit(0.0).alias("tol_us"), F.timestamp_micros(F.lit(END_US)).alias("event_time"))
-    flush.where("false").write.parquet(f"{home}/flush")
+    flush.coalesce(1).write.parquet(f"{home}/flush")
+    files.mkdirs(path("feed"))
     own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     before = {k: spark.conf.get(k, None) for k in own}
-    joined = nearest_time_join(stream.unionByName(spark.readStream.schema(_EVENT).parquet(f"{home}/flush")), lateness, reach_us)
+    query = None
     try:
         for k, v in own.items():
             spark.conf.set(k, v)
-        for _ in range(2):
-            query = joined.writeStream.format("parquet").option("path", f"{home}/pairs").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-            query.awaitTermination()
-            flush.coalesce(1).write.mode("append").parquet(f"{home}/flush")
+        for group in [*groups, None]:
+            for at, number in enumerate(group if group is not None else [0]):
+                source = f"events/slice={number}" if group is not None else "flush"
+                if not files.rename(path(source), path(f"feed/{'s' if group is not None else 'z'}{number}")):
+                    raise OSError(f"cannot move {home}/{source}")
+            if query is None:
+                stream = spark.readStream.schema(_EVENT).parquet(f"{home}/feed/*")
+                joined = nearest_time_join(stream, "0 seconds", reach_us)
+                query = joined.writeStream.format("parquet").option("path", f"{home}/pairs").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").start()
+            query.processAllAvailable()
     finally:
+        if query is not None:
+            query.stop()
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/checkpoint")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for x in ("events", "feed", "checkpoint"):
+        files.delete(path(x), True)
     return spark.read.schema(_OUT).parquet(f"{home}/pairs")
