@@ -20,32 +20,36 @@ from pyspark.sql import functions as F
 MOST_CELLS = 1_000_000
 
 
-def pair_counts(rows: DataFrame, fields: dict[str, int]) -> dict[tuple[str, str], np.ndarray]:
+def pair_counts(rows: DataFrame, fields: dict[str, int], singles: dict[str, int] | None = None) -> dict[tuple[str, ...], np.ndarray]:
     """Counts of every pair of fields over all rows; fields: name -> number of categories (codes 0..n-1).
 
-    A row counts for a pair if both codes are present (not NULL). Empty input: all counts are 0.
+    singles: further fields of which only the own counts are wanted, by (name,); they come from the same pass. A row counts
+    for a pair if both codes are present (not NULL). Empty input: all counts are 0.
     """
-    pairs = list(combinations(fields, 2))
-    sizes = [fields[a] * fields[b] for a, b in pairs]
+    pairs = [*combinations(fields, 2), *[(f, "") for f in singles or {}]]
+    width = {**fields, **(singles or {}), "": 1}
+    sizes = [width[a] * width[b] for a, b in pairs]
     if sum(sizes) > MOST_CELLS:
         raise ValueError(f"{sum(sizes)} cells in the pair tables; at most {MOST_CELLS}")
+    named = [f for f in width if f]
     bases = np.append(0, np.cumsum(sizes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(bases[-1], np.int64)
         for batch in batches:
-            codes = {f: batch.column(f).fill_null(-1).to_numpy(zero_copy_only=False) for f in fields}
+            codes = {f: batch.column(f).fill_null(-1).to_numpy(zero_copy_only=False) for f in named} | {"": np.zeros(batch.num_rows, np.int64)}
             for (a, b), base, size in zip(pairs, bases, sizes):
                 both = (codes[a] >= 0) & (codes[b] >= 0)
-                total[base : base + size] += np.bincount(codes[a][both].astype(np.int64) * fields[b] + codes[b][both], minlength=size)
+                total[base : base + size] += np.bincount(codes[a][both].astype(np.int64) * width[b] + codes[b][both], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    summed = rows.select(*[F.col(f).cast("int").alias(f) for f in fields]).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    summed = rows.select(*[F.col(f).cast("int").alias(f) for f in named]).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     flat = np.zeros(bases[-1], np.int64)
     for cell, n in summed.collect():  # at most MOST_CELLS rows
         flat[cell] = n
-    return {p: flat[base : base + size].reshape(fields[p[0]], fields[p[1]]) for p, base, size in zip(pairs, bases, sizes)}
+    cells = {p: flat[base : base + size] for p, base, size in zip(pairs, bases, sizes)}
+    return {(p if p[1] else p[:1]): x.reshape(width[p[0]], width[p[1]]) if p[1] else x for p, x in cells.items()}
 
 
 def mutual_information(counts: np.ndarray) -> float:
@@ -69,7 +73,12 @@ class Tree:
     @staticmethod
     def learn(rows: DataFrame, fields: dict[str, int], smoothing: float = 0.05) -> Tree:
         """Maximum spanning tree over the mutual information of all pairs."""
-        counts = pair_counts(rows, fields)
+        return Tree.of(pair_counts(rows, fields), fields, smoothing)
+
+    @staticmethod
+    def of(counts: dict[tuple[str, ...], np.ndarray], fields: dict[str, int], smoothing: float = 0.05) -> Tree:
+        """The tree of given pair counts."""
+        counts = {p: n for p, n in counts.items() if len(p) == 2}
         ranked = sorted(counts, key=lambda p: (-mutual_information(counts[p]), p))
         home = {f: f for f in fields}
 
@@ -101,8 +110,12 @@ class Tree:
                 return joint.sum(1 if name == a else 0)
         return np.full(self.fields[name], 1 / self.fields[name])
 
-    def posterior(self, target: str, evidence: dict[str, np.ndarray]) -> np.ndarray:
-        """P(target | evidence) for every row: codes per field, -1 where unknown. Messages go from the leaves to target."""
+    def posterior(self, target: str, evidence: dict[str, np.ndarray], extra: np.ndarray | None = None) -> np.ndarray:
+        """P(target | evidence) for every row: codes per field, -1 where unknown. Messages go from the leaves to target.
+
+        extra: the message of one further neighbour of the target that is no field of the tree (rows x categories; 0 rules
+        a category out). Rows whose message is all 0 have a posterior of 0.
+        """
         links = self._links()
         n = len(next(iter(evidence.values())))
 
@@ -123,4 +136,7 @@ class Tree:
         belief = np.tile(self.prior(target), (n, 1))
         for other, table in links[target]:
             belief *= message(other, target, table)
+        if extra is not None:
+            # What the message allows stays possible, however unlikely the rest makes it.
+            belief = np.maximum(belief / np.maximum(belief.sum(1, keepdims=True), 1e-300), 1e-12) * extra
         return belief / np.maximum(belief.sum(1, keepdims=True), 1e-300)

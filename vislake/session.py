@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +91,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and go on from there; unlike cut(), later reads take only the columns
+    they need. The table is deleted when the driver ends."""
+    spark = df.sparkSession
+    home = f"{shared_dir(spark).rstrip('/')}/vislake-table-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(home)
+    return spark.read.schema(df.schema).parquet(home)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 of a timestamp with or without a time zone (session zone UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
