@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vislake.operators.chow_liu import Tree, mutual_information, pair_counts
 from vislake.operators.impute import fill_readings
 from vislake.operators.interval_runs import runs_and_gaps, united
+from vislake.plans.intervals import covers
 from vislake.operators.references import Child, Registry, cascade, direct_orphans, text_key
 from vislake.operators.regular_grid import to_grid
 from vislake.operators.timejoin import bracketing, first_cell, largest_overlap, last_valid, merged_intervals, overlapping, unflagged
@@ -76,6 +77,12 @@ def test_grid_ignores_extra_columns_with_its_own_names(spark):
     assert to_grid(df, ["s", "b"], "t", "v", "t0", "stop", "g").count() == 3
 
 
+def test_long_gaps_are_cut_into_blocks(spark):
+    df = spark.createDataFrame([("a", 1, 5, 2.0, 0, 1_000_000, 10), ("a", 1, 999_995, 4.0, 0, 1_000_000, 10)], GRID)
+    got = to_grid(df, ["s", "b"], "t", "v", "t0", "stop", "g", block=64).groupBy("mark").agg(F.count("*").alias("n"), F.countDistinct("period_start_us").alias("d")).collect()
+    assert {(r["mark"], r["n"], r["d"]) for r in got} == {("measured", 2, 2), ("gap", 99_998, 99_998)}
+
+
 # --- 2: filling ------------------------------------------------------------------------------------------------------
 
 
@@ -214,6 +221,13 @@ def _child(spark, rows, parents=None):
     return Child(df, "id", "time", "r", text_key(F.col("key")), parents or {})
 
 
+def test_covers_longer_than_the_clock(spark):
+    df = spark.sql("SELECT timestamp_ntz'2020-01-01' time, cast(i as double) interval, 's' session, 1 antenna_no FROM values ('Infinity'), ('1e300'), ('NaN'), ('-1'), (NULL), ('2') AS v(i)")
+    got = {(r["end_us"] - r["start_us"]) for r in covers(df, "x").collect()}
+    assert got == {9 * 10**18, 2_000_000}
+    assert [r["kind"] for r in runs_and_gaps(covers(df, "x"), ["tab", "session", "antenna_no"]).collect()] == ["period"]
+
+
 def test_orphans_by_reason(spark):
     rows = [(1, "aa", "2020-06-01"), (2, " X1 ", "2021-06-01"), (3, "bb", "2022-01-01"), (4, "zz", "2022-01-01"), (5, None, "2022-01-01"), (6, "  ", "2022-01-01"), (7, "aa", "2021-01-01"), (8, "aa", "2022-01-01"), (9, "zz", None), (10, "aa", None), (4, "zz", "2022-01-01")]
     got = sorted((r["row_id"], r["reason"]) for r in direct_orphans(_child(spark, rows), _registry(spark)).collect())

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vislake.session import stored
+
 #: Length of a time shard in microseconds (half an hour).
 SHARD_US = 1800 * 1_000_000
 
@@ -141,6 +143,8 @@ def runs_and_gaps(covers: DataFrame, keys: list[str], shard_us: int = SHARD_US)
     low = F.coalesce(F.col("carry"), F.lit(-(2**63)))
     is_new = lambda r: F.col("carry").isNull() | (r["starts"] > low)
     seen = seen.select(*renamed, "shard", "carry", F.filter("runs", is_new).alias("new"), F.greatest("carry", F.array_max(F.transform(F.filter("runs", lambda r: ~is_new(r)), lambda r: r["ends"]))).alias("reach"))
+    # Two uses below.
+    seen = stored(seen)
     inner = seen.where(F.size("new") > 1).select(
         *renamed,
         F.explode(

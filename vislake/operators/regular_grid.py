@@ -75,6 +75,11 @@ def to_grid(rows: DataFrame, keys: list[str], t_us: str, value: str, t0_us: str,
         )
         return F.struct(j.alias("k"), value_at.alias("v"), F.lit(0).cast("bigint").alias("c"), gap.alias("g"), mark.alias("m"))
 
-    between = F.when(gap > 0, F.transform(F.sequence(F.col("k") + 1, F.col("k2") - 1), filled)).otherwise(F.array())
-    out = paired.select(*held, "t0", "grid", F.explode(F.concat(real, between)).alias("p"))
+    # A gap is cut into stretches of a block first, so that no row ever holds more than one of them.
+    starts = F.when(gap > 0, F.sequence(F.col("k") + 1, F.col("k2") - 1, F.lit(block).cast("bigint"))).otherwise(F.array(F.col("k") + 1))
+    pieces = paired.select(*paired.columns, F.explode(starts).alias("from"))
+    until = F.least(F.col("from") + block - 1, F.col("k2") - 1)
+    between = F.when(gap > 0, F.transform(F.sequence(F.col("from"), until), filled)).otherwise(F.array())
+    measured = F.when(F.col("from") == F.col("k") + 1, real).otherwise(F.array())
+    out = pieces.select(*held, "t0", "grid", F.explode(F.concat(measured, between)).alias("p"))
     return out.select(*[F.col(f"key{i}").alias(c) for i, c in enumerate(keys)], (F.col("t0") + F.col("p.k") * F.col("grid")).alias("period_start_us"), F.col("p.v").alias("value"), F.col("p.c").alias("n_readings"), F.col("p.g").alias("gap_periods"), F.col("p.m").alias("mark"))

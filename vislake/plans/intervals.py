@@ -9,14 +9,15 @@ from vislake.operators.interval_runs import runs_and_gaps
 from vislake.operators.tsys import has_antenna
 from vislake.session import micros, table
 
-#: Half intervals beyond this many microseconds (about 14 000 years) can't be placed on the clock and cover nothing.
-FARTHEST_US = 4.5e17
+#: Longer half intervals (more than 140 000 years, infinite ones too) are taken as this many microseconds, which is beyond any
+#: other time, so that their ends can be placed on the clock.
+FARTHEST_US = 4.5e18
 
 
 def covers(df: DataFrame, tab: str) -> DataFrame:
     """(tab, session, antenna_no, start_us, end_us) of the rows with antenna_no and a usable interval."""
-    half = F.col("interval") / 2 * 1e6
-    good = has_antenna(F.col("antenna_no")) & F.col("time").isNotNull() & F.coalesce(~F.isnan("interval") & (F.col("interval") >= 0) & (half < FARTHEST_US), F.lit(False))
+    half = F.least(F.col("interval") / 2 * 1e6, F.lit(FARTHEST_US))
+    good = has_antenna(F.col("antenna_no")) & F.col("time").isNotNull() & F.coalesce(~F.isnan("interval") & (F.col("interval") >= 0), F.lit(False))
     rows = df.where(good).select("session", "antenna_no", micros(F.col("time")).alias("t"), F.rint(half).cast("bigint").alias("h"))
     return rows.select(F.lit(tab).alias("tab"), "session", "antenna_no", (F.col("t") - F.col("h")).alias("start_us"), (F.col("t") + F.col("h")).alias("end_us"))
 
