@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from vislake.llm.mixing import mix, quotas, shares
 from vislake.llm.nearest_time import LEFT, RIGHT, SLICE_US, events, nearest_time_join, replay
 from vislake.llm.packing import Capacities, best_fit_decreasing, pack
-from vislake.llm.rank_summary import BUDGET, EPSILON, Summary, combine, combined, merge_all, percentiles, summarise
+from vislake.llm import rank_summary
+from vislake.llm.rank_summary import EPSILON, Summary, budget_of, combine, combined, merge_all, percentiles, summarise
 from vislake.llm.tokens import TOKENIZER, measured, weight
 
 # --- 5 ---------------------------------------------------------------------------------------------------------------
@@ -27,11 +28,13 @@ def _ranks(x, v):
 def test_merged_summaries_keep_their_bound(kind):
     rng = np.random.default_rng(1)
     x = {"normal": rng.normal(size=40_000), "ties": rng.integers(0, 5, 40_000).astype(float), "heavy": rng.standard_cauchy(40_000), "sorted": np.arange(40_000.0)}[kind]
-    for budget in (20, BUDGET):
-        parts = [Summary.of(np.sort(c)).pruned(budget) for c in np.array_split(x, 37)]
-        s = merge_all(parts, budget)
+    for epsilon, fans in ((0.1, (37,)), (EPSILON, (37,)), (0.02, (4, 4, 4)), (0.1, (2,) * 7)):
+        parts = [Summary.of(np.sort(c)).pruned(epsilon) for c in np.array_split(x, int(np.prod(fans)))]
+        for fan in fans:  # trees of any depth stay within epsilon
+            parts = [merge_all(parts[i : i + fan], epsilon) for i in range(0, len(parts), fan)]
+        (s,) = parts
         full = np.sort(x)
-        assert s.n == len(x) and len(s.v) <= budget + 1
+        assert s.n == len(x) and len(s.v) <= budget_of(s.level, epsilon) + 1 and s.level == len(fans) and s.err <= epsilon * s.n
         lo, hi = _ranks(full, s.v)
         assert np.all(s.lo <= hi) and np.all(s.hi >= lo)  # the interval meets the true ranks of the value
         for q in np.linspace(0, 1, 23):
@@ -57,6 +60,16 @@ def test_percentiles_on_spark(spark):
             a, b = _ranks(x, r["value"])
             want = 1 + r["q"] * (len(x) - 1)
             assert max(a - want, want - b, 0) <= r["rank_error"] * len(x) + 1e-6
+    before, rank_summary.FAN_IN = rank_summary.FAN_IN, 3  # nine partitions: two more levels
+    try:
+        deep = percentiles(combined(df, ["g"], "x"), ["g"], [0.5]).collect()
+    finally:
+        rank_summary.FAN_IN = before
+    for r in deep:
+        x = np.sort(pdf.x[(pdf.g == r["g"]) & np.isfinite(pdf.x)])
+        a, b = _ranks(x, r["value"])
+        assert max(a - 1 - r["q"] * (len(x) - 1), 1 + r["q"] * (len(x) - 1) - b, 0) <= r["rank_error"] * len(x) + 1e-6 and r["rank_bound"] <= EPSILON + 0.5 / len(x)
+    assert len(deep) == 3
     assert combined(df.where("false"), ["g"], "x").count() == 0
     null = combined(df.withColumn("g", F.lit(None).cast("string")).limit(10), ["g"], "x").collect()
     assert len(null) == 1 and null[0]["g"] is None

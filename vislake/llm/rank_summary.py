@@ -1,16 +1,17 @@
 """Percentiles of very large columns from mergeable rank-interval summaries (problem 5).
 
 A summary is a sorted list of tuples (value, rmin, rmax): an element of that value has a rank between rmin and rmax.
-Chunks of rows become exact summaries (one tuple per distinct value), summaries are pruned to BUDGET + 1 tuples, which
-adds at most n / (2 * BUDGET) ranks of uncertainty, and merged without adding any; the sum of what pruning added is kept
-in the summary. Everything is deterministic; the merge tree is partition -> FAN_IN partitions -> all, so no task reads
-more than FAN_IN or partitions / FAN_IN summaries of a group.
+Chunks of rows become exact summaries (two tuples per run of ties), summaries are pruned to budget + 1 tuples, which adds
+at most n / (2 * budget) ranks of uncertainty, and merged without adding any; the sum of what pruning added is kept in the
+summary. A summary knows its level in the merge tree, and the budget doubles from level to level, so that the sum stays
+within EPSILON * n for any number of levels, combinations of days or sessions included. The tree is built level by level
+until one summary a group is left: a task merges about FAN_IN summaries of a group at a time. Everything is deterministic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -19,18 +20,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Permitted rank error of a result as a share of n, over all prunings of the default tree.
+from vislake.session import stored
+
+#: Permitted rank error of a result as a share of n, over all prunings of any merge tree.
 EPSILON = 0.005
-#: Prunings on the way from a row to the result: chunk, group of partitions, all, and one combination more.
-LEVELS = 4
-#: Tuples kept by a pruning: LEVELS prunings of 1 / (2 * BUDGET) each stay within EPSILON.
-BUDGET = int(np.ceil(LEVELS / (2 * EPSILON)))
 #: Values that are sorted at once.
 CHUNK = 1 << 19
-#: Partitions whose summaries are merged first.
+#: Summaries of a group that one task merges at a time.
 FAN_IN = 64
 
-FIELDS = "v array<double>, lo array<bigint>, hi array<bigint>, n bigint, err double"
+FIELDS = "v array<double>, lo array<bigint>, hi array<bigint>, n bigint, err double, level int"
+
+
+def budget_of(level: int, epsilon: float = EPSILON) -> int:
+    """Tuples (less one) kept by a pruning on a level: half of the permitted error is spent on level 0, a quarter on level 1
+    and so on, so that the sum stays within epsilon however deep the tree is."""
+    return int(np.ceil(2**level / epsilon))
 
 
 @dataclass(frozen=True)
@@ -42,6 +47,7 @@ class Summary:
     hi: np.ndarray
     n: int
     err: float = 0.0
+    level: int = -1  # not pruned yet
 
     @staticmethod
     def of(values: np.ndarray) -> Summary:
@@ -53,13 +59,14 @@ class Summary:
         at = np.unique(np.concatenate([first, last]))
         return Summary(values[at], at + 1, at + 1, len(values))
 
-    def pruned(self, budget: int = BUDGET) -> Summary:
-        """At most budget + 1 tuples: for evenly spaced ranks the tuple whose interval is nearest."""
+    def pruned(self, epsilon: float = EPSILON) -> Summary:
+        """On the next level, with at most its budget + 1 tuples: for evenly spaced ranks the tuple whose interval is nearest."""
+        budget = budget_of(self.level + 1, epsilon)
         if len(self.v) <= budget + 1:
-            return self
+            return replace(self, level=self.level + 1)
         want = 1 + np.arange(budget + 1) * (self.n - 1) / budget
         at = np.unique(self._nearest(want))
-        return Summary(self.v[at], self.lo[at], self.hi[at], self.n, self.err + self.n / (2 * budget))
+        return Summary(self.v[at], self.lo[at], self.hi[at], self.n, self.err + self.n / (2 * budget), self.level + 1)
 
     def _nearest(self, want: np.ndarray) -> np.ndarray:
         """For each rank the tuple with the least possible distance max(want - lo, hi - want)."""
@@ -86,7 +93,7 @@ class Summary:
         v = np.concatenate([self.v, other.v])
         lo, hi = np.concatenate([lo_a, lo_b]), np.concatenate([hi_a, hi_b])
         order = np.lexsort((hi, lo, v))
-        return Summary(v[order], lo[order], hi[order], self.n + other.n, self.err + other.err)
+        return Summary(v[order], lo[order], hi[order], self.n + other.n, self.err + other.err, max(self.level, other.level))
 
     def at(self, q: float) -> tuple[float, int, int, float]:
         """Value for the quantile, the bounds of its rank, and how many ranks it may be off at most."""
@@ -99,37 +106,34 @@ class Summary:
             off = 0.0
         return float(self.v[i]), int(self.lo[i]), int(self.hi[i]), off
 
-    def row(self) -> tuple:
-        return self.v, self.lo, self.hi, self.n, self.err
 
-
-def merge_all(parts: list[Summary], budget: int = BUDGET) -> Summary:
+def merge_all(parts: list[Summary], epsilon: float = EPSILON) -> Summary:
     """Balanced merge of any number of summaries, pruned once at its end."""
     while len(parts) > 1:
         parts = [parts[i].merged(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0].pruned(budget)
+    return parts[0].pruned(epsilon)
 
 
-def summarise(rows: DataFrame, keys: list[str], value: str, budget: int = BUDGET) -> DataFrame:
-    """Summaries (keys, part, v, lo, hi, n, err) of a numeric column per key and input partition.
+def summarise(rows: DataFrame, keys: list[str], value: str, epsilon: float = EPSILON) -> DataFrame:
+    """Summaries (keys, part, v, lo, hi, n, err, level) of a numeric column per key and chunk of an input partition.
 
     NULL, NaN and infinite values are left out; a key without other values has no summary. keys must be STRING columns;
     a NULL key is a group of its own. Ties keep their first and last rank. An empty input gives no rows.
     """
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId() // FAN_IN
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
             if size >= CHUNK:
-                yield from chunk(held, part)
-                held, size = [], 0
+                yield chunk(held, part)
+                held, size, part = [], 0, part + 1
         if size:
-            yield from chunk(held, part)
+            yield chunk(held, part)
 
-    def chunk(held: list[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    def chunk(held: list[pa.RecordBatch], part: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         code = np.zeros(t.num_rows, np.int64)
         for k in keys:
@@ -140,8 +144,8 @@ def summarise(rows: DataFrame, keys: list[str], value: str, budget: int = BUDGET
         order = np.lexsort((x, code))
         code, x = code[order], x[order]
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        parts = [Summary.of(g).pruned(budget) for g in np.split(x, first[1:])]
-        yield _batch(t.select(keys).take(pa.array(order[first])), keys, parts, {"part": [part] * len(parts)})
+        parts = [Summary.of(g).pruned(epsilon) for g in np.split(x, first[1:])]
+        return _batch(t.select(keys).take(pa.array(order[first])), keys, parts, {"part": [part] * len(parts)})
 
     clean = rows.where(F.coalesce(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.lit(False))).select(*keys, F.col(value).cast("double").alias(value))
     return clean.mapInArrow(build, ", ".join(f"`{k}` string" for k in keys) + f", part bigint, {FIELDS}")
@@ -154,15 +158,31 @@ def _batch(named: pa.Table, keys: list[str], parts: list[Summary], extra: dict[s
     arrays = [pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a for a in arrays]
     arrays += [pa.array(x, pa.int64()) for x in extra.values()]
     arrays += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(s, f) for s in parts]))) for f in ("v", "lo", "hi")]
-    arrays += [pa.array([s.n for s in parts], pa.int64()), pa.array([float(s.err) for s in parts])]
-    return pa.RecordBatch.from_arrays(arrays, names=[*keys, *extra, "v", "lo", "hi", "n", "err"])
+    arrays += [pa.array([s.n for s in parts], pa.int64()), pa.array([float(s.err) for s in parts]), pa.array([s.level for s in parts], pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys, *extra, "v", "lo", "hi", "n", "err", "level"])
 
 
-def combine(summaries: DataFrame, keys: list[str], budget: int = BUDGET) -> DataFrame:
-    """One summary per key from all of its summaries (of partitions, sessions or days).
+def combine(summaries: DataFrame, keys: list[str], epsilon: float = EPSILON) -> DataFrame:
+    """One summary per key from all of its summaries (of chunks, sessions or days), level by level.
 
-    One sorted pass over Arrow batches; a group's summaries are held together, FAN_IN of them at a time.
+    While a key has more than FAN_IN summaries, they are merged in groups of about FAN_IN, each by one task. One count of
+    summaries a key (not of rows) decides the number of levels.
     """
+    if "part" not in summaries.columns:
+        # Any fixed number that spreads the summaries of a key.
+        summaries = summaries.withColumn("part", F.xxhash64("n", "v"))
+    held = stored(summaries.select(*keys, "part", "v", "lo", "hi", "n", "err", "level"))
+    counted = held.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    while counted > FAN_IN:
+        groups = -(-counted // FAN_IN)
+        salt = F.pmod(F.xxhash64("part"), F.lit(groups))
+        held = stored(_merged(held.withColumn("salt", salt.cast("string")), [*keys, "salt"], epsilon).withColumn("part", F.col("salt").cast("bigint")).drop("salt"))
+        counted = groups
+    return _merged(held, keys, epsilon)
+
+
+def _merged(summaries: DataFrame, keys: list[str], epsilon: float) -> DataFrame:
+    """One summary per key in one sorted pass over Arrow batches; a task holds the summaries of one key at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, named, parts, done = None, None, [], []
@@ -179,34 +199,27 @@ def combine(summaries: DataFrame, keys: list[str], budget: int = BUDGET) -> Data
             lists = {f: (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c) for f, c in lists.items()}
             offsets = lists["v"].offsets.to_numpy()
             flat = {f: c.values.to_numpy() for f, c in lists.items()}
-            n, err = t.column("n").to_pylist(), t.column("err").to_pylist()
+            n, err, level = (t.column(c).to_pylist() for c in ("n", "err", "level"))
             for i in range(t.num_rows):
                 if at[i] != name:
                     if parts:
-                        done.append((named, merge_all(parts, budget)))
+                        done.append((named, merge_all(parts, epsilon)))
                     name, named, parts = at[i], t.select(keys).slice(i, 1), []
                     if len(done) >= 500:
                         yield from flush()
                 span = slice(offsets[i], offsets[i + 1])
-                parts.append(Summary(flat["v"][span].copy(), flat["lo"][span].copy(), flat["hi"][span].copy(), n[i], err[i]))
-                if len(parts) > 4 * FAN_IN:
-                    parts = [parts_merged(parts)]
+                parts.append(Summary(flat["v"][span].copy(), flat["lo"][span].copy(), flat["hi"][span].copy(), n[i], err[i], level[i]))
         if parts:
-            done.append((named, merge_all(parts, budget)))
+            done.append((named, merge_all(parts, epsilon)))
         yield from flush()
 
-    def parts_merged(parts: list[Summary]) -> Summary:
-        """Merged without pruning down to the budget: a wider one, whose error is a sixteenth."""
-        return merge_all(parts, 16 * budget)
-
-    spread = summaries.repartition(*keys).sortWithinPartitions(*keys)
-    return spread.select(*keys, "v", "lo", "hi", "n", "err").mapInArrow(run, ", ".join(f"`{k}` string" for k in keys) + (", " if keys else "") + FIELDS)
+    spread = summaries.repartition(*keys).sortWithinPartitions(*keys) if keys else summaries.coalesce(1)
+    return spread.select(*keys, "v", "lo", "hi", "n", "err", "level").mapInArrow(run, ", ".join(f"`{k}` string" for k in keys) + (", " if keys else "") + FIELDS)
 
 
-def combined(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Summary per key of all rows, merged hierarchically: chunk, FAN_IN partitions, all."""
-    parts = summarise(rows, keys, value).withColumn("part", F.col("part").cast("string"))
-    return combine(combine(parts, [*keys, "part"]), keys)
+def combined(rows: DataFrame, keys: list[str], value: str, epsilon: float = EPSILON) -> DataFrame:
+    """Summary per key of all rows, merged hierarchically."""
+    return combine(summarise(rows, keys, value, epsilon), keys, epsilon)
 
 
 def percentiles(summaries: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
@@ -217,7 +230,7 @@ def percentiles(summaries: DataFrame, keys: list[str], quantiles: list[float]) -
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                s = Summary(np.asarray(r.v), np.asarray(r.lo), np.asarray(r.hi), int(r.n), float(r.err))
+                s = Summary(np.asarray(r.v), np.asarray(r.lo), np.asarray(r.hi), int(r.n), float(r.err), int(r.level))
                 for q in quantiles:
                     value, _, _, off = s.at(q)
                     out.append((*[getattr(r, k) for k in keys], q, value, s.n, off / s.n, (s.err + 0.5) / s.n))
