@@ -262,6 +262,18 @@ def test_mix_prefers_heavier_documents_and_takes_a_prefix_of_keys(spark):
     assert quotas(sizes, targets, 10**9).first()["budget"] == 200_000
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
+def test_mix_equals_a_plain_sort_at_any_scale_of_weights(spark, scale):
+    """All ranges together draw exactly the smallest keys, and only a small part is sorted by row."""
+    rng = np.random.default_rng(9)
+    rows = [(k, "s", int(rng.integers(1, 50)), float(rng.uniform(0.2, 1) * scale)) for k in range(5000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, weight double")
+    got = mix(sizes, _targets(spark, [("m", "s", 1.0, 1)]), seed=3, total_tokens=40_000)
+    u = sizes.select("doc_id", "n_tokens", (-F.ln((F.pmod(F.xxhash64("doc_id", F.lit("m"), F.lit(3)), F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("weight")).alias("key")).toPandas().sort_values(["key", "doc_id"])
+    want = set(u[u.n_tokens.cumsum() <= 40_000].doc_id)
+    assert {r["doc_id"] for r in got.collect()} == want and len(want) > 1000
+
+
 def test_mix_of_nothing(spark):
     sizes, targets = _corpus(spark), _targets(spark, [("m", "big", 1.0, 2)])
     assert mix(sizes.where("false"), targets).count() == 0 and mix(sizes, targets.where("false")).count() == 0

@@ -2,8 +2,9 @@
 
 Complete epochs come first: a source whose budget is k times its size or more gives every document k times. The rest of
 the budget is drawn by weighted sampling without replacement with exponential keys -ln(u) / weight (the smallest keys
-win), u being a hash of document, mix and seed. Keys are cut into KEY_BUCKETS ranges; their token sums decide which
-ranges are in or out as a whole, and only the one range per source in which the budget ends is sorted by row.
+win), u being a hash of document, mix and seed. Keys are cut into ranges on a logarithmic scale; their token sums decide
+which ranges are in or out as a whole. The one range per source in which the budget ends is cut into parts in the same
+way, and only the part in which it ends is sorted by row.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from vislake.session import bounded
 
-#: Ranges of keys per source.
-KEY_BUCKETS = 4096
+#: Ranges of keys per power of two, and parts of the one range in which a budget ends.
+PER_OCTAVE = 64
+PARTS = 4096
 
 
 def quotas(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -45,19 +47,31 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: int |
     plan = quotas(sizes, targets, total_tokens).select("mix_id", "source", "epochs", "rest")
     u = (F.pmod(F.xxhash64("doc_id", "mix_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weight = F.when(F.coalesce(~F.isnan("weight") & (F.col("weight") > 0), F.lit(False)), F.col("weight")).otherwise(1e-6)
-    rows = sizes.where(F.col("n_tokens") > 0).join(bounded(plan), "source").withColumn("key", -F.ln(u) / weight)
-    rows = rows.withColumn("bucket", F.floor(F.col("key") / (F.col("key") + 1) * KEY_BUCKETS))
-    order = Window.partitionBy("mix_id", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("mix_id", "source", "bucket").agg(F.sum("n_tokens").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))
-    # At most KEY_BUCKETS rows per mix and source.
-    rows = rows.join(bounded(sums), ["mix_id", "source", "bucket"])
-    within, out = F.col("before") + F.col("held") <= F.col("rest"), F.col("before") >= F.col("rest")
+    # Position of the key on a logarithmic scale: ranges are as fine for weights of 1e-6 as for weights of 1.
+    rows = sizes.where(F.col("n_tokens") > 0).join(bounded(plan), "source").withColumn("key", -F.ln(u) / weight).withColumn("place", F.log2("key") * PER_OCTAVE)
+    rows = rows.select("mix_id", "source", "doc_id", "n_tokens", "epochs", "rest", "key", "place", F.floor("place").alias("range"), F.lit(0).cast("bigint").alias("start"))
     kept = ["mix_id", "source", "doc_id", "n_tokens"]
-    sure = rows.where(within | out).select(*kept, (F.col("epochs") + F.when(within & ~out, 1).otherwise(0)).alias("times"))
-    by_key = Window.partitionBy("mix_id", "source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where(~within & ~out).withColumn("upto", F.col("before") + F.sum("n_tokens").over(by_key))
-    edge = edge.select(*kept, (F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("times"))
-    return sure.unionByName(edge).where(F.col("times") > 0)
+    sure, edge = _split(rows, "range")
+    # The one range in which the budget ends is split again, and only a part of a part is sorted by row.
+    finer, edge = _split(edge.withColumn("part", F.floor((F.col("place") - F.col("range")) * PARTS)), "part")
+    by_key = Window.partitionBy("mix_id", "source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = edge.withColumn("upto", F.col("start") + F.sum("n_tokens").over(by_key)).withColumn("drawn", (F.col("upto") <= F.col("rest")).cast("int"))
+    whole = sure.select(*kept, "epochs", "drawn").unionByName(finer.select(*kept, "epochs", "drawn")).unionByName(last.select(*kept, "epochs", "drawn"))
+    return whole.select(*kept, (F.col("epochs") + F.col("drawn")).alias("times")).where(F.col("times") > 0)
+
+
+def _split(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ranges that are drawn or left as a whole (drawn: 1 or 0), and the rows of the range in which the rest ends.
+
+    start: tokens of the source before all rows given here; in the second result, before the rows of their range. There are
+    no more ranges than the scale has, whatever the number of rows.
+    """
+    order = Window.partitionBy("mix_id", "source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("mix_id", "source", by).agg(F.sum("n_tokens").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))
+    placed = rows.join(bounded(sums), ["mix_id", "source", by]).withColumn("before", F.col("start") + F.col("before"))
+    within, out = F.col("before") + F.col("held") <= F.col("rest"), F.col("before") >= F.col("rest")
+    sure = placed.where(within | out).withColumn("drawn", (within & ~out).cast("int"))
+    return sure, placed.where(~within & ~out).withColumn("start", F.col("before")).drop("held", "before")
 
 
 def shares(chosen: DataFrame, sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
