@@ -1,13 +1,18 @@
 """Stokes-I data, noise scale, imaging weights, beam and closure statistics.
 
-Closures join the edges of one (source, t, chan) group on shared antennas. Every edge is first reduced to what the
-statistic needs (phase, log amplitude, 1/SNR^2), so the joined rows are narrow.
+Closures bring the edges of one (source, t, chan) group into one row, reduced to what the statistic needs (phase, log
+amplitude, 1/SNR^2); triangles and quadrangles are formed inside the row, vectorised over all subsets of antennas.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,42 +135,150 @@ def edges(stokes: DataFrame, weight_scale: float) -> DataFrame:
     return e.groupBy("source", "t", "chan", "p", "q").agg(F.max_by("e", F.struct("row_id", "e")).alias("e")).select("source", "t", "chan", "p", "q", "e.*")
 
 
+#: Columns of an edge that the kernels take.
+_EDGE = ("phase", "isnr2", "m_phase", "lna", "m_lna")
+_GROUP = ["source", "t", "chan"]
+
+
+def _closed(e: DataFrame, kernel: Callable[[np.ndarray, dict[str, np.ndarray]], Iterator[dict[str, np.ndarray]]], fields: dict[str, str]) -> DataFrame:
+    """Run a kernel on the edges of every (source, t, chan): one exchange brings a group's edges into one row (bounded by the
+    number of antennas), and closures are formed inside it, without joins.
+
+    The kernel gets the sorted antennas and a square matrix per column (NaN where there is no edge, antisymmetric or
+    symmetric completion is not needed: only p < q is read) and yields columns of results.
+    """
+    schema = e.select(*_GROUP).schema
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    rows = e.groupBy(*_GROUP).agg(F.collect_list(F.struct("p", "q", *_EDGE)).alias("e"))
+    types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("e")
+            offsets = lists.offsets.to_numpy()
+            flat = {c: lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("p", "q", *_EDGE)}
+            names, held, size = [*_GROUP, *fields], [], 0
+
+            def flush() -> pa.RecordBatch:
+                at = np.concatenate([np.full(len(next(iter(x.values()))), i) for i, x in held])
+                columns = [batch.column(c).take(pa.array(at)) for c in _GROUP] + [pa.array(np.concatenate([x[c] for _, x in held]), types[t]) for c, t in fields.items()]
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            for i in range(batch.num_rows):
+                span = slice(offsets[i], offsets[i + 1])
+                ants, place = np.unique(np.concatenate([flat["p"][span], flat["q"][span]]), return_inverse=True)
+                half = len(place) // 2
+                full = {}
+                for c in _EDGE:
+                    full[c] = np.full((len(ants), len(ants)), np.nan)
+                    full[c][place[:half], place[half:]] = flat[c][span].astype(float)
+                for x in kernel(ants, full):
+                    size += len(next(iter(x.values())))
+                    held.append((i, x))
+                    if size > 100_000:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
+
+    return rows.mapInArrow(run, head + ", " + ", ".join(f"{c} {t}" for c, t in fields.items()))
+
+
+def _wrapped(x: np.ndarray) -> np.ndarray:
+    return x - TWO_PI * np.rint(x / TWO_PI)
+
+
+@cache
+def _subsets(n: int, k: int) -> tuple[np.ndarray, ...]:
+    """All ascending k-subsets of range(n), as k arrays."""
+    return tuple(np.array(x, np.int32) for x in zip(*combinations(range(n), k))) if n >= k else tuple(np.array([], np.int32) for _ in range(k))
+
+
+def _triangles(m: dict[str, np.ndarray]) -> Iterator[tuple]:
+    """(a, b, c, phase, model, var) of the closed triangles, one first antenna at a time."""
+    n = len(m["phase"])
+    for a in range(n - 2):
+        b, c = (x + a + 1 for x in _subsets(n - a - 1, 2))
+        close = lambda v: v[a, b] + v[b, c] - v[a, c]
+        var = m["isnr2"][a, b] + m["isnr2"][b, c] + m["isnr2"][a, c]
+        ok = ~np.isnan(var)
+        if ok.any():
+            yield np.full(ok.sum(), a), b[ok], c[ok], _wrapped(close(m["phase"])[ok]), _wrapped(close(m["m_phase"])[ok]), var[ok]
+
+
 def triangles(e: DataFrame) -> DataFrame:
     """(source, t, chan, a, b, c, phase, model, var) of every closed triangle a < b < c."""
-    side = lambda n, x, y: e.select("source", "t", "chan", F.col("p").alias(x), F.col("q").alias(y), F.col("phase").alias(f"ph{n}"), F.col("isnr2").alias(f"v{n}"), F.col("m_phase").alias(f"m{n}")).where(F.col("isnr2").isNotNull())
-    g = ["source", "t", "chan"]
-    j = side(1, "a", "b").join(side(2, "b", "c"), [*g, "b"]).join(side(3, "a", "c"), [*g, "a", "c"])
-    return j.select(*g, "a", "b", "c", wrap(F.col("ph1") + F.col("ph2") - F.col("ph3")).alias("phase"), wrap(F.col("m1") + F.col("m2") - F.col("m3")).alias("model"), (F.col("v1") + F.col("v2") + F.col("v3")).alias("var"))
+
+    def kernel(ants: np.ndarray, m: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        for a, b, c, phase, model, var in _triangles(m):
+            yield {"a": ants[a], "b": ants[b], "c": ants[c], "phase": phase, "model": model, "var": var}
+
+    return _closed(e, kernel, {"a": "int", "b": "int", "c": "int", "phase": "double", "model": "double", "var": "double"})
 
 
 def closure_chi2(e: DataFrame, by: list[str]) -> DataFrame:
-    """(by, chi2, n): mean of squared closure phase residuals over their variance."""
-    d = wrap(F.col("phase") - F.col("model"))
-    return triangles(e).groupBy(*by).agg(F.avg(d * d / F.col("var")).alias("chi2"), F.count("*").alias("n"))
+    """(by, chi2, n): mean of squared closure phase residuals over their variance (A12, A14). by: of source, t, chan, whose
+    groups add up their sums, so that no closure leaves its group; other columns of triangles() work on the rows."""
+    if not set(by) <= set(_GROUP):
+        d = wrap(F.col("phase") - F.col("model"))
+        return triangles(e).groupBy(*by).agg(F.avg(d * d / F.col("var")).alias("chi2"), F.count("*").alias("n"))
+
+    def kernel(ants: np.ndarray, m: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        total, n = 0.0, 0
+        for *_, phase, model, var in _triangles(m):
+            d = _wrapped(phase - model)
+            total, n = total + (d * d / var).sum(), n + len(d)
+        if n:
+            yield {"s": np.array([total]), "n": np.array([n])}
+
+    sums = _closed(e, kernel, {"s": "double", "n": "bigint"})
+    return sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("chi2"), F.sum("n").alias("n"))
+
+
+#: Pairings of four antennas: the edges above and below the line.
+_PAIRINGS = (("abcd/acbd", "ab", "cd", "ac", "bd"), ("abcd/adbc", "ab", "cd", "ad", "bc"), ("acbd/adbc", "ac", "bd", "ad", "bc"))
+
+
+def _quadrangles(m: dict[str, np.ndarray], min_snr: float) -> Iterator[tuple]:
+    """(pairing, a, b, c, d, residual, var), one first antenna at a time."""
+    x, v = m["lna"] - m["m_lna"], np.where(m["isnr2"] <= 1 / min_snr**2, m["isnr2"], np.nan)
+    x = np.where(np.isnan(v) | np.isnan(m["m_lna"]), np.nan, x)
+    n = len(x)
+    for a in range(n - 3):
+        b, c, d = (y + a + 1 for y in _subsets(n - a - 1, 3))
+        at = {"ab": (a, b), "cd": (c, d), "ac": (a, c), "bd": (b, d), "ad": (a, d), "bc": (b, c)}
+        for name, one, two, three, four in _PAIRINGS:
+            residual = x[at[one]] + x[at[two]] - x[at[three]] - x[at[four]]
+            ok = ~np.isnan(residual)
+            if ok.any():
+                var = v[at[one]] + v[at[two]] + v[at[three]] + v[at[four]]
+                yield name, np.full(ok.sum(), a), b[ok], c[ok], d[ok], residual[ok], var[ok]
 
 
 def quadrangles(e: DataFrame, min_snr: float) -> DataFrame:
-    """(source, t, chan, a, b, c, d, pairing, residual, var): log closure amplitudes of all 4-subsets, three pairings each.
+    """(source, t, chan, a, b, c, d, pairing, residual, var): log closure amplitudes of all 4-subsets, three pairings each
+    (J10). A pairing needs its own four edges only."""
 
-    A pairing needs its own four edges only, so the three are joined separately: each starts from two disjoint edges of
-    one group and closes with the two others.
-    """
-    g = ["source", "t", "chan"]
-    good = e.where(F.col("isnr2").isNotNull() & (F.col("isnr2") <= 1 / min_snr**2) & F.col("m_lna").isNotNull())
-    value = (F.col("lna") - F.col("m_lna")).alias("x")
-    side = lambda n, x, y: good.select(*g, F.col("p").alias(x), F.col("q").alias(y), value.alias(f"x{n}"), F.col("isnr2").alias(f"v{n}"))
-    out = None
-    # (ab cd)/(ac bd), (ab cd)/(ad bc), (ac bd)/(ad bc); a path through shared antennas keeps every step an equi-join.
-    for name, one, two, three, four in (("abcd/acbd", "ab", "bd", "cd", "ac"), ("abcd/adbc", "ab", "bc", "cd", "ad"), ("acbd/adbc", "ac", "bc", "bd", "ad")):
-        j = side(1, *one).join(side(2, *two), [*g, *(set(one) & set(two))])
-        j = j.join(side(3, *three), [*g, *((set(one) | set(two)) & set(three))]).join(side(4, *four), [*g, *four])
-        j = j.where((F.col("a") < F.col("b")) & (F.col("b") < F.col("c")) & (F.col("c") < F.col("d")))
-        part = j.select(*g, "a", "b", "c", "d", F.lit(name).alias("pairing"), (F.col("x1") + F.col("x3") - F.col("x2") - F.col("x4")).alias("residual"), (F.col("v1") + F.col("v2") + F.col("v3") + F.col("v4")).alias("var"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    def kernel(ants: np.ndarray, m: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        for name, a, b, c, d, residual, var in _quadrangles(m, min_snr):
+            yield {"a": ants[a], "b": ants[b], "c": ants[c], "d": ants[d], "pairing": np.full(len(a), name, object), "residual": residual, "var": var}
+
+    return _closed(e, kernel, {"a": "int", "b": "int", "c": "int", "d": "int", "pairing": "string", "residual": "double", "var": "double"})
 
 
 def closure_amp_chi2(e: DataFrame, min_snr: float, by: list[str]) -> DataFrame:
-    """(by, chi2, rms, n) of log closure amplitudes."""
-    d = F.col("residual")
-    return quadrangles(e, min_snr).groupBy(*by).agg(F.avg(d * d / F.col("var")).alias("chi2"), F.sqrt(F.avg(d * d)).alias("rms"), F.count("*").alias("n"))
+    """(by, chi2, rms, n) of log closure amplitudes (A13); by as in closure_chi2."""
+    if not set(by) <= set(_GROUP):
+        d = F.col("residual")
+        return quadrangles(e, min_snr).groupBy(*by).agg(F.avg(d * d / F.col("var")).alias("chi2"), F.sqrt(F.avg(d * d)).alias("rms"), F.count("*").alias("n"))
+
+    def kernel(ants: np.ndarray, m: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        scaled, plain, n = 0.0, 0.0, 0
+        for *_, residual, var in _quadrangles(m, min_snr):
+            d2 = residual * residual
+            scaled, plain, n = scaled + (d2 / var).sum(), plain + d2.sum(), n + len(d2)
+        if n:
+            yield {"s": np.array([scaled]), "r": np.array([plain]), "n": np.array([n])}
+
+    sums = _closed(e, kernel, {"s": "double", "r": "double", "n": "bigint"})
+    return sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("chi2"), F.sqrt(F.sum("r") / F.sum("n")).alias("rms"), F.sum("n").alias("n"))
