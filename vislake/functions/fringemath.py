@@ -7,6 +7,7 @@ the frequency axis first, so that only the delays of the window are carried thro
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -119,48 +120,6 @@ def noise_region(shape: tuple[int, int], r: int, d: int) -> np.ndarray:
     return np.argsort(-sep, kind="stable")[:k]
 
 
-def quadratic_peak(g: np.ndarray, rate: np.ndarray, delay: np.ndarray, r: int, d: int, weight: float) -> tuple[float, float, np.ndarray]:
-    """(delay, rate, Q): peak of a quadratic through the 3x3 bins of |G|^2 / D, moved one bin at most; Q is the positive part
-    of minus half its Hessian. A peak on the border stays, with Q = 0."""
-    if r in (0, g.shape[0] - 1) or d in (0, g.shape[1] - 1):
-        return float(delay[d]), float(rate[r]), np.zeros((2, 2))
-    steps = np.array([rate[1] - rate[0], delay[1] - delay[0]])
-    u, v = (x.ravel() for x in np.meshgrid([-1.0, 0.0, 1.0], [-1.0, 0.0, 1.0], indexing="ij"))
-    a = np.stack([np.ones(9), u, v, u * u, v * v, u * v], axis=1)
-    b = (np.abs(g[r - 1 : r + 2, d - 1 : d + 2]) ** 2 / weight).ravel()
-    c = np.linalg.lstsq(a, b, rcond=None)[0]
-    h = np.array([[2 * c[3], c[5]], [c[5], 2 * c[4]]])
-    val, vec = np.linalg.eigh(-0.5 * h / np.outer(steps, steps))
-    q = (vec * np.maximum(val, 0)) @ vec.T
-    if np.all(np.linalg.eigvalsh(-h) > 0):
-        shift = np.clip(-np.linalg.solve(h, c[1:3]), -1, 1) * steps
-        return float(delay[d] + shift[1]), float(rate[r] + shift[0]), q
-    return float(delay[d]), float(rate[r]), q
-
-
-def _slope(z: np.ndarray, x: np.ndarray, total: complex) -> float:
-    """Slope of the phase of z against x about the phase of the total, weighted by |z|^2."""
-    w = np.abs(z) ** 2
-    if not w.sum():
-        return 0.0
-    dx = x - (w * x).sum() / w.sum()
-    den = (w * dx * dx).sum()
-    return float((w * dx * np.angle(z * np.conj(total))).sum() / den) if den > 0 else 0.0
-
-
-def refine(s: np.ndarray, t: np.ndarray, nu: np.ndarray, t0: float, nu0: float, delay: float, rate: float, iterations: int) -> tuple[float, float]:
-    """Steps that move (delay, rate) by the phase slopes of the derotated plane's two axis sums."""
-    for _ in range(iterations):
-        z = s * np.exp(-1j * TWO_PI * (t - t0) * rate)[:, None] * np.exp(-1j * TWO_PI * (nu - nu0) * delay)[None, :]
-        by_nu, by_t = z.sum(0), z.sum(1)
-        total = by_nu.sum()
-        if total == 0:
-            break
-        delay += _slope(by_nu, nu, total) / TWO_PI
-        rate += _slope(by_t, t, total) / TWO_PI
-    return delay, rate
-
-
 @dataclass(frozen=True)
 class Search:
     """Windows in Hz and s, oversampling of the rate and the delay axis, refinement steps (0: none)."""
@@ -171,25 +130,88 @@ class Search:
     iterations: int = 2
 
 
-def measure(s: np.ndarray, tl: Lattice, fl: Lattice, t0: float, nu0: float, weight: float, bandwidth: float, search: Search) -> dict:
-    """Peak of one plane: delay, rate, snr, sigma_delay, coeff, q11, q12, q22, q_ab and the bin widths."""
-    g, rate, delay = transform(s, tl, fl, search.rates, search.delays, search.oversample)
-    power = np.abs(g) ** 2
-    d, r = divmod(int(power.ravel(order="F").argmax()), g.shape[0])
-    tau, rho, q = quadratic_peak(g, rate, delay, r, d, weight)
-    t, nu = tl.points(), fl.points()
-    tau, rho = refine(s, t, nu, t0, nu0, tau, rho, search.iterations)
-    n = (s * np.exp(-1j * TWO_PI * (t - t0) * rho)[:, None] * np.exp(-1j * TWO_PI * (nu - nu0) * tau)[None, :]).sum()
-    region = noise_region(g.shape, r, d)
-    sigma = np.median(np.abs(g).ravel(order="F")[region]) / np.sqrt(2 * np.log(2)) if len(region) else 0.0
-    snr = float(abs(g[r, d]) / sigma) if sigma > 0 else 0.0
+#: Design of the quadratic through 3 x 3 bins, and its least-squares inverse.
+_U, _V = (x.ravel() for x in np.meshgrid([-1.0, 0.0, 1.0], [-1.0, 0.0, 1.0], indexing="ij"))
+_QUADRATIC = np.linalg.pinv(np.stack([np.ones(9), _U, _V, _U * _U, _V * _V, _U * _V], axis=1))
+_regions = lru_cache(maxsize=4096)(noise_region)
+
+
+def _peaks(power: np.ndarray, rate: np.ndarray, delay: np.ndarray, r: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(delay, rate, Q) per plane: peak of a quadratic through the 3 x 3 bins of |G|^2 / D, moved one bin at most; Q is the
+    positive part of minus half its Hessian. A peak on the border stays, with Q = 0."""
+    b = np.arange(len(r))
+    inner = (r > 0) & (r < power.shape[1] - 1) & (d > 0) & (d < power.shape[2] - 1)
+    q = np.zeros((len(r), 2, 2))
+    tau, rho = delay[d].astype(float), rate[r].astype(float)
+    k = np.flatnonzero(inner)
+    if len(k):
+        steps = np.array([rate[1] - rate[0], delay[1] - delay[0]])
+        off = np.array([-1, 0, 1])
+        near = power[b[k][:, None, None], (r[k][:, None] + off)[:, :, None], (d[k][:, None] + off)[:, None, :]].reshape(len(k), 9)
+        c = near @ _QUADRATIC.T
+        h = np.stack([np.stack([2 * c[:, 3], c[:, 5]], -1), np.stack([c[:, 5], 2 * c[:, 4]], -1)], -2)
+        val, vec = np.linalg.eigh(-0.5 * h / np.outer(steps, steps))
+        q[k] = (vec * np.maximum(val, 0)[:, None, :]) @ np.swapaxes(vec, 1, 2)
+        peaked = np.all(np.linalg.eigvalsh(-h) > 0, axis=1)
+        m = k[peaked]
+        if len(m):
+            shift = np.clip(-np.linalg.solve(h[peaked], c[peaked, 1:3][..., None])[..., 0], -1, 1) * steps
+            rho[m] += shift[:, 0]
+            tau[m] += shift[:, 1]
+    return tau, rho, q
+
+
+def _slopes(z: np.ndarray, x: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Slope of the phase of z against x about the phase of the total, weighted by |z|^2, per row."""
+    w = np.abs(z) ** 2
+    mean = (w * x).sum(1) / np.maximum(w.sum(1), 1e-300)
+    dx = x - mean[:, None]
+    den = (w * dx * dx).sum(1)
+    return np.where(den > 0, (w * dx * np.angle(z * np.conj(total)[:, None])).sum(1) / np.where(den > 0, den, 1), 0.0)
+
+
+def measure_many(s: np.ndarray, tl: Lattice, fl: Lattice, t: np.ndarray, nu: np.ndarray, weight: np.ndarray, bandwidth: np.ndarray, search: Search) -> dict[str, np.ndarray]:
+    """Peaks of planes of one shape and step (C7): delay, rate, snr, sigma_delay, coeff, q11, q12, q22, q_ab, bin widths.
+
+    s: (plane, time, channel); t, nu: the lattices' points per plane, relative to where phases refer to; of tl and fl only
+    step and length count.
+    """
+    g, delay = _axis(s, 2, fl.step, search.oversample[1], *search.delays)
+    g, rate = _axis(g, 1, tl.step, search.oversample[0], *search.rates)
+    n, n_r, _ = g.shape
+    magnitude = np.abs(g)
+    by_column = np.swapaxes(magnitude, 1, 2).reshape(n, -1)
+    d, r = np.divmod((by_column * by_column).argmax(1), n_r)
+    tau, rho, q = _peaks(magnitude**2 / weight[:, None, None], rate, delay, r, d)
+
+    def turned() -> np.ndarray:
+        return s * np.exp(-1j * TWO_PI * t * rho[:, None])[:, :, None] * np.exp(-1j * TWO_PI * nu * tau[:, None])[:, None, :]
+
+    for _ in range(search.iterations):
+        z = turned()
+        by_nu, by_t = z.sum(1), z.sum(2)
+        total = by_nu.sum(1)
+        some = total != 0
+        tau = tau + np.where(some, _slopes(by_nu, nu, total), 0.0) / TWO_PI
+        rho = rho + np.where(some, _slopes(by_t, t, total), 0.0) / TWO_PI
+    peak = turned().sum((1, 2))
+    region = np.stack([_regions(g.shape[1:], int(a), int(b)) for a, b in zip(r, d)]) if n else np.zeros((0, 0), int)
+    sigma = np.median(np.take_along_axis(by_column, region, 1), 1) / np.sqrt(2 * np.log(2)) if region.size else np.zeros(n)
+    snr = np.where(sigma > 0, magnitude[np.arange(n), r, d] / np.where(sigma > 0, sigma, 1), 0.0)
+    sure = (snr > 0) & (bandwidth > 0)
     return {
-        "delay": tau, "rate": rho, "snr": snr, "sigma_delay": 1 / (TWO_PI * snr * bandwidth) if snr > 0 and bandwidth > 0 else float("inf"),
-        "re": n.real / weight, "im": n.imag / weight, "q11": q[0, 0], "q12": q[0, 1], "q22": q[1, 1], "q_ab": abs(n) ** 2 / weight,
-        "delay_bin": float(delay[1] - delay[0]) if len(delay) > 1 else 1.0, "rate_bin": float(rate[1] - rate[0]) if len(rate) > 1 else 1.0,
+        "delay": tau, "rate": rho, "snr": snr, "sigma_delay": np.where(sure, 1 / (TWO_PI * np.where(sure, snr * bandwidth, 1)), np.inf),
+        "re": peak.real / weight, "im": peak.imag / weight, "q11": q[:, 0, 0], "q12": q[:, 0, 1], "q22": q[:, 1, 1], "q_ab": np.abs(peak) ** 2 / weight,
+        "delay_bin": np.full(n, float(delay[1] - delay[0]) if len(delay) > 1 else 1.0), "rate_bin": np.full(n, float(rate[1] - rate[0]) if len(rate) > 1 else 1.0),
     }
 
 
+def measure(s: np.ndarray, tl: Lattice, fl: Lattice, t0: float, nu0: float, weight: float, bandwidth: float, search: Search) -> dict:
+    """Peak of one plane: measure_many of it alone, phases referred to (t0, nu0)."""
+    got = measure_many(s[None], tl, fl, (tl.points() - t0)[None], (fl.points() - nu0)[None], np.array([weight]), np.array([bandwidth]), search)
+    return {k: float(v[0]) for k, v in got.items()}
+
+
 def plane(s: np.ndarray, tl: Lattice, fl: Lattice, weight: float, search: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(|G| / D, rate, delay) of the whole window."""
     g, rate, delay = transform(s, tl, fl, search.rates, search.delays, search.oversample)

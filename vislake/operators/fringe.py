@@ -6,16 +6,23 @@ kernel gets is bounded by the tile's own grid and not by the number of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import TWO_PI, present
-from vislake.functions.fringemath import Lattice, Search, assert_uniform, frequency_lattice, measure, plane, uniform_lattice
+from vislake.functions.fringemath import Lattice, Search, assert_uniform, frequency_lattice, measure_many, plane, uniform_lattice
 from vislake.functions.graphmath import stationize
 from vislake.operators.gains import Solution
 
+#: Cells of the planes that are transformed as one stack.
+STACK_CELLS = 1 << 19
+#: Root mean square distance of times from their lattice, as a share of its step, from which they are not uniform.
+UNIFORM_SHARE = 0.25
+
 TILE = ["tcell", "fcell", "source", "p", "q"]
 _PEAK = "delay double, rate double, snr double, sigma_delay double, re double, im double, q11 double, q12 double, q22 double, q_ab double, delay_bin double, rate_bin double"
 FRINGES = f"tcell int, fcell int, source int, p int, q int, i int, j int, t double, nu double, weight double, bandwidth double, {_PEAK}"
@@ -70,18 +77,86 @@ def fringe_fit(vis: DataFrame, width: float, search: Search, strict: bool = True
     refer to the middle of the tile's times and frequencies. No rows: no rows.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: int(pdf[k].iloc[0]) for k in TILE}
-        t0, nu0 = (pdf["t"].min() + pdf["t"].max()) / 2, (pdf["nu"].min() + pdf["nu"].max()) / 2
-        nan = dict.fromkeys(("delay", "rate", "snr", "sigma_delay", "re", "im", "q11", "q12", "q22", "q_ab", "delay_bin", "rate_bin"), float("nan"))
-        if pdf["t"].nunique() < 2 or pdf["nu"].nunique() < 2:
-            sums = pdf.groupby(["i", "j"], as_index=False)["sw"].sum()
-            rows = [head | {"i": int(r.i), "j": int(r.j), "t": t0, "nu": nu0, "weight": r.sw, "bandwidth": 0.0} | nan for r in sums.itertuples()]
-        else:
-            rows = [head | {"i": i, "j": j, "t": t0, "nu": nu0, "weight": w, "bandwidth": b} | measure(s, tl, fl, t0, nu0, w, b, search) for tl, fl, i, j, s, w, b in _planes(pdf, width, cadence)]
-        return pd.DataFrame(rows)
-
-    return grid_sums(vis, strict).groupBy(*TILE).applyInPandas(run, FRINGES)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = None
+            if not len(pdf):
+                continue
+            # Rows are sorted by tile: the last one may go on in the next batch.
+            same = np.logical_and.reduce([pdf[k].to_numpy() == pdf[k].iloc[-1] for k in TILE])
+            cut = int(np.argmax(same))
+            held = pdf.iloc[cut:]
+            if cut:
+                yield _measured(pdf.iloc[:cut].reset_index(drop=True), width, search, cadence)
+        if held is not None:
+            yield _measured(held.reset_index(drop=True), width, search, cadence)
+
+    return grid_sums(vis, strict).repartition(*TILE).sortWithinPartitions(*TILE, "i", "j").mapInPandas(run, FRINGES)
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the run of equal rows that each row is in, first row of each run) of columns in sorted order."""
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _measured(pdf: pd.DataFrame, width: float, search: Search, cadence: float | None) -> pd.DataFrame:
+    """Peaks of many whole tiles: planes of equal shape and step are transformed as one stack."""
+    col = {c: pdf[c].to_numpy() for c in (*TILE, "i", "j", "t", "nu", "sre", "sim", "sw")}
+    tile, first = _runs(*[col[k] for k in TILE])
+    t_lo, t_hi = np.minimum.reduceat(col["t"], first), np.maximum.reduceat(col["t"], first)
+    f_lo, f_hi = np.minimum.reduceat(col["nu"], first), np.maximum.reduceat(col["nu"], first)
+    enough = (t_hi > t_lo) & (f_hi > f_lo)
+    origin, step = t_lo.astype(float), np.full(len(first), cadence or 1.0)
+    n_t = np.ones(len(first), int)
+    edge = np.append(first, len(pdf))
+    if cadence is None:
+        for k in np.flatnonzero(enough):
+            lattice = uniform_lattice(col["t"][edge[k] : edge[k + 1]])
+            origin[k], step[k], n_t[k] = lattice.origin, lattice.step, lattice.n
+    else:
+        n_t = np.rint((t_hi - t_lo) / cadence).astype(int) + 1
+    order = np.lexsort((col["t"], tile))
+    _, at = _runs(tile[order], col["t"][order])
+    of, off = tile[order][at], col["t"][order][at] - origin[tile[order][at]]
+    off = np.abs(off - np.rint(off / step[of]) * step[of])
+    rms = np.sqrt(np.bincount(of, off * off, len(first)) / np.bincount(of, minlength=len(first)))
+    if (enough & (rms > UNIFORM_SHARE * step)).any():
+        raise ValueError(f"samples are not uniform: rms distance {rms[enough].max()}")
+    n_f = np.rint((f_hi - f_lo) / width).astype(int) + 1
+    away = lambda x: np.where(x < 0, np.ceil(x - 0.5), np.floor(x + 0.5)).astype(int)
+    a = np.clip(away((col["t"] - origin[tile]) / step[tile]), 0, n_t[tile] - 1)
+    b = np.clip(away((col["nu"] - f_lo[tile]) / width), 0, n_f[tile] - 1)
+    plane_of, start = _runs(tile, col["i"], col["j"])
+    mine = tile[start]
+    weight = np.add.reduceat(col["sw"], start)
+    mean = np.add.reduceat(col["sw"] * col["nu"], start) / weight
+    spread = np.sqrt(np.add.reduceat(col["sw"] * (col["nu"] - mean[plane_of]) ** 2, start) / weight)
+    ok = enough[mine]
+    out = {k: col[k][start] for k in (*TILE, "i", "j")} | {"t": (t_lo + t_hi)[mine] / 2, "nu": (f_lo + f_hi)[mine] / 2, "weight": weight, "bandwidth": np.where(ok, spread, 0.0)}
+    out |= {k: np.full(len(start), np.nan) for k in ("delay", "rate", "snr", "sigma_delay", "re", "im", "q11", "q12", "q22", "q_ab", "delay_bin", "rate_bin")}
+    shapes: dict[tuple, list[int]] = {}
+    for p in np.flatnonzero(ok):
+        shapes.setdefault((n_t[mine[p]], n_f[mine[p]], step[mine[p]]), []).append(p)
+    row_of = np.append(start, len(pdf))
+    for (nt, nf, dt), every in shapes.items():
+        most = max(1, STACK_CELLS // (nt * nf))
+        for k in range(0, len(every), most):
+            ps = np.array(every[k : k + most])
+            rows = np.concatenate([np.arange(row_of[p], row_of[p + 1]) for p in ps])
+            number = np.repeat(np.arange(len(ps)), row_of[ps + 1] - row_of[ps])
+            s = np.zeros((len(ps), nt, nf), complex)
+            np.add.at(s, (number, a[rows], b[rows]), col["sre"][rows] + 1j * col["sim"][rows])
+            t = (origin[mine[ps]] - out["t"][ps])[:, None] + dt * np.arange(nt)[None, :]
+            nu = (f_lo[mine[ps]] - out["nu"][ps])[:, None] + width * np.arange(nf)[None, :]
+            for name, x in measure_many(s, Lattice(0.0, float(dt), int(nt)), Lattice(0.0, width, int(nf)), t, nu, weight[ps], out["bandwidth"][ps], search).items():
+                out[name][ps] = x
+    return pd.DataFrame(out)
 
 
 def fringe_planes(vis: DataFrame, width: float, search: Search, strict: bool = True, cadence: float | None = None) -> DataFrame:
