@@ -1,7 +1,7 @@
 """Bandpass and amplitude solves (C17, C18, A15): condensed by group-bys, iterated on small arrays.
 
 The sums a solve needs are a distributed aggregate of fixed size per cell (antennas^2 x slots x cells); the iteration is a
-grouped kernel per bandpass time cell, so cells run in parallel and none holds visibilities.
+grouped kernel per bandpass time cell and set of coupled channels, so cells run in parallel and none holds visibilities.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import present
+from vislake.session import bounded
 
 KEY = ["source", "p", "q", "i", "j", "hcell", "acell"]
 
@@ -49,6 +50,25 @@ def solve_bandpass(sums: DataFrame, iterations: int, regularization: float, refe
     is 0 in every channel; a reference without data is an error.
     """
 
+    # Channels are coupled only through the coherence cells they share, so each coupled set is solved by a task of its own,
+    # under the penalty of the whole time cell. The pairs are as many as channels.
+    pairs = [tuple(r) for r in sums.select("acell", "k").distinct().collect()]
+    home: dict = {}
+
+    def root(x):
+        while home.setdefault(x, x) != x:
+            x = home[x]
+        return x
+
+    for a, k in pairs:
+        home[root(("k", k))] = root(("a", a))
+    sets = {r: n for n, r in enumerate(sorted({root(("k", k)) for _, k in pairs}))}
+    of_k = {k: sets[root(("k", k))] for _, k in pairs}
+    part = F.create_map(*[F.lit(x) for item in of_k.items() for x in item])[F.col("k")] if of_k else F.lit(0)
+    size = sums.select("tcell", ((F.col("sre") ** 2 + F.col("sim") ** 2) / F.col("sw")).alias("__x"), F.col("sw").alias("__w"))
+    limit = weighted_quantile_column(size, ["tcell"], "__x", "__w", 0.9).withColumnRenamed("value", "limit")
+    sums = sums.join(bounded(limit), "tcell").withColumn("part", part)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*KEY, "k"], ignore_index=True)
         d, w = pdf["sre"].to_numpy() + 1j * pdf["sim"].to_numpy(), pdf["sw"].to_numpy()
@@ -56,7 +76,7 @@ def solve_bandpass(sums: DataFrame, iterations: int, regularization: float, refe
         code, names = pd.factorize(nodes)
         lp, lq = code[: len(pdf)], code[len(pdf) :]
         group = pdf.groupby(KEY, sort=False).ngroup().to_numpy()
-        penalty = regularization * weighted_quantile(np.abs(d) ** 2 / w, w, 0.9)
+        penalty = regularization * float(pdf["limit"].iloc[0])
         n, b = len(names), np.ones(len(names), complex)
         add = lambda at, z: np.bincount(at, z.real, n) + 1j * np.bincount(at, z.imag, n)
         for it in range(1, iterations + 1):
@@ -82,7 +102,7 @@ def solve_bandpass(sums: DataFrame, iterations: int, regularization: float, refe
         z = out["b"].to_numpy()
         return out.assign(phase=np.angle(z), log_amp=np.log(np.abs(z)))[["tcell", "p", "i", "k", "phase", "log_amp"]]
 
-    return sums.groupBy("tcell").applyInPandas(run, "tcell int, p int, i int, k int, phase double, log_amp double")
+    return sums.groupBy("tcell", "part").applyInPandas(run, "tcell int, p int, i int, k int, phase double, log_amp double")
 
 
 def condense_amplitudes(vis: DataFrame, weight_scale: float, min_snr: float, floor: float) -> DataFrame:
@@ -133,6 +153,6 @@ def normalized(solved: DataFrame, mode: str) -> DataFrame:
         w = Window.partitionBy("i", "tcell", "fcell")
         return solved.withColumn("a", F.col("a") - F.sum(F.col("a") * F.col("info")).over(w) / F.sum("info").over(w))
     if mode == "global":
-        mean = F.broadcast(solved.agg((F.sum(F.col("a") * F.col("info")) / F.sum("info")).alias("__mean")))  # one row
-        return solved.join(mean).withColumn("a", F.col("a") - F.col("__mean")).drop("__mean")
+        mean = solved.agg(F.sum(F.col("a") * F.col("info")) / F.sum("info")).first()[0]  # one number
+        return solved.withColumn("a", F.col("a") - F.lit(mean))
     raise ValueError(f"mode {mode!r}; one of percell, global, none")

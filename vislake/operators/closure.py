@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import TWO_PI, Complex, present, wrap
 from vislake.operators.average import C_LIGHT, MAS
+from vislake.session import stored
 
 #: Sign of the correlator's baseline vector against the image plane.
 UV_SIGN = -1.0
@@ -84,7 +85,34 @@ def noise_series(stokes: DataFrame) -> DataFrame:
 
 def noise_scale(stokes: DataFrame) -> DataFrame:
     """One row: the median over series; no series is an error of the caller (NULL here)."""
-    return noise_series(stokes).agg(F.median("k").alias("k"), F.count("*").alias("n_series"))
+    series = stored(noise_series(stokes).select("k"))
+    k, n = exact_median(series, "k")
+    return stokes.sparkSession.createDataFrame([(k, n)], "k double, n_series bigint")
+
+
+def exact_median(rows: DataFrame, column: str, at_once: int = 100_000) -> tuple[float | None, int]:
+    """(median, number of values) of a stored column: counted bounds close in on the middle until so few values are left
+    between them that one task can sort them."""
+    n = rows.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None, 0
+    low, high, below, inside = None, None, 0, n
+    ranks = ((n - 1) // 2, n // 2)
+    middle = rows.where(F.col(column).isNotNull())
+    while inside > at_once:
+        got = middle.select(F.percentile_approx(column, [max(0.0, (ranks[0] - below) / inside - 0.01), min(1.0, (ranks[1] - below) / inside + 0.01)], 1000).alias("q")).first()["q"]
+        if (low, high) == tuple(got):
+            break  # a run of ties
+        low, high = got
+        below = rows.where(F.col(column) < low).count()
+        middle = rows.where(F.col(column).between(low, high))
+        inside = middle.count()
+        if below > ranks[0] or below + inside <= ranks[1]:
+            raise ValueError("bounds of the median missed it")
+    if low is not None and low == high:
+        return float(low), n
+    at = middle.orderBy(column).limit(ranks[1] - below + 1).agg(F.sort_array(F.collect_list(column)).alias("v")).first()["v"] if inside <= at_once else [low]
+    return float((at[ranks[0] - below] + at[ranks[1] - below]) / 2) if inside <= at_once else float(low), n
 
 
 def map_sigma(stokes: DataFrame, weight_scale: float) -> DataFrame:

@@ -17,6 +17,7 @@ from vislake.functions.complexmath import TWO_PI, present
 from vislake.functions.fringemath import Lattice, Search, assert_uniform, frequency_lattice, measure_many, plane, uniform_lattice
 from vislake.functions.graphmath import stationize
 from vislake.operators.gains import Solution
+from vislake.session import bounded
 
 #: Cells of the planes that are transformed as one stack.
 STACK_CELLS = 1 << 19
@@ -203,7 +204,7 @@ def solve_nodes(fringes: DataFrame, kind: str, iterations: int, reference: int)
 def fringe_self(solution: Solution, nodes: DataFrame, targets: list[str]) -> Solution:
     """Node corrections added to the target kinds (C12): the phase is carried to the cells' references and a common turn is
     taken out. The measurement's cells are the solution's own here (tcell, fcell)."""
-    refs = nodes.join(F.broadcast(solution.tcells.select(F.col("cell").alias("tcell"), F.col("ref").alias("t_ref"))), "tcell").join(F.broadcast(solution.fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("nu_ref"))), "fcell")
+    refs = nodes.join(bounded(solution.tcells.select(F.col("cell").alias("tcell"), F.col("ref").alias("t_ref"))), "tcell").join(bounded(solution.fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("nu_ref"))), "fcell")
     phase = F.col("phase")
     if "Delay" in targets:
         phase = phase + TWO_PI * F.col("delay") * (F.col("nu_ref") - F.col("nu"))

@@ -26,8 +26,13 @@ KINDS: dict[str, tuple[bool, str, Callable[..., Column]]] = {
 }
 
 
+#: Time cells of one stretch of install_static.
+CELLS_AT_ONCE = 4096
+
+
 def register_kind(name: str, phase: bool, unit: str, response: Callable[..., Column]) -> None:
-    """Add a component kind."""
+    """Add a component kind (X3); calibrate, corrupt and the queries on solutions take it like the built-in ones. response: a
+    Column of (value, t, nu, t_ref, nu_ref), odd in value so that corrupt inverts calibrate."""
     KINDS[name] = (phase, unit, response)
 
 
@@ -64,23 +69,22 @@ class Solution:
 
 
 def terms_of(solution: Solution, kinds: list[str]) -> DataFrame:
-    """(p, i, tcell, fcell, phi0, dphi_dnu, dphi_dt, a): per node and cell what a datum's gain needs, one row each.
+    """(p, i, tcell, fcell, one column per kind): the summed values of every node and cell, one row each.
 
-    Phase is phi0 + dphi_dnu * (nu - nu_ref) + dphi_dt * (t - t_ref); log amplitude is a. Unknown or repeated kinds are
-    errors.
+    Unknown or repeated kinds are errors.
     """
     if len(set(kinds)) != len(kinds) or any(k not in KINDS for k in kinds):
         raise ValueError(f"kinds must be known and different: {kinds}")
     c = solution.components.where(F.col("kind").isin(kinds))
-    of = lambda *names: F.sum(F.when(F.col("kind").isin(*names), F.col("value")).otherwise(0.0))
-    return c.groupBy("p", "i", "tcell", "fcell").agg(of("PhaseOffset", "PhaseBandpass").alias("phi0"), (of("Delay") * TWO_PI).alias("dphi_dnu"), (of("Rate") * TWO_PI).alias("dphi_dt"), of("LogAmplitudeBandpass").alias("a"))
+    return c.groupBy("p", "i", "tcell", "fcell").agg(*[F.sum(F.when(F.col("kind") == k, F.col("value")).otherwise(0.0)).alias(k) for k in kinds])
 
 
 def calibrate(vis: DataFrame, solution: Solution, kinds: list[str]) -> DataFrame:
     """V / (g_p conj g_q) and w |g_p|^2 |g_q|^2 for every product.
 
-    vis needs tcell and fcell besides its own columns. No kinds: the rows pass unchanged. Weights that are not above 0
-    (or NaN) become 0; the value is divided all the same. A node without a component has gain 1.
+    A node's phase is the sum of the responses of the phase kinds, its log amplitude that of the others, each as registered
+    in KINDS (own kinds included). vis needs tcell and fcell besides its own columns. No kinds: the rows pass unchanged.
+    Weights that are not above 0 (or NaN) become 0; the value is divided all the same. A node without a component has gain 1.
     """
     if not kinds:
         return vis
@@ -88,17 +92,19 @@ def calibrate(vis: DataFrame, solution: Solution, kinds: list[str]) -> DataFrame
     # Broadcast where a count proves the look-ups small: the visibilities are not shuffled for them then.
     refs_t = bounded(solution.tcells.select(F.col("cell").alias("tcell"), F.col("ref").alias("__t_ref")))
     refs_f = bounded(solution.fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("__nu_ref")))
-    names = ["phi0", "dphi_dnu", "dphi_dt", "a"]
-    side = lambda end, slot: bounded(terms.select(F.col("p").alias(end), F.col("i").alias(slot), "tcell", "fcell", *[F.col(n).alias(f"__{end}_{n}") for n in names]))
+    side = lambda end, slot: bounded(terms.select(F.col("p").alias(end), F.col("i").alias(slot), "tcell", "fcell", *[F.col(f"`{k}`").alias(f"__{end}_{n}") for n, k in enumerate(kinds)]))
     full = vis.join(refs_t, "tcell", "left").join(refs_f, "fcell", "left").join(side("p", "i"), ["p", "i", "tcell", "fcell"], "left").join(side("q", "j"), ["q", "j", "tcell", "fcell"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
 
-    def phase(end: str) -> Column:
-        return zero(f"__{end}_phi0") + zero(f"__{end}_dphi_dnu") * (F.col("nu") - F.col("__nu_ref")) + zero(f"__{end}_dphi_dt") * (F.col("t") - F.col("__t_ref"))
+    def total(end: str, phase: bool) -> Column:
+        out = F.lit(0.0)
+        for n, k in enumerate(kinds):
+            if KINDS[k][0] == phase:
+                out = out + KINDS[k][2](F.coalesce(F.col(f"__{end}_{n}"), F.lit(0.0)), F.col("t"), F.col("nu"), F.col("__t_ref"), F.col("__nu_ref"))
+        return out
 
-    amplitude = F.exp(zero("__p_a") + zero("__q_a"))
+    amplitude = F.exp(total("p", False) + total("q", False))
     # 1 / (g_p conj g_q) = exp(-(a_p + a_q)) cis(-(phi_p - phi_q))
-    z = Complex(F.col("re"), F.col("im")) * Complex.polar(1 / amplitude, -(phase("p") - phase("q")))
+    z = Complex(F.col("re"), F.col("im")) * Complex.polar(1 / amplitude, -(total("p", True) - total("q", True)))
     w = F.when(present(F.col("w")), F.col("w") * amplitude * amplitude).otherwise(0.0)
     return full.select(*[z.re.alias("re") if c == "re" else z.im.alias("im") if c == "im" else w.alias("w") if c == "w" else F.col(c) for c in vis.columns])
 
@@ -111,8 +117,14 @@ def corrupt(vis: DataFrame, solution: Solution, kinds: list[str]) -> DataFrame:
 
 
 def install_static(solution: Solution, alignment: DataFrame) -> Solution:
-    """Static values (kind, p, i, fcell, value) added in every time cell (C14)."""
-    cells = solution.tcells.select(F.col("cell").alias("tcell"))
-    numbers = cells.agg(F.array_sort(F.collect_list("tcell")).alias("tcells"), F.lit(1).alias("__one"))  # one row
-    spread = alignment.withColumn("__one", F.lit(1)).join(F.broadcast(numbers), "__one").select("kind", "p", "i", F.explode("tcells").alias("tcell"), "fcell", "value")
-    return solution.plus(spread)
+    """Static values (kind, p, i, fcell, value) added in every time cell (C14).
+
+    Every value is wanted once per time cell: both sides get a stretch of cell numbers as key, so a task holds one stretch.
+    """
+    stretch = lambda c: F.floor(c / CELLS_AT_ONCE)
+    cells = solution.tcells.select(F.col("cell").alias("tcell"), stretch(F.col("cell")).alias("__at"))
+    top = solution.tcells.agg(F.max("cell")).first()[0]
+    if top is None:
+        return solution
+    wide = alignment.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(top // CELLS_AT_ONCE)))).withColumn("__at", F.col("__at").cast("bigint"))
+    return solution.plus(wide.join(bounded(cells), "__at").select("kind", "p", "i", "tcell", "fcell", "value"))

@@ -26,6 +26,12 @@ def gridded(stokes: DataFrame, uv_cell: float) -> DataFrame:
     return g.select("source", "u", "v", "re", "im", F.col("sw").alias("w"))
 
 
+def fine_cell(grid: Grid) -> float:
+    """Side of a uv cell within which a source's visibilities are summed before imaging: a 32nd of what the map's width
+    resolves, so that the phase across a cell stays below a twentieth of a radian at the map's edge."""
+    return 1 / (32 * grid.npix * grid.pixel)
+
+
 def image_sources(stokes: DataFrame, grid: Grid, gain: float, niter: int, sigmas: float, weight_scale: float, window: Callable[[np.ndarray, Grid], np.ndarray] | None = None) -> DataFrame:
     """One row per source: maps, beam, components, peak and noise.
 
@@ -96,19 +102,21 @@ def cleaned_flux(images: DataFrame) -> DataFrame:
     return images.select("source", F.aggregate(F.coalesce("flux", F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x).alias("flux"))
 
 
-def hybrid(stokes: DataFrame, refit: Callable[[DataFrame], DataFrame], rounds: int, floor: float, **imaging) -> tuple[DataFrame, DataFrame]:
+def hybrid(stokes: DataFrame, refit: Callable[[DataFrame], DataFrame], rounds: int, floor: float, uv_cell: float | None = None, **imaging) -> tuple[DataFrame, DataFrame]:
     """The imaging loop (I8): image, divide the model out, let refit improve the data, image again. Returns (images, data).
 
-    refit gets model-divided data and returns corrected original data; each round is cut, so lineage stays flat.
+    refit gets model-divided data and returns corrected original data; each round is cut, so lineage stays flat. Images are
+    made of uv cells (fine_cell of the grid unless given), so that no task holds all rows of a bright source.
     """
     from vislake.session import cut
 
-    images = cut(image_sources(stokes, **imaging))
+    uv_cell = uv_cell or fine_cell(imaging["grid"])
+    images = cut(image_sources(gridded(stokes, uv_cell), **imaging))
     for _ in range(rounds):
         models = components_of(images)
         divided = divide_model(stokes.join(models.select("source"), "source", "left_semi"), models, floor)
         stokes = cut(refit(divided))
-        images = cut(image_sources(stokes, **imaging))
+        images = cut(image_sources(gridded(stokes, uv_cell), **imaging))
     return images, stokes
 
 

@@ -112,10 +112,9 @@ def derive_alignment(nodes: DataFrame) -> DataFrame:
     mean delay and the band slope that goes with it are taken out per cell, the deviations are averaged over cells by
     median and circular mean, and each (p, i) is put to zero mean.
     """
-    centre = nodes.select("fcell", "nu").distinct().agg(F.avg("nu").alias("nu_bar"), F.count("*").alias("n_all"))
+    centre = nodes.select("fcell", "nu").distinct().agg(F.avg("nu").alias("nu_bar"), F.count("*").alias("n_all")).first()  # two numbers
     w = Window.partitionBy("p", "i", "tcell")
-    # One row.
-    n = nodes.join(F.broadcast(centre)).withColumn("n_here", F.count("*").over(w)).where(F.col("n_here") == F.col("n_all"))
+    n = nodes.withColumn("nu_bar", F.lit(centre["nu_bar"])).withColumn("n_here", F.count("*").over(w)).where(F.col("n_here") == F.lit(centre["n_all"]))
     return _deviations(n, ["p", "i"])
 
 

@@ -2,7 +2,7 @@
 
 A partition is two tables: cells (cell, lo, hi, ref) and a lookup (axis item -> cell). Cells are numbered from 1 in the
 order of their support. The cell tables are small next to the data, but nothing here relies on that: all are joins and
-windows over per-item (time, scan) tables that were made distinct first, never over raw visibilities.
+windows over per-item (time, scan) tables that were made distinct first, never over raw visibilities, and in shards.
 """
 
 from __future__ import annotations
@@ -68,21 +68,37 @@ def whole(times: DataFrame) -> Partition:
     return Partition(cells, times.select("t").distinct().withColumn("cell", F.lit(1)), "t")
 
 
-def _numbered(cells: DataFrame, by: str) -> DataFrame:
-    return cells.withColumn("cell", F.dense_rank().over(Window.orderBy(by)).cast("int"))
+#: Scans and times that one task numbers.
+SCANS_AT_ONCE = 65_536
+
+
+def _numbered(cells: DataFrame, by: str, width: float | None = None, amount: str | None = None) -> DataFrame:
+    """Adds cell: the number of each row in order of the distinct column `by`, from 1. With amount, a row stands for that
+    many cells and `base` is the number of those before it.
+
+    Rows are numbered inside shards of `width`; one row per shard carries the number of those before it. Without a width
+    (channels and frequency windows, which are few) there is one shard.
+    """
+    count = F.col(amount) if amount else F.lit(1)
+    at = F.floor(F.col(by) / width).cast("bigint") if width else F.lit(0).cast("bigint")
+    s = cells.withColumn("__shard", at)
+    inside = Window.partitionBy("__shard").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    before = s.groupBy("__shard").agg(F.sum(count).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(across), F.lit(0))).drop("__n")
+    s = s.withColumn("__own", F.coalesce(F.sum(count).over(inside), F.lit(0))).join(before, "__shard")
+    return s.withColumn("base" if amount else "cell", (F.col("__before") + F.col("__own") + (0 if amount else 1)).cast("int")).drop("__shard", "__own", "__before")
 
 
 def by_scan(rows: DataFrame) -> Partition:
     """A cell per scan id, in id order, over the extrema of its times."""
-    cells = _numbered(rows.groupBy("scan").agg(F.min("t").alias("lo"), F.max("t").alias("hi")), "scan").withColumn("ref", (F.col("lo") + F.col("hi")) / 2)
+    cells = _numbered(rows.where(F.col("scan").isNotNull()).groupBy("scan").agg(F.min("t").alias("lo"), F.max("t").alias("hi")), "scan", SCANS_AT_ONCE).withColumn("ref", (F.col("lo") + F.col("hi")) / 2)
     return Partition(cells.select("cell", "lo", "hi", "ref"), cells.select("scan", "cell"), "scan")
 
 
 def by_duration(rows: DataFrame, d: float) -> Partition:
     """Each scan cut into n = max(round((hi - lo) / d), 1) equal cells (G4). rows: scan, t."""
     spans = rows.groupBy("scan").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).withColumn("n", F.greatest(F.rint((F.col("hi") - F.col("lo")) / d), F.lit(1.0)).cast("int"))
-    before = Window.orderBy("scan").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).withColumn("width", (F.col("hi") - F.col("lo")) / F.col("n"))
+    spans = _numbered(spans, "scan", SCANS_AT_ONCE, "n").withColumn("width", (F.col("hi") - F.col("lo")) / F.col("n"))
     k = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")
     cells = spans.select("base", "lo", "width", k).select((F.col("base") + F.col("k")).alias("cell"), (F.col("lo") + (F.col("k") - 1) * F.col("width")).alias("lo"), (F.col("lo") + F.col("k") * F.col("width")).alias("hi"))
     times = rows.select("scan", "t").distinct().join(spans, "scan")
@@ -138,8 +154,9 @@ def coarsen(fine: Partition, into: DataFrame, n: int) -> DataFrame:
     """
     order = Window.partitionBy("coarse").orderBy("fine")
     numbered = into.withColumn("block", F.floor((F.row_number().over(order) - 1) / n).cast("int"))
-    blocks = numbered.select("coarse", "block").distinct().withColumn("new_cell", F.row_number().over(Window.orderBy("coarse", "block")))
-    cells = numbered.join(blocks, ["coarse", "block"]).join(fine.cells, F.col("fine") == F.col("cell"))
+    per = numbered.groupBy("coarse").agg((F.max("block") + 1).alias("__blocks"))
+    blocks = _numbered(per, "coarse", SCANS_AT_ONCE, "__blocks").select("coarse", "base")
+    cells = numbered.join(blocks, "coarse").withColumn("new_cell", F.col("base") + F.col("block") + 1).join(fine.cells, F.col("fine") == F.col("cell"))
     w = Window.partitionBy("new_cell")
     return cells.select("cell", "new_cell", F.min("lo").over(w).alias("lo"), F.max("hi").over(w).alias("hi"))
 
@@ -171,7 +188,7 @@ def time_mode(rows: DataFrame, mode: str, custom: float | None = None) -> Partit
     if mode == "whole":
         return whole(rows)
     if mode == "integration":
-        cells = _numbered(rows.select("t").distinct(), "t")
+        cells = _numbered(rows.where(F.col("t").isNotNull()).select("t").distinct(), "t", SCAN_SHARD)
         return Partition(cells.select("cell", F.col("t").alias("lo"), F.col("t").alias("hi"), F.col("t").alias("ref")), cells.select("t", "cell"), "t")
     if mode == "custom" and custom:
         return by_duration(rows, custom)

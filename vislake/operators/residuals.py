@@ -137,9 +137,10 @@ def window_structure(rows: DataFrame, snr_gate: float) -> DataFrame:
     d = rows.withColumn("ok", ok).where("ok = 1").withColumn("d", F.col("delay") - F.avg("delay").over(w))
     g = Window.partitionBy("group", "fcell")
     v = d.withColumn("m", F.avg("d").over(g)).withColumn("n", F.count("*").over(g)).where("n >= 3")
-    groups = v.select("group", "fcell", "m").distinct().agg(F.count("*").alias("n_groups"), F.sqrt(F.avg(F.col("m") ** 2)).alias("static_rms"))
-    varies = v.agg(F.sqrt(F.avg((F.col("d") - F.col("m")) ** 2)).alias("var_rms"), (1.4826 * F.median(F.abs(F.col("d") - F.col("m")))).alias("var_mad"))
-    return groups.join(F.broadcast(varies))  # one row each
+    # One row per group first; the group's mean counts once, its deviations all.
+    v = v.withColumn("first", F.row_number().over(g.orderBy("row_key")) == 1)
+    d = F.col("d") - F.col("m")
+    return v.agg(F.count_if("first").alias("n_groups"), F.sqrt(F.avg(F.when(F.col("first"), F.col("m") ** 2))).alias("static_rms"), F.sqrt(F.avg(d * d)).alias("var_rms"), (1.4826 * F.median(F.abs(d))).alias("var_mad"))
 
 
 def match_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,48 +2,75 @@
 
 A pure range condition would be planned as a nested loop. Here both sides get time buckets (an interval one row per
 bucket that it touches), the join is an equi-join on key and bucket, and the exact condition filters what it yields.
+Buckets come in size classes, so that no interval touches more than two of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vislake.session import fresh
 
 
-def _bucketed(df: DataFrame, lo: Column, hi: Column, width: float, name: str) -> DataFrame:
-    at = lambda x: F.floor(x / width).cast("bigint")
-    return df.withColumn(name, F.explode(F.sequence(at(lo), at(hi))))
+#: Buckets of one size class are this many times longer than those of the class below.
+CLASS_STEP = 8
+
+
+def _class_of(lo: Column, hi: Column, width: float) -> Column:
+    """Size class of an interval: the least one whose buckets are no shorter, so that it touches two buckets at most."""
+    return F.greatest(F.ceil(F.log(float(CLASS_STEP), F.greatest((hi - lo) / width, F.lit(1.0))) - 1e-9), F.lit(0)).cast("int")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: float, how: str = "inner") -> DataFrame:
     """Left intervals [lo, hi] with right intervals [r_lo, r_hi] of equal keys that touch them (closed on both sides).
 
     how: inner (left and right columns, one row per pair), left_semi or left_anti (each left row at most once). width:
-    bucket length in the unit of the bounds, about the length of a typical interval. Rows whose bounds are NULL or NaN or
-    reversed touch nothing. left needs a unique row_key column for semi and anti joins.
+    bucket length in the unit of the bounds, about the length of a typical interval. A pair meets in the buckets of the
+    larger of its two size classes, so a long interval costs a row or two per class and not one per bucket. Rows whose bounds
+    are NULL or NaN or reversed touch nothing. left needs a unique row_key column for semi and anti joins.
     """
-    bucket = fresh(left, "bucket")
+    bucket, size = fresh(left, "bucket"), fresh(left, "size")
     good = lambda lo, hi: F.coalesce((F.col(lo) <= F.col(hi)) & ~F.isnan(hi), F.lit(False))
-    a = _bucketed(left.where(good("lo", "hi")), F.col("lo"), F.col("hi"), width, bucket)
-    b = _bucketed(right.where(good("r_lo", "r_hi")), F.col("r_lo"), F.col("r_hi"), width, bucket)
+    a = left.where(good("lo", "hi")).withColumn(f"{size}_l", _class_of(F.col("lo"), F.col("hi"), width))
+    b = right.where(good("r_lo", "r_hi")).withColumn(f"{size}_r", _class_of(F.col("r_lo"), F.col("r_hi"), width))
+    # Two numbers: the largest classes.
+    most = max(x or 0 for x in (a.agg(F.max(f"{size}_l")).first()[0], b.agg(F.max(f"{size}_r")).first()[0]))
+    length = lambda c: F.lit(width) * F.pow(F.lit(float(CLASS_STEP)), c)
+    at = lambda x: F.floor(x / length(F.col(size))).cast("bigint")
+    spread = lambda df, own, lo, hi: df.withColumn(size, F.explode(F.sequence(F.col(own), F.lit(most)))).withColumn(bucket, F.explode(F.sequence(at(F.col(lo)), at(F.col(hi)))))
     touch = (F.col("lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("hi"))
     # The first bucket that both share is the one that counts: a pair comes out once.
-    once = F.col(bucket) == F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("r_lo") / width)).cast("bigint")
-    pairs = a.join(b, [*keys, bucket]).where(touch & once).drop(bucket)
+    once = (F.col(size) == F.greatest(f"{size}_l", f"{size}_r")) & (F.col(bucket) == F.greatest(at(F.col("lo")), at(F.col("r_lo"))))
+    pairs = spread(a, f"{size}_l", "lo", "hi").join(spread(b, f"{size}_r", "r_lo", "r_hi"), [*keys, size, bucket]).where(touch & once).drop(bucket, size, f"{size}_l", f"{size}_r")
     if how == "inner":
         return pairs
     return left.join(pairs.select("row_key").distinct(), "row_key", how)
 
 
-def merged_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Unions of overlapping or touching [r_lo, r_hi] per key, by the running maximum of ends (W1). For dimension tables
-    of flags; large tables go through interval_runs."""
-    order = Window.partitionBy(*keys).orderBy("r_lo", "r_hi")
-    reach = F.max("r_hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("r_lo") > reach), 1).otherwise(0)
-    islands = rows.where(F.coalesce(F.col("r_lo") <= F.col("r_hi"), F.lit(False))).withColumn("__new", new).withColumn("__island", F.sum("__new").over(order))
+#: Length of a time shard in which intervals are merged, in the unit of the bounds.
+MERGE_SHARD = 86_400.0
+
+
+def merged_intervals(rows: DataFrame, keys: list[str], shard: float = MERGE_SHARD) -> DataFrame:
+    """Unions of overlapping or touching [r_lo, r_hi] per key, by the running maximum of ends.
+
+    The maximum runs inside shards of the key's time axis; one row per shard carries it, and the number of unions, across
+    shards, so no task sorts a whole key.
+    """
+    s = rows.where(F.coalesce((F.col("r_lo") <= F.col("r_hi")) & ~F.isnan("r_hi"), F.lit(False))).select(*keys, "r_lo", "r_hi").withColumn("__shard", F.floor(F.col("r_lo") / shard).cast("bigint"))
+    across = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*keys, "__shard"]])
+    carry = s.groupBy(*keys, "__shard").agg(F.max("r_hi").alias("__far")).withColumn("__carry", F.max("__far").over(across)).drop("__far")
+    inside = Window.partitionBy(*keys, "__shard").orderBy("r_lo", "r_hi")
+    both = s.alias("s").join(carry.alias("c"), same("s", "c")).select("s.*", "c.__carry")
+    reach = F.greatest(F.max("r_hi").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__carry"))
+    both = both.withColumn("__reach", reach).withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("r_lo") > F.col("__reach")), 1).otherwise(0))
+    numbers = both.groupBy(*keys, "__shard").agg(F.sum("__new").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(across), F.lit(0))).drop("__n")
+    islands = both.withColumn("__own", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("s").join(numbers.alias("n"), same("s", "n")).select("s.*", (F.col("n.__base") + F.col("s.__own")).alias("__island"))
     return islands.groupBy(*keys, "__island").agg(F.min("r_lo").alias("r_lo"), F.max("r_hi").alias("r_hi")).drop("__island")
 
 

@@ -15,7 +15,7 @@ from vislake.operators.astrometry import catalogue, error_model, rotation_fit, s
 from vislake.operators.average import average, average_rows
 from vislake.operators.closure import closure_amp_chi2, closure_chi2, edges, model_visibility, noise_scale, stokes_i
 from vislake.operators.gains import Solution, calibrate
-from vislake.operators.imaging import components_of, hybrid, image_sources
+from vislake.operators.imaging import components_of, fine_cell, gridded, hybrid, image_sources
 from vislake.operators.partition import Partition, by_scan, by_window, frequency_mode, time_mode, whole_band
 from vislake.operators.timejoin import unflagged
 from vislake.operators.whatif import fit_summary, register
@@ -92,7 +92,8 @@ def own_images(stokes: DataFrame, own: OwnImaging, refit: Callable[[DataFrame],
     """Images of every source by the member's settings, with the hybrid loop if a refit is given (I8)."""
     k = noise_scale(stokes).first()["k"] or 1.0
     settings = imaging_settings(own, k)
-    return hybrid(stokes, refit, own.hybrid_rounds, own.floor, **settings)[0] if refit else image_sources(stokes, **settings)
+    return hybrid(stokes, refit, own.hybrid_rounds, own.floor, **settings)[0] if refit else image_sources(gridded(stokes, fine_cell(settings["grid"])), **settings)
+
 
 
 def closure_evaluation(stokes: DataFrame, model_sets: DataFrame, weight_scale: float, min_snr: float = 5.0) -> DataFrame:
