@@ -84,7 +84,11 @@ _CODE_AFTER = re.compile(r"^\s?(?:\s(?:means?|stands? for|denotes?|is replaced|a
 
 def placeholders(text: str) -> list[str]:
     """Forms that stand where a value should stand; not those that are quoted, code or the subject of the sentence."""
-    text = _spaced(html.unescape(unicodedata.normalize("NFC", text)))
+    return forms(_spaced(_plain(text)))
+
+
+def forms(text: str) -> list[str]:
+    """The same of a text whose characters and white space are normalised; markup is still in it."""
     if not _MARKS.search(text):
         return []
     quoted = [m.span() for m in _QUOTED.finditer(text)]
@@ -145,16 +149,16 @@ _NOTICE = (
     rf"\b(?:active|activar|habilite|permita)\b[^.!?]{{0,12}}\b{_SCRIPT_WORD}\b", rf"\b(?:necesita|requiere|exige|sin)\b[^.!?]{{0,12}}\b{_SCRIPT_WORD}\b", rf"\b{_SCRIPT_WORD}\b[^.!?]{{0,20}}\b(?:desactivados?|bloqueados?|necesarios?)\b",
 )
 #: Reason phrases of the public HTTP status codes.
-_STATUS = r"(?:not found|forbidden|gone|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|unauthori[sz]ed|too many requests|not acceptable|bad request|request time-?out|method not allowed|payment required|not implemented|conflict|length required|precondition failed|moved permanently|proxy authentication required)"
+_STATUS = r"(?:not found|forbidden|gone|internal server error|bad gateway|service unavailable|service temporarily unavailable|gateway time-?out|unauthori[sz]ed|too many requests|not acceptable|bad request|request time-?out|method not allowed|payment required|not implemented|conflict|length required|precondition failed|moved permanently|proxy authentication required)"
 _ERROR = (
-    rf"\b[1-5]\d\d\b\s*[-–:|]?\s*{_STATUS}\b", rf"\b(?:http|error|status)(?:/\d\.\d)?\s*(?:status|error|code)?\s*[:#-]?\s*\d{{3}}\b(?:\s*[-–:]\s*{_STATUS})?", rf"^\s*{_STATUS}\s*$", r"\berror (?:code )?(?:0x[0-9a-f]+|\d+)\b",
+    rf"\b[1-5]\d\d\b\s*[-–:|]?\s*{_STATUS}\b", rf"\b(?:http|error|status)(?:/\d\.\d)?\s*(?:status|error|code)?\s*[:#-]?\s*\d{{3}}\b(?:\s*[-–:]\s*{_STATUS})?", rf"^\s*{_STATUS}\s*$", r"\berror (?:code )?(?:0x[0-9a-f]{1,40}|\d{1,40})\b",
     r"\b(?:page|file|resource|document|url) (?:was |could |can )?(?:not|no longer)(?: be)? (?:found|available|exist)\b", r"\b(?:resource|page|document) (?:is|was) no longer available\b", r"\b(?:page|file|document)\b[^.!?]{0,40}\b(?:does not|doesn.t) exist\b", r"\bcan.t be reached\b", r"\bcan.t (?:find|reach) (?:that|this|the) (?:page|site)\b",
     r"\bsomething (?:went wrong|failed)\b", r"\boops\b!?", r"\ban? (?:unexpected |internal |application )?error (?:has )?occurred\b", r"\b(?:application|fatal|internal|server|database|critical) error\b", r"\berror interno\b",
     r"\btraceback \(most recent call last\)(?:[^.!?]|\.(?=\w)){0,200}", r"\b(?:cannot|could not) connect to\b", r"\berror establishing\b", r"\bconnection (?:reset|refused|timed out|failed)\b", r"\b(?:gateway|server|host) (?:unreachable|busy)\b", r"\bserver (?:is )?(?:busy|overloaded|down)\b",
     r"\bunable to (?:load|open|display|connect|process)\b", r"\b(?:request|connection) (?:has )?timed out\b", r"\btook too long to respond\b", r"\binvalid (?:token|request)\b", r"\b(?:your )?session (?:has )?(?:expired|timed out)\b", r"\bplease (?:log ?in|sign in) again\b", r"\bincident (?:number|id)\b", r"\b(?:reference|ray|request) id\b",
     r"\b(?:access|permission) denied\b", r"\bthere is no (?:document|page|file)\b", r"\bdo(?:n.t| not) have permission\b", r"\bnot exist on this server\b", r"\b(?:link you followed|may have been moved|address for typing errors)\b", r"\b(?:upstream server|server side)\b", r"\bplease (?:try again|retry)\b", r"\btry again later\b", r"\bcontact the (?:site )?(?:administrator|owner|webmaster)\b", r"\b(?:scheduled|undergoing) maintenance\b", r"\b(?:will|.ll) be back (?:shortly|soon)\b", r"\b(?:go )?back to the (?:start|home) ?page\b", r"\btemporarily unavailable\b",
-    r"\b(?:es ist ein|ein) (?:interner |unerwarteter )?fehler (?:ist )?aufgetreten\b", r"\bzugriff verweigert\b", r"\b(?:seite|datei|dokument)\b[^.!?]{0,40}\bnicht gefunden\b", r"\bserver konnte die anfrage\b", r"\bbitte versuchen sie es\b", r"\bmelden sie sich erneut an\b", r"\bsitzung ist abgelaufen\b", r"\bzur startseite\b", r"\b(?:dienst|server|seite) (?:ist )?(?:derzeit |momentan |vorübergehend )?nicht (?:verfügbar|erreichbar)\b", r"\binterner serverfehler\b", r"\bwartungsarbeiten\b", r"\bzeitüberschreitung\b", r"\b(?:datei|seite) /?\S* ?existiert nicht\b", r"\bfehlernummer\b", r"\bkeine berechtigung\b",
-    r"\berreur (?:interne|est survenue|inattendue)\b", r"\berreur \d+\b", r"\bune erreur (?:est survenue|s.est produite)\b", r"\baccès (?:refusé|interdit)\b", r"\b(?:page|fichier|document) (?:est )?(?:introuvable|non trouvée?)\b", r"\bserveur n.a pas pu\b", r"\bveuillez (?:réessayer|vous reconnecter)\b", r"\bsession a expiré\b", r"\bretour à l.accueil\b", r"\bservice (?:momentanément |temporairement )?indisponible\b", r"\ben maintenance\b", r"\bdélai d.attente\b", r"\bn.existe pas sur ce serveur\b", r"\bnuméro d.incident\b", r"\bn.avez pas (?:le droit|l.autorisation)\b",
+    r"\b(?:es ist ein|ein) (?:interner |unerwarteter )?fehler (?:ist )?aufgetreten\b", r"\bzugriff verweigert\b", r"\b(?:seite|datei|dokument)\b[^.!?]{0,40}\bnicht gefunden\b", r"\bserver konnte die anfrage\b", r"\bbitte versuchen sie es\b", r"\bmelden sie sich erneut an\b", r"\bsitzung ist abgelaufen\b", r"\bzur startseite\b", r"\b(?:dienst|server|seite) (?:ist )?(?:derzeit |momentan |vorübergehend )?nicht (?:verfügbar|erreichbar)\b", r"\binterner serverfehler\b", r"\bwartungsarbeiten\b", r"\bzeitüberschreitung\b", r"\b(?:datei|seite) /?\S{0,200} ?existiert nicht\b", r"\bfehlernummer\b", r"\bkeine berechtigung\b",
+    r"\berreur (?:interne|est survenue|inattendue)\b", r"\berreur \d{1,40}\b", r"\bune erreur (?:est survenue|s.est produite)\b", r"\baccès (?:refusé|interdit)\b", r"\b(?:page|fichier|document) (?:est )?(?:introuvable|non trouvée?)\b", r"\bserveur n.a pas pu\b", r"\bveuillez (?:réessayer|vous reconnecter)\b", r"\bsession a expiré\b", r"\bretour à l.accueil\b", r"\bservice (?:momentanément |temporairement )?indisponible\b", r"\ben maintenance\b", r"\bdélai d.attente\b", r"\bn.existe pas sur ce serveur\b", r"\bnuméro d.incident\b", r"\bn.avez pas (?:le droit|l.autorisation)\b",
     r"\bse ha producido un error\b", r"\bacceso denegado\b", r"\bpágina (?:no encontrada|no existe)\b", r"\bservidor no pudo\b", r"\binténtelo de nuevo\b", r"\bsesión ha caducado\b", r"\bvuelva a iniciar sesión\b", r"\bvolver al inicio\b", r"\bservicio no disponible\b", r"\berror (?:interno )?del servidor\b", r"\ben mantenimiento\b", r"\btiempo de espera\b", r"\bno existe en este servidor\b", r"\b(?:número|código) de (?:incidente|incidencia)\b", r"\bno tiene permiso\b",
 )
 #: Beginnings of the words such pages are made of. A sentence with a phrase of the lists above is evidence if its words, but
@@ -193,7 +197,11 @@ def _needed(form: str) -> tuple[str, ...]:
 
 
 #: (kind, needed literals, pattern); a blank in a pattern stands for any white space.
-_KINDS = [(kind, _needed(x), re.compile(x.replace(" ", r"\s"), re.I | re.M)) for kind, forms in ((FILLER, _FILLER), (SCRIPT, _NOTICE), (ERROR, _ERROR)) for x in forms]
+_KINDS = [(kind, _needed(x), re.compile(x.replace(" ", r"\s").replace(r"\s*", r"\s?"), re.I | re.M)) for kind, forms in ((FILLER, _FILLER), (SCRIPT, _NOTICE), (ERROR, _ERROR)) for x in forms]
+
+
+#: The longest match of each pattern; white space runs are one character in flattened text.
+_WIDTH = [re._parser.parse(form.pattern).getwidth()[1] + 2 for _, _, form in _KINDS]
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -204,24 +212,25 @@ def _automaton() -> ahocorasick.Automaton:
             users.setdefault(x, []).append(i)
     own = ahocorasick.Automaton()
     for x, at in users.items():
-        if x:
-            own.add_word(x, at)
+        own.add_word(x, at)
     own.make_automaton()
     return own
 
 
+if max(_WIDTH) > 1000:
+    raise ValueError("a phrase pattern without a bound")
 _LITERALS = _automaton()
-_ALWAYS = [i for i, (_, needed, _) in enumerate(_KINDS) if "" in needed]
 _STRUCTURE = re.compile(rf"<{_TAGS}>|<!doctype[^<>]*>", re.I)
 #: Paths, addresses and codes name what a page could not show; they are no words of its sentence.
 _NAMES = re.compile(r"(?<!\w)(?:https?:)?/{1,2}[\w.:/?=&%+-]+|\S+@\S+|\b\w*\d\w*\b")
 _QUOTES = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’")
 #: Where evidence begins and ends: line ends, separators of page furniture, ends of sentences; the last do not end a line.
-_CUT = re.compile(r"(?<=[.!?…])\s+|\n+|\s[-–—|>·]\s")
+_CUT = re.compile(r"\s*\n\s*|\s[-–—|>·]\s|(?<=[.!?…])\s+")
 _HARD = re.compile(r"\s*\n\s*|\s[-–—|>·]\s")
 _INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
-_SPACE = re.compile(r"[^\S ]\s*|\s{2,}")
-_LINE_END = re.compile(r"[\n\r\u2028\u2029\x0b\x0c\x85]")
+#: Every white space character as a blank or a line end.
+_WHITE = {c: "\n" if chr(c) in "\n\r\u2028\u2029\x0b\x0c\x1c\x1d\x1e\x85" else " " for c in range(0x3001) if chr(c).isspace()}
+_BREAKS, _BLANKS = re.compile(r" *\n[ \n]*"), re.compile(r" {2,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _BORDER = " \t\n-–—|>*#+•:."
@@ -231,7 +240,7 @@ def _spaced(text: str) -> str:
     """Without invisible characters; every white space run is one blank or one line end."""
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    return _SPACE.sub(lambda m: "\n" if _LINE_END.search(m.group()) else " ", text).strip()
+    return _BLANKS.sub(" ", _BREAKS.sub("\n", text.translate(_WHITE))).strip()
 
 
 def _mash(word: str) -> bool:
@@ -261,23 +270,35 @@ def dummy(sentence: str, near: bool = False) -> bool:
     return latin >= 0.6 * len(words)
 
 
-def flattened(text: str) -> str:
-    """NFKC form without invisible characters and markup; every white space run is one blank or one line end."""
+def _plain(text: str) -> str:
+    """NFKC form with character references resolved."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    if "&" in text:
-        text = html.unescape(text)
-    if "<" in text:
-        text = _STRUCTURE.sub("\n", text)
-    return _spaced(text)
+    return html.unescape(text) if "&" in text else text
+
+
+def flattened(text: str) -> str:
+    """NFKC form without invisible characters and markup; every white space run is one blank or one line end."""
+    text = _plain(text)
+    return _spaced(_STRUCTURE.sub("\n", text) if "<" in text else text)
 
 
 def phrases(flat: str, low: str) -> list[tuple[int, int, str]]:
-    """Stretches of flattened text that match a phrase of the lists; low: the text in lower case."""
-    wanted = set(_ALWAYS)
-    for _, at in _LITERALS.iter(low):
-        wanted.update(at)
-    return sorted((*m.span(), _KINDS[i][0]) for i in sorted(wanted) for m in _KINDS[i][2].finditer(flat))
+    """Stretches of flattened text that match a phrase of the lists; low: the text in lower case, of the same length.
+
+    A pattern is tried only around its literals, as far as its longest match can reach, so that nothing is missed.
+    """
+    around: dict[int, list[list[int]]] = {}
+    for end, at in _LITERALS.iter(low):
+        for i in at:
+            spans, a, b = around.setdefault(i, []), max(0, end - _WIDTH[i]), end + _WIDTH[i]
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+    if not around:
+        return []
+    return sorted((*m.span(), _KINDS[i][0]) for i, spans in around.items() for a, b in spans for m in _KINDS[i][2].finditer(flat, a, b))
 
 
 def _of_notice(line: str, own: list[tuple[int, int]]) -> bool:
@@ -295,10 +316,19 @@ def _of_notice(line: str, own: list[tuple[int, int]]) -> bool:
     return foreign <= (1 - NOTICE_SHARE) * (named + len(other)) or (foreign == 1 and len(other) <= named + 1)
 
 
-def segments(flat: str) -> list[tuple[int, int, str | None]]:
+def _looked_at(flat: str) -> tuple[list[tuple[int, int, str]], bool]:
+    """Phrases of a flattened text, and whether it may hold dummy text at all."""
+    low = flat.lower()
+    if len(low) != len(flat):  # letters whose lower case is longer
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in flat)
+    words = low.split()
+    living = sum(map(LIVING.__contains__, words))
+    return phrases(flat, low), living <= LIVING_SHARE * len(words) or not LATIN_SURE.isdisjoint(words) or not MASH.isdisjoint(words)
+
+
+def segments(flat: str, looked_at: tuple[list[tuple[int, int, str]], bool] | None = None) -> list[tuple[int, int, str | None]]:
     """Sentences of flattened text as (start, end, kind of evidence or None), whole text. A line break inside a phrase is none."""
-    low = flat.casefold()
-    found = phrases(flat, low) if len(low) == len(flat) else phrases(flat, flat.lower())
+    found, perhaps_dummy = looked_at or _looked_at(flat)
     inside = [(a, b) for a, b, _ in found]
     edges, k, reach = [0], 0, -1
     for m in _CUT.finditer(flat):
@@ -318,9 +348,7 @@ def segments(flat: str) -> list[tuple[int, int, str | None]]:
             k += 1
         if a < b:
             out.append((a, b, kinds[0] if own and _of_notice(flat[a:b], own) else None))
-    words = low.split()
-    living = sum(map(LIVING.__contains__, words))
-    if living <= LIVING_SHARE * len(words) or not LATIN_SURE.isdisjoint(words) or not MASH.isdisjoint(words):
+    if perhaps_dummy:
         for near in (False, True):
             if near and all(kind != FILLER for _, _, kind in out):
                 break
@@ -329,7 +357,7 @@ def segments(flat: str) -> list[tuple[int, int, str | None]]:
 
 
 def line_key(piece: str) -> str:
-    """Normal form of a line: lower case, digits as 0, no outer punctuation, single blanks."""
+    """Normal form of a line of flattened text: lower case, digits as 0, no outer punctuation."""
     return " ".join(_DIGITS.sub("0", piece.casefold()).split()).strip(_BORDER)
 
 
@@ -339,22 +367,28 @@ _CODES = {None: 0, PLACEHOLDER: 1, FILLER: 2, ERROR: 3, SCRIPT: 4}
 
 def lines(text: str) -> list[tuple[str, int, int]]:
     """(normal form, length, code of evidence) of every line; a placeholder marks the line it stands in."""
-    flat = flattened(text)
-    marks = placeholders(text)
+    plain = _plain(text)
+    spaced = _spaced(plain)
+    flat = _spaced(_STRUCTURE.sub("\n", plain)) if "<" in plain else spaced
+    marks = forms(spaced)
     out, from_ = [], 0
     spots = []
     for m in marks:  # places of the forms in the flattened text, in order
-        at = flat.find(unicodedata.normalize("NFKC", m), from_)
+        at = flat.find(m, from_)
         spots.append(at)
         from_ = max(from_, at)
+    looked_at = _looked_at(flat)
+    if not marks and not looked_at[0] and not looked_at[1]:
+        keys = [line_key(x) for x in _HARD.split(flat)]
+        return [(x, len(x), 0) for x in keys if x]
     start, end, k = 0, -1, 0
-    for a, b, kind in [*segments(flat), (len(flat), len(flat), PLACEHOLDER)]:
+    for a, b, kind in [*segments(flat, looked_at), (len(flat), len(flat), PLACEHOLDER)]:
         held = False
         while k < len(spots) and spots[k] < b:
             held, k = held or spots[k] >= a, k + 1
-        plain = kind is None and not held
+        bare = kind is None and not held
         # Sentences of one line stay together, unless one of them is evidence.
-        if plain and end >= 0 and not _HARD.fullmatch(flat[end:a]):
+        if bare and end >= 0 and not _HARD.fullmatch(flat[end:a]):
             end = b
             continue
         if end >= 0:
@@ -362,7 +396,7 @@ def lines(text: str) -> list[tuple[str, int, int]]:
             if key:
                 out.append((key, len(key), 0))
             end = -1
-        if plain:
+        if bare:
             start, end = a, b
         elif a < b:
             key = line_key(flat[a:b])
