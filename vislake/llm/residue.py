@@ -91,10 +91,16 @@ def forms(text: str) -> list[str]:
     """The same of a text whose characters and white space are normalised; markup is still in it."""
     if not _MARKS.search(text):
         return []
-    quoted = [m.span() for m in _QUOTED.finditer(text)]
-    out = []
-    for m in _FORMS.finditer(text):
+    quoted = None
+    out, reach = [], 0
+    for mark in _MARKS.finditer(text):
+        m = _FORMS.match(text, mark.start()) if mark.start() >= reach else None
+        if m is None:
+            continue
         a, b = m.span()
+        reach = b
+        if quoted is None:
+            quoted = [q.span() for q in _QUOTED.finditer(text)]
         if any(x < a and b < y for x, y in quoted):
             continue
         before, after = text[max(0, a - 60) : a], text[b : b + 40]
@@ -230,6 +236,7 @@ _HARD = re.compile(r"\s*\n\s*|\s[-–—|>·]\s")
 _INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 #: Every white space character as a blank or a line end.
 _WHITE = {c: "\n" if chr(c) in "\n\r\u2028\u2029\x0b\x0c\x1c\x1d\x1e\x85" else " " for c in range(0x3001) if chr(c).isspace()}
+_ODD = re.compile(r"[^\S \n]")
 _BREAKS, _BLANKS = re.compile(r" *\n[ \n]*"), re.compile(r" {2,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
@@ -240,7 +247,11 @@ def _spaced(text: str) -> str:
     """Without invisible characters; every white space run is one blank or one line end."""
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    return _BLANKS.sub(" ", _BREAKS.sub("\n", text.translate(_WHITE))).strip()
+    if _ODD.search(text):
+        text = text.translate(_WHITE)
+    if "\n\n" in text or " \n" in text or "\n " in text:
+        text = _BREAKS.sub("\n", text)
+    return (_BLANKS.sub(" ", text) if "  " in text else text).strip()
 
 
 def _mash(word: str) -> bool:
