@@ -327,7 +327,8 @@ def test_schedule_and_inspector(spark):
     assert ui.node_value(sol, "Delay", 1, 1, 1, 1) != 0 and ui.node_value(sol, "Delay", 9, 1, 1, 1) == 0 and ui.varying_axis(sol, "Delay") == "tcell"
     occupied = spark.createDataFrame([(1, 1, 1, 1)], "antenna int, slot int, tcell int, fcell int")
     assert ui.traces(sol, occupied, "Delay", "tcell").count() == 1
-    assert ui.timeline({"a": [(0, 1)], "b": [(0, 1 + 1e-9)], "c": [(0, 2)]}) == [(["a", "b"], [(0, 1)]), (["c"], [(0, 2)])]
+    lines = ui.timelines(spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 1.0 + 1e-9), ("c", 0.0, 2.0), ("d", 0.0, 1.0), ("d", 3.0, 4.0)], "name string, lo double, hi double"))
+    assert sorted((r["names"], [tuple(c) for c in r["cells"]]) for r in lines.collect()) == [(["a", "b"], [(0.0, 1.0)]), (["c"], [(0.0, 2.0)]), (["d"], [(0.0, 1.0), (3.0, 4.0)])]
     memo = ui.Memo()
     a = memo.get("x", 1, lambda: vis)
     assert memo.get("x", 1, lambda: None) is a and memo.get("x", 2, lambda: occupied).count() == 1

@@ -51,12 +51,20 @@ def test_registration_matches_rows_that_wrapped(observables):
     assert whatif.fit_summary(r).shape == (2, 6) and r["model"]["sources"].count() == 4
 
 
-def test_scans_and_series():
-    frame, (at, value) = whatif.fraction_scan([0, 0.5, 1, 1.5], lambda s: (s - 0.8) ** 2 + 1)
-    assert at == pytest.approx(0.8) and value == pytest.approx(1) and len(frame) == 4
-    assert whatif.scan_minimum(np.array([0.0, 1.0]), np.array([1.0, 2.0])) == (0.0, 1.0)
+def test_scans_and_series(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    rows = pd.DataFrame({"b": rng.choice(["u", "v"], 400), "installed": x, "w": 1.0})
+    rows["residual"] = np.where(rows.b == "u", 0.8, -0.3) * x
+    scan = whatif.fraction_scan(spark.createDataFrame(rows), ["b"], [-1.0, -0.5, 0.0, 0.5, 1.0, 1.5], {"all": F.lit(True), "few": F.col("installed") > 0, "none": F.lit(False)})
+    low = {(r["arm"], r["b"]): (r["scale"], r["value"]) for r in whatif.scan_minima(scan, ["arm", "b"]).collect()}
+    assert set(low) == {(a, b) for a in ("all", "few") for b in "uv"}
+    assert all(low[a, b][0] == pytest.approx({"u": 0.8, "v": -0.3}[b]) and low[a, b][1] == pytest.approx(0, abs=1e-6) for a, b in low)
+    edge = whatif.scan_minima(spark.createDataFrame([("x", 0.0, 1.0), ("x", 1.0, 2.0)], "k string, scale double, value double"), ["k"]).first()
+    assert (edge["scale"], edge["value"]) == (0.0, 1.0)
     assert whatif.turbulent(256, 1.0, -5 / 3, 2.0, 1).std() == pytest.approx(2.0)
     t = np.linspace(0, 100, 60)
     x = np.sin(t)
-    rows = pd.DataFrame({"t": t, "installed": x, "residual": 0.7 * x + 3 + 0.01 * t})
-    assert whatif.sign_regression(rows, np.linspace(0, 100, 6)) == pytest.approx(0.7, abs=0.02)
+    both = pd.concat([pd.DataFrame({"s": "one", "t": t, "installed": x, "residual": 0.7 * x + 3 + 0.01 * t}), pd.DataFrame({"s": "two", "t": t, "installed": x, "residual": -x}), pd.DataFrame({"s": "flat", "t": t, "installed": 0.0, "residual": x}), pd.DataFrame({"s": "one", "t": [5.0], "installed": [float("nan")], "residual": [0.0]})])
+    got = {r["s"]: (r["slope"], r["n"]) for r in whatif.sign_regressions(spark.createDataFrame(both), ["s"], 20.0).collect()}
+    assert got["one"] == (pytest.approx(0.7, abs=0.02), 60) and got["two"][0] == pytest.approx(-1) and got["flat"][0] is None

@@ -171,6 +171,19 @@ def unwrapped(rows: DataFrame, by: list[str], order: str, phase: str) -> DataFra
     return s.withColumn("unwrapped", first + F.sum("__step").over(o.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
+def excursion(rows: DataFrame, by: list[str], order: str, x: str) -> DataFrame:
+    """(by, peak, low, high): the order value of the largest |x| of every group (the first of equals), and the first and last
+    of the run around it that stays at half of it or above (W8). Groups without a number have no row."""
+    some = rows.where(F.coalesce(~F.isnan(x), F.lit(False))).select(*by, F.col(order).alias("__o"), F.abs(F.col(x)).alias("__a"))
+    w = Window.partitionBy(*by).orderBy("__o")
+    top = some.groupBy(*by).agg(F.max(F.struct("__a", (-F.col("__o")).alias("__n"))).alias("__m")).select(*by, F.col("__m.__a").alias("__most"), (-F.col("__m.__n")).alias("peak"))
+    near = some.join(top, by).withColumn("__weak", F.col("__a") < F.col("__most") / 2).withColumn("__before", F.lag("__o").over(w)).withColumn("__after", F.lead("__o").over(w))
+    # The weak row next to the run on either side; its neighbour towards the peak is the run's end.
+    side = lambda on, far: F.when(F.col("__weak") & on, F.struct("__o", far))
+    g = near.groupBy(*by, "peak").agg(F.max(side(F.col("__o") < F.col("peak"), "__after")).alias("__l"), F.min(side(F.col("__o") > F.col("peak"), "__before")).alias("__h"), F.min("__o").alias("__first"), F.max("__o").alias("__last"))
+    return g.select(*by, "peak", F.coalesce("__l.__after", "__first").alias("low"), F.coalesce("__h.__before", "__last").alias("high"))
+
+
 def slope(rows: DataFrame, by: list[str], x: str, y: str, w: str) -> DataFrame:
     """(by, slope, n): weighted least squares with a free intercept; NULL if the abscissae are one to within rounding."""
     s = lambda e: F.sum(F.col(w) * e)

@@ -8,11 +8,10 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vislake.operators.estimate import DelayFit, Fit, constraints, fit
-from vislake.operators.residuals import splits
 from vislake.session import cut
 
 #: Solves that run at once; each is a series of small Spark jobs.
@@ -38,16 +37,17 @@ def compare(a: Fit, b: Fit) -> pd.DataFrame:
 
 
 def split_solves(observables: DataFrame, spec: DelayFit) -> dict[str, tuple[Fit, Fit, pd.DataFrame]]:
-    """Both halves of every standard split and their comparison: earlier/later, odd/even scans, slots.
+    """Both halves of every standard split and their comparison: earlier/later, scans of odd/even number, slots.
 
     observables need scan besides the fit's columns. A split with an empty half is left out.
     """
-    o = cut(splits(observables.withColumn("__all", F.lit(1)), ["__all"]))
+    middle = observables.approxQuantile("t", [0.5], 1e-3)  # one number: halves need not be equal to the row
+    o = cut(observables.withColumn("early", F.col("t") < F.lit(middle[0] if middle else 0.0)).withColumn("odd", F.col("scan") % 2 == 1))
     masks = {"time": "early", "scan": "odd", "slot": "slot = 1"}
     jobs = {}
     for name, m in masks.items():
         for half, e in (("a", m), ("b", f"NOT ({m})")):
-            part = o.where(e).drop("__all", "early", "odd")
+            part = o.where(e).drop("early", "odd")
             if not part.isEmpty():
                 jobs[f"{name}/{half}"] = lambda part=part: fit(spec, part)
     got = _all(jobs)
@@ -100,34 +100,61 @@ def turbulent(n: int, step: float, slope: float, rms: float, seed: int) -> np.nd
     return x * (rms / x.std()) if x.std() > 0 else x
 
 
-def scan_minimum(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(x, y) of the lowest point of a scan, refined by a parabola through its neighbours."""
-    k = int(np.argmin(y))
-    if 0 < k < len(x) - 1:
-        c = np.polyfit(x[k - 1 : k + 2], y[k - 1 : k + 2], 2)
-        if c[0] > 0:
-            at = -c[1] / (2 * c[0])
-            return float(at), float(np.polyval(c, at))
-    return float(x[k]), float(y[k])
+def fraction_scan(rows: DataFrame, by: list[str], scales: Iterable[float], arms: dict[str, Column] | None = None) -> DataFrame:
+    """(arm, by, scale, value): weighted rms of the residual when an installed calibration is applied at every scale.
 
-
-def fraction_scan(scales: Iterable[float], measure: Callable[[float], float]) -> tuple[pd.DataFrame, tuple[float, float]]:
-    """A figure of merit over scales of an installed calibration, and where it is least."""
-    xs = np.array(list(scales), float)
-    ys = np.array([measure(float(s)) for s in xs])
-    return pd.DataFrame({"scale": xs, "value": ys}), scan_minimum(xs, ys)
-
-
-def sign_regression(rows: pd.DataFrame, nodes: np.ndarray) -> float:
-    """Slope of residual delay against installed delay after a piecewise linear clock is projected out of both.
-
-    rows: t, residual, installed of one baseline. Near 1: the sign is right and the calibration was left out; near -1:
-    applied with the wrong sign; near 0: applied.
+    rows: by, residual, installed, w. arms: name -> condition on the rows (all rows if not given), for instance the ends of a
+    baseline that have the cable signal and those that don't. One pass whatever the number of scales: sums of the three
+    products give every scale's rms.
+    """
+    parts = []
+    for name, condition in (arms or {"all": F.lit(True)}).items():
+        s = rows.where(condition).groupBy(*by).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(a) * F.col(b)).alias(n) for n, a, b in (("rr", "residual", "residual"), ("rc", "residual", "installed"), ("cc", "installed", "installed"))])
+        parts.append(s.select(F.lit(name).alias("arm"), *by, "w", "rr", "rc", "cc"))
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    z = F.explode(F.array(*[F.lit(float(x)) for x in scales])).alias("scale")
+    each = all_.select("*", z)
+    return each.select("arm", *by, "scale", F.sqrt(F.greatest(F.try_divide(F.col("rr") - 2 * F.col("scale") * F.col("rc") + F.col("scale") ** 2 * F.col("cc"), F.col("w")), F.lit(0.0))).alias("value"))
+
+
+def scan_minima(scan: DataFrame, by: list[str]) -> DataFrame:
+    """(by, scale, value): lowest point of every scan, moved to the vertex of the parabola through its neighbours in the
+    squared value (D9)."""
+    o = Window.partitionBy(*by).orderBy("scale")
+    y = F.col("value") ** 2
+    s = scan.withColumn("y", y).withColumns({"x0": F.lag("scale").over(o), "x2": F.lead("scale").over(o), "y0": F.lag("y").over(o), "y2": F.lead("y").over(o)})
+    best = s.groupBy(*by).agg(F.min_by(F.struct("scale", "y", "value", "x0", "x2", "y0", "y2"), F.struct("y", "scale")).alias("__b")).select(*by, "__b.*")
+    d1, d2 = F.try_divide(F.col("y") - F.col("y0"), F.col("scale") - F.col("x0")), F.try_divide(F.col("y2") - F.col("y"), F.col("x2") - F.col("scale"))
+    curve = F.try_divide(d2 - d1, F.col("x2") - F.col("x0"))
+    at = F.col("scale") - (d1 + curve * (F.col("scale") - F.col("x0"))) / (2 * curve)
+    low = F.col("y") + (d1 + curve * (F.col("scale") - F.col("x0"))) * (at - F.col("scale")) + curve * (at - F.col("scale")) ** 2
+    good = F.coalesce(curve > 0, F.lit(False))
+    return best.select(*by, F.when(good, at).otherwise(F.col("scale")).alias("scale"), F.when(good, F.sqrt(F.greatest(low, F.lit(0.0)))).otherwise(F.col("value")).alias("value"))
+
+
+def sign_regressions(rows: DataFrame, by: list[str], node_step: float) -> DataFrame:
+    """(by, slope, n): slope of residual delay against installed delay after a piecewise linear clock is projected out of both
+    (D8, F25). Near 1: the sign is right and the calibration was left out; near -1: applied with the wrong sign; near 0: applied.
+
+    rows: by (a session's baseline), t, residual, installed. Clock nodes lie node_step apart from the group's first time. A
+    group without a varying installed delay has NULL.
     """
-    basis = np.maximum(0, 1 - np.abs((rows["t"].to_numpy()[:, None] - nodes[None, :]) / np.diff(nodes).mean()))
-    clean = lambda y: y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
-    x, y = clean(rows["installed"].to_numpy(float)), clean(rows["residual"].to_numpy(float))
-    return float((x * y).sum() / (x * x).sum()) if (x * x).sum() > 0 else float("nan")
+    names = [f"{c} {t}" for c, t in rows.select(*by).dtypes]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf["t"].to_numpy(float)
+        nodes = t.min() + node_step * np.arange(max(int(np.ceil((t.max() - t.min()) / node_step)), 1) + 1)
+        basis = np.maximum(0, 1 - np.abs((t[:, None] - nodes[None, :]) / node_step))
+        clean = lambda y: y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
+        x, y = clean(pdf["installed"].to_numpy(float)), clean(pdf["residual"].to_numpy(float))
+        size = (x * x).sum()
+        flat = size <= 1e-18 * (pdf["installed"] ** 2).sum()
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "slope": [None if flat else float((x * y).sum() / size)], "n": [len(pdf)]})
+
+    good = F.coalesce(~F.isnan("residual") & ~F.isnan("installed") & F.col("t").isNotNull(), F.lit(False))
+    return rows.where(good).select(*by, "t", "residual", "installed").groupBy(*by).applyInPandas(run, ", ".join(names) + ", slope double, n bigint")
 
 
 def register(sets: dict[str, DataFrame], spec: DelayFit) -> dict[str, dict]:

@@ -59,17 +59,12 @@ def varying_axis(solution: Solution, kind: str) -> str:
     return "tcell" if n["t"] >= n["f"] else "fcell"
 
 
-def timeline(cells: dict[str, list[tuple[float, float]]], tolerance: float = 1e-6) -> list[tuple[list[str], list[tuple[float, float]]]]:
-    """Names with equal cell lists (to a tolerance) share one line."""
-    lines: list[tuple[list[str], list[tuple[float, float]]]] = []
-    for name, own in cells.items():
-        for names, have in lines:
-            if len(have) == len(own) and all(abs(a - b) <= tolerance for x, y in zip(own, have) for a, b in zip(x, y)):
-                names.append(name)
-                break
-        else:
-            lines.append(([name], own))
-    return lines
+def timelines(cells: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(names, cells array<struct<lo, hi>>): names with equal cell lists (to a tolerance) share one line (A7). cells: name, lo,
+    hi; one row per line, so what a view draws is as long as its distinct lists."""
+    step = lambda c: (F.rint(F.col(c) / tolerance) * tolerance).alias(c)
+    lists = cells.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(step("lo"), step("hi")))).alias("cells"))
+    return lists.groupBy("cells").agg(F.array_sort(F.collect_list("name")).alias("names")).select("names", "cells")
 
 
 def node_value(solution: Solution, kind: str, p: int, i: int, tcell: int, fcell: int) -> float:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,16 +159,4 @@ def products(spark: SparkSession, session: Session, results: dict[str, dict], im
     return made
 
 
-def excursion(x: np.ndarray) -> tuple[int, int]:
-    """First and last index of the run around the largest |x| that stays above half of it."""
-    a = np.abs(np.asarray(x, float))
-    k = int(a.argmax())
-    low = high = k
-    while low > 0 and a[low - 1] >= a[k] / 2:
-        low -= 1
-    while high < len(a) - 1 and a[high + 1] >= a[k] / 2:
-        high += 1
-    return low, high
-
-
-__all__ = ["Session", "calibrate_and_average", "closure_evaluation", "components_of", "excursion", "open_session", "own_images", "products", "register_sets", "uncertainty_model", "with_cells", "with_structure"]
+__all__ = ["Session", "calibrate_and_average", "closure_evaluation", "components_of", "open_session", "own_images", "products", "register_sets", "uncertainty_model", "with_cells", "with_structure"]
