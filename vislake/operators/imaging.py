@@ -6,7 +6,8 @@ table however many rows the source has; with uv_cell None the rows go in as they
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import TWO_PI, present
-from vislake.functions.imagemath import Grid, beam_moments, dirty_beam, dirty_map, hogbom, peak_position, restore
-from vislake.operators.closure import divide_model
+from vislake.functions.imagemath import FWHM, Grid, beam_moments, dirty_beam, dirty_map, hogbom, peak_position, restore
+from vislake.operators.average import MAS
+from vislake.operators.closure import divide_model, model_visibility
 
 
 def gridded(stokes: DataFrame, uv_cell: float) -> DataFrame:
@@ -120,10 +122,76 @@ def hybrid(stokes: DataFrame, refit: Callable[[DataFrame], DataFrame], rounds: i
     return images, stokes
 
 
-def map_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(source, r, r_rotated): correlation of two restored maps of one grid, and with the second turned by 180 degrees."""
-    pixels = lambda df, n: df.select("source", F.posexplode("restored").alias("k", n), F.size("restored").alias("m"))
-    p = pixels(a, "x").join(pixels(b, "y").select("source", "k", "y"), ["source", "k"])
-    turned = pixels(b, "z").select("source", (F.col("m") - 1 - F.col("k")).alias("k"), "z")
-    j = p.join(turned, ["source", "k"])
-    return j.groupBy("source").agg(F.corr("x", "y").alias("r"), F.corr("x", "z").alias("r_rotated"))
+def image_by_receptor(stokes: dict[int, DataFrame], uv_cell: float | None = None, **imaging) -> DataFrame:
+    """One image per source and receptor slot, to seed the loop (I8): the columns of image_sources and slot. stokes: slot ->
+    data of that slot's diagonal product alone; a receptor without data has no image."""
+    cell = uv_cell or fine_cell(imaging["grid"])
+    parts = [image_sources(gridded(s, cell), **imaging).withColumn("slot", F.lit(k)) for k, s in sorted(stokes.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_seed(images: DataFrame) -> DataFrame:
+    """(source, slot, components) of the receptor whose map stands out most from its noise, one per source (I8)."""
+    ratio = F.col("peak") / F.col("rms")
+    parts = F.transform(F.arrays_zip("flux", "comp_x", "comp_y"), lambda c: F.struct(c["flux"].alias("flux"), c["comp_x"].alias("x"), c["comp_y"].alias("y")))
+    some = images.where(F.coalesce(F.size("flux"), F.lit(0)) > 0).select("source", F.struct(ratio.alias("r"), (-F.col("slot")).alias("n")).alias("k"), F.struct("slot", parts.alias("components")).alias("v"))
+    return some.groupBy("source").agg(F.max_by("v", "k").alias("v")).select("source", "v.slot", "v.components")
+
+
+def beam_matched_correlation(images: DataFrame, models: DataFrame) -> DataFrame:
+    """(source, r, r_rotated, n): correlation of a source's restored map with a reference model restored with the map's own
+    beam on its own grid, and with the model turned by 180 degrees (I10).
+
+    Pixels within one beam (largest width at half maximum) of the peak are left out: the core is symmetric and would drown
+    what is tested. images: as of image_sources; models: source, components array<flux, x, y>. Sources without either, or
+    with a NULL map, have no row; constant maps have NULL.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                grid = Grid(int(r.npix), float(r.pixel))
+                x, y = np.meshgrid(grid.axis(), grid.axis(), indexing="ij")
+                mine = np.asarray(r.restored, float).reshape(grid.npix, grid.npix, order="F")
+                keep = np.hypot(x - r.peak_x, y - r.peak_y) > FWHM * r.sigma_major
+                sin, cos = np.sin(r.pa), np.cos(r.pa)
+                maps = {1: np.zeros_like(mine), -1: np.zeros_like(mine)}
+                for c in r.components:
+                    for turn, m in maps.items():
+                        dx, dy = x - turn * c["x"], y - turn * c["y"]
+                        m += c["flux"] * np.exp(-0.5 * (((dx * sin + dy * cos) / r.sigma_major) ** 2 + ((dx * cos - dy * sin) / (r.sigma_major * r.ratio)) ** 2))
+                ok = keep.sum() > 2 and mine[keep].std() > 0
+                each = [float(np.corrcoef(m[keep], mine[keep])[0, 1]) if ok and m[keep].std() > 0 else None for m in maps.values()]
+                out.append((r.source, *each, int(keep.sum())))
+            yield pd.DataFrame(out, columns=["source", "r", "r_rotated", "n"])
+
+    wanted = images.where(F.col("restored").isNotNull()).select("source", "npix", "pixel", "restored", "sigma_major", "ratio", "pa", "peak_x", "peak_y")
+    return wanted.join(models.select("source", "components"), "source").mapInPandas(run, f"source {dict(images.dtypes)['source']}, r double, r_rotated double, n int")
+
+
+# Edges of the baseline-length bins in millions of wavelengths, and the least number of data in a bin.
+LENGTH_BINS = (0, 50, 100, 150, 200, 250, 300, 400, 1000)
+LEAST_IN_BIN = 50
+
+
+def amplitude_ratios(stokes: DataFrame, models: DataFrame, weight_scale: float, min_snr: float, floor: float = 0.02, least: int = LEAST_IN_BIN) -> tuple[DataFrame, DataFrame]:
+    """Median |V| / |M| per source and baseline-length bin (source, bin, lo, hi, n, ratio), and per source and antenna
+    (source, antenna, n, ratio): gain errors show in the second, differences of compactness in the first (I10).
+
+    stokes: source, p, q, u, v (1/mas), re, im, w. Data where the model is below floor of its total flux or the model's SNR
+    below min_snr are left out, and bins with fewer than `least` of them.
+    """
+    j = stokes.where(present(F.col("w"))).join(models.where(F.size("components") > 0).select("source", "components"), "source")
+    m = model_visibility(F.col("components"), F.col("u"), F.col("v")).abs()
+    total = F.aggregate("components", F.lit(0.0), lambda a, c: a + F.abs(c["flux"]))
+    good = j.select("source", "p", "q", m.alias("m"), F.hypot("re", "im").alias("a"), total.alias("total"), "w", (F.hypot("u", "v") / MAS / 1e6).alias("length"))
+    good = good.where((F.col("m") > floor * F.col("total")) & (F.col("m") * F.sqrt(weight_scale * F.col("w")) >= min_snr)).withColumn("x", F.col("a") / F.col("m"))
+    at = F.lit(None).cast("int")
+    for k in range(len(LENGTH_BINS) - 1):
+        at = F.when((F.col("length") >= LENGTH_BINS[k]) & (F.col("length") < LENGTH_BINS[k + 1]), k).otherwise(at)
+    edges = F.array(*[F.lit(float(x)) for x in LENGTH_BINS])
+    bins = good.withColumn("bin", at).where(F.col("bin").isNotNull()).groupBy("source", "bin").agg(F.count("*").alias("n"), F.median("x").alias("ratio")).where(F.col("n") >= least)
+    bins = bins.select("source", "bin", edges[F.col("bin")].alias("lo"), edges[F.col("bin") + 1].alias("hi"), "n", "ratio")
+    ends = good.select("source", F.explode(F.array("p", "q")).alias("antenna"), "x")
+    return bins, ends.groupBy("source", "antenna").agg(F.count("*").alias("n"), F.median("x").alias("ratio"))

@@ -7,6 +7,7 @@ windows over per-item (time, scan) tables that were made distinct first, never o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,35 @@ class Partition:
     lookup: DataFrame
     item: str
 
+    def n_cells(self) -> int:
+        """Number of cells."""
+        return self.cells.count()
+
+    def supports(self) -> DataFrame:
+        """(cell, lo, hi)."""
+        return self.cells.select("cell", "lo", "hi")
+
+    def references(self) -> DataFrame:
+        """(cell, ref)."""
+        return self.cells.select("cell", "ref")
+
+
+#: A partition strategy (X9): a callable from the axis' table (rows of scan and t, or channels) to a Partition. Own ones go
+#: into STRATEGIES, or are given to time_mode and frequency_mode in place of a name.
+Strategy = Callable[[DataFrame], Partition]
+#: A scan strategy (X10): a callable from distinct times (t, source) to the same rows with scan.
+ScanStrategy = Callable[[DataFrame], DataFrame]
+
+
+def gap_scans(min_gap: float, by_source: bool = True) -> ScanStrategy:
+    """Scans by gaps in time and changes of source."""
+    return lambda times: scans_by_gap(times, min_gap, ["source"] if by_source else [])
+
+
+def listed_scans(starts: list[float]) -> ScanStrategy:
+    """Scans that begin at given times (ascending); earlier times belong to scan 0."""
+    return lambda times: times.withColumn("scan", F.size(F.filter(F.array(*[F.lit(float(x)) for x in starts]), lambda x: x <= F.col("t"))))
+
 
 #: Length of a time shard in which scan borders are found, in s.
 SCAN_SHARD = 86_400.0
@@ -181,8 +211,14 @@ def fixed_cells(t: Column, t0: Column, step: float) -> Column:
 MODES = {"time": ("scan", "whole", "integration", "custom"), "frequency": ("channel", "window", "band")}
 
 
-def time_mode(rows: DataFrame, mode: str, custom: float | None = None) -> Partition:
-    """Time partition by mode (G12); rows: scan, t."""
+#: Own strategies by name.
+STRATEGIES: dict[str, Strategy] = {}
+
+
+def time_mode(rows: DataFrame, mode: str | Strategy, custom: float | None = None) -> Partition:
+    """Time partition by mode (G12) or own strategy (X9); rows: scan, t."""
+    if callable(mode) or mode in STRATEGIES:
+        return (mode if callable(mode) else STRATEGIES[mode])(rows)
     if mode == "scan":
         return by_scan(rows)
     if mode == "whole":
@@ -195,8 +231,10 @@ def time_mode(rows: DataFrame, mode: str, custom: float | None = None) -> Partit
     raise ValueError(f"mode {mode!r} of {MODES['time']}")
 
 
-def frequency_mode(channels: DataFrame, mode: str, width: float = 1.0) -> Partition:
-    """Frequency partition by mode."""
+def frequency_mode(channels: DataFrame, mode: str | Strategy, width: float = 1.0) -> Partition:
+    """Frequency partition by mode (G12) or own strategy."""
+    if callable(mode) or mode in STRATEGIES:
+        return (mode if callable(mode) else STRATEGIES[mode])(channels)
     if mode == "channel":
         return by_channel(channels, width)
     if mode == "window":

@@ -7,6 +7,8 @@ aggregates and windows inside small keys (a baseline's scans, an antenna's scans
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,6 +157,21 @@ def compare_positions(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.avg("dra").alias("mean_ra"), F.avg("ddec").alias("mean_dec"), F.sqrt(F.avg(F.col("dra") ** 2)).alias("rms_ra"), F.sqrt(F.avg(F.col("ddec") ** 2)).alias("rms_dec"), F.max(F.hypot("dra", "ddec")).alias("worst"))
 
 
+def epoch_consistency(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row about two observable tables of shifted epochs (A21): median, robust sigma and number of correlator minus model
+    plus clock in the first, the largest change of correlator minus model between the two (which must be small) and that of the
+    correlator's delay alone (which must not). a, b: obs_id, tau_correlator, tau_model, tau_clock (s)."""
+    number = lambda *c: reduce(and_, [F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)) for x in c])
+    j = a.select("obs_id", F.col("tau_correlator").alias("ca"), F.col("tau_model").alias("ma"), F.col("tau_clock").alias("ka")).join(b.select("obs_id", F.col("tau_correlator").alias("cb"), F.col("tau_model").alias("mb")), "obs_id")
+    x = F.when(number(F.col("ca"), F.col("ma"), F.col("ka")), F.col("ca") - F.col("ma") + F.col("ka"))
+    d = j.select("*", x.alias("x"), F.lit(1).alias("one"))
+    s = robust_sigma(d.where("x IS NOT NULL"), ["one"], "x").select("one", "median", "sigma", "n")
+    both = F.when(number(F.col("ca"), F.col("cb"), F.col("ma"), F.col("mb")), F.abs((F.col("cb") - F.col("mb")) - (F.col("ca") - F.col("ma"))))
+    alone = F.when(number(F.col("ca"), F.col("cb")), F.abs(F.col("cb") - F.col("ca")))
+    m = d.groupBy("one").agg(F.max(both).alias("consistent_max"), F.max(alone).alias("correlator_max"), F.count("*").alias("n_rows"))
+    return m.join(s, "one", "left").select("median", "sigma", F.coalesce("n", F.lit(0)).alias("n"), "consistent_max", "correlator_max", "n_rows")
+
+
 def splits(rows: DataFrame, by: list[str]) -> DataFrame:
     """Adds early (t below the median), odd (odd rank of the scan) per group."""
     med = rows.groupBy(*by).agg(F.median("t").alias("t_mid"))

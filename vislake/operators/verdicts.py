@@ -53,6 +53,15 @@ def coverage(tables: DataFrame, expected: DataFrame) -> DataFrame:
     return verdicts(j, "coverage", F.concat_ws("|", "session", "antenna"), F.when(F.col("n").isNull(), FAIL).when(F.col("n") < 3, WARN).otherwise(PASS), {"n": F.coalesce("n", F.lit(0))})
 
 
+def identifiability_verdicts(census: DataFrame, normalize: str) -> DataFrame:
+    """Whether every amplitude interval holds an ensemble of sources (D16): warn if one holds a single source under global
+    normalisation (its gain is degenerate with that source's flux) or fewer than four otherwise. census: as of
+    residuals.identifiability. Sessions without a full interval are warned about too."""
+    n = F.col("n_min")
+    level = F.when(n.isNull(), WARN).when(F.lit(normalize == "global") & (n < 2), WARN).when(n < 4, WARN).otherwise(PASS)
+    return verdicts(census, "amp-identifiability", F.col("session"), level, {c: F.col(c) for c in ("n_cells", "n_min", "n_median", "n_max", "n_stubs")})
+
+
 def fringe_census(obs: DataFrame, min_snr: float, delay_limit: float, rate_limit: float) -> DataFrame:
     """(session, n, detection, snr_median, delay_max, rate_max, level) of peaks (D17); maxima over detections."""
     det = F.col("snr") >= min_snr

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -91,6 +92,81 @@ def transfer(observables: DataFrame, spec: DelayFit, families: dict[str, list[Da
     return pd.DataFrame(out, columns=["family", "n", "mean_mas", "std_mas"])
 
 
+def _phase(*parts: Column) -> Column:
+    """A phase in [0, 2 pi) that depends on the parts alone."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) * (2 * np.pi / (1 << 40))
+
+
+def injection_families(observables: DataFrame, reps: int = 5, seed: int = 1, periodic_ps: float = 15.0, zenith_ps: float = 20.0, iono_scales: tuple[float, ...] = (-0.2, 0.2), modes: int = 200) -> DataFrame:
+    """(family, label, obs_id, injected): delays in s to be added to residuals.
+
+    diurnal and semidiurnal: a sinusoid per antenna with its own phase; iono_scale: a share of the ionospheric delay
+    (tau_iono, if the table has it); zwd_turbulence: per antenna a sum of sinusoids over the table's span with amplitudes
+    f^(-4/3) and own phases, put to the given rms and mapped with wet1, wet2. Phases are hashes of antenna, family, repetition
+    and seed, so rows are made where they lie, in any order.
+    """
+    span = observables.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()  # two numbers
+    if span["a"] is None:
+        return observables.select(F.lit("").alias("family"), F.lit("").alias("label"), "obs_id", F.lit(0.0).alias("injected"))
+    length = max(span["b"] - span["a"], 1.0)
+    both = lambda f: f("a2") - f("a1")
+    rep = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
+    parts = []
+    for family, period in (("diurnal", 86400.0), ("semidiurnal", 43200.0)):
+        wave = lambda a, family=family, period=period: periodic_ps * 1e-12 * F.sin(F.col("t") * (2 * np.pi / period) + _phase(F.col(a), F.lit(family), F.col("rep"), F.lit(seed)))
+        parts.append(observables.select("obs_id", "a1", "a2", "t", rep).select(F.lit(family).alias("family"), F.concat_ws("#", F.lit(family), "rep").alias("label"), "obs_id", both(wave).alias("injected")))
+    if "tau_iono" in observables.columns:
+        for x in iono_scales:
+            parts.append(observables.select(F.lit("iono_scale").alias("family"), F.lit(f"iono {x:+.0%}").alias("label"), "obs_id", (x * F.col("tau_iono")).alias("injected")))
+    norm = zenith_ps * 1e-12 / np.sqrt(np.sum(np.arange(1, modes + 1) ** (-8 / 3)) / 2)
+    k = F.sequence(F.lit(1), F.lit(modes))
+    series = lambda a: F.aggregate(k, F.lit(0.0), lambda s, n: s + F.pow(n.cast("double"), F.lit(-4 / 3)) * F.cos(n * (F.col("t") - span["a"]) * (2 * np.pi / length) + _phase(F.col(a), n, F.lit("wet"), F.col("rep"), F.lit(seed)))) * norm
+    wet = lambda a: F.col("wet" + a[-1]) * series(a)
+    parts.append(observables.select("obs_id", "a1", "a2", "t", "wet1", "wet2", rep).select(F.lit("zwd_turbulence").alias("family"), F.concat_ws("#", F.lit("wet"), "rep").alias("label"), "obs_id", both(wet).alias("injected")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def split_transfer(observables: DataFrame, spec: DelayFit, families: dict[str, list[DataFrame]]) -> pd.DataFrame:
+    """Injections carried through every standard split (D7): per family, repetition and split the rms of the split's position
+    difference without and with the injection, and the rms of the change between the two, in mas. What drives a split's
+    difference must change it by as much."""
+    base = split_solves(observables, spec)
+    rms = lambda d: float(np.sqrt((d[["dra_mas", "ddec_mas"]] ** 2).to_numpy().mean())) if len(d) else float("nan")
+    out = []
+    for name, tables in families.items():
+        for k, t in enumerate(tables):
+            moved = observables.join(t.select("obs_id", "injected"), "obs_id", "left").withColumn("tau_residual", F.col("tau_residual") + F.coalesce("injected", F.lit(0.0))).drop("injected")
+            for split, (_, _, d) in split_solves(moved, spec).items():
+                if split in base:
+                    both = d.merge(base[split][2], on="source", suffixes=("", "_base"))
+                    change = pd.DataFrame({c: both[c] - both[f"{c}_base"] for c in ("dra_mas", "ddec_mas")})
+                    out.append((name, k, split, rms(base[split][2]), rms(d), rms(change)))
+    return pd.DataFrame(out, columns=["family", "rep", "split", "base_mas", "injected_mas", "change_mas"])
+
+
+def split_geometry(observables: DataFrame, by: str) -> DataFrame:
+    """(source, half, n_obs, n_scans, t_span_h, el_span_deg) of both halves of a split, and of the thinner one per source as
+    half NULL: what a subset loses (D7). by: a condition on the observables, as those of split_solves."""
+    ends = F.array("el1", "el2")
+    one = observables.withColumn("half", F.when(F.expr(by), "a").otherwise("b"))
+    g = one.groupBy("source", "half").agg(F.count("*").alias("n_obs"), F.countDistinct("scan").alias("n_scans"), ((F.max("t") - F.min("t")) / 3600).alias("t_span_h"), F.degrees(F.max(F.array_max(ends)) - F.min(F.array_min(ends))).alias("el_span_deg"))
+    thin = g.groupBy("source").agg(*[F.min(c).alias(c) for c in ("n_obs", "n_scans", "t_span_h", "el_span_deg")], F.count("*").alias("halves")).where("halves = 2")
+    return g.unionByName(thin.select("source", F.lit(None).cast("string").alias("half"), "n_obs", "n_scans", "t_span_h", "el_span_deg"))
+
+
+def application_scan(arms: dict[str, DataFrame], spec: DelayFit, reference: Callable[[Fit], dict] | None = None) -> pd.DataFrame:
+    """One row per arm (an observable table of one way of applying a calibration): chi2, wrms, and the rms position difference
+    of every standard split; with a reference its agreement too (D9)."""
+    out = []
+    for name, table in arms.items():
+        f = fit(spec, table)
+        row = {"arm": name, "chi2": f.chi2, "wrms": f.wrms, "n": f.rows.where("accepted").count()}
+        for split, (_, _, d) in split_solves(table, spec).items():
+            row[f"{split}_mas"] = float(np.sqrt((d[["dra_mas", "ddec_mas"]] ** 2).to_numpy().mean()))
+        out.append(row | (reference(f) if reference else {}))
+    return pd.DataFrame(out)
+
+
 def turbulent(n: int, step: float, slope: float, rms: float, seed: int) -> np.ndarray:
     """A random series with a power-law spectrum and the given rms."""
     rng = np.random.default_rng(seed)

@@ -108,6 +108,33 @@ def mark_phase(solution: Solution, p: int, i: int, tcell: int, fcell: int, t: fl
     return v("PhaseOffset") + v("PhaseBandpass") + TWO_PI * (v("Delay") * (nu - n0) + v("Rate") * (t - t0))
 
 
+def enabled_apply(kinds: list[str], enabled: dict[str, bool]) -> list[str]:
+    """Kinds that a view applies, in their own order (U7); a kind that is not mentioned is on."""
+    return [k for k in kinds if enabled.get(k, True)]
+
+
+def resolve_pair(pairs: DataFrame, p: int, q: int) -> tuple[int, int, bool] | None:
+    """(p, q, turned) as the data have it: a baseline asked for against its order is found with turned = True; None if the two
+    antennas have no data together (U7). pairs: p, q."""
+    have = {(r["p"], r["q"]) for r in pairs.where(F.col("p").isin(p, q) & F.col("q").isin(p, q)).select("p", "q").distinct().collect()}  # four rows at most
+    return (p, q, False) if (p, q) in have else (q, p, True) if (q, p) in have else None
+
+
+def cadence(times: DataFrame) -> DataFrame:
+    """(scan, step, n): the usual distance of a scan's times, the median of its positive steps (U7). times: scan, t."""
+    from pyspark.sql import Window
+
+    o = Window.partitionBy("scan").orderBy("t")
+    d = times.select("scan", "t").distinct().withColumn("d", F.col("t") - F.lag("t").over(o))
+    return d.groupBy("scan").agg(F.median(F.when(F.col("d") > 0, F.col("d"))).alias("step"), F.count("*").alias("n"))
+
+
+def slots_present(vis: DataFrame) -> DataFrame:
+    """(p, i) that any datum with weight has, at either end."""
+    good = vis.where(F.coalesce(F.col("w") > 0, F.lit(False)))
+    return good.select("p", "i").union(good.select("q", "j")).distinct()
+
+
 def cancel(spark, group: str) -> None:
     """Stop the jobs of a view."""
     spark.sparkContext.cancelJobGroup(group)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import lzma
 import math
 import re
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vislake.functions.delaymodel import TIDES
@@ -198,6 +199,53 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sha256 string, source string, flux double, x double, y double")
 
 
+def external_models(spark: SparkSession, folder: str, sources: DataFrame, images: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(models, census) of other reductions' files of one folder (S12): models as of read_models.
+
+    census: one row per source of `sources` (source): n_components, sha256 of the model file (NULL: no file, which is no
+    error), and with images the source's '.fits' file: image_sha256, date_obs, object, naxis. Files are read by the tasks that
+    hold them; only headers of images are parsed.
+    """
+    models = read_models(spark, f"{folder}/*.mod")
+    found = models.groupBy("source").agg(F.count("*").alias("n_components"), F.min("sha256").alias("sha256"))
+    census = sources.select("source").distinct().join(found, "source", "left").fillna(0, ["n_components"])
+    if not images:
+        return models, census
+    from vislake.sources.fits import read_header
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for p, raw in zip(b["path"], b["content"]):
+                h = read_header(io.BytesIO(raw)) or {}
+                out.append((Path(p).name.split("_")[0].removesuffix(".fits"), hashlib.sha256(raw).hexdigest(), str(h.get("DATE-OBS", "")).strip() or None, str(h.get("OBJECT", "")).strip() or None, int(h.get("NAXIS1", 0))))
+            yield pd.DataFrame(out, columns=["source", "image_sha256", "date_obs", "object", "naxis"])
+
+    seen = spark.read.format("binaryFile").option("pathGlobFilter", "*.fits").load(folder).select("path", "content").mapInPandas(headers, "source string, image_sha256 string, date_obs string, object string, naxis int")
+    one = seen.groupBy("source").agg(F.min(F.struct("image_sha256", "date_obs", "object", "naxis")).alias("i")).select("source", "i.*")
+    return models, census.join(one, "source", "left")
+
+
+def wrong_dates(census: DataFrame, expected: str, days: int = 1) -> DataFrame:
+    """(source, date_obs) of images whose date differs from the session's by more than some days: a warning, no error."""
+    d = F.abs(F.datediff(F.try_to_timestamp("date_obs"), F.to_timestamp(F.lit(expected))))
+    return census.where(F.coalesce(d > days, F.lit(False))).select("source", "date_obs")
+
+
+def with_coherency(vis: DataFrame, weight: Callable[[DataFrame], Column] | None = None, uvw: Callable[[DataFrame], tuple[Column, Column]] | None = None, coherency: Callable[[DataFrame], tuple[Column, Column]] | None = None) -> DataFrame:
+    """Simulated rows with own weights, uv coordinates and values (X6): each a callable of the table that gives Columns. Products
+    of weight 0 (missing receptors) keep it; a coherency of (re, im) sees the new u and v."""
+    if uvw is not None:
+        u, v = uvw(vis)
+        vis = vis.withColumns({"u": u, "v": v})
+    if weight is not None:
+        vis = vis.withColumn("w", F.when(F.col("w") > 0, weight(vis)).otherwise(0.0))
+    if coherency is not None:
+        re, im = coherency(vis)
+        vis = vis.withColumns({"re": re, "im": im})
+    return vis
+
+
 def simulate(spark: SparkSession, n_antennas: int, times: list[float], channels: DataFrame, single: list[int] | None = None, weight: float = 1.0, source: int = 1) -> DataFrame:
     """Zero visibilities of every baseline, time, channel and slot pair (S14); slot 2 of single-receptor antennas has weight 0.
 
