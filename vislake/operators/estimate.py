@@ -20,6 +20,10 @@ from vislake.session import cut
 MAS = math.radians(1e-3 / 3600)
 #: Largest number of parameters a fit may have (a dense normal matrix of this size is 128 MB).
 MOST_PARAMETERS = 4000
+#: Numbers in one piece of a normal matrix (256 KB).
+PIECE = 1 << 15
+#: Relative width of the steps in which variances of a baseline are brought together for its floor.
+VARIANCE_STEP = 1e-4
 #: Rows whose dense design is held at once (32 MB at the most parameters).
 ROWS = 1024
 
@@ -165,10 +169,15 @@ def solve_normal(n: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def floor_variance(r: np.ndarray, var: np.ndarray, scale: float) -> float:
     """Variance to add so that mean r^2 / (var + v) equals scale; 0 if it is below already."""
-    over = lambda v: np.mean(r**2 / (var + v)) / scale - 1
+    return floor_of_sums(r**2, var, len(r), scale)
+
+
+def floor_of_sums(squares: np.ndarray, var: np.ndarray, n: int, scale: float) -> float:
+    """The same from sums of r^2 over rows of one variance each; n: number of rows."""
+    over = lambda v: (squares / (var + v)).sum() / n / scale - 1
     if over(0.0) <= 0:
         return 0.0
-    low, high = 0.0, np.mean(r**2) / max(scale, 1e-3)
+    low, high = 0.0, squares.sum() / n / max(scale, 1e-3)
     while over(high) > 0:
         high *= 4
     for _ in range(100):
@@ -234,19 +243,28 @@ def _normal(obs: DataFrame, layout: Layout, spec: DelayFit, floors: dict) -> tup
                 rhs += a.T @ (w * pdf["tau_residual"].to_numpy())
                 count += len(pdf)
                 weight += w.sum()
-        yield pd.DataFrame({"big": [big.tobytes()], "rhs": [rhs.tobytes()], "n": [count], "w": [weight]})
-
-    # One row per partition, added up in a tree of groups before the driver sees any.
-    parts = obs.mapInPandas(run, "big binary, rhs binary, n bigint, w double").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16)))
+        # The upper triangle in pieces: none is large, whatever the number of parameters.
+        upper = big[np.triu_indices(n)]
+        pieces = np.split(upper, np.arange(PIECE, len(upper), PIECE))
+        for k, piece in enumerate(pieces):
+            yield pd.DataFrame({"piece": [k], "values": [piece.tobytes()], "n": [0], "w": [0.0]})
+        yield pd.DataFrame({"piece": [-1], "values": [rhs.tobytes()], "n": [count], "w": [weight]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        big = sum(np.frombuffer(b) for b in pdf["big"])
-        rhs = sum(np.frombuffer(b) for b in pdf["rhs"])
-        return pd.DataFrame({"big": [big.tobytes()], "rhs": [rhs.tobytes()], "n": [pdf["n"].sum()], "w": [pdf["w"].sum()]})
-
-    got = parts.groupBy("g").applyInPandas(add, "big binary, rhs binary, n bigint, w double").collect()  # at most 16 rows
-    got = sorted(got, key=lambda r: bytes(r["rhs"]))
-    return sum(np.frombuffer(r["big"]).reshape(n, n) for r in got), sum(np.frombuffer(r["rhs"]) for r in got), sum(r["n"] for r in got), sum(r["w"] for r in got)
+        # In a fixed order, so that sums do not depend on the cluster.
+        total = sum(np.frombuffer(b) for b in sorted(pdf["values"]))
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "values": [total.tobytes()], "n": [pdf["n"].sum()], "w": [pdf["w"].sum()]})
+
+    kind = "piece int, values binary, n bigint, w double"
+    # Partitions add up in two steps, so a task holds some dozens of copies of one piece and never a whole matrix.
+    parts = obs.mapInPandas(run, kind).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
+    some = parts.groupBy("piece", "g").applyInPandas(lambda pdf: add(pdf), kind)
+    got = {r["piece"]: r for r in some.groupBy("piece").applyInPandas(lambda pdf: add(pdf), kind).collect()}  # one triangle
+    if not got:
+        return np.zeros((n, n)), np.zeros(n), 0, 0.0
+    big = np.zeros((n, n))
+    big[np.triu_indices(n)] = np.concatenate([np.frombuffer(got[k]["values"]) for k in range(len(got) - 1)])
+    return big + np.triu(big, 1).T, np.frombuffer(got[-1]["values"]), got[-1]["n"], got[-1]["w"]
 
 
 def _floor(pdf: pd.DataFrame, floors: dict, spec: DelayFit) -> np.ndarray:
@@ -290,12 +308,14 @@ def _fit_once(spec: DelayFit, obs: DataFrame, layout: Layout) -> Fit:
             least = spec.min_baseline_obs
 
             def floor_of(pdf: pd.DataFrame) -> pd.DataFrame:
-                v = floor_variance(pdf["residual"].to_numpy(), pdf["var"].to_numpy(), scale)
-                return pd.DataFrame({"low": [pdf["low"].iloc[0]], "high": [pdf["high"].iloc[0]], "v": [v], "n": [len(pdf)]})
-
-            # One number per baseline: antennas^2 / 2 rows at most. Row order is fixed for stable sums.
-            base = res.where("keep").select(F.least("a1", "a2").alias("low"), F.greatest("a1", "a2").alias("high"), "residual", "var")
-            for r in base.groupBy("low", "high").applyInPandas(floor_of, "low string, high string, v double, n bigint").collect():
+                n = int(pdf["n"].sum())
+                return pd.DataFrame({"low": [pdf["low"].iloc[0]], "high": [pdf["high"].iloc[0]], "v": [floor_of_sums(pdf["s"].to_numpy(), pdf["var"].to_numpy(), n, scale)], "n": [n]})
+
+            # Rows of one baseline whose variances agree to VARIANCE_STEP are one row with their mean variance, so that a baseline
+            # is a bounded table however many rows it has. One number per baseline comes back: antennas^2 / 2 at most.
+            base = res.where("keep").select(F.least("a1", "a2").alias("low"), F.greatest("a1", "a2").alias("high"), (F.col("residual") ** 2).alias("s"), "var")
+            sums = base.groupBy("low", "high", F.floor(F.ln("var") / VARIANCE_STEP).alias("step")).agg(F.sum("s").alias("s"), F.avg("var").alias("var"), F.count("*").alias("n"))
+            for r in sums.groupBy("low", "high").applyInPandas(floor_of, "low string, high string, v double, n bigint").collect():
                 if r["n"] >= least:
                     floors[r["low"], r["high"]] = r["v"]
         rows = res.select(*_COLUMNS, "keep")
