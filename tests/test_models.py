@@ -52,6 +52,23 @@ def test_sun_and_moon_are_where_they_belong():
     assert 3.5e8 < np.linalg.norm(moon) < 4.1e8 and np.linalg.norm(dm.earth_velocity(np.array([60000.0]))) == pytest.approx(29_800, rel=0.03)
 
 
+def test_pole_and_tides_against_published_values():
+    """The test cases that the public IAU and IERS routines come with."""
+    x, y = dm.pole(np.array([(53736.0 - 51544.5) / 36525]))
+    assert abs(x[0] - 0.5791308482835293e-3) < 6 * dm.MAS and abs(y[0] - 0.4020580099454020e-4) < 6 * dm.MAS
+    full = dm.pole(np.array([0.1]), dm.NUTATION)[0] - dm.pole(np.array([0.1]))[0]
+    assert 0 < abs(full[0]) < 5 * dm.MAS  # the same terms without their out-of-phase parts
+    xyz, sun, moon = (np.array([a]) for a in ([4075578.385, 931852.890, 4801570.154], [137859926952.015, 54228127881.4350, 23509422341.6960], [-179996231.920342, -312468450.131567, -169288918.592160]))
+    d = dm.solid_tide(xyz, sun, dm.GM_SUN) + dm.solid_tide(xyz, moon, dm.GM_MOON) + dm.solid_tide_bands(xyz, np.array([54934.0]))
+    assert np.allclose(d[0], [0.07700420357, 0.06304056322, 0.05516568153], atol=1e-4)
+
+
+def test_planets_are_where_they_belong():
+    p = {n: dm.planet_position(n, np.array([51544.5, 60000.0])) / dm.AU for n in dm.PLANETS}
+    assert np.allclose(np.linalg.norm(p["jupiter"], axis=1), [4.965, 4.95], atol=0.03) and np.allclose(p["venus"][0], [-0.7183, -0.0463, 0.0246], atol=1e-3)
+    assert all(dm.PLANETS[n][1][0] * 0.75 < np.linalg.norm(x, axis=1).min() for n, x in p.items())
+
+
 def test_geometric_delay_partials_and_signs():
     st, args = dm.Station(XYZ, axis_offset=1.5), (60000.0, 0.3)
     d = dm.geometric_delay(st, 1.0, 0.5, *args, EOP)

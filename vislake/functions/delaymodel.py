@@ -1,8 +1,8 @@
 """A priori delays: Earth rotation, geometry, troposphere and ionosphere (F4-F15, F17-F19), vectorised over rows in NumPy.
 
-Precession-nutation is a truncated series (largest terms of the public IAU 2006/2000A development, good to about 10 mas),
-Sun and Moon are low-precision series (about 10 arcsec and 0.3 degrees). Delays are smooth in all of them; partials,
-mappings and all terms below are exact for the positions given. See the README for what that means in picoseconds.
+Precession-nutation has the largest terms of the public IAU 2006/2000A development (about 3 mas, or a full table given as a
+parameter), Sun and Moon are low-precision series (about 10 arcsec and 0.3 degrees), planets go by mean elements. Solid tides
+have both steps of the conventions. See the README for what that means in picoseconds.
 """
 
 from __future__ import annotations
@@ -76,12 +76,39 @@ _NUTATION = np.array([
 ])
 
 
-def pole(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(X, Y) of the celestial intermediate pole in radians: precession polynomial and the largest nutation terms."""
-    arg = np.tensordot(_NUTATION[:, :5], np.array(fundamental(t)), 1)
-    x = -0.016617 + 2004.191898 * t - 0.4297829 * t**2 - 0.19861834 * t**3 + np.tensordot(_NUTATION[:, 5], np.sin(arg), 1)
-    y = -0.006951 - 0.025896 * t - 22.4072747 * t**2 + 0.00190059 * t**3 + np.tensordot(_NUTATION[:, 6], np.cos(arg), 1)
-    return x * ARCSEC, y * ARCSEC
+# The largest luni-solar terms of the IAU 2000 nutation: multiples of l, l', F, D, Omega, then the sine of the
+# longitude, its rate per century and the cosine of the obliquity, in 0.1 microarcseconds.
+NUTATION = np.array([
+    (0, 0, 0, 0, 1, -172064161, -174666, 92052331), (0, 0, 2, -2, 2, -13170906, -1675, 5730336), (0, 0, 2, 0, 2, -2276413, -234, 978459), (0, 0, 0, 0, 2, 2074554, 207, -897492),
+    (0, 1, 0, 0, 0, 1475877, -3633, 73871), (0, 1, 2, -2, 2, -516821, 1226, 224386), (1, 0, 0, 0, 0, 711159, 73, -6750), (0, 0, 2, 0, 1, -387298, -367, 200728),
+    (1, 0, 2, 0, 2, -301461, -36, 129025), (0, -1, 2, -2, 2, 215829, -494, -95929), (0, 0, 2, -2, 1, 128227, 137, -68982), (-1, 0, 2, 0, 2, 123457, 11, -53311),
+    (-1, 0, 0, 2, 0, 156994, 10, -1235), (1, 0, 0, 0, 1, 63110, 63, -33228), (-1, 0, 0, 0, 1, -57976, -63, 31429), (-1, 0, 2, 2, 2, -59641, -11, 25543),
+    (1, 0, 2, 0, 1, -51613, -42, 26366), (-2, 0, 2, 0, 1, 45893, 50, -24236), (0, 0, 0, 2, 0, 63384, 11, -1220), (0, 0, 2, 2, 2, -38571, -1, 16452),
+    (0, -2, 2, -2, 2, 32481, 0, -13870), (-2, 0, 0, 2, 0, -47722, 0, 477), (2, 0, 2, 0, 2, -31046, -1, 13238), (1, 0, 2, -2, 2, 28593, 0, -12338),
+], float)
+#: The same terms' cosine of the longitude and sine of the obliquity where they matter: row -> (longitude, obliquity).
+NUTATION_OUT = {0: (33386.0, 15377.0), 1: (-13696.0, -4587.0), 2: (2796.0, 1374.0), 4: (11817.0, -1924.0)}
+
+
+def pole(t: np.ndarray, series: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """X and Y of the celestial pole in rad at TT centuries (F5): IAU 2006 precession in Fukushima-Williams angles with the
+    largest nutation terms (about 3 mas). series: rows as of NUTATION for as many terms as wanted (from a public table)."""
+    t = np.asarray(t, float)
+    n = NUTATION if series is None else np.asarray(series, float)
+    arg = np.stack(fundamental(t), -1) @ n[:, :5].T
+    sin, cos = np.sin(arg), np.cos(arg)
+    psi = (sin * (n[:, 5] + n[:, 6] * t[..., None])).sum(-1)
+    eps = (cos * n[:, 7]).sum(-1)
+    if series is None:
+        for k, (a, b) in NUTATION_OUT.items():
+            psi, eps = psi + a * cos[..., k], eps + b * sin[..., k]
+    unit = ARCSEC * 1e-7
+    poly = lambda *c: np.polyval(c[::-1], t) * ARCSEC
+    gamma, phi = poly(-0.052928, 10.556378, 0.4932044, -0.00031238), poly(84381.412819, -46.811016, 0.0511268, 0.00053289)
+    psi = poly(-0.041775, 5038.481484, 1.5584175, -0.00018522) + psi * unit - 0.135e-3 * ARCSEC
+    eps = poly(84381.406, -46.836769, -0.0001831, 0.00200340) + eps * unit + 0.388e-3 * ARCSEC
+    m = _rot(1, -eps) @ _rot(3, -psi) @ _rot(1, phi) @ _rot(3, gamma)
+    return m[..., 2, 0], m[..., 2, 1]
 
 
 def _rot(axis: int, angle: np.ndarray) -> np.ndarray:
@@ -136,17 +163,96 @@ def earth_velocity(tt_mjd: np.ndarray) -> np.ndarray:
     return -(sun_position(np.asarray(tt_mjd) + h) - sun_position(np.asarray(tt_mjd) - h)) / (2 * h * DAY)
 
 
-def solid_tide(xyz: np.ndarray, body: np.ndarray, gm: float, lat: np.ndarray) -> np.ndarray:
-    """Displacement in m by one body, degree 2 with latitude-dependent Love numbers and degree 3 (F6, step 1 in phase)."""
-    r, d = np.linalg.norm(xyz, axis=-1, keepdims=True), np.linalg.norm(body, axis=-1, keepdims=True)
-    u, b = xyz / r, body / d
+# Elements of the planets at J2000 and their rates per century (a in au, e, inclination, mean longitude, longitude
+# of perihelion, node in degrees; public approximate elements for 1800 to 2050), and GM in SI units.
+PLANETS = {
+    "mercury": (2.2032e13, (0.38709927, 0.20563593, 7.00497902, 252.25032350, 77.45779628, 48.33076593), (3.7e-7, 1.906e-5, -0.00594749, 149472.67411175, 0.16047689, -0.12534081)),
+    "venus": (3.24858592e14, (0.72333566, 0.00677672, 3.39467605, 181.97909950, 131.60246718, 76.67984255), (3.9e-6, -4.107e-5, -0.00078890, 58517.81538729, 0.00268329, -0.27769418)),
+    "mars": (4.282837e13, (1.52371034, 0.09339410, 1.84969142, -4.55343205, -23.94362959, 49.55953891), (1.847e-5, 7.882e-5, -0.00813131, 19140.30268499, 0.44441088, -0.29257343)),
+    "jupiter": (1.26712764e17, (5.20288700, 0.04838624, 1.30439695, 34.39644051, 14.72847983, 100.47390909), (-1.1607e-4, -1.3253e-4, -0.00183714, 3034.74612775, 0.21252668, 0.20469106)),
+    "saturn": (3.7940585e16, (9.53667594, 0.05386179, 2.48599187, 49.95424423, 92.59887831, 113.66242448), (-1.2506e-3, -5.0991e-4, 0.00193609, 1222.49362201, -0.41897216, -0.28867794)),
+    "uranus": (5.794556e15, (19.18916464, 0.04725744, 0.77263783, 313.23810451, 170.95427630, 74.01692503), (-1.96176e-3, -4.397e-5, -0.00242939, 428.48202785, 0.40805281, 0.04240589)),
+    "neptune": (6.836527e15, (30.06992276, 0.00859048, 1.77004347, -55.12002969, 44.96476227, 131.78422574), (2.6291e-4, 5.105e-5, 0.00035372, 218.45945325, -0.32241464, -0.00508664)),
+}
+
+
+def planet_position(name: str, tt_mjd: np.ndarray) -> np.ndarray:
+    """Heliocentric place in m, equator of J2000, from mean elements (some arcminutes; for gravitational delays)."""
+    t = (np.asarray(tt_mjd, float) - 51544.5) / 36525
+    a, e, inc, lon, peri, node = (x + r * t for x, r in zip(*PLANETS[name][1:]))
+    m = np.radians((lon - peri + 180) % 360 - 180)
+    ecc = m + e * np.sin(m)
+    for _ in range(8):
+        ecc = ecc - (ecc - e * np.sin(ecc) - m) / (1 - e * np.cos(ecc))
+    flat = np.stack([a * (np.cos(ecc) - e), a * np.sqrt(1 - e * e) * np.sin(ecc), np.zeros_like(m)], -1) * AU
+    turn = _rot(1, np.full_like(m, -np.radians(23.43928))) @ _rot(3, -np.radians(node)) @ _rot(1, -np.radians(inc)) @ _rot(3, -np.radians(peri - node))
+    return np.einsum("...ij,...j->...i", turn, flat)
+
+
+# Frequency dependence of the solid tides (IERS Conventions 2010, tables 7.3a and 7.3b), in mm. Diurnal: multiples
+# of s, h, p, N', ps beside tau, then radial in and out of phase, transverse in and out of phase; terms of 0.04 mm and more
+# (those left out are 0.02 mm or less each). Long-period: the same multiples, then radial and transverse in phase, then out.
+TIDE_DIURNAL = np.array([
+    (-2, 0, 1, 0, 0, -0.08, 0.00, -0.01, 0.01), (-1, 0, 0, -1, 0, -0.10, 0.00, 0.00, 0.00), (-1, 0, 0, 0, 0, -0.51, 0.00, -0.02, 0.03), (0, 0, 1, 0, 0, 0.06, 0.00, 0.00, 0.00), (1, -3, 0, 0, 1, -0.06, 0.00, 0.00, 0.00),
+    (1, -2, 0, 0, 0, -1.23, -0.07, 0.06, 0.01), (1, -1, 0, 0, 1, 0.04, 0.00, 0.00, 0.00), (1, 0, 0, -1, 0, -0.22, 0.01, 0.01, 0.00), (1, 0, 0, 0, 0, 12.00, -0.80, -0.67, -0.03), (1, 0, 0, 1, 0, 1.73, -0.12, -0.10, 0.00),
+    (1, 0, 0, 2, 0, -0.04, 0.00, 0.00, 0.00), (1, 1, 0, 0, -1, -0.50, -0.01, 0.03, 0.00), (1, 2, 0, 0, 0, -0.11, 0.01, 0.01, 0.00),
+])
+TIDE_LONG = np.array([(0, 0, 0, 1, 0, 0.47, 0.23, 0.16, 0.07), (0, 2, 0, 0, 0, -0.20, -0.12, -0.11, -0.05), (1, 0, -1, 0, 0, -0.11, -0.08, -0.09, -0.04), (2, 0, 0, 0, 0, -0.13, -0.11, -0.15, -0.07), (2, 0, 0, 1, 0, -0.05, -0.05, -0.06, -0.03)])
+
+
+def _geocentric(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(longitude, geocentric latitude, distance)."""
+    return np.arctan2(xyz[..., 1], xyz[..., 0]), np.arctan2(xyz[..., 2], np.hypot(xyz[..., 0], xyz[..., 1])), np.linalg.norm(xyz, axis=-1)
+
+
+def solid_tide(xyz: np.ndarray, body: np.ndarray, gm: float) -> np.ndarray:
+    """Displacement in m by one body (F6, step 1): degree 2 with latitude-dependent Love numbers, degree 3, the parts out of
+    phase and the latitude dependence of the diurnal and semidiurnal bands. xyz and body in the Earth-fixed frame."""
+    lon, lat, r = _geocentric(xyz)
+    b_lon, b_lat, d = _geocentric(body)
+    u, b = xyz / r[..., None], body / d[..., None]
     c = (u * b).sum(-1, keepdims=True)
     p2 = (3 * np.sin(lat)[..., None] ** 2 - 1) / 2
     h2, l2, h3, l3 = 0.6078 - 0.0006 * p2, 0.0847 + 0.0002 * p2, 0.292, 0.015
     re = 6378136.6
     f2, f3 = gm / GM_EARTH * re**4 / d**3, gm / GM_EARTH * re**5 / d**4
     side = b - c * u
-    return f2 * (h2 * u * (1.5 * c * c - 0.5) + 3 * l2 * c * side) + f3 * (h3 * u * (2.5 * c**3 - 1.5 * c) + l3 * (7.5 * c * c - 1.5) * side)
+    out = f2[..., None] * (h2 * u * (1.5 * c * c - 0.5) + 3 * l2 * c * side) + f3[..., None] * (h3 * u * (2.5 * c**3 - 1.5 * c) + l3 * (7.5 * c * c - 1.5) * side)
+    one, two = np.sin(2 * b_lat) / 2, np.cos(b_lat) ** 2  # strength of the diurnal and of the semidiurnal band
+    sin, cos = np.sin(lat), np.cos(lat)
+    s1, c1, s2, c2 = np.sin(lon - b_lon), np.cos(lon - b_lon), np.sin(2 * (lon - b_lon)), np.cos(2 * (lon - b_lon))
+    radial = 3 * 0.0025 * sin * cos * one * s1 + 0.75 * 0.0022 * cos**2 * two * s2
+    north = 3 * 0.0007 * np.cos(2 * lat) * one * s1 - 1.5 * 0.0007 * sin * cos * two * s2 - 3 * 0.0012 * sin**2 * one * c1 - 1.5 * 0.0024 * sin * cos * two * c2
+    east = 3 * 0.0007 * sin * one * c1 + 1.5 * 0.0007 * cos * two * c2 + 3 * 0.0012 * sin * np.cos(2 * lat) * one * s1 - 1.5 * 0.0024 * sin**2 * cos * two * s2
+    up_, east_, north_ = _local(lon, lat)
+    return out + f2[..., None] * (radial[..., None] * up_ + north[..., None] * north_ + east[..., None] * east_)
+
+
+def solid_tide_bands(xyz: np.ndarray, mjd_utc: np.ndarray) -> np.ndarray:
+    """Displacement in m by the frequency dependence of the Love numbers (F6, step 2): diurnal and long-period tides."""
+    mjd = np.asarray(mjd_utc, float)
+    lon, lat, _ = _geocentric(xyz)
+    t = (mjd - 51544.5 + (tai_minus_utc(mjd) + 32.184) / DAY) / 36525
+    poly = lambda *c: np.polyval(c[::-1], t)
+    s = poly(218.31664563, 481267.88194, -0.0014663889, 0.00000185139)
+    tau = (mjd % 1) * 360 + poly(280.4606184, 36000.7700536, 0.00038793, -0.0000000258) - s
+    s = s + poly(0, 1.396971278, 0.000308889, 0.000000021, 0.000000007)
+    h = poly(280.46645, 36000.7697489, 0.00030322222, 0.000000020, -0.00000000654)
+    p = poly(83.35324312, 4069.01363525, -0.01032172222, -0.0000124991, 0.00000005263)
+    n = poly(234.95544499, 1934.13626197, -0.00207561111, -0.00000213944, 0.00000001650)
+    ps = poly(282.93734098, 1.71945766667, 0.00045688889, -0.00000001778, -0.00000000334)
+    slow = np.stack([s, h, p, n, ps], -1)
+    sin, cos = np.sin(lat), np.cos(lat)
+    a = np.radians(tau[..., None] + slow @ TIDE_DIURNAL[:, :5].T) + lon[..., None]
+    sa, ca = np.sin(a), np.cos(a)
+    r_in, r_out, t_in, t_out = TIDE_DIURNAL[:, 5:].T
+    radial, north, east = (r_in * sa + r_out * ca).sum(-1) * 2 * sin * cos, (t_in * sa + t_out * ca).sum(-1) * np.cos(2 * lat), (t_in * ca - t_out * sa).sum(-1) * sin
+    a = np.radians(slow @ TIDE_LONG[:, :5].T)
+    r_in, t_in, r_out, t_out = TIDE_LONG[:, 5:].T
+    radial = radial + (r_in * np.cos(a) + r_out * np.sin(a)).sum(-1) * (3 * sin**2 - 1) / 2
+    north = north + (t_in * np.cos(a) + t_out * np.sin(a)).sum(-1) * 2 * sin * cos
+    up_, east_, north_ = _local(lon, lat)
+    return (radial[..., None] * up_ + north[..., None] * north_ + east[..., None] * east_) / 1000
 
 
 def mean_pole(mjd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +336,8 @@ def geometric_delay(station: Station, ra: np.ndarray, dec: np.ndarray, day: np.n
     shift = np.zeros_like(place)
     if terms.solid_tides:
         for body, gm in ((sun, GM_SUN), (moon, GM_MOON)):
-            shift = shift + solid_tide(place, np.einsum("nij,nj->ni", rot, body), gm, lat)
+            shift = shift + solid_tide(place, np.einsum("nij,nj->ni", rot, body), gm)
+        shift = shift + solid_tide_bands(place, mjd)
     if terms.pole_tide:
         shift = shift + pole_tide(lon, lat, e["xp"], e["yp"], mjd)
     if terms.ocean_loading:
@@ -242,7 +349,8 @@ def geometric_delay(station: Station, ra: np.ndarray, dec: np.ndarray, day: np.n
     kb, kv, kw = dot(k, b), dot(k, v), dot(k, w)
     grav = np.zeros(ra.shape)
     if terms.gravitation:
-        for body, gm in ((sun, GM_SUN), (moon, GM_MOON)):
+        planets = [(sun + planet_position(n, tt), p[0]) for n, p in PLANETS.items()]
+        for body, gm in ((sun, GM_SUN), (moon, GM_MOON), *planets):
             r1, r2 = -body, b - body
             grav += 2 * gm / C_LIGHT**3 * np.log((np.linalg.norm(r1, axis=-1) + dot(k, r1)) / (np.linalg.norm(r2, axis=-1) + dot(k, r2)))
         grav += 2 * GM_EARTH / C_LIGHT**3 * np.log(2 * EARTH_RADIUS / (np.linalg.norm(b, axis=-1) + kb))
