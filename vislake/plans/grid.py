@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vislake.operators.regular_grid import MEASURED, to_grid
+from vislake.operators.regular_grid import AFTER, BEFORE, GAP, HELD, INTERPOLATED, MAX_GAP, MEASURED, to_grid
 from vislake.operators.tsys import has_antenna, readings, usable
 from vislake.session import bounded, table
 
@@ -24,7 +24,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_grid(spark, sf_dir).where(F.col("mark") != MEASURED).select("session", "antenna_no", "band", "period_start_us")
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid}
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole grid with rounded values: means, interpolated and held values, marks and lengths of gaps."""
+    return p1_grid(spark, sf_dir).withColumn("value", F.round("value", 6))
+
+
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_values": p1_values}
 
 _CASES = """
 WITH r AS (
@@ -41,6 +46,16 @@ grid AS (SELECT session, antenna_no, band, t0, g, n, unnest(range(0, n)) k FROM
 """
 
 ORACLE = {
+    "p1_values": _CASES + f""",
+g AS (
+  SELECT grid.*, v, c, last_value(CASE WHEN c IS NOT NULL THEN grid.k END IGNORE NULLS) OVER b pk, last_value(v IGNORE NULLS) OVER b pv, first_value(CASE WHEN c IS NOT NULL THEN grid.k END IGNORE NULLS) OVER f nk, first_value(v IGNORE NULLS) OVER f nv
+  FROM grid LEFT JOIN occ USING (session, antenna_no, band, k)
+  WINDOW b AS (PARTITION BY session, antenna_no, band ORDER BY grid.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY session, antenna_no, band ORDER BY grid.k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+m AS (
+  SELECT *, CASE WHEN c IS NOT NULL THEN 0 ELSE coalesce(nk, n) - coalesce(pk, -1) - 1 END gp,
+    CASE WHEN c IS NOT NULL THEN '{MEASURED}' WHEN pk IS NULL THEN CASE WHEN nk - k <= {MAX_GAP} THEN '{HELD}' ELSE '{BEFORE}' END WHEN nk IS NULL THEN CASE WHEN k - pk <= {MAX_GAP} THEN '{HELD}' ELSE '{AFTER}' END WHEN nk - pk - 1 <= {MAX_GAP} THEN '{INTERPOLATED}' ELSE '{GAP}' END mark FROM g)
+SELECT session, antenna_no, band, t0 + k * g AS period_start_us, round(CASE mark WHEN '{MEASURED}' THEN v WHEN '{HELD}' THEN CASE WHEN pk IS NULL THEN nv ELSE pv END WHEN '{INTERPOLATED}' THEN pv + (nv - pv) * (k - pk) / (nk - pk) END, 6) AS value, coalesce(c, 0) AS n_readings, gp AS gap_periods, mark FROM m
+""",
     "p1_found": _CASES + """
 SELECT grid.session, grid.antenna_no, grid.band, grid.t0 + grid.k * grid.g AS period_start_us
 FROM grid ANTI JOIN occ USING (session, antenna_no, band, k)

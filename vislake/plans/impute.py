@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vislake.operators.impute import FILLED, fill_readings
+from vislake.operators.impute import ABSENT, FILLED, RECORDED, fill_readings
 from vislake.session import table
 
 
@@ -21,7 +21,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("antenna_mark") == FILLED) | (F.col("tsys_mark") == FILLED)).select("st_id", fields.alias("field"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_filled": p2_filled}
+def p2_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its antenna and marks, its reading if recorded, and whether a filled one is a reading at all."""
+    f = p2_filled(spark, sf_dir)
+    return f.select("st_id", "antenna_no", "antenna_mark", "tsys_mark", F.when(F.col("tsys_mark") == RECORDED, F.col("tsys_1")).alias("recorded"), F.coalesce((F.col("tsys_mark") != FILLED) | ((F.col("tsys_1") > 0) & (F.col("tsys_1") < 1e6)), F.lit(False)).alias("plausible"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_filled": p2_filled, "p2_marks": p2_marks}
 
 _FOUND = """
 WITH r AS (
@@ -35,6 +41,11 @@ good AS (SELECT DISTINCT session, band, ant FROM w WHERE ok AND ant IS NOT NULL)
 """
 
 ORACLE = {
+    "p2_marks": _FOUND.replace("t.rec_id, CASE", "t.rec_id, t.tsys_1, CASE") + f"""
+SELECT st_id, ant AS antenna_no, CASE WHEN own IS NOT NULL THEN '{RECORDED}' WHEN ant IS NOT NULL THEN '{FILLED}' ELSE '{ABSENT}' END AS antenna_mark,
+  CASE WHEN ok THEN '{RECORDED}' WHEN good.ant IS NOT NULL THEN '{FILLED}' ELSE '{ABSENT}' END AS tsys_mark, CASE WHEN ok THEN tsys_1 END AS recorded, true AS plausible
+FROM w LEFT JOIN good USING (session, band, ant)
+""",
     "p2_found": _FOUND + """
 SELECT st_id, 'antenna_no' AS field FROM w WHERE own IS NULL AND ant IS NOT NULL
 UNION ALL SELECT st_id, 'tsys_1' FROM w JOIN good USING (session, band, ant) WHERE NOT ok
