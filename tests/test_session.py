@@ -67,5 +67,5 @@ def test_uncertainty_model(spark):
     ref = pd.DataFrame({"source": pdf.source, "ref_ra": 0.0, "ref_dec": 0.0, "ref_sigma_ra": 0.0, "ref_sigma_dec": 0.0})
     got = sr.uncertainty_model(spark.createDataFrame(pdf), spark.createDataFrame(ref))
     assert np.abs(got["rotation"]).max() < 0.1 and 0.1 < got["fixed"]["ra"]["f"] < 0.3 and got["offsets"].count() == n
-    runs = spark.createDataFrame([("a", k, x) for k, x in enumerate([0.0, 1.0, 3.0, -4.0, 2.0, 1.9, 0.0])] + [("b", 5, 1.0), ("c", 1, float("nan")), ("d", 1, 2.0), ("d", 2, 2.0)], "g string, k int, x double")
+    runs = spark.createDataFrame([("a", k, x) for k, x in enumerate([0.0, 1.0, 3.0, -4.0, 2.0, 1.9, 0.0])] + [("b", 5, 1.0), ("c", 1, float("nan")), ("c", 2, None), ("b", 6, None), ("d", 1, 2.0), ("d", 2, 2.0)], "g string, k int, x double")
     assert sorted(tuple(r) for r in excursion(runs, ["g"], "k", "x").collect()) == [("a", 3, 2, 4), ("b", 5, 5, 5), ("d", 1, 1, 2)]

@@ -176,7 +176,7 @@ def fringe_planes(vis: DataFrame, width: float, search: Search, strict: bool = T
 
 def peak_observables(fringes: DataFrame) -> DataFrame:
     """Diagonal products with a finite SNR, ungated."""
-    return fringes.where((F.col("i") == F.col("j")) & F.coalesce(~F.isnan("snr"), F.lit(False)))
+    return fringes.where((F.col("i") == F.col("j")) & F.col("snr").isNotNull() & ~F.isnan("snr"))
 
 
 def edges(fringes: DataFrame, min_snr: float, pairs: Column | None = None) -> DataFrame:

@@ -191,7 +191,7 @@ def unwrapped(rows: DataFrame, by: list[str], order: str, phase: str) -> DataFra
 def excursion(rows: DataFrame, by: list[str], order: str, x: str) -> DataFrame:
     """(by, peak, low, high): the order value of the largest |x| of every group (the first of equals), and the first and last
     of the run around it that stays at half of it or above (W8). Groups without a number have no row."""
-    some = rows.where(F.coalesce(~F.isnan(x), F.lit(False))).select(*by, F.col(order).alias("__o"), F.abs(F.col(x)).alias("__a"))
+    some = rows.where(F.col(x).isNotNull() & ~F.isnan(x)).select(*by, F.col(order).alias("__o"), F.abs(F.col(x)).alias("__a"))
     w = Window.partitionBy(*by).orderBy("__o")
     top = some.groupBy(*by).agg(F.max(F.struct("__a", (-F.col("__o")).alias("__n"))).alias("__m")).select(*by, F.col("__m.__a").alias("__most"), (-F.col("__m.__n")).alias("peak"))
     near = some.join(top, by).withColumn("__weak", F.col("__a") < F.col("__most") / 2).withColumn("__before", F.lag("__o").over(w)).withColumn("__after", F.lead("__o").over(w))

@@ -26,7 +26,7 @@ def tone_verdicts(tones: DataFrame, node: list[str], floor: float, weak_pct: flo
 
 def cable_census(readings: DataFrame, node: list[str]) -> DataFrame:
     """(node, n, median, ptp, sigma, jumps, verdict) of cable readings in time order (D13). readings: node, t, row_id, cable."""
-    good = readings.where(F.coalesce(~F.isnan("cable"), F.lit(False)))
+    good = readings.where(F.col("cable").isNotNull() & ~F.isnan("cable"))
     o = Window.partitionBy(*node).orderBy("t", "row_id")
     d = good.withColumn("d", F.col("cable") - F.lag("cable").over(o))
     med = d.groupBy(*node).agg(F.median("d").alias("dm"))

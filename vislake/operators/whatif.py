@@ -229,7 +229,7 @@ def sign_regressions(rows: DataFrame, by: list[str], node_step: float) -> DataFr
         flat = size <= 1e-18 * (pdf["installed"] ** 2).sum()
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "slope": [None if flat else float((x * y).sum() / size)], "n": [len(pdf)]})
 
-    good = F.coalesce(~F.isnan("residual") & ~F.isnan("installed") & F.col("t").isNotNull(), F.lit(False))
+    good = F.col("t").isNotNull() & F.col("residual").isNotNull() & F.col("installed").isNotNull() & ~F.isnan("residual") & ~F.isnan("installed")
     return rows.where(good).select(*by, "t", "residual", "installed").groupBy(*by).applyInPandas(run, ", ".join(names) + ", slope double, n bigint")
 
 
