@@ -204,13 +204,17 @@ def replay(rows: DataFrame, reach_us: float) -> DataFrame:
     try:
         for k, v in own.items():
             spark.conf.set(k, v)
-        for group in [*groups, None]:
-            for at, number in enumerate(group if group is not None else [0]):
+        for n, group in enumerate([*groups, None]):
+            # A group becomes visible at once, so that it is one micro-batch.
+            files.mkdirs(path(f"next/{n}"))
+            for number in group if group is not None else [0]:
                 source = f"events/slice={number}" if group is not None else "flush"
-                if not files.rename(path(source), path(f"feed/{'s' if group is not None else 'z'}{number}")):
+                if not files.rename(path(source), path(f"next/{n}/{number}")):
                     raise OSError(f"cannot move {home}/{source}")
+            if not files.rename(path(f"next/{n}"), path(f"feed/{n}")):
+                raise OSError(f"cannot move {home}/next/{n}")
             if query is None:
-                stream = spark.readStream.schema(_EVENT).parquet(f"{home}/feed/*")
+                stream = spark.readStream.schema(_EVENT).parquet(f"{home}/feed/*/*")
                 joined = nearest_time_join(stream, "0 seconds", reach_us)
                 query = joined.writeStream.format("parquet").option("path", f"{home}/pairs").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").start()
             query.processAllAvailable()
@@ -219,6 +223,6 @@ def replay(rows: DataFrame, reach_us: float) -> DataFrame:
             query.stop()
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    for x in ("events", "feed", "checkpoint"):
+    for x in ("events", "next", "feed", "checkpoint"):
         files.delete(path(x), True)
     return spark.read.schema(_OUT).parquet(f"{home}/pairs")
