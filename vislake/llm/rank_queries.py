@@ -40,11 +40,10 @@ def p5_from_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(combine(months, keys), keys, QUANTILES)
 
 
-def p5_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bounds(values: DataFrame, found: DataFrame) -> DataFrame:
     """Whether every percentile is within its own bound, and that within EPSILON, by the exact ranks of the value: (metric, dim, grp, q, n, within_bound)."""
     keys = ["metric", "dim", "grp"]
-    values = _values(spark, sf_dir)
-    held = percentiles(combined(values, keys, "x"), keys, QUANTILES).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("q", "value", "rank_error", "rank_bound"))).alias("got"))  # one per quantile
+    held = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("q", "value", "rank_error", "rank_bound"))).alias("got"))  # one per quantile
     value = lambda i: F.col("got")[i]["value"]
     counts = [c for i in range(len(QUANTILES)) for c in (F.count_if(F.col("x") < value(i)).alias(f"below{i}"), F.count_if(F.col("x") <= value(i)).alias(f"upto{i}"))]
     ranked = values.where(finite(F.col("x"))).join(held, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.first("got").alias("got"), *counts)
@@ -57,11 +56,20 @@ def p5_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(*keys, "n", F.explode(F.array(*[row(i) for i in range(len(QUANTILES))])).alias("r")).select(*keys, "r.q", "n", "r.within_bound")
 
 
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_from_months": p5_from_months, "p5_bounds": p5_bounds}
+def p5_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of all rows against exact ranks."""
+    return _bounds(_values(spark, sf_dir), p5_percentiles(spark, sf_dir))
+
+
+def p5_month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles combined from months against exact ranks."""
+    return _bounds(_values(spark, sf_dir), p5_from_months(spark, sf_dir))
+
+
+QUERIES = {"p5_month_bounds": p5_month_bounds, "p5_percentiles": p5_percentiles, "p5_from_months": p5_from_months, "p5_bounds": p5_bounds}
 
 #: The groups and their exact sizes; every percentile is expected within its bound.
-ORACLE = {
-    "p5_bounds": f"""
+_BOUNDS = f"""
 WITH v AS (
   SELECT 'tau_residual' metric, 'baseline' dim, least(a1, a2) || '-' || greatest(a1, a2) grp, tau_residual x FROM observables
   UNION ALL SELECT 'snr', 'baseline', least(a1, a2) || '-' || greatest(a1, a2), snr FROM observables
@@ -71,5 +79,6 @@ WITH v AS (
   UNION ALL SELECT 'tsys_1', 'band', CAST(band AS VARCHAR), tsys_1 FROM system_temperature JOIN sessions USING (session) WHERE tsys_1 > 0 AND tsys_1 <= tsys_ceiling),
 g AS (SELECT metric, dim, grp, count(*) n FROM v WHERE grp IS NOT NULL AND isfinite(x) GROUP BY ALL)
 SELECT metric, dim, grp, q, n, true AS within_bound FROM g, (SELECT unnest([{", ".join(map(str, QUANTILES))}])::DOUBLE q)
-""",
-}
+"""
+
+ORACLE = {"p5_bounds": _BOUNDS, "p5_month_bounds": _BOUNDS}
