@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vislake.operators.gains import Solution
+from vislake.operators.partition import gap_scans
 from vislake.operators.residuals import excursion
 from vislake.plans import session_run as sr
 from vislake.plans.config import OwnImaging, SessionConfig, VisibilityAveraging
@@ -59,6 +60,20 @@ def test_session_from_file_to_products(spark, tmp_path, observables):  # noqa: F
     assert len((tmp_path / "out" / "catalogue.csv").read_text().splitlines()) == 9
 
 
+def test_files_of_two_bands_become_one(spark, tmp_path):
+    for name in ("low", "high"):
+        _file(tmp_path / f"{name}.fits")
+    at = lambda base: spark.createDataFrame([(k + 1, base + k * 1e7) for k in range(4)], "chan int, nu double")
+    files = {str(tmp_path / "low.fits"): at(8.4e9), str(tmp_path / "high.fits"): at(8.6e9)}
+    rows, vis = sr.open_files(spark, files, 1e7, gap_scans(100.0))
+    got = rows.collect()
+    assert len(got) == 12 * 6 and {r["n_bands"] for r in got} == {2} and {r["scan"] for r in got} == {1, 2}
+    assert [(r["t"], r["p"], r["q"]) for r in got] == sorted((r["t"], r["p"], r["q"]) for r in got)
+    assert vis.count() == 12 * 6 * 4 * 2 * 2 and {r["band"] for r in vis.select("band").distinct().collect()} == {1, 2}
+    with pytest.raises(ValueError):
+        sr.open_files(spark, {**files, str(tmp_path / "high.fits"): at(8.43e9)}, 1e7, gap_scans(100.0))
+
+
 def test_uncertainty_model(spark):
     rng = np.random.default_rng(13)
     n = 60

@@ -50,6 +50,11 @@ def combine(files: dict[str, DataFrame], bands: dict[str, int]) -> tuple[DataFra
     return rows, vis
 
 
+def in_time_order(rows: DataFrame) -> DataFrame:
+    """Rows by time, ties by baseline and source (O1): a range exchange, no single task sorts all."""
+    return rows.orderBy("t", "p", "q", "source")
+
+
 def near_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows closer to the one before than half an integration (J2). rows: keys, t, int_time, row_id."""
     o = Window.partitionBy(*keys).orderBy("t", "row_id")

@@ -17,6 +17,7 @@ from vislake.functions.imagemath import Grid, disk
 from vislake.operators.astrometry import ModelContext, catalogue, error_model, rotation_fit, structure_delays
 from vislake.operators.average import average, average_rows
 from vislake.operators.closure import closure_amp_chi2, closure_chi2, edges, model_visibility, noise_scale, stokes_i
+from vislake.operators.combine import band_plan, combine, in_time_order
 from vislake.operators.fringe import fringe_fit, peak_observables
 from vislake.operators.gains import Solution, calibrate
 from vislake.operators.imaging import components_of, fine_cell, gridded, hybrid, image_sources
@@ -25,7 +26,7 @@ from vislake.operators.timejoin import unflagged
 from vislake.operators.whatif import fit_summary, register
 from vislake.plans.config import OwnImaging, PointSource, SessionConfig
 from vislake.plans.schedule import alignment_step, pcal_step
-from vislake.session import cut
+from vislake.session import cut, stored
 from vislake.sources import fits, sinks
 
 
@@ -67,6 +68,22 @@ def open_session(spark: SparkSession, config: SessionConfig, channels: DataFrame
     return Session(config, vis, channels, by_scan(vis.select("scan", "t").distinct()), by_window(channels), whole_band(channels), found)
 
 
+def open_files(spark: SparkSession, files: dict[str, DataFrame], width: float, scans: ScanStrategy) -> tuple[DataFrame, DataFrame]:
+    """(rows, vis) of several files of one observation, with scans (S2, J1, O1). files: path -> channels (chan, nu) of that file,
+    whose setups must be disjoint or nested; width: channel width in Hz. rows are in the order of time; vis has the rows' ids,
+    bands and scans."""
+    loaded = fits.load(spark, list(files))
+    named = {}
+    for path, v in loaded.items():
+        both = v.join(F.broadcast(files[path].select("chan", "nu")), "chan")  # one row per channel
+        slots = {"i": F.when(F.col("prod").isin(1, 3), 1).otherwise(2), "j": F.when(F.col("prod").isin(1, 4), 1).otherwise(2)}
+        named[path] = both.withColumns(slots).select("p", "q", "source", "t", "nu", "i", "j", "re", "im", "w", F.col("u_m").alias("u"), F.col("v_m").alias("v"), "int_time")
+    rows, vis = combine(named, band_plan(files, width))
+    rows = stored(rows)
+    times = scans(rows.select("t", "source").distinct())
+    return in_time_order(rows.join(times, ["t", "source"])), vis.join(times, ["t", "source"])
+
+
 def with_cells(vis: DataFrame, time: Partition, frequency: Partition) -> DataFrame:
     """Visibilities with tcell and fcell of two partitions."""
     keys = [c for c in time.lookup.columns if c != "cell"]
