@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import present
+from vislake.operators.dimensions import dense_names, endpoints, quantiles
 from vislake.operators.instrument import alignment_summary, derive_alignment, derive_alignment_by_setup, fallback_share, pcal_init, pick_tones, tone_health, tsys_init
 from vislake.operators.timejoin import bracketing, first_cell, largest_overlap, last_valid, unflagged
 from vislake.operators.tsys import has_antenna, usable
@@ -91,19 +92,15 @@ def join_j6_bracketing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_j7_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense numbers of antennas and sources inside a session, and rows whose names are unknown."""
-    d = table(spark, sf_dir, "dataset")
-    names = d.select("session", F.explode(F.array("a1", "a2")).alias("name")).distinct()
-    known = names.join(bounded(_names(spark, sf_dir)), F.col("name") == F.col("antenna"), "left")
-    return known.select("session", "name", "antenna_no", F.dense_rank().over(Window.partitionBy("session").orderBy("name")).alias("ix"))
+    return dense_names(table(spark, sf_dir, "dataset"), ["a1", "a2"], ["session"], _names(spark, sf_dir), "antenna", ["antenna_no"])
 
 
 def join_j8_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of the antennas' positions over every baseline (role-playing join)."""
     a = table(spark, sf_dir, "antennas").groupBy("name").agg(F.max("x_m").alias("x"), F.max("y_m").alias("y"), F.max("z_m").alias("z"))
     bl = table(spark, sf_dir, "dataset").select("a1", "a2").distinct()
-    p, q = (bounded(a.select(F.col("name").alias(f"a{k}"), *[F.col(c).alias(f"{c}{k}") for c in "xyz"])) for k in (1, 2))
     length = F.sqrt(sum((F.col(f"{c}2") - F.col(f"{c}1")) ** 2 for c in "xyz"))
-    return bl.join(p, "a1").join(q, "a2").select("a1", "a2", *[r(F.col(f"{c}2") - F.col(f"{c}1"), 3).alias(f"d{c}") for c in "xyz"], r(length, 3).alias("length"))
+    return endpoints(bl, a, "name", ["x", "y", "z"]).select("a1", "a2", *[r(F.col(f"{c}2") - F.col(f"{c}1"), 3).alias(f"d{c}") for c in "xyz"], r(length, 3).alias("length"))
 
 
 def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +152,8 @@ def cal_c16_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg_a24_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _tsys(spark, sf_dir).where("sefd is not null")
-    q = lambda p: r(F.percentile("sefd", p), 4)
-    return c.groupBy("antenna_no").agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"), F.count("*").alias("n"))
+    q = quantiles(c, ["antenna_no"], "sefd", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
+    return q.select("antenna_no", *[r(x, 4).alias(x) for x in ("q10", "q50", "q90")], "n")
 
 
 def _windows(spark: SparkSession, sf_dir: str, band: Column | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vislake.operators import residuals as res
 from vislake.operators import verdicts as ver
 from vislake.operators.bandpass import weighted_quantile_column
+from vislake.operators.dimensions import common, first_by, longest, missing, tagged_union
 from vislake.operators.tsys import has_antenna
 from vislake.plans.common import channels, r, with_vis
 from vislake.plans.records import _TONES, _names, _tones
@@ -137,31 +138,30 @@ def set_o7_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_o8_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that both tables have."""
-    return table(spark, sf_dir, "dataset").select("source").intersect(table(spark, sf_dir, "observables").select("source"))
+    return common(table(spark, sf_dir, "dataset"), table(spark, sf_dir, "observables"), ["source"])
 
 
 def set_o9_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Antennas of the register that the data never name."""
     d = table(spark, sf_dir, "dataset")
-    return table(spark, sf_dir, "antennas").select("name").subtract(d.select("a1").union(d.select("a2")))
+    return missing(table(spark, sf_dir, "antennas").select("name"), [d.select("a1"), d.select("a2")])
 
 
 def set_o10_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row of every baseline wins."""
-    return table(spark, sf_dir, "dataset").groupBy("session", "a1", "a2").agg(F.min_by("source", "vis_id").alias("source"), F.min("vis_id").alias("vis_id"))
+    return first_by(table(spark, sf_dir, "dataset"), ["session", "a1", "a2"], "vis_id", ["source"])
 
 
 def set_o6_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two tables in one (O6), counted per session and table."""
-    a = table(spark, sf_dir, "dataset").select(F.lit("dataset").alias("tab"), "session", "a1", "a2")
-    b = table(spark, sf_dir, "observables").select(F.lit("observables").alias("tab"), "session", "a1", "a2")
-    return a.unionByName(b).groupBy("tab", "session").agg(F.count("*").alias("n"))
+    both = tagged_union({n: table(spark, sf_dir, n) for n in ("dataset", "observables")}, ["session", "a1", "a2"])
+    return both.groupBy("tab", "session").agg(F.count("*").alias("n"))
 
 
 def set_o5_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Worst ten baselines of every session by wrms."""
     g = _obs(spark, sf_dir).groupBy("session", "a1", "a2").agg(res.wrms().alias("wrms"))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("wrms"), "a1", "a2"))).where("rank <= 10").select("session", "a1", "a2", r("wrms", 4).alias("wrms"), "rank")
+    return longest(g, ["session"], [F.desc("wrms"), F.col("a1"), F.col("a2")], 10).select("session", "a1", "a2", r("wrms", 4).alias("wrms"), "rank")
 
 
 def diag_d10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
