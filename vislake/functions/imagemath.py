@@ -72,17 +72,24 @@ def hogbom(dirty: np.ndarray, patch: np.ndarray, gain: float, niter: int, thresh
     n = dirty.shape[0]
     if not 0 < gain <= 1 or not threshold > 0 or (window is not None and not window.any()):
         raise ValueError("gain in (0, 1], threshold above 0 and a window that is not empty")
-    residual, flux, used = dirty.copy(), np.zeros_like(dirty), 0
-    allowed = np.ones_like(dirty, bool) if window is None else window
+    # Transposed, so that the flat order in memory is the column-major one of the map; buffers are made once.
+    work, turned = np.ascontiguousarray(dirty.T, float), np.ascontiguousarray(patch.T, float)
+    shut = None if window is None else np.ascontiguousarray(~window.T)
+    size, step = np.empty_like(work), np.empty_like(work)
+    flux, used = np.zeros_like(dirty, float), 0
     for _ in range(niter):
-        flat = int(np.where(allowed, np.abs(residual), -1.0).ravel(order="F").argmax())
-        y, x = divmod(flat, n)
-        peak = residual[x, y]
+        np.abs(work, out=size)
+        if shut is not None:
+            size[shut] = -1.0
+        y, x = divmod(int(size.argmax()), n)
+        peak = work[y, x]
         if abs(peak) < threshold:
             break
         flux[x, y] += gain * peak
-        residual -= gain * peak * patch[n - 1 - x : 2 * n - 1 - x, n - 1 - y : 2 * n - 1 - y]
+        np.multiply(turned[n - 1 - y : 2 * n - 1 - y, n - 1 - x : 2 * n - 1 - x], gain * peak, out=step)
+        np.subtract(work, step, out=work)
         used += 1
+    residual = work.T.copy()
     return flux, residual, used
 
 
