@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vislake.functions import delaymodel as dm
+from vislake.operators.partition import gap_scans
 from vislake.plans.common import channels, r
+from vislake.plans.session_run import open_files
 from vislake.session import ensure_utc, finite, micros, shared_dir, table
 from vislake.sources import fits, readers, sinks
+from vislake.sources.adapters import DNU, NU0
 
 #: Files that the visibilities are spread over.
 FILES = 4
@@ -40,10 +43,8 @@ def _folder(spark: SparkSession) -> str:
     return out
 
 
-def src_s1_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dataset table as FITS-IDI files, loaded and put together again; autocorrelations are dropped by the loader."""
-    folder = _folder(spark)
-    rows = table(spark, sf_dir, "dataset").select("vis_id", F.pmod("vis_id", F.lit(FILES)).alias("part"), "p", "q", "source_ix", micros(F.col("datetime")).alias("us"), "u_m", "v_m", "w_m", "int_time", F.coalesce(F.nanvl("vis_re", F.lit(0.0)), F.lit(0.0)).alias("re"), F.coalesce(F.nanvl("vis_im", F.lit(0.0)), F.lit(0.0)).alias("im"), "weight")
+def _written(rows: DataFrame, folder: str) -> list[str]:
+    """Paths of FITS-IDI files of one channel and product with all rows, in FILES parts by vis_id."""
     axes = [fits.card(k, v) for k, v in (("MAXIS", 4), ("CTYPE1", "COMPLEX"), ("MAXIS1", 3), ("CTYPE2", "STOKES"), ("MAXIS2", 1), ("CTYPE3", "FREQ"), ("MAXIS3", 1), ("CTYPE4", "BAND"), ("MAXIS4", 1))]
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -56,13 +57,33 @@ def src_s1_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
         Path(path).write_bytes(fits.header([fits.card("SIMPLE", True), fits.card("BITPIX", 8), fits.card("NAXIS", 0)]) + fits.table_bytes("UV_DATA", cols, axes))
         return pd.DataFrame({"path": [path]})
 
-    paths = sorted(x["path"] for x in rows.groupBy("part").applyInPandas(write, "path string").collect())  # FILES names
+    return sorted(x["path"] for x in rows.withColumn("part", F.pmod("vis_id", F.lit(FILES))).groupBy("part").applyInPandas(write, "path string").collect())  # FILES names
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    return table(spark, sf_dir, "dataset").select("vis_id", "p", "q", "source_ix", micros(F.col("datetime")).alias("us"), "u_m", "v_m", "w_m", "int_time", number("vis_re").alias("re"), number("vis_im").alias("im"), "weight")
+
+
+def src_s1_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset table as FITS-IDI files, loaded and put together again; autocorrelations are dropped by the loader."""
     out = None
-    for v in fits.load(spark, paths).values():
+    for v in fits.load(spark, _written(_rows(spark, sf_dir), _folder(spark))).values():
         out = v if out is None else out.unionByName(v)
     return out.select("p", "q", F.col("source").alias("source_ix"), r("t", 3).alias("t"), r("u_m", 3).alias("u_m"), r("int_time", 3).alias("int_time"), r("re", 6).alias("re"), r("im", 6).alias("im"), r("w", 6).alias("w"))
 
 
+def src_s2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files opened as one data set, with scans by gaps and sources (rows sent again are left out before writing)."""
+    folder = _folder(spark)
+    key = ["p", "q", "source_ix", "us"]
+    once = _rows(spark, sf_dir).where("p <> q").groupBy(*key).agg(F.min_by(F.struct("vis_id", "u_m", "v_m", "w_m", "int_time", "re", "im", "weight"), "vis_id").alias("x")).select(*key, "x.*")
+    setup = spark.createDataFrame([(1, NU0)], "chan int, nu double")
+    rows, vis = open_files(spark, {path: setup for path in _written(once, folder)}, DNU, gap_scans(120.0))
+    n = vis.groupBy("row_id").agg(F.count("*").alias("n_data"))
+    return rows.join(n, "row_id").select("p", "q", "source", r("t", 3).alias("t"), "scan", "n_bands", "n_data")
+
+
 def src_s6_eop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-column Earth orientation; rows without pole offsets are left out."""
     folder = _folder(spark)
@@ -227,7 +248,7 @@ def snk_k7_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(kind.alias("kind")).where("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (src_s1_fits, src_s5_geometry, src_s6_eop, src_s7_tec, fn_f13_tec, src_s9_pressure, src_s10_model, src_s12_models, src_s13_names, src_s14_simulate, snk_k1_table, snk_k2_catalogue, snk_k3_images, snk_k7_manifest)}
+QUERIES = {f.__name__: f for f in (src_s1_fits, src_s2_files, src_s5_geometry, src_s6_eop, src_s7_tec, fn_f13_tec, src_s9_pressure, src_s10_model, src_s12_models, src_s13_names, src_s14_simulate, snk_k1_table, snk_k2_catalogue, snk_k3_images, snk_k7_manifest)}
 
 _POLE = repr(math.radians(1 / 3600) * 1e-3 * 1e12) + "::DOUBLE"
 _MAPS = "e AS (SELECT x e, 60310 + x * 0.5e0 mjd FROM range(5) r(x)), la AS (SELECT x * 10e0 lat FROM range(-9, 10) r(x)), lo AS (SELECT x * 20e0 lon FROM range(-9, 10) r(x))"
@@ -236,6 +257,11 @@ ORACLE = {
     "src_s1_fits": f"""
 SELECT p, q, coalesce(source_ix, 0) AS source_ix, round((epoch_us(datetime) - {DAY0_US}) / 1e6, 3) + 0 AS t, round(u_m, 3) + 0 AS u_m, round(int_time, 3) + 0 AS int_time,
   round(CASE WHEN coalesce(CAST(vis_re AS VARCHAR), 'nan') = 'nan' THEN 0 ELSE vis_re END, 6) + 0 AS re, round(CASE WHEN coalesce(CAST(vis_im AS VARCHAR), 'nan') = 'nan' THEN 0 ELSE vis_im END, 6) + 0 AS im, round(greatest(weight, 0), 6) + 0 AS w FROM dataset WHERE p <> q""",
+    "src_s2_files": f"""
+WITH d AS (SELECT DISTINCT p, q, coalesce(source_ix, 0) source, (epoch_us(datetime) - {DAY0_US}) / 1e6 t FROM dataset WHERE p <> q), s AS (SELECT DISTINCT t, source FROM d),
+b AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > 120 OR source <> lag(source) OVER w THEN 1 ELSE 0 END n FROM s WINDOW w AS (ORDER BY t, source)),
+c AS (SELECT t, source, CAST(sum(n) OVER (ORDER BY t, source) AS INT) scan FROM b)
+SELECT p, q, source, round(t, 3) + 0 AS t, scan, 1 AS n_bands, 1 AS n_data FROM d JOIN c USING (t, source)""",
     "src_s5_geometry": "SELECT name AS code, round(min(x_m) + min(antenna_no) * 0.01e0 * 4.5e0, 3) + 0 AS x, round(min(y_m) - 0.02e0 * 4.5e0, 3) + 0 AS y, round(min(z_m), 3) + 0 AS z, min(antenna_no) * 0.5e0 AS axis_offset, 33 AS n_amplitudes FROM antennas WHERE name IS NOT NULL GROUP BY name",
     "src_s6_eop": f"SELECT DISTINCT 59000 + source_rawid + 0e0 AS mjd, round(source_rawid % 100 * 0.001e0, 6) AS xp, round(source_rawid % 90 * 0.002e0, 6) AS yp, round((source_rawid % 50 - 25) * 0.01e0, 7) + 0 AS ut1_utc, round(((source_rawid % 9) * 0.1e0 - 0.4e0) * {_POLE}, 3) + 0 AS dx, round(((source_rawid % 8) * 0.1e0 - 0.3e0) * {_POLE}, 3) + 0 AS dy FROM sources WHERE source_rawid % 7 <> 0",
     "src_s7_tec": f"WITH {_MAPS} SELECT mjd, lat, lon, CASE WHEN e = 1 AND lat = 80 AND lon = 0 THEN NULL ELSE round(10 + e + 0.03e0 * lat, 4) END AS tec, 2e0 AS rms, 6371e3 AS base, 450e3 AS height FROM e, la, lo",
