@@ -197,6 +197,26 @@ def fn_f9_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.mapInPandas(run, "source_rawid int, bounded boolean, signed boolean, partials boolean, horizon boolean")
 
 
+def fn_f21_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of every source at two stations: hydrostatic delays of the size of an atmosphere, mappings above one, ionospheres in
+    the ratio of their maps, partials below the light time of the Earth's radius (F7, F8, F10-F15, F21)."""
+    t = np.arange(59990.0, 60011.0)
+    eop = pd.DataFrame({"mjd": t, "ut1_utc": 0.1, "xp": 0.1, "yp": 0.3, "dx": 0.0, "dy": 0.0})
+    flat = lambda x: dm.TecMaps(np.array([59999.0, 60002.0]), np.arange(-90, 91, 10.0), np.arange(-180, 181, 10.0), np.full((2, 19, 37), x), np.full((2, 19, 37), 2.0))
+    loading = np.zeros((3, 11))
+    loading[0, 0] = 0.01
+    stations = {"A": dm.Station(np.array([4075539.9, 931735.3, 4801629.4]), 0.0, loading), "B": dm.Station(np.array([-1324009.0, -5332181.0, 3231962.0]), 2.0)}
+    context = ast.ModelContext(stations, 60000.0, 56.0, 8.4e9, eop, {}, {"x": flat(20.0), "y": flat(24.0)}, "x")
+    s = table(spark, sf_dir, "sources").select("source_rawid", F.radians("ra_deg").alias("ra"), F.radians("dec_deg").alias("dec")).distinct()
+    keys = s.select((F.col("source_rawid") * 100.0).alias("t"), F.col("source_rawid").cast("string").alias("source"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("antenna"), "ra", "dec")
+    x = ast.antenna_terms(keys, context)
+    low, wet = F.col("el") <= 0.1, F.col("tau_model") - F.col("tau_geometric")
+    return x.select(
+        F.col("source").cast("int").alias("source_rawid"), "antenna", (low | wet.between(6e-9, 9e-8)).alias("hydrostatic"), (low | (F.col("wet") >= 1)).alias("mapped"), (F.abs(F.col("iono")[1] / F.col("iono")[0] - 1.2) < 1e-9).alias("ratio"),
+        (F.hypot("dtau_dra", "dtau_ddec") < 0.0213).alias("bounded"), (F.abs(F.col("tau_geometric")) < 0.0213).alias("geometric"),
+    )
+
+
 def join_j6_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-day interpolation of Earth orientation is exact on a cubic."""
     t = np.arange(59990.0, 60011.0)
@@ -372,7 +392,7 @@ def agg_a14_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     agg_a3_grid, agg_a6_traces, agg_a7_timelines, ui_u8_displayed, ui_u7_cadence, ui_u7_slots, join_j15_uv_snr, sel_x1_callable, sel_p19_scaled, cal_x3_kind, part_g12_integration, part_x9_strategy, part_x10_scans, part_g11_accessors,
-    win_w8_excursion, agg_a21_epoch, agg_a30_floor, diag_d16_ensembles, fn_f18_structure, fn_f20_applied, fn_f9_delay, join_j6_cubic, est_n10_totals, join_j13_catalogue, join_j14_lookup, est_n15_agreement, diag_d8_sign, diag_d9_scan, diag_d9_arms,
+    win_w8_excursion, agg_a21_epoch, agg_a30_floor, diag_d16_ensembles, fn_f18_structure, fn_f20_applied, fn_f9_delay, fn_f21_terms, join_j6_cubic, est_n10_totals, join_j13_catalogue, join_j14_lookup, est_n15_agreement, diag_d8_sign, diag_d9_scan, diag_d9_arms,
     diag_d7_families, diag_d7_geometry, diag_d1_whatif, img_i10_correlation, img_i10_ratios, agg_a14_closures,
 )}
 
@@ -412,6 +432,7 @@ SELECT CASE WHEN n IS NULL OR n < 4 THEN 'warn' ELSE 'pass' END AS level, 'amp-i
     "fn_f18_structure": f"WITH n AS (SELECT name, min(antenna_no) n FROM antennas WHERE name IS NOT NULL GROUP BY name) SELECT obs_id AS row_key, round(CASE WHEN n % 5 <> 0 THEN (n * 0.1e0 * cos(t) * 0.02e0 - n * 0.05e0 * sin(t) * 0.02e0) * {MAS!r}::DOUBLE * 1e12 ELSE 0 END, 3) + 0 AS tau_ps FROM observables LEFT JOIN n ON a1 = name",
     "fn_f20_applied": f"WITH {_K}, {_PQ} SELECT k * 100 + p * 10 + q AS row_key, q - p + 0e0 AS tau_ns FROM k, b",
     "fn_f9_delay": "SELECT DISTINCT source_rawid, true AS bounded, true AS signed, true AS partials, true AS horizon FROM (SELECT DISTINCT source_rawid, ra_deg, dec_deg FROM sources WHERE abs(dec_deg) < 89)",
+    "fn_f21_terms": "SELECT source_rawid, a AS antenna, true AS hydrostatic, true AS mapped, true AS ratio, true AS bounded, true AS geometric FROM (SELECT DISTINCT source_rawid, ra_deg, dec_deg FROM sources), (VALUES ('A'), ('B')) v(a)",
     "join_j6_cubic": "WITH x AS (SELECT DISTINCT source_rawid, -5 + (source_rawid % 101) / 10e0 x FROM sources), c AS (SELECT *, 0.1e0 + 0.01e0 * x - 0.002e0 * x * x + 1e-4 * x * x * x c FROM x) SELECT source_rawid, round(c, 8) + 0 AS ut1_utc, round(2 * c, 8) + 0 AS xp, round(x, 6) + 0 AS dx FROM c",
     "est_n10_totals": f"""
 WITH o AS (SELECT obs_id, delay, {_OBS_N.format('a2')} - {_OBS_N.format('a1')} n, CASE WHEN obs_id % 2 = 0 THEN obs_id % 5 * 1e-10 ELSE 0 END ap, CASE WHEN obs_id % 2 = 0 THEN obs_id % 3 * 1e-10 ELSE 0 END st FROM observables WHERE source IS NOT NULL AND t IS NOT NULL),
