@@ -209,6 +209,19 @@ def test_views_and_metadata(spark):
     assert (meta["n_rows"], meta["n_sources"], meta["ensemble_floor_mas"], meta["model_sets"]["point"]["ensemble_floor_mas"], meta["epoch"]) == (2, 2, 0.3, 0.2, 2024.0)
 
 
+def test_captured_phases_and_thin_wrappers(spark, observables):  # noqa: F811
+    cells, fcells = spark.createDataFrame([(1, 0.0)], "cell int, ref double"), spark.createDataFrame([(1, 8.4e9)], "cell int, ref double")
+    kind = "kind string, p int, i int, tcell int, fcell int, value double"
+    s = Solution(spark.createDataFrame([("Delay", 1, 1, 1, 1, 1e-9), ("PhaseOffset", 1, 1, 1, 1, 0.5), ("Rate", 1, 1, 1, 1, 9.0)], kind), cells, fcells)
+    channels = spark.createDataFrame([(1, 8.4e9), (2, 8.5e9)], "chan int, nu double")
+    got = {r["chan"]: r["phase"] for r in sr.captured_applied_phase(s, channels, channels.select("chan", F.lit(1).alias("fcell"))).collect()}
+    assert got == {1: pytest.approx(0.5), 2: pytest.approx(0.5 + 2 * math.pi * 0.1)}
+    session = sr.Session(SessionConfig("n", "v", "AA", "w", fit=SPEC), observables, None, None, None, None, {})
+    f = sr.solve(session, observables)
+    sets = whatif.register({"point": observables}, SPEC)
+    assert np.allclose(f.x, sets["point"]["fit"].x) and whatif.fit_baselines(sets).agg(F.sum("n")).first()[0] == whatif.selected_counts(sets).agg(F.sum("n_accepted")).first()[0] == observables.count()
+
+
 def test_states_of_the_instrument(spark):
     vis = _vis(spark)
     cells = spark.createDataFrame([(1, 0.0)], "cell int, ref double")

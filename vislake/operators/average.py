@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import Complex, present
+from vislake.session import bounded
 
 #: Speed of light in m/s, milliarcsecond in rad.
 C_LIGHT = 299_792_458.0
@@ -44,7 +45,7 @@ def phase_by_baseline(averaged: DataFrame) -> DataFrame:
 
 def uv_amplitude(averaged: DataFrame, rows: DataFrame, fcells: DataFrame) -> DataFrame:
     """(source, p, q, tcell, fcell, i, j, uv_wavelengths, amp) of averaged products with weight (A4)."""
-    both = averaged.where(present(F.col("w"))).join(rows.select("source", "p", "q", "tcell", "u", "v"), ["source", "p", "q", "tcell"]).join(F.broadcast(fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("nu"))), "fcell")
+    both = averaged.where(present(F.col("w"))).join(rows.select("source", "p", "q", "tcell", "u", "v"), ["source", "p", "q", "tcell"]).join(bounded(fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("nu"))), "fcell")
     return both.select("source", "p", "q", "tcell", "fcell", "i", "j", (F.hypot("u", "v") * F.col("nu") / C_LIGHT).alias("uv_wavelengths"), Complex(F.col("re"), F.col("im")).abs().alias("amp"))
 
 

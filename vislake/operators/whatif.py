@@ -259,3 +259,15 @@ def fit_summary(sets: dict[str, dict]) -> pd.DataFrame:
     """One row per model set."""
     rows = [(n, r["fit"].chi2, r["fit"].wrms * 1e12, r["fit"].ndof, r["fit"].how, r["n_wrapped"]) for n, r in sets.items()]
     return pd.DataFrame(rows, columns=["model_set", "chi2", "wrms_ps", "ndof", "factorization", "n_wrapped"])
+
+
+def fit_baselines(sets: dict[str, dict]) -> DataFrame:
+    """(model_set, a1, a2, n, wrms): accepted rows and wrms of every baseline in every model set's solve."""
+    parts = [r["baselines"].select(F.lit(n).alias("model_set"), "a1", "a2", "n", "wrms") for n, r in sets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def selected_counts(sets: dict[str, dict]) -> DataFrame:
+    """(model_set, source, n_selected, n_accepted): rows that a solve took in, and those it kept."""
+    parts = [r["fit"].rows.groupBy("source").agg(F.count("*").alias("n_selected"), F.count_if("accepted").alias("n_accepted")).withColumn("model_set", F.lit(n)) for n, r in sets.items()]
+    return reduce(DataFrame.unionByName, parts).select("model_set", "source", "n_selected", "n_accepted")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +16,11 @@ from vislake.functions.columns import absolute_position, dec_sexagesimal, ra_sex
 from vislake.functions.delaymodel import Station, TecMaps
 from vislake.functions.fringemath import Search
 from vislake.functions.imagemath import Grid, disk
-from vislake.operators.astrometry import ModelContext, catalogue, error_model, rotation_fit, structure_delays
+from vislake.operators.astrometry import ModelContext, antenna_terms, catalogue, correlator_delays, error_model, rotation_fit, structure_delays, total_delays
 from vislake.operators.average import average, average_rows
 from vislake.operators.closure import closure_amp_chi2, closure_chi2, edges, model_visibility, noise_scale, stokes_i
 from vislake.operators.combine import band_plan, combine, in_time_order
+from vislake.operators.estimate import Fit, fit
 from vislake.operators.fringe import fringe_fit, peak_observables
 from vislake.operators.gains import Solution, calibrate
 from vislake.operators.imaging import components_of, fine_cell, gridded, hybrid, image_sources
@@ -26,7 +29,7 @@ from vislake.operators.timejoin import unflagged
 from vislake.operators.whatif import fit_summary, register
 from vislake.plans.config import OwnImaging, PointSource, SessionConfig
 from vislake.plans.schedule import alignment_step, pcal_step
-from vislake.session import cut, stored
+from vislake.session import bounded, cut, stored
 from vislake.sources import fits, sinks
 
 
@@ -249,6 +252,28 @@ def assemble_context(geometry: DataFrame, eop: DataFrame, pressure: DataFrame |
     return ModelContext(stations, mjd0, doy, band["eff"] or band["mean"], days, series, maps, primary, inflation)
 
 
+def captured_applied_phase(instrument: Solution, channels: DataFrame, windows: DataFrame) -> DataFrame:
+    """(p, slot, tcell, chan, phase): what the instrument's calibration took out of every channel, for applied_phase_delay (N9,
+    F20). channels: chan, nu; windows: chan, fcell."""
+    both = channels.select("chan", "nu").join(windows.select("chan", "fcell"), "chan").join(instrument.fcells.select(F.col("cell").alias("fcell"), F.col("ref").alias("nu_ref")), "fcell")
+    c = instrument.components.where(F.col("kind").isin("PhaseOffset", "PhaseBandpass", "Delay")).join(bounded(both), "fcell")
+    phase = F.when(F.col("kind") == "Delay", 2 * math.pi * F.col("value") * (F.col("nu") - F.col("nu_ref"))).otherwise(F.col("value"))
+    return c.groupBy("p", F.col("i").alias("slot"), "tcell", "chan").agg(F.sum(phase).alias("phase"))
+
+
+def observables(peaks: DataFrame, keys: DataFrame, correlator: DataFrame, context: ModelContext, applied: DataFrame | None = None, structure: DataFrame | None = None) -> DataFrame:
+    """The observable table of a session's peaks (N9, N10): model terms once per distinct (t, source, antenna) of keys (with ra,
+    dec), correlator delays by the last valid record, then total_delays."""
+    terms = stored(antenna_terms(keys, context))
+    found = correlator_delays(keys.select("antenna", "source", "t", F.lit(1).alias("row_key")), correlator)
+    return total_delays(peaks, terms, found, applied, structure, context)
+
+
+def solve(session: Session, table: DataFrame) -> Fit:
+    """The session's solve with its own settings."""
+    return fit(session.config.delay_fit(), table)
+
+
 def instrumental(session: Session, zero: Solution, tones: DataFrame | None, alignment: DataFrame | None, gains: DataFrame | None) -> dict[str, Solution]:
     """The instrument's states in order (N12): none, tones (C15), alignment (C14), gains (kind LogAmplitudeBandpass, C16), each
     on top of the ones before; steps without input keep the state. Nothing is measured on the data here."""

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vislake.functions.delaymodel import TIDES
+from vislake.session import bounded
 
 _ARCSEC = math.radians(1 / 3600)
 
@@ -125,7 +126,7 @@ def read_tec_maps(spark: SparkSession, path: str) -> DataFrame:
     maps = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, kind)
     epoch = maps.select("path", "mjd").distinct().withColumn("gap", F.col("mjd") - F.lag("mjd").over(Window.orderBy("mjd", "path")))
     keep = epoch.where(F.col("gap").isNull() | (F.col("gap") > 1e-9)).select("path", "mjd")
-    return maps.join(F.broadcast(keep), ["path", "mjd"]).drop("path")  # one row per map
+    return maps.join(bounded(keep), ["path", "mjd"]).drop("path")
 
 
 def pressure_series(weather: DataFrame, least: float = 100.0) -> DataFrame:
