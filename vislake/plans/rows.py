@@ -15,7 +15,7 @@ from vislake.operators.instrument import alignment_summary, derive_alignment
 from vislake.operators.partition import by_channel, regroup
 from vislake.operators.residuals import compare_positions, jet_geometry, match_rows, structure_moment, window_structure
 from vislake.plans.common import CELLS_CTE, cells, channels, r, with_vis
-from vislake.plans.truths import _K, _delays, _numbers
+from vislake.plans.truths import _delays, _numbers
 from vislake.plans.visibility import _REF, ALL, _ds, solution
 from vislake.session import ensure_utc, finite, table
 from vislake.sources.adapters import DNU, NU0
