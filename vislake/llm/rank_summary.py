@@ -169,8 +169,8 @@ def combine(summaries: DataFrame, keys: list[str], epsilon: float = EPSILON) ->
     summaries a key (not of rows) decides the number of levels.
     """
     if "part" not in summaries.columns:
-        # Any fixed number that spreads the summaries of a key.
-        summaries = summaries.withColumn("part", F.xxhash64("n", "v"))
+        # Any number that spreads the summaries of a key, equal ones too; it is fixed by being stored.
+        summaries = summaries.withColumn("part", F.monotonically_increasing_id())
     held = stored(summaries.select(*keys, "part", "v", "lo", "hi", "n", "err", "level"))
     counted = held.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     while counted > FAN_IN:
