@@ -13,6 +13,7 @@ from test_whatif import SPEC, observables  # noqa: F401
 from vislake.functions import delaymodel as dm
 from vislake.functions.imagemath import Grid
 from vislake.operators import gains, whatif
+from vislake.operators.bandpass import solve_bandpass, solve_bandpass_wide
 from vislake.operators.closure import exact_median
 from vislake.operators.gains import Solution, calibrate, corrupt, install_static
 from vislake.operators.imaging import beam_matched_correlation, best_seed, image_by_receptor
@@ -98,6 +99,26 @@ def test_own_kinds_and_static_values(spark):
     assert install_static(Solution(s.components, tcells.where("false"), cells), many.components.drop("tcell")).components.count() == 2
 
 
+def test_wide_bandpass_is_the_same_solve(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for h in range(5):
+        for p, q in ((1, 2), (1, 3), (2, 3)):
+            for k in range(1, 5):
+                for t in (1, 2):
+                    z = np.exp(1j * (0.3 * np.sin(p * k) - 0.3 * np.sin(q * k) + h)) * (1 + 0.05 * k * p) + 0.01 * (rng.normal() + 1j * rng.normal())
+                    w = float(rng.uniform(1, 2))
+                    rows.append((1, p, q, 1, 1, h, 1 if k < 3 else 2, t, k, float(w * z.real), float(w * z.imag), w))
+    sums = spark.createDataFrame(rows, "source int, p int, q int, i int, j int, hcell int, acell int, tcell int, k int, sre double, sim double, sw double")
+    key = ["tcell", "p", "i", "k"]
+    a, b = (f(sums, 7, 1e-3, (1, 1)).toPandas().sort_values(key, ignore_index=True) for f in (solve_bandpass, solve_bandpass_wide))
+    assert len(a) == len(b) == 2 * 3 * 4 and (a[key] == b[key]).all(axis=None)
+    assert np.allclose(a[["phase", "log_amp"]], b[["phase", "log_amp"]], atol=1e-10) and a["phase"].abs().max() > 0.1
+    assert solve_bandpass_wide(sums.where("false"), 3, 1e-3).count() == 0
+    with pytest.raises(ValueError):
+        solve_bandpass_wide(sums, 1, 1e-3, (9, 1))
+
+
 def test_strategies(spark):
     times = spark.createDataFrame([(float(t), "s") for t in (0, 10, 500, 510, 2000)], "t double, source string")
     assert [r["scan"] for r in gap_scans(100.0)(times).orderBy("t").collect()] == [1, 1, 2, 2, 3]

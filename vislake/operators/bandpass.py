@@ -1,18 +1,22 @@
 """Bandpass and amplitude solves (C17, C18, A15): condensed by group-bys, iterated on small arrays.
 
 The sums a solve needs are a distributed aggregate of fixed size per cell (antennas^2 x slots x cells); the iteration is a
-grouped kernel per bandpass time cell and set of coupled channels, so cells run in parallel and none holds visibilities.
+grouped kernel per bandpass time cell and set of coupled channels, so cells run in parallel and none holds visibilities; for
+few, long cells the same iteration runs with distributed sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import present
-from vislake.session import bounded
+from vislake.session import bounded, cut
 
 KEY = ["source", "p", "q", "i", "j", "hcell", "acell"]
 
@@ -105,6 +109,84 @@ def solve_bandpass(sums: DataFrame, iterations: int, regularization: float, refe
     return sums.groupBy("tcell", "part").applyInPandas(run, "tcell int, p int, i int, k int, phase double, log_amp double")
 
 
+#: Unknowns of one wide solve (antennas x slots x channels x time cells) that may reach the driver: 16 MB.
+MOST_UNKNOWNS = 1_000_000
+
+
+def solve_bandpass_wide(sums: DataFrame, iterations: int, regularization: float, reference: tuple[int, int] | None = None) -> DataFrame:
+    """solve_bandpass for few, long time cells, whose condensed sums no task could hold: the same iteration with distributed sums.
+
+    The condensed sums are laid out once by coherence group and stay where they are; an iteration sends the gains to the tasks
+    and brings one sum per unknown back. Only the unknowns must fit the driver (more than MOST_UNKNOWNS is an error).
+    """
+    group = [*KEY, "tcell"]
+    ends = sums.select("tcell", F.explode(F.array(F.struct("p", "i"), F.struct(F.col("q").alias("p"), F.col("j").alias("i")))).alias("e"), "k").select("tcell", "e.p", "e.i", "k").distinct()
+    unknowns = ends.orderBy("tcell", "p", "i", "k").limit(MOST_UNKNOWNS + 1).toPandas()
+    n = len(unknowns)
+    if n > MOST_UNKNOWNS:
+        raise ValueError(f"more than {MOST_UNKNOWNS} unknowns")
+    out_schema = "tcell int, p int, i int, k int, phase double, log_amp double"
+    spark = sums.sparkSession
+    if not n:
+        return spark.createDataFrame([], out_schema)
+    index = spark.createDataFrame(unknowns.assign(node=np.arange(n)))
+    side = lambda end, slot, name: bounded(index.select("tcell", F.col("p").alias(end), F.col("i").alias(slot), "k", F.col("node").alias(name)))
+    placed = sums.join(side("p", "i", "lp"), ["tcell", "p", "i", "k"]).join(side("q", "j", "lq"), ["tcell", "q", "j", "k"])
+    # A checkpoint keeps partitions and their order, so no iteration exchanges rows.
+    held = cut(placed.select(F.xxhash64(*group).alias("g"), *group, "lp", "lq", "sre", "sim", "sw").repartition(*group).sortWithinPartitions(*group).select("g", "lp", "lq", "sre", "sim", "sw"))
+    size = sums.select("tcell", ((F.col("sre") ** 2 + F.col("sim") ** 2) / F.col("sw")).alias("x"), F.col("sw").alias("w"))
+    limits = {r["tcell"]: r["value"] for r in weighted_quantile_column(size, ["tcell"], "x", "w", 0.9).collect()}  # one row per time cell
+    penalty = regularization * unknowns["tcell"].map(limits).to_numpy(float)
+
+    def sums_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def add(t: dict[str, np.ndarray], num: np.ndarray, den: np.ndarray) -> None:
+            d, w = t["sre"] + 1j * t["sim"], t["sw"]
+            new = np.append(True, t["g"][1:] != t["g"][:-1])
+            of = np.cumsum(new) - 1
+            bp, bq = b[t["lp"]], b[t["lq"]]
+            up = np.conj(bp) * bq * d
+            top = np.bincount(of, up.real) + 1j * np.bincount(of, up.imag)
+            low = np.bincount(of, np.abs(bp) ** 2 * np.abs(bq) ** 2 * w)
+            c = np.where(low > 0, top / np.where(low > 0, low, 1), 0)[of]
+            for at, z, v in ((t["lp"], c * np.conj(bq), d), (t["lq"], np.conj(c) * np.conj(bp), np.conj(d))):
+                np.add.at(num, at, np.conj(z) * v)
+                np.add.at(den, at, w * np.abs(z) ** 2)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            num, den, rest = np.zeros(n, complex), np.zeros(n), None
+            for batch in batches:
+                t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "lp", "lq", "sre", "sim", "sw")}
+                t = t if rest is None else {c: np.concatenate([rest[c], t[c]]) for c in t}
+                cut_at = int(np.argmax(t["g"] == t["g"][-1])) if len(t["g"]) else 0  # the last group may go on
+                rest = {c: x[cut_at:] for c, x in t.items()}
+                if cut_at:
+                    add({c: x[:cut_at] for c, x in t.items()}, num, den)
+            if rest is not None and len(rest["g"]):
+                add(rest, num, den)
+            at = np.flatnonzero((num != 0) | (den != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(num.real[at]), pa.array(num.imag[at]), pa.array(den[at])], names=["node", "re", "im", "den"])
+
+        got = held.mapInArrow(run, "node bigint, re double, im double, den double").groupBy("node").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("den").alias("den")).toPandas()
+        num, den = np.zeros(n, complex), np.zeros(n)
+        num[got["node"]], den[got["node"]] = got["re"].to_numpy() + 1j * got["im"].to_numpy(), got["den"]
+        return num, den
+
+    b = np.ones(n, complex)
+    for it in range(1, iterations + 1):
+        num, den = sums_of(b)
+        new = (penalty + num) / (penalty + den)
+        b = (new + b) / 2 if it % 2 == 0 else new
+    out = unknowns.assign(b=b)
+    if reference is not None:
+        ref = out[(out["p"] == reference[0]) & (out["i"] == reference[1])]
+        if set(ref["tcell"]) != set(out["tcell"]):
+            raise ValueError(f"reference node {reference} has no data")
+        turn = out[["tcell", "k"]].merge(ref[["tcell", "k", "b"]], how="left", on=["tcell", "k"])["b"].fillna(1.0 + 0j).to_numpy()
+        out["b"] = out["b"].to_numpy() * np.conj(turn / np.abs(turn))
+    z = out["b"].to_numpy()
+    return spark.createDataFrame(out.assign(phase=np.angle(z), log_amp=np.log(np.abs(z)))[["tcell", "p", "i", "k", "phase", "log_amp"]].astype(dict.fromkeys(["tcell", "p", "i", "k"], "int32")), out_schema)
+
+
 def condense_amplitudes(vis: DataFrame, weight_scale: float, min_snr: float, floor: float) -> DataFrame:
     """(i, tcell, fcell, p < q, sw, sr, sq, n) of log|V| - log|M| with weights w |M|^2.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vislake.dataset import diagonal_slot, usable, window
+from vislake.operators.astrometry import error_model
 from vislake.operators.estimate import MAS, DelayFit, fit_sessions
 from vislake.operators.gains import calibrate, corrupt, install_static
 from vislake.operators.instrument import alignment_summary, derive_alignment
@@ -124,7 +125,17 @@ def agg_a29_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_moment(_jets(spark, sf_dir), 100.0).select("source", r("pa_deg", 6).alias("pa_deg"), r("radius").alias("radius"), "flux", "n")
 
 
-QUERIES = {f.__name__: f for f in (sel_p8_rows, src_s15_rows, src_s15_inverse, sel_p4_rows, sel_p5_rows, sel_p12_rows, part_g8_groups, cal_c14_rows, join_j11_rows, join_j12_fits, cal_c13_truth, agg_a25_truth, agg_a22_truth, agg_a28_truth, agg_a29_truth)}
+SCALES, FLOORS = (1.0, 2.0, 4.0, 16.0, 64.0, 256.0), tuple(float(10**k) for k in range(8))
+
+
+def est_n14_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeliest scale and floor over every finite residual, outliers included."""
+    o = table(spark, sf_dir, "observables").where(finite(F.col("tau_residual")) & finite(F.col("sigma_tau")) & finite(F.col("sigma_tau_ionosphere")))
+    e = error_model(o.select((F.col("tau_residual") * 1e12).alias("d"), (F.col("sigma_tau") * 1e12).alias("formal"), (F.col("sigma_tau_ionosphere") * 1e12).alias("external")), list(SCALES), list(FLOORS))
+    return e.select("s", "f", r("nll", 2).alias("nll"), r("chi2", 5).alias("chi2"))
+
+
+QUERIES = {f.__name__: f for f in (est_n14_whole, sel_p8_rows, src_s15_rows, src_s15_inverse, sel_p4_rows, sel_p5_rows, sel_p12_rows, part_g8_groups, cal_c14_rows, join_j11_rows, join_j12_fits, cal_c13_truth, agg_a25_truth, agg_a22_truth, agg_a28_truth, agg_a29_truth)}
 
 _OWN = "f AS (SELECT p, f, o * p o FROM (SELECT CAST(x AS INT) p FROM range(1, 6) r(x)), (VALUES (1, 2e0), (2, -1e0), (3, -3e0), (4, 2e0)) v(f, o))"
 _OBS = "o AS (SELECT session, scan, a1, a2, receptor_slot slot, arg_min(tau_residual, obs_id) r FROM observables WHERE isfinite(tau_residual) GROUP BY ALL)"
@@ -132,6 +143,11 @@ _OBS = "o AS (SELECT session, scan, a1, a2, receptor_slot slot, arg_min(tau_resi
 _JET = "k AS (SELECT CAST(substr(session, 3) AS INT) s FROM sessions), j AS (SELECT s source, (s % 5 + 1) * (0.5e0 * 1 + 0.25e0 * 0) / 0.75e0 dx, (s % 5 + 1) * (0.5e0 * 2 + 0.25e0 * 3) / 0.75e0 dy FROM k)"
 
 ORACLE = {
+    "est_n14_whole": f"""
+WITH o AS (SELECT tau_residual * 1e12 d, sigma_tau * 1e12 f, sigma_tau_ionosphere * 1e12 e FROM observables WHERE isfinite(tau_residual) AND isfinite(sigma_tau) AND isfinite(sigma_tau_ionosphere)),
+g AS (SELECT s, fl, d, (s * f) ** 2 + fl ** 2 + e ** 2 v FROM o, (SELECT unnest([{", ".join(map(str, SCALES))}])::DOUBLE s), (SELECT unnest([{", ".join(map(str, FLOORS))}])::DOUBLE fl)),
+n AS (SELECT s, fl, sum(d * d / v + ln(v)) nll, sum(d * d / v) q, count(*) n FROM g GROUP BY ALL)
+SELECT s, fl AS f, round(nll, 2) + 0 AS nll, round(q / greatest(n - 3, 1), 5) + 0 AS chi2 FROM n ORDER BY n.nll, s, fl LIMIT 1""",
     "sel_p8_rows": with_vis("SELECT row_id, p, q, chan, i, j, round(re, 6) + 0 AS re, round(im, 6) + 0 AS im, round(w, 2) + 0 AS w FROM cal", CELLS_CTE, _REF),
     "src_s15_rows": with_vis("SELECT row_id, p, q, chan, i, j, round(am * (re * cos(ph) - im * sin(ph)), 6) + 0 AS re, round(am * (re * sin(ph) + im * cos(ph)), 6) + 0 AS im, round(w, 2) + 0 AS w FROM g", CELLS_CTE, _REF),
     "src_s15_inverse": with_vis("SELECT row_id, p, q, chan, i, j, round(re, 7) + 0 AS re, round(im, 7) + 0 AS im FROM vis"),
