@@ -171,7 +171,7 @@ def reference_agreement(positions: DataFrame, reference: DataFrame) -> dict[str,
     return r | {"rotation": a, "residuals": j.select("source", left["ra"].alias("dra"), left["dec"].alias("ddec"))}
 
 
-#: Columns of the published catalogue that are taken over or computed, in order.
+# Columns of the published catalogue, in order.
 CATALOGUE = (
     "source model_set kind jname ra_reference_deg dec_reference_deg ra_deg dec_deg ra_sex dec_sex dra_mas ddec_mas sigma_ra_formal_mas sigma_dec_formal_mas sigma_ra_final_mas sigma_dec_final_mas "
     "peak_ra_deg peak_dec_deg peak_x_mas peak_y_mas peak_from n_components n_components_total n_negative flux_model_jy flux_total_jy compactness r_max_mas jet_pa_deg jet_r_mas model_radius_mas "
