@@ -175,7 +175,7 @@ def agg_a25_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cal_c13_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alignment over all bands; antennas with fewer bands have their own sets of windows."""
     a = derive_alignment_by_setup(_windows(spark, sf_dir, F.col("band").isNotNull()))
-    return a.select("p", "i", "setup", "fcell", r(F.col("delay") * 1e12, 5).alias("delay_ps"), r("phase", 5).alias("phase"), "nruns")
+    return a.select("p", "i", "setup", "fcell", r(F.col("delay") * 1e12, 9).alias("delay_ps"), r("phase", 5).alias("phase"), "nruns")
 
 
 def agg_a25_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +281,7 @@ SELECT session, antenna_no, tcell, band, round(delay * 1e12, 3) + 0 AS delay_ps,
     "agg_a24_quantiles": f"WITH {_TSYS} SELECT antenna_no, round(quantile_cont(sefd, 0.1), 4) + 0 AS q10, round(quantile_cont(sefd, 0.5), 4) + 0 AS q50, round(quantile_cont(sefd, 0.9), 4) + 0 AS q90, count(*) AS n FROM ts WHERE sefd IS NOT NULL GROUP BY ALL",
     "cal_c13_alignment": f"WITH {_ALIGN} SELECT p, i, fcell, round(delay * 1e12, 5) + 0 AS delay_ps, round(phase, 5) + 0 AS phase, nruns FROM al",
     "agg_a25_alignment": f"WITH {_ALIGN}, x AS (SELECT *, {_wrap('lag(phase) OVER w - 2 * phase + lead(phase) OVER w')} d2 FROM al WINDOW w AS (PARTITION BY p, i ORDER BY fcell)) SELECT p, i, round(sqrt(avg(phase * phase)), 5) + 0 AS rms, round(max(phase) - min(phase), 5) + 0 AS peak_to_peak, round(sqrt(avg(d2 * d2)), 5) + 0 AS d2_rms FROM x GROUP BY ALL",
-    "cal_c13_setups": f"WITH {_SETUPS} SELECT p, i, setup, fcell, round(delay * 1e12, 5) + 0 AS delay_ps, round(phase, 5) + 0 AS phase, nruns FROM al",
+    "cal_c13_setups": f"WITH {_SETUPS} SELECT p, i, setup, fcell, round(delay * 1e12, 9) + 0 AS delay_ps, round(phase, 5) + 0 AS phase, nruns FROM al",
     "agg_a25_setups": f"WITH {_SETUPS}, x AS (SELECT *, {_wrap('lag(phase) OVER w - 2 * phase + lead(phase) OVER w')} d2 FROM al WINDOW w AS (PARTITION BY p, i, setup ORDER BY fcell)) SELECT p, i, setup, round(sqrt(avg(phase * phase)), 5) + 0 AS rms, round(max(phase) - min(phase), 5) + 0 AS peak_to_peak, round(sqrt(avg(d2 * d2)), 5) + 0 AS d2_rms FROM x GROUP BY ALL",
     "join_j5_last_valid_ends": """
 WITH c AS (SELECT session, antenna_no, band, epoch_us(time) start, coalesce(dpfu_1, -1) dpfu FROM gain_curve WHERE antenna_no >= 1),
