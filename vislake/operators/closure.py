@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vislake.functions.complexmath import TWO_PI, Complex, present, wrap
 from vislake.operators.average import C_LIGHT, MAS
-from vislake.session import stored
+from vislake.session import small, stored
 
 #: Sign of the correlator's baseline vector against the image plane.
 UV_SIGN = -1.0
@@ -52,6 +52,13 @@ def model_visibility(components: Column, u: Column, v: Column) -> Complex:
     return Complex(add(F.cos), add(F.sin))
 
 
+def with_models(stokes: DataFrame, models: DataFrame) -> DataFrame:
+    """Visibilities with the models of their source (source, components, ...): broadcast if a count proves the components to be
+    few, else both sides are shuffled. Visibilities are never broadcast; Spark takes rows that an explode made for far fewer."""
+    few = small(models.select(F.explode_outer("components")))
+    return stokes.join(F.broadcast(models) if few else models.hint("merge"), "source")
+
+
 def divide_model(vis: DataFrame, models: DataFrame, floor: float) -> DataFrame:
     """V / M and w |M|^2; below floor times the total flux the weight is 0 and the value stays (P10).
 

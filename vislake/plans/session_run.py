@@ -18,7 +18,7 @@ from vislake.functions.fringemath import Search
 from vislake.functions.imagemath import Grid, disk
 from vislake.operators.astrometry import ModelContext, antenna_terms, catalogue, correlator_delays, error_model, rotation_fit, structure_delays, total_delays
 from vislake.operators.average import average, average_rows
-from vislake.operators.closure import closure_amp_chi2, closure_chi2, edges, model_visibility, noise_scale, stokes_i
+from vislake.operators.closure import closure_amp_chi2, closure_chi2, edges, model_visibility, noise_scale, stokes_i, with_models
 from vislake.operators.combine import band_plan, combine, in_time_order
 from vislake.operators.estimate import Fit, fit
 from vislake.operators.fringe import fringe_fit, peak_observables
@@ -123,7 +123,7 @@ def own_images(stokes: DataFrame, own: OwnImaging, refit: Callable[[DataFrame],
 def closure_evaluation(stokes: DataFrame, model_sets: DataFrame, weight_scale: float, min_snr: float = 5.0) -> DataFrame:
     """(model_set, source, chi2_phase, n_phase, chi2_amp, rms_amp, n_amp) of every model set (A14). model_sets: model_set,
     source, components."""
-    m = stokes.join(model_sets, "source")
+    m = with_models(stokes, model_sets)
     z = model_visibility(F.col("components"), F.col("u"), F.col("v"))
     m = m.withColumn("model_re", z.re).withColumn("model_im", z.im).withColumn("source", F.struct("model_set", "source")).drop("components", "model_set")
     e = edges(m, weight_scale)

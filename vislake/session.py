@@ -49,16 +49,19 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> bool:
+    """True if a count proves that there are no more rows; it stops one row past the bound."""
+    estimate = estimated_bytes(df)
+    known = estimate < UNKNOWN_BYTES  # local rows have no estimate; their count is cheap
+    return not (known and estimate > BROADCAST_ESTIMATE) and df.limit(most_rows + 1).count() <= most_rows
+
+
 def bounded(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a count proves the side to be small; else leave the join to Spark (shuffled, split if skewed).
 
     Meant for dimension tables: the count runs over the side, and stops one row past the bound.
     """
-    estimate = estimated_bytes(df)
-    known = estimate < UNKNOWN_BYTES  # local rows have no estimate; their count is cheap
-    if (known and estimate > BROADCAST_ESTIMATE) or df.limit(most_rows + 1).count() > most_rows:
-        return df
-    return F.broadcast(df)
+    return F.broadcast(df) if small(df, most_rows) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
