@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vislake.functions.complexmath import TWO_PI, present
 from vislake.functions.imagemath import FWHM, Grid, beam_moments, dirty_beam, dirty_map, hogbom, peak_position, restore
 from vislake.operators.average import MAS
-from vislake.operators.closure import divide_model, model_visibility
+from vislake.operators.closure import divide_model, model_visibility, with_models
 
 
 def gridded(stokes: DataFrame, uv_cell: float) -> DataFrame:
@@ -182,7 +182,7 @@ def amplitude_ratios(stokes: DataFrame, models: DataFrame, weight_scale: float,
     stokes: source, p, q, u, v (1/mas), re, im, w. Data where the model is below floor of its total flux or the model's SNR
     below min_snr are left out, and bins with fewer than `least` of them.
     """
-    j = stokes.where(present(F.col("w"))).join(models.where(F.size("components") > 0).select("source", "components"), "source")
+    j = with_models(stokes.where(present(F.col("w"))), models.where(F.size("components") > 0).select("source", "components"))
     m = model_visibility(F.col("components"), F.col("u"), F.col("v")).abs()
     total = F.aggregate("components", F.lit(0.0), lambda a, c: a + F.abs(c["flux"]))
     good = j.select("source", "p", "q", m.alias("m"), F.hypot("re", "im").alias("a"), total.alias("total"), "w", (F.hypot("u", "v") / MAS / 1e6).alias("length"))
