@@ -104,13 +104,12 @@ def direct_orphans(child: Child, registry: Registry) -> DataFrame:
     return _judged(replace(child, registry="r", more=()), {"r": registry}, [])
 
 
-def cascade(children: dict[str, Child], registries: dict[str, Registry], most_rounds: int = 64, inherit: bool = True) -> DataFrame:
+def cascade(children: dict[str, Child], registries: dict[str, Registry], most_rounds: int = 64) -> DataFrame:
     """(tab, row_id, t_us, kind, reason, depth): direct orphans at depth 0, rows orphaned through a parent deeper.
 
     A row is inherited if a parent row that it refers to is an orphan and it is none itself; it has the least depth at
     which it was reached. Cycles in the graph end because a round only keeps rows not found before; most_rounds guards
-    against a graph that is deeper than anyone means (error, nothing is dropped). Without inherit only the first step is
-    taken: depth 0. Empty tables give no rows.
+    against a graph that is deeper than anyone means (error, nothing is dropped). Empty tables give no rows.
     """
     named = lambda df, tab, kind, reason, depth: df.select(F.lit(tab).alias("tab"), "row_id", "t_us", F.lit(kind).alias("kind"), reason.alias("reason"), F.lit(depth).alias("depth"))
     # Columns by which a table's rows hang on parents or are hung on.
@@ -119,10 +118,7 @@ def cascade(children: dict[str, Child], registries: dict[str, Registry], most_ro
         for parent, (own, theirs) in c.parents.items():
             links[n] += [x for x in own if x not in links[n]]
             links[parent] += [x for x in theirs if x not in links[parent]]
-    first = {n: _judged(c, registries, links[n] if inherit else []) for n, c in children.items() if c.references()}
-    if not inherit:
-        return _all([named(df, n, DIRECT_KIND, F.col("reason"), 0) for n, df in first.items()])
-    frontier = {n: stored(df) for n, df in first.items()}
+    frontier = {n: stored(_judged(c, registries, links[n])) for n, c in children.items() if c.references()}
     found = {n: [df.select("row_id")] for n, df in frontier.items()}
     results = [named(df, n, DIRECT_KIND, F.col("reason"), 0) for n, df in frontier.items()]
     tables = {n: stored(c.rows.select(F.col(c.row_id).alias("row_id"), micros(F.col(c.time)).alias("t_us"), *[F.col(x).alias(f"k_{x}") for x in links[n]])) for n, c in children.items() if c.parents}

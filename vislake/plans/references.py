@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vislake.operators.references import Child, Registry, cascade, text_key
+from vislake.operators.references import DIRECT_KIND, Child, Registry, cascade, text_key
 from vislake.operators.tsys import has_antenna
 from vislake.session import table
 
@@ -58,8 +58,8 @@ def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct orphans with their reasons: the first step of the fixpoint, which the later ones do not change."""
-    return cascade(*_graph(spark, sf_dir), inherit=False).select("tab", "row_id", "reason")
+    """Direct orphans with their reasons, out of the finished fixpoint."""
+    return cascade(*_graph(spark, sf_dir)).where(F.col("kind") == DIRECT_KIND).select("tab", "row_id", "reason")
 
 
 def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
